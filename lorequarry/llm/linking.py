@@ -2,10 +2,10 @@
 
 1. ``stars``: inside each batch the items of a bucket are tied to the batch's first; only those firsts meet in a shuffle,
    where they are tied to the smallest. A bucket of n items gives fewer than n pairs, and a hot one few rows to shuffle.
-2. The pairs are verified exactly and components are formed from the links found.
-3. A bucket whose items still lie in several components may hide links between them. Blocks of such buckets are compared
-   by sketches, and of the pairs that the sketches let pass, those most alike are verified, first one for each item
-   and component, then more, at last all, as long as components remain apart. Pairs inside a component are not needed.
+2. The pairs are verified, by sketch and then on the full sets, and components are formed from the links found.
+3. A bucket whose items still lie in several components may hide links between them. Items of such buckets are put into
+   groups, and blocks of a group are compared with each other: sketches first, then exact intersections as products of
+   incidence matrices. A block pair returns a spanning forest of the links between components, never all its links.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .ngrams import pieces
 from .sketching import xor_counts
 from .workspace import Workspace, nonempty
 
-#: Items of a bucket that are compared with as many others in one step.
-BLOCK = 1024
-#: Pairs for each item and component in the rounds of step 3; None stands for all.
-ROUNDS = (1, 8, 64, None)
+#: Items of a group that are compared with as many others in one step.
+BLOCK = 512
+#: Set elements that one matrix product takes.
+COLUMNS = 2048
+
+#: From the payload of an item to the sorted distinct 64-bit elements of its set.
+Expand = Callable[[bytes], np.ndarray]
 
 STAR_SCHEMA = "bucket long, hub long, id long"
 
@@ -88,78 +92,128 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _closest(batches: Iterator[pa.RecordBatch], most_bits: int, each: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block pair in different components whose sketches differ in at most ``most_bits`` bits."""
-    for group in grouped(batches, ["bucket", "i", "j"]):
-        ids, label, side = (group[c].to_numpy() for c in ("id", "label", "side"))
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        same = group["i"][0].as_py() == group["j"][0].as_py()
-        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = []
-        for s in range(0, len(left), 256):  # strips bound the matrix
-            at = left[s : s + 256]
-            bits = xor_counts(sketch[at], sketch[right])
-            ok = (bits <= most_bits) & (label[at][:, None] != label[right][None, :])
-            x, y = np.nonzero(ok)
-            if len(x):
-                found.append((ids[at[x]], ids[right[y]], label[right[y]], label[at[x]], bits[x, y].astype(np.int64)))
-        if not found:
+def confirm(pairs: DataFrame, expand: Expand, percent: int, most_bits: int) -> DataFrame:
+    """``pairs(a, b, sa, sb, xa, xb)`` of sketches and payloads -> the ``a, b`` whose sketches differ in at most
+    ``most_bits`` bits and whose sets have ``100 * intersection >= percent * union``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in pieces(batch, 256):
+                keep = []
+                for sa, sb, xa, xb in zip(*(part.column(c).to_pylist() for c in ("sa", "sb", "xa", "xb")), strict=True):
+                    ok = (int.from_bytes(sa) ^ int.from_bytes(sb)).bit_count() <= most_bits
+                    if ok:
+                        if xa != last:
+                            last, x = xa, expand(xa)
+                        y = expand(xb)
+                        ok = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
+                    if ok:
+                        both = np.concatenate([x, y])
+                        both.sort(kind="stable")
+                        common = int((both[1:] == both[:-1]).sum())
+                        ok = 100 * common >= percent * (len(x) + len(y) - common)
+                    keep.append(ok)
+                got = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of all pairs of sets."""
+    sizes = np.array([len(x) for x in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # an element of one set alone is in no intersection
+    shared = np.cumsum(counts > 1) - 1
+    row, col = np.repeat(np.arange(len(sets)), sizes), inverse
+    at = counts[col] > 1
+    row, col = row[at], shared[col[at]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for c in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
+        a, b = np.searchsorted(col, [c, c + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[a:b], col[a:b] - c] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def forest(link: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what the symmetric matrix ``link`` joins, given that items of equal label are joined already."""
+    _, label = np.unique(label, return_inverse=True)
+    members: dict[int, list[int]] = {}
+    for i, x in enumerate(label.tolist()):
+        members.setdefault(x, []).append(i)
+    seen, out = np.zeros(len(members), bool), []
+    for start in range(len(members)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        queue = list(members[start])
+        while queue:
+            i = queue.pop()
+            for j in np.flatnonzero(link[i] & ~seen[label]).tolist():
+                if not seen[label[j]]:
+                    seen[label[j]] = True
+                    out.append((i, j))
+                    queue += members[int(label[j])]
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch], expand: Expand, percent: int, most_bits: int) -> Iterator[pa.RecordBatch]:
+    """Of each block pair a forest of the verified links between different labels."""
+    for block in grouped(batches, ["grp", "i", "j"]):
+        ids, label, side = (block[c].to_numpy() for c in ("id", "label", "side"))
+        sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        near = (xor_counts(sketch, sketch) <= most_bits) & (label[:, None] != label[None, :])
+        if block["i"][0].as_py() != block["j"][0].as_py():
+            near &= side[:, None] != side[None, :]
+        use = np.flatnonzero(near.any(0))
+        if not len(use):
             continue
-        a, b, lb, la, bits = (np.concatenate(c) for c in zip(*found, strict=True))
-        more = np.zeros(len(a), bool)
-        if each is not None:
-            # rank within (item, component of the other), for either item of the pair
-            order = np.lexsort((b, bits, lb, a))
-            new = np.ones(len(order), bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (lb[order][1:] != lb[order][:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order)) - start
-            take = rank < each
-            more = np.full(take.sum(), bool((~take).any()))
-            a, b = a[take], b[take]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+        payload = block["payload"].take(pa.array(use)).to_pylist()
+        sets = [expand(x) for x in payload]
+        common, sizes = intersections(sets), np.array([len(x) for x in sets])
+        link = near[np.ix_(use, use)] & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+        found = forest(link, label[use])
+        if found:
+            a, b = (ids[use[list(c)]] for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows(bucket, id, label, sketch, n)``, each once for every other block of its bucket; block pairs have i <= j."""
+    """``rows(grp, n, id, ...)``, each once for every block of its group; block pairs have i <= j."""
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "sketch")
-
-
-def components(ws: Workspace, star: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], most_bits: int, rounds=ROUNDS) -> DataFrame:
-    """``star(bucket, hub, id)`` and ``sketches(id, sketch)`` -> written ``node, component`` of verified links.
-
-    ``verify`` takes written pairs ``(a, b)``, a < b, without repeats, and returns those that are links.
-    """
-    tested = ws.save(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "pairs")
-    links = ws.save(verify(tested), "links")
-    comp = ws.save(connected_components(ws, links), "components")
-    members = star.select("bucket", F.col("hub").alias("id")).unionByName(star.select("bucket", "id")).distinct()
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2")
-    members = ws.save(members.join(sizes, "bucket"), "members")
-    for each in rounds:
-        now = members.join(comp, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-        apart = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rows = ws.save(now.join(apart, "bucket"), "apart")
-        if not nonempty(rows):
-            break
-        blocks = _blocks(rows.join(sketches.select("id", "sketch"), "id"))
-        parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = blocks.mapInArrow(lambda it, each=each: _closest(it, most_bits, each), "a long, b long, more boolean")
-        found = ws.save(found.groupBy("a", "b").agg(F.max("more").alias("more")).join(tested, ["a", "b"], "left_anti"), "found")
-        more = found.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        if more["n"]:
-            pairs = found.select("a", "b")
-            fresh = ws.save(verify(pairs), "links")
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(fresh)
-            if nonempty(fresh):
-                short = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh.select("a", "b"))
-                comp = ws.save(connected_components(ws, short), "components")
-            if not more["more"]:
-                break
-    return comp
+    return rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label")
+
+
+def components(ws: Workspace, star: DataFrame, sets: DataFrame, expand: Expand, percent: int, most_bits: int) -> DataFrame:
+    """``star(bucket, hub, id)``, written ``sets(id, sketch, payload)`` of all its items -> written ``node, component``
+    of the verified links. An item of several sets, by rows that share an id, is linked if one of them is."""
+    pairs = ws.save(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "pairs")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("payload").alias(f"x{c}"))
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb", "xa", "xb")
+    comp = ws.save(connected_components(ws, confirm(full, expand, percent, most_bits)), "components")
+    # a pair alone in its bucket has been tested
+    sizes = star.groupBy("bucket").agg(F.count_distinct("hub", "id").alias("n")).where("n > 1").select("bucket")
+    ties = star.join(sizes, "bucket").select("bucket", "hub", "id").distinct()
+    label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
+    ties = ties.join(label("hub"), "hub", "left").join(label("id"), "id", "left").withColumn("lhub", F.coalesce("lhub", "hub")).withColumn("lid", F.coalesce("lid", "id"))
+    ties = ws.save(ties, "ties")
+    apart = ties.groupBy("bucket").agg(F.min(F.least("lhub", "lid")).alias("lo"), F.max(F.greatest("lhub", "lid")).alias("hi")).where("lo < hi").select("bucket")
+    ties = ws.save(ties.join(apart, "bucket"), "apart")
+    if not nonempty(ties):
+        return comp
+    groups = connected_components(ws, ties.select(F.col("lhub").alias("a"), F.col("lid").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("component").alias("grp"))
+    items = ties.select(F.col("hub").alias("id"), F.col("lhub").alias("label")).unionByName(ties.select("id", F.col("lid").alias("label"))).distinct()
+    items = ws.save(items.join(groups, "label"), "items")
+    items = items.join(items.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _blocks(items).join(sets, "id").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    fresh = ws.save(blocks.mapInArrow(lambda it: _compare(it, expand, percent, most_bits), "a long, b long"), "links")
+    if not nonempty(fresh):
+        return comp
+    return ws.save(connected_components(ws, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "components")

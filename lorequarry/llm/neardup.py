@@ -67,7 +67,7 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """``docs(id, sketch, text)`` -> ``id, sketch, items``; items are the packed hashes of the full set."""
+    """``docs(id, sketch, text)`` -> ``id, sketch, payload``, the packed hashes of the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,32 +75,13 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 for a, b in chunks(texts):
                     items = [x.tobytes() for x in word_shingles(texts[a:b], s.width)]
-                    yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), part.column("sketch").slice(a, b - a), pa.array(items, pa.binary())], names=["id", "sketch", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), part.column("sketch").slice(a, b - a), pa.array(items, pa.binary())], names=["id", "sketch", "payload"])
 
-    return docs.mapInArrow(run, "id long, sketch binary, items binary")
+    return docs.mapInArrow(run, "id long, sketch binary, payload binary")
 
 
-def confirm(pairs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """``pairs(a, b, sa, sb, xa, xb)`` -> the ``a, b`` with ``100 * intersection >= percent * union``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 256):
-                keep = []
-                for sa, sb, xa, xb in zip(*(part.column(c).to_pylist() for c in ("sa", "sb", "xa", "xb")), strict=True):
-                    la, lb = len(xa), len(xb)
-                    ok = 100 * min(la, lb) >= percent * max(la, lb) and (int.from_bytes(sa) ^ int.from_bytes(sb)).bit_count() <= bits
-                    if ok:
-                        x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
-                        both = np.concatenate([x, y])
-                        both.sort(kind="stable")
-                        common = int((both[1:] == both[:-1]).sum())
-                        ok = 100 * common >= percent * (len(x) + len(y) - common)
-                    keep.append(ok)
-                got = part.filter(pa.array(keep, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+def unpack(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, np.uint64)
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -125,11 +106,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(small(wanted, 24 + s.sketch_bits // 8), "id")
     sets = ws.save(_sets(texts.select("id", "sketch", "text"), s), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("items").alias(f"x{c}"))
-        return confirm(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "xa", "xb"), s.percent, bits).distinct()
-
-    comp = components(ws, star, classes, verify, bits)
+    comp = components(ws, star, sets, unpack, s.percent, bits)
     # rows of a class share its digest; its smallest id is the node
     node = classes.select("digest", F.col("id").alias("own"))
     moved = comp.where("node <> component")

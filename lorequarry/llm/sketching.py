@@ -55,16 +55,17 @@ def odd_sketch(signatures: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(parity.reshape(n, bits), axis=1)
 
 
-def most_bits(similarity: float, k: int, bits: int, sigmas: float = 5.0) -> int:
+def most_bits(similarity: float, k: int, bits: int, sigmas: float = 4.5) -> int:
     """Largest symmetric difference of two odd sketches that a pair of at least ``similarity`` may show.
 
-    The number of unequal samples is binomial; ``sigmas`` standard deviations above its mean still pass, as does as much
-    again for bits that two flips cleared or set. A pair that fails is below the similarity but for a chance of about
-    one in a million.
+    The number of unequal samples is binomial; ``sigmas`` standard deviations above its mean still pass, as do some bits
+    more for flips that meet less often than they do on average. A pair that fails is below the similarity but for a
+    chance of about one in a hundred thousand.
     """
     unequal = k * (1 - similarity) + sigmas * math.sqrt(k * similarity * (1 - similarity))
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * unequal))
-    return math.ceil(expected + 2 * math.sqrt(expected * (1 - expected / bits)))
+    flips = 2 * unequal
+    expected = bits / 2 * (1 - (1 - 2 / bits) ** flips)
+    return math.ceil(expected + 2 * flips / math.sqrt(bits))
 
 
 def estimate(difference: int, k: int, bits: int) -> float:
