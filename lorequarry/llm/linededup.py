@@ -132,18 +132,15 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _fetch(rows: DataFrame, s: Settings) -> DataFrame:
-    """``rows(text, lines array<struct<line_no, id>>)`` -> ``id, sketch, payload`` of the lines asked for."""
+    """``rows(text, lines)`` of ``_with_lines`` -> ``id, sketch, payload`` of the lines asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 256):
                 found = {}
                 for text, lines in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True):
-                    split = text.split("\n")
-                    for x in lines:
-                        key = key_of(split[x["line_no"]]) if x["line_no"] < len(split) else ""
-                        if key and line_id(key) == x["id"]:
-                            found[x["id"]] = key
+                    for _, x, key in _listed(lines, text.split("\n")):
+                        found[x] = key
                 keys = list(found.values())
                 sketch = [x.tobytes() for x in odd_sketch(signatures(keys, s), s.sketch_bits)] if keys else []
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(sketch, pa.binary()), pa.array([k.encode("utf-8", "surrogatepass") for k in keys], pa.binary())], names=["id", "sketch", "payload"])
@@ -151,15 +148,27 @@ def _fetch(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("text", "lines").mapInArrow(run, "id long, sketch binary, payload binary")
 
 
-def _with_lines(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with the written ``lines(doc_id, line_no, id)``, as an array by document. The array side is
-    broadcast if counted small; else both sides are shuffled."""
-    by_doc = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("line_no", "id")).alias("lines"))
-    if lines.count() * 48 <= BROADCAST_BYTES:
+def _with_lines(ws: Workspace, docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``lines(doc_id, line_no, id)`` as an array by document, of numbers that hold the line's place
+    and half of its id. The arrays are broadcast if their counted size is small; else both sides are shuffled."""
+    packed = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)))
+    by_doc = ws.save(lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(packed).alias("lines")), "by_doc")
+    size = by_doc.agg(F.coalesce(F.sum(F.size("lines") * 8 + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         by_doc = F.broadcast(by_doc)
     return docs.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), how).drop("_doc")
 
 
+def _listed(lines: list[int] | None, split: list[str]) -> Iterator[tuple[int, int, str]]:
+    """Place, id and key of the listed lines that are there."""
+    for x in lines or ():
+        no = x >> 32
+        if no < len(split) and (key := key_of(split[no])):
+            found = line_id(key)
+            if found & 0xFFFFFFFF == x & 0xFFFFFFFF:
+                yield no, found, key
+
+
 def decide(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> written ``lines(doc_id, line_no, id)`` of all lines that aren't blank, and written
     ``removed(doc_id, line_no, id)``.
@@ -175,7 +184,7 @@ def decide(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFr
     near = ws.save(star.select(F.col("hub").alias("id")).unionByName(star.select("id")).distinct(), "near")
     items = ws.save(first.join(near.withColumn("near", F.lit(True)), "id", "left").where("near or n > 1"), "items")
     wanted = ws.save(items.where("near").select("first.doc_id", "first.line_no", "id"), "wanted")
-    texts = ws.save(_fetch(_with_lines(docs.select("doc_id", F.col("text").cast("string")), wanted, "inner"), s).dropDuplicates(["id"]), "texts")
+    texts = ws.save(_fetch(_with_lines(ws, docs.select("doc_id", F.col("text").cast("string")), wanted, "inner"), s).dropDuplicates(["id"]), "texts")
     bits = most_bits(s.percent / 100, s.samples, s.sketch_bits)
 
     comp = components(ws, star, texts, partial(expand, width=s.width), s.percent, bits)
@@ -205,7 +214,7 @@ def dedup(docs: DataFrame, s: Settings = Settings(), drop_empty: bool = False) -
                 given = part.column("n_chars").to_pylist() if number else [None] * part.num_rows
                 for text, lines, n in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), given, strict=True):
                     split = (text or "").split("\n")
-                    drop = {x["line_no"] for x in lines or () if x["line_no"] < len(split) and line_id(key_of(split[x["line_no"]])) == x["id"]}
+                    drop = {no for no, _, _ in _listed(lines, split)}
                     counts.append(sum(1 for x in split if x.strip()))
                     if drop:
                         text = "\n".join(x for i, x in enumerate(split) if i not in drop)
@@ -224,4 +233,4 @@ def dedup(docs: DataFrame, s: Settings = Settings(), drop_empty: bool = False) -
                 yield pa.RecordBatch.from_arrays(arrays, names=[*out, "n_lines", "n_removed"]).filter(pa.array(keep, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long"
-    return _with_lines(docs, removed, "left").mapInArrow(run, schema)
+    return _with_lines(Workspace(docs.sparkSession, "lines-out"), docs, removed, "left").mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows times the given row size stay below this.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 _left: list[tuple[SparkSession, str]] = []
 
