@@ -21,7 +21,7 @@ from .ngrams import pieces
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("textarea title".split())
-IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+IN_HEAD = frozenset("base basefont bgsound link meta script style template title".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
 )
@@ -35,6 +35,7 @@ LISTS = frozenset("ul ol menu dir".split())
 #: Never rendered, whatever their style says.
 NEVER = frozenset("area base basefont datalist head link meta noembed noframes param rp script style template title audio video canvas iframe object source track".split())
 BUTTONS = frozenset("submit button reset".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: Elements nest no deeper; what lies below goes into the element at this depth, as in browsers.
 DEPTH = 200
 
@@ -289,8 +290,14 @@ class Tree:
             self._close(tag, frozenset(("table", "template")))
         elif tag == "li":
             self._close("li", SCOPE | LISTS)
+        elif tag in FORMATTING:
+            i = self._open(tag)
+            if i and any(x.tag in BLOCKS for x in self.stack[i + 1 :]):
+                del self.stack[i]  # blocks that were opened inside go on
+            elif i:
+                del self.stack[i:]
         else:
-            self._close(tag)
+            self._close(tag, SCOPE if tag in BLOCKS else SCOPE | BLOCKS)
 
 
 def _declared(style: str) -> dict[str, str]:
@@ -330,7 +337,7 @@ class Visibility:
         if node.tag in self.by_tag:
             said.update(self.by_tag[node.tag])
         if not node.attrs:
-            shown = said.get("display") != "none"
+            shown = said.get("display") != "none" and node.tag != "dialog"
             return shown, _seen(said, inherited)
         a = node.attrs
         if self.by_name:

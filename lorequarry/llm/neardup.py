@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     moved = comp.where("node <> component")
     node = node.join(moved, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("component", "own").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(node, "digest", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
