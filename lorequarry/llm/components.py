@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 
+def _is_star_forest(e: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none that has one itself."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    n = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not n.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
+
+
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``; ``component`` is the smallest node of the component.
 
@@ -19,17 +26,12 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = ws.save(e, "edges")
-    before = None
-    while True:
+    while not _is_star_forest(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e = ws.save(star, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -41,17 +41,20 @@ def _local(batches: Iterator[pa.RecordBatch], ties: bool) -> Iterator[pa.RecordB
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         raw = b"".join(batch.column("bands").to_pylist())
         buckets = np.frombuffer(raw, np.int64).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids, keys = ids[order], buckets[order]
-        who = np.repeat(ids, keys.shape[1])
-        keys, first, inverse = np.unique(keys.ravel(), return_index=True, return_inverse=True)
-        hubs = who[first]
+        by_id = np.argsort(ids, kind="stable")
+        ids, keys = ids[by_id], buckets[by_id].ravel()
+        who = np.repeat(ids, buckets.shape[1])
+        order = np.argsort(keys, kind="stable")  # within a bucket ids stay in order
+        keys, who = keys[order], who[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
         if ties:
-            hub = hubs[inverse]
-            at = np.flatnonzero(hub != who)
-            cols = [keys[inverse[at]], hub[at], who[at]]
+            at = np.flatnonzero(~new)
+            hub = who[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))[at]]
+            other = hub != who[at]
+            cols = [keys[at[other]], hub[other], who[at[other]]]
         else:
-            cols = [keys, hubs]
+            cols = [keys[new], who[new]]
         for i in range(0, len(cols[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], pa.int64()) for c in cols], names=["bucket", "hub", "id"][: len(cols)])
 
