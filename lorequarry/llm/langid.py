@@ -22,7 +22,7 @@ from .ngrams import Grams, chunks, has_letter, normalize, pieces
 LENGTHS = (2, 3, 4)
 BITS = 18
 #: The classifiers are fitted on at most about this many documents, shared evenly by the languages.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 1200
 #: Most languages that are learned, the most frequent first.
 MAX_LANGUAGES = 400
 UNKNOWN = "und"
@@ -130,14 +130,17 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     sample = docs.where(F.col("lang").isin(languages)).select("lang", "text", h.alias("h")).where(F.col("h") <= F.element_at(rate, F.col("lang")))
     got = sample.mapInArrow(_extract, "lang string, h double, idx array<int>, val array<float>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     langs = got["lang"].to_pylist()
-    rows = [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(got["idx"], got["val"], strict=True)]
-    mean, known = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
-    for idx, v in rows:
-        mean[idx] += v / len(rows)
-        known[idx] = True
+    lists, weights = got["idx"].combine_chunks(), got["val"].combine_chunks()
+    idx, val = lists.flatten().to_numpy(), weights.flatten().to_numpy()
+    known = np.zeros(1 << BITS, bool)
+    known[idx] = True
+    mean = np.bincount(idx, weights=val, minlength=1 << BITS) / max(1, len(langs))
     # frequent n-grams vary more; this brings all to one scale
     scale = 1 / np.sqrt(mean + 1e-5)
-    rows = [(idx, v * scale[idx]) for idx, v in rows]
+    val = (val * scale[idx]).astype(np.float32)
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    rows = [(idx[i:j], val[i:j]) for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)] if len(ends) else []
+    del lists, weights, got
     of = np.array([family_of(x) for x in langs]) if langs else np.array([], str)
     langs = np.array(langs)
     families = sorted({family_of(x) for x in languages})
@@ -150,6 +153,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
             pairs.append((f, a, b))
             fitted.append(svm([rows[i] for i in at], np.where(langs[at] == a, 1, -1), 1 << BITS))
     tables = np.array([w * scale for w, _ in fitted], np.float32).reshape(len(fitted), 1 << BITS)
+    del rows, idx, val
+    pa.default_memory_pool().release_unused()
     return Model(languages, families, pairs, tables, np.array([b for _, b in fitted]), known)
 
 
