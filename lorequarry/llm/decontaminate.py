@@ -27,35 +27,44 @@ MIN_CONSISTENCY = 0.75
 NUMBER, NAME, UNIT, END = "\ue000", "\ue001", "\ue002", "\ue00f"
 
 # Words for numbers, and units that may follow a number.
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = (
-    "kg g mg lb lbs oz km m cm mm mi ft in yd l ml gal s sec min h hr ms hz khz mhz ghz w kw mw v a ohm j kj cal kcal n pa kpa bar mol kb mb gb tb "
+    "kg g mg lb lbs oz km m cm mm mi ft in yd l ml gal s sec min h hr ms hz khz mhz ghz w kw mw v a ohm j kj cal kcal n pa kpa bar mol kb mb gb tb c f "
     "kilograms kilogram grams gram pounds pound ounces ounce kilometers kilometer kilometres kilometre meters meter metres metre centimeters centimeter centimetres centimetre millimeters "
     "miles mile feet foot inches inch yards yard liters liter litres litre gallons gallon seconds second minutes minute hours hour days day weeks week months month years year "
     "dollars dollar cents cent euros euro percent degrees degree watts watt volts volt mph kmh"
-)
-_NUMBERS = r"[$€£¥]?\d+(?:[.,:/]\d+)*%?|\b(?i:" + "|".join(NUMBER_WORDS.split()) + r")\b"
-_UNITS = "(" + END + ")[ -]{0,2}((?i:" + "|".join(sorted(UNITS.split(), key=lambda x: (-len(x), x))) + r")\b|°[CF]?)"
+).split()
+FIGURES = r"[$€£¥]?\d+(?:[.,:/]\d+)*%?"
 _PROPER = r"\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
 #: A capitalised word or several, not at the start of a sentence or line.
-_NAMES = r"([\p{L}\p{N},;:'’\")\]%" + END + r"] )(" + _PROPER + r"(?: " + _PROPER + r")*)"
+NAMES = r"([\p{L}\p{N},;:'’\")\]%" + END + r"] )(" + _PROPER + r"(?: " + _PROPER + r")*)"
+SPLIT = rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}]+"
+VALUES = rf"[{NUMBER}-{UNIT}][^{END}]*|[\p{{L}}\p{{M}}]+"
 
 
 def _mark(text: Column, values: bool) -> Column:
     v = lambda k: f"${k}" if values else ""
-    text = F.regexp_replace(text, _NUMBERS, f" {NUMBER}{v(0)}{END} ")
-    text = F.regexp_replace(text, _UNITS, f"$1 {UNIT}{v(2)}{END} ")
-    return F.regexp_replace(text, _NAMES, f"$1 {NAME}{v(2)}{END} ")
+    text = F.regexp_replace(text, FIGURES, f" {NUMBER}{v(0)}{END} ")
+    return F.lower(F.regexp_replace(text, NAMES, f"$1 {NAME}{v(2)}{END} "))
 
 
-def template(text: Column) -> Column:
-    """Tokens: runs of letters in lower case, and placeholders."""
-    return F.array_remove(F.split(F.lower(_mark(text, False)), rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}]+"), "")
+def _typed(tokens: str, values: bool) -> Column:
+    """Words for numbers, and units after a number, as placeholders. ``tokens`` names a column: an expression would be
+    computed again for every token."""
+    word = lambda t: t.isin(*NUMBER_WORDS)
+    before = lambda i: F.get(F.col(tokens), i - 1)
+    mark = lambda m, t: F.concat(F.lit(m), t) if values else F.lit(m)
+    return F.transform(tokens, lambda t, i: F.when(word(t), mark(NUMBER, t)).when(t.isin(*UNITS) & F.coalesce(F.startswith(before(i), F.lit(NUMBER)) | word(before(i)), F.lit(False)), mark(UNIT, t)).otherwise(t))
 
 
-def tokens_with_values(text: Column) -> Column:
+def with_template(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with an array of tokens: runs of letters in lower case, and placeholders."""
+    return rows.withColumn("_raw", F.array_remove(F.split(_mark(F.col(text), False), SPLIT), "")).withColumn(name, _typed("_raw", False)).drop("_raw")
+
+
+def with_values(rows: DataFrame, text: str, name: str) -> DataFrame:
     """The same tokens, with the value after each placeholder."""
-    return F.regexp_extract_all(F.lower(_mark(text, True)), F.lit(rf"[{NUMBER}-{UNIT}][^{END}]*|[\p{{L}}\p{{M}}]+"), F.lit(0))
+    return rows.withColumn("_raw", F.regexp_extract_all(_mark(F.col(text), True), F.lit(VALUES), F.lit(0))).withColumn(name, _typed("_raw", True)).drop("_raw")
 
 
 def _shape(token: Column) -> Column:
@@ -82,7 +91,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ws = Workspace(spark, "leaks")
     docs = docs.select("doc_id", F.col("text").cast("string")).where("doc_id is not null and text is not null")
     items = benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
-    items = items.withColumn("tokens", template(F.col("item_text"))).withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
+    items = with_template(items, "item_text", "tokens").withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
     items = items.withColumn("version", F.xxhash64("item_text")).withColumn("width", F.least("n_tokens", F.lit(WINDOW)))
     items = ws.save(items, "items")
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most WINDOW numbers
@@ -90,7 +99,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", "n_tokens", F.lit(0).alias("n_covered"), F.lit(0).alias("n_slots"), F.lit("").alias("kind"))
     each = F.coalesce(*[F.when(F.col("width") == w, _windows(F.col("tokens"), w)) for w in sorted(widths)])
     sought = ws.save(items.select("item_id", "version", "width", F.posexplode(each).alias("item_pos", "h")), "windows")
-    shaped = docs.select("doc_id", template(F.col("text")).alias("tokens"))
+    shaped = with_template(docs, "text", "tokens").select("doc_id", "tokens")
     seen = None
     for w in sorted(widths):
         part = shaped.select("doc_id", F.lit(w).alias("width"), F.posexplode(_windows(F.col("tokens"), w)).alias("pos", "h"))
@@ -103,8 +112,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "n_tokens", "item_text"), ["item_id", "version"])
     held = ws.save(held.where((F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS)), "held")
     wanted = ws.save(held.select("doc_id").distinct(), "wanted")
-    texts = docs.join(small(wanted, 16), "doc_id").select("doc_id", tokens_with_values(F.col("text")).alias("theirs"))
-    both = texts.join(held.withColumn("ours", tokens_with_values(F.col("item_text"))), "doc_id")
+    texts = with_values(docs.join(small(wanted, 16), "doc_id"), "text", "theirs").select("doc_id", "theirs")
+    both = texts.join(with_values(held, "item_text", "ours"), "doc_id")
     aligned = F.filter(
         F.zip_with("ours", F.slice("theirs", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("ours")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
         lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (_shape(p["x"]) == _shape(p["y"])),
