@@ -101,4 +101,120 @@ SELECT doc_id, size, source, source_size, target,
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": MIX_SQL.format(documents="documents")}
+#: All pairs of documents that share a shingle and are of like size; components by reachability.
+NEARDUP_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON m.doc_id = s.doc_id
+"""
+
+#: Pairs of lines that share a shingle among the rarest fifth of both, which a pair of 0.8 must; then their full sets.
+LINES_SQL = r"""
+WITH RECURSIVE x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+y AS (SELECT doc_id, line_no, lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS k FROM x),
+z AS (SELECT * FROM y WHERE k <> ''),
+k AS (SELECT k, row_number() OVER (ORDER BY k) AS id, CASE WHEN length(k) < 7 THEN [k] ELSE list_distinct(list_transform(range(1, length(k) - 5), lambda i: k[i : i + 6])) END AS s FROM (SELECT DISTINCT k FROM z)),
+e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM k),
+f AS (SELECT x, count(*) AS f FROM e GROUP BY x),
+g AS (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY f.f, e.x) AS pos FROM e JOIN f ON f.x = e.x),
+q AS (SELECT * FROM g WHERE pos <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM q a JOIN q b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+p AS (SELECT c.a, c.b, len(list_intersect(ka.s, kb.s)) AS i, len(ka.s) AS na, len(kb.s) AS nb FROM c JOIN k ka ON ka.id = c.a JOIN k kb ON kb.id = c.b),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS c FROM k UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id),
+m AS (SELECT k.k, min(r.c) AS c FROM r JOIN k ON k.id = r.id GROUP BY k.k),
+o AS (SELECT z.doc_id, z.line_no, row_number() OVER (PARTITION BY m.c ORDER BY z.doc_id, z.line_no) AS n FROM z JOIN m ON m.k = z.k),
+t AS (SELECT x.doc_id, x.line_no, x.line, coalesce(o.n, 1) = 1 AS stays, o.n IS NOT NULL AS counts FROM x LEFT JOIN o ON o.doc_id = x.doc_id AND o.line_no = x.line_no),
+j AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS text, CAST(count(*) FILTER (counts) AS BIGINT) AS n_lines, CAST(count(*) FILTER (NOT stays) AS BIGINT) AS n_removed FROM t GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN j.n_removed = 0 THEN d.text WHEN trim(j.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN '' ELSE j.text END AS text, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id
+"""
+
+
+def license_sql() -> str:
+    """Every line, paragraph and text against every template."""
+    rows = ", ".join(f"({k}, '{name}', '{t}')" for k, (name, text) in enumerate((n, x) for n, v in licenses.TEMPLATES.items() for x in v) for t in sorted(licenses._terms(text)))
+    return rf"""
+WITH tpl(template, license, term) AS (VALUES {rows}),
+d AS (SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, 0 AS kind, 0 AS no, text AS part FROM d
+  UNION ALL SELECT doc_id, 1, unnest(range(0, len(p))), unnest(p) FROM (SELECT doc_id, string_split_regex(text, '
+[ 	
+]*
+') AS p FROM d)
+  UNION ALL SELECT doc_id, 2, unnest(range(0, len(p))), unnest(p) FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)),
+w AS (SELECT doc_id, kind, no, list_distinct(list_filter(string_split_regex(lower(part), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM parts),
+t AS (SELECT doc_id, kind, no, len(w) AS size, unnest(w) AS term FROM w),
+df AS (SELECT v.term, count(t.doc_id) AS k FROM (SELECT DISTINCT term FROM tpl) v LEFT JOIN t ON t.term = v.term AND t.kind = 0 GROUP BY v.term),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + k)) + 1 AS idf FROM df),
+x AS (SELECT t.*, i.idf FROM t JOIN idf i ON i.term = t.term),
+norm AS (SELECT doc_id, kind, no, sqrt(sum(idf * idf) + (any_value(size) - count(*)) * (SELECT avg(idf) * avg(idf) FROM idf)) AS norm FROM x GROUP BY ALL),
+tn AS (SELECT template, sqrt(sum(idf * idf)) AS norm FROM tpl JOIN idf ON idf.term = tpl.term GROUP BY template),
+c AS (SELECT x.doc_id, x.kind, x.no, tpl.template, tpl.license, sum(x.idf * x.idf) / any_value(norm.norm) / any_value(tn.norm) AS cosine FROM x JOIN tpl ON tpl.term = x.term JOIN tn ON tn.template = tpl.template
+  JOIN norm ON norm.doc_id = x.doc_id AND norm.kind = x.kind AND norm.no = x.no GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, kind, template, no) AS r FROM c WHERE cosine >= {licenses.MIN_COSINE}),
+f AS (SELECT a.doc_id, concat_ws('/', a.source, CAST(a.doc_id // 1000 AS VARCHAR), CAST(a.doc_id AS VARCHAR)) AS path, concat_ws('/', a.source, CAST(a.doc_id // 1000 AS VARCHAR)) AS folder,
+  b.license, round(b.cosine, 6) AS cosine, CASE b.kind WHEN 0 THEN 'file' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'line' END AS unit FROM documents a LEFT JOIN b ON b.doc_id = a.doc_id AND b.r = 1),
+l AS (SELECT folder, license, row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, path) AS r FROM f WHERE unit = 'file'),
+n AS (SELECT f.doc_id, l.folder AS up, l.license, row_number() OVER (PARTITION BY f.doc_id ORDER BY length(l.folder) DESC) AS r FROM f JOIN l ON l.r = 1 AND (l.folder = f.folder OR starts_with(f.folder, concat(l.folder, '/'))))
+SELECT f.doc_id, f.path, f.license, f.cosine, f.unit, CASE WHEN f.license IS NULL THEN n.license END AS inherited, CASE WHEN f.license IS NULL THEN n.up END AS inherited_from FROM f LEFT JOIN n ON n.doc_id = f.doc_id AND n.r = 1
+"""
+
+
+def leaks_sql() -> str:
+    """Windows as text, with no hashing; the rest is as the operator defines it."""
+    d = decontaminate
+    words, units = (", ".join(f"'{w}'" for w in ws) for ws in (d.NUMBER_WORDS, d.UNITS))
+    names = d.NAMES.replace("'", "''")
+
+    def mark(text: str, values: bool) -> str:
+        v = (lambda k: f"\\{k}") if values else (lambda k: "")
+        return f"lower(regexp_replace(regexp_replace({text}, '{d.FIGURES}', ' {d.NUMBER}{v(0)}{d.END} ', 'g'), '{names}', '\\1 {d.NAME}{v(2)}{d.END} ', 'g'))"
+
+    def typed(tokens: str, values: bool) -> str:
+        m = lambda k: f"concat('{k}', t)" if values else f"'{k}'"
+        number = f"({tokens}[i - 1][1] = '{d.NUMBER}' OR {tokens}[i - 1] IN ({words}))"
+        return f"list_transform({tokens}, lambda t, i: CASE WHEN t IN ({words}) THEN {m(d.NUMBER)} WHEN t IN ({units}) AND i > 1 AND {number} THEN {m(d.UNIT)} ELSE t END)"
+
+    raw = lambda c: f"list_filter(string_split_regex({mark(c, False)}, '{d.SPLIT}'), lambda x: x <> '')"
+    val = lambda c: f"regexp_extract_all({mark(c, True)}, '{d.VALUES}')"
+    shape = lambda x: f"(CASE WHEN {x}[1] IN ('{d.NUMBER}', '{d.NAME}', '{d.UNIT}') THEN {x}[1] ELSE {x} END)"
+    return f"""
+WITH i0 AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i1 AS (SELECT item_id, text, {raw("text")} AS k, {val("text")} AS kv FROM i0),
+i2 AS (SELECT item_id, text, {typed("k", False)} AS t, {typed("kv", True)} AS ours FROM i1),
+i3 AS (SELECT *, len(t) AS n_tokens, least(len(t), {d.WINDOW}) AS width FROM i2 WHERE len(t) >= {d.MIN_TOKENS}),
+iw AS (SELECT item_id, text, width, unnest(range(0, n_tokens - width + 1)) AS item_pos, unnest(list_transform(range(1, n_tokens - width + 2), lambda q: array_to_string(t[q : q + width - 1], ' '))) AS h FROM i3),
+d1 AS (SELECT doc_id, {raw("text")} AS k, {val("text")} AS kv FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+d2 AS (SELECT doc_id, {typed("k", False)} AS t, {typed("kv", True)} AS theirs FROM d1),
+dw AS (SELECT doc_id, width, unnest(range(0, len(t) - width + 1)) AS pos, unnest(list_transform(range(1, len(t) - width + 2), lambda q: array_to_string(t[q : q + width - 1], ' '))) AS h FROM d2, (SELECT DISTINCT width FROM i3) w WHERE len(t) >= width),
+hits AS (SELECT dw.doc_id, iw.item_id, iw.text, iw.width, iw.item_pos, dw.pos - iw.item_pos AS shift FROM dw JOIN iw ON iw.h = dw.h AND iw.width = dw.width),
+s AS (SELECT doc_id, item_id, text, shift, row_number() OVER (PARTITION BY doc_id, item_id, text ORDER BY count(*) DESC, shift) AS r FROM hits GROUP BY doc_id, item_id, text, shift),
+p AS (SELECT DISTINCT doc_id, item_id, text, width, item_pos FROM hits),
+g AS (SELECT *, least(width, coalesce(lead(item_pos) OVER (PARTITION BY doc_id, item_id, text ORDER BY item_pos) - item_pos, width)) AS c FROM p),
+c AS (SELECT doc_id, item_id, text, CAST(sum(c) AS INTEGER) AS n_covered FROM g GROUP BY ALL),
+j AS (SELECT c.*, i3.n_tokens, i3.ours, d2.theirs[greatest(s.shift, 0) + 1 : greatest(s.shift, 0) + len(i3.ours)] AS theirs FROM c JOIN s ON s.r = 1 AND s.doc_id = c.doc_id AND s.item_id = c.item_id AND s.text = c.text
+  JOIN i3 ON i3.item_id = c.item_id AND i3.text = c.text JOIN d2 ON d2.doc_id = c.doc_id WHERE c.n_covered >= {d.MIN_COVER} * i3.n_tokens OR c.n_covered >= {d.ENOUGH_TOKENS}),
+x AS (SELECT doc_id, item_id, text, n_tokens, n_covered, unnest(ours[1 : least(len(ours), len(theirs))]) AS x, unnest(theirs[1 : least(len(ours), len(theirs))]) AS y FROM j),
+a AS (SELECT *, x[1] IN ('{d.NUMBER}', '{d.NAME}', '{d.UNIT}') AS slot FROM x WHERE {shape("x")} = {shape("y")}),
+f AS (SELECT doc_id, item_id, text, n_tokens, n_covered, count(*) FILTER (slot) AS n_slots, count(*) FILTER (NOT slot) AS literals, count(DISTINCT x) FILTER (slot) AS nx, count(DISTINCT y) FILTER (slot) AS ny, count(DISTINCT concat(x, chr(1), y)) FILTER (slot) AS nxy, coalesce(bool_or(slot AND x <> y), false) AS differ FROM a GROUP BY ALL),
+k AS (SELECT *, CASE WHEN differ THEN 'reparameterised' ELSE 'verbatim' END AS kind FROM f WHERE literals >= {d.MIN_LITERALS} AND (n_slots = 0 OR (nx + ny) / (2.0 * nxy) >= {d.MIN_CONSISTENCY})),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_covered DESC, n_tokens, kind DESC, n_slots) AS r FROM k)
+SELECT doc_id, item_id, CAST(n_tokens AS INTEGER) AS n_tokens, n_covered, CAST(n_slots AS INTEGER) AS n_slots, kind FROM b WHERE r = 1
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_neardup": NEARDUP_SQL,
+    "op3_decontaminate": leaks_sql(),
+    "op4_linededup": LINES_SQL,
+    "op6_mixing": MIX_SQL.format(documents="documents"),
+    "op7_licenses": license_sql(),
+}
