@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .lineage import cut
 from .similarity import components, nearest, similar_pairs
 
 MIN_UNITS_PER_HEADING, MIN_CLUSTER, MAX_OVERLAP = 2, 3, 0.7
@@ -108,7 +109,7 @@ def depths(tasks: DataFrame, most: int = 64) -> DataFrame:
     out = level
     for d in range(1, most + 1):
         above = level.select(F.col("task_id").alias("up"), "root", "path")
-        level = t.join(above, "up").select("task_id", F.lit(d).alias("depth"), "root", F.array_append("path", F.col("task_id")).alias("path")).checkpoint()
+        level = cut(t.join(above, "up").select("task_id", F.lit(d).alias("depth"), "root", F.array_append("path", F.col("task_id")).alias("path")))
         if not level.limit(1).count():
             break
         out = out.unionByName(level)

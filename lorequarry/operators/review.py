@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .lineage import cut, one_row
 
 UNIT_STATUS = ("unreviewed", "approved", "rejected", "edited")
 TASK_STATUS = ("unreviewed", "approved", "rejected", "edited")
@@ -65,7 +66,7 @@ def review_stats(units: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row: total, a count for each status, and for each confidence band. Unreviewed is what total leaves over."""
     u = units.agg(F.count("*").alias("total"), *[F.count_if(fx.band(F.col("confidence")) == b).alias(f"{b}_confidence") for b in ("high", "medium", "low")])
     d = decisions.agg(*[F.count_if(F.col("status") == s).alias(s) for s in UNIT_STATUS[1:]], F.count_if(F.col("status") != "unreviewed").alias("reviewed"))
-    return u.crossJoin(d).withColumn("unreviewed", F.col("total") - F.col("reviewed")).drop("reviewed")
+    return one_row(u, d).withColumn("unreviewed", F.col("total") - F.col("reviewed")).drop("reviewed")
 
 
 def confidence_bands(units: DataFrame, high: float = fx.HIGH, medium: float = fx.MEDIUM) -> DataFrame:
@@ -88,7 +89,7 @@ def concept_tree(tags: DataFrame, units: DataFrame) -> DataFrame:
     g = c.groupingSets([[F.col("branch"), F.col("iri"), F.col("label")], [F.col("branch")]], "branch", "iri", "label").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     rows = g.select(F.when(F.col("g") == 0, "concept").otherwise("branch").alias("kind"), F.when(F.col("g") == 0, F.col("iri")).otherwise(F.col("branch")).alias("id"), F.when(F.col("g") == 0, F.col("label")).otherwise(F.col("branch")).alias("label"), "branch", "n")
     tagged = tags.select("ord").distinct().agg(F.count("*").alias("t"))
-    totals = units.agg(F.count("*").alias("total")).crossJoin(tagged)
+    totals = one_row(units.agg(F.count("*").alias("total")), tagged)
     everything = totals.select(F.lit("virtual").alias("kind"), F.lit("__all__").alias("id"), F.lit("All Units").alias("label"), F.lit("").alias("branch"), F.col("total").alias("n"))
     bare = totals.where("t > 0 and t < total").select(F.lit("virtual").alias("kind"), F.lit("__untagged__").alias("id"), F.lit("Untagged").alias("label"), F.lit("").alias("branch"), (F.col("total") - F.col("t")).alias("n"))
     return rows.unionByName(everything).unionByName(bare)
@@ -108,7 +109,7 @@ def discovery_stats(tasks: DataFrame, links: DataFrame, units: DataFrame, contra
     c = contradictions.agg(F.count("*").alias("contradictions"), F.count_if(F.col("resolution").isNotNull()).alias("resolved"))
     o = units.join(links.select(F.col("unit_id").alias("_u")).distinct(), F.col("id") == F.col("_u"), "left_anti").agg(F.count("*").alias("orphan_units"))
     share = F.when(F.col("total_tasks") > 0, F.round(F.col("reviewed") / F.col("total_tasks") * 100, 1)).otherwise(0.0)
-    return t.crossJoin(a).crossJoin(c).crossJoin(o).withColumn("review_progress", share)
+    return one_row(t, a, c, o).withColumn("review_progress", share)
 
 
 def assigned_counts(units: DataFrame, links: DataFrame, by: str) -> DataFrame:
@@ -206,7 +207,8 @@ def dependents(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     front = seen
     for hop in range(1, most + 1):
         near = edges.join(front.select(F.col("id").alias("depends_on")), "depends_on").select("id").distinct()
-        front = near.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
+        front = near.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+        front = cut(front)
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)

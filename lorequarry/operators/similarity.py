@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .lineage import cut
 
 #: Vectors of a block in a blockwise similarity join.
 BLOCK = 2048
+#: Centres of a block in a nearest-centre join.
+CENTRES = 1024
 
 
 def exact_dedup(units: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def bucketed_pairs(vectors: DataFrame, threshold: float, tables: int = 12, bits:
     return scored.where(F.col("similarity") > threshold)
 
 
-def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``node, component``: the smallest node that can be reached, by label spreading and jumps."""
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
@@ -100,7 +103,7 @@ def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("c", "m").alias("c1"), "c")
         up = labels.select(F.col("node").alias("c1"), F.col("c").alias("c2"))
         new = step.join(up, "c1", "left").select("node", F.least("c1", F.coalesce("c2", "c1")).alias("c"), F.col("c").alias("before"))
-        new = new.checkpoint() if checkpoint else new.cache()
+        new = cut(new)
         changed = new.where("c <> before").limit(1).count()
         labels = new.select("node", "c")
         if not changed:
@@ -185,12 +188,19 @@ def cluster(vectors: DataFrame, threshold: float = 0.5, key: str = "id", vector:
 
 def nearest(rows: DataFrame, centres: DataFrame, k: int = 1) -> DataFrame:
     """``rows(id, v)``, ``centres(centre, ord, cv)`` -> ``id, centre, similarity, rank`` of the ``k`` most similar, ties to
-    the lower ``ord``. Centres are tasks or concepts, far fewer than rows; every row meets each of them once and keeps
-    its best ``k`` in an array, so nothing is shuffled by row."""
-    c = centres.agg(F.array_sort(F.collect_list(F.struct("ord", "centre", "cv"))).alias("cs"))
-    scored = rows.crossJoin(c).select("id", F.transform("cs", lambda x: F.struct((-fx.dot(F.col("v"), x["cv"])).alias("s"), x["ord"].alias("ord"), x["centre"].alias("centre"))).alias("all"))
-    best = scored.select("id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "x"))
-    return best.select("id", F.col("x.centre").alias("centre"), (-F.col("x.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    the lower ``ord``.
+
+    Centres are tasks or concepts, far fewer than rows. They are dealt into blocks of at most ``CENTRES``; a row meets each
+    block once, by the block's number, and keeps its best ``k`` of it, which are merged.
+    """
+    blocks = max(1, -(-centres.count() // CENTRES))
+    c = centres.withColumn("block", F.pmod(F.xxhash64("centre"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("ord", "centre", "cv")).alias("cs"))
+    met = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(c, "block")
+    scored = F.transform("cs", lambda x: F.struct((-fx.dot(F.col("v"), x["cv"])).alias("s"), x["ord"].alias("ord"), x["centre"].alias("centre")))
+    best = met.select("id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("x"))
+    w = Window.partitionBy("id").orderBy("x.s", "x.ord")
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("id", F.col("x.centre").alias("centre"), (-F.col("x.s")).alias("similarity"), "rank")
 
 
 def top_k(rows: DataFrame, group: str, score: Column, k: int, ties: str) -> DataFrame:

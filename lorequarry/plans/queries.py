@@ -98,22 +98,31 @@ def average_linkage(spark, sf):
     return similarity.cluster(fix.table(spark, sf, "embeddings"), 0.6, key="vec_id")
 
 
-@query("", """WITH c AS (SELECT vec_id AS centre, CAST(embedding AS DOUBLE[]) AS cv FROM embeddings WHERE vec_id < 25),
-s AS (SELECT e.vec_id AS id, c.centre, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), c.cv) DESC, c.centre) AS r
-FROM embeddings e CROSS JOIN c WHERE e.vec_id >= 25) SELECT id, centre FROM s WHERE r = 1""")
+# means of a label's vectors, rounded so that both engines agree on them
+_CENTRES = """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings), m AS (SELECT label, i, round(avg(CAST(v AS DOUBLE)), 6) AS v FROM x GROUP BY ALL),
+c AS (SELECT label AS centre, list(v ORDER BY i) AS cv FROM m GROUP BY label),
+s AS (SELECT e.vec_id AS id, c.centre, CAST(row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), c.cv) DESC, c.centre) AS INTEGER) AS rank FROM embeddings e, c)"""
+
+
+def _centres(spark, sf):
+    x = fix.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    m = x.groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("v"))
+    c = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a"))
+    return c.select(F.col("label").alias("centre"), F.col("label").alias("ord"), F.col("a.v").alias("cv"))
+
+
+def _vectors(spark, sf):
+    return fix.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query("", _CENTRES + " SELECT id, centre FROM s WHERE rank = 1")
 def nearest_centroid(spark, sf):
-    e = fix.table(spark, sf, "embeddings")
-    c = e.where("vec_id < 25").select(F.col("vec_id").alias("centre"), F.col("vec_id").alias("ord"), F.col("embedding").alias("cv"))
-    return similarity.nearest(e.where("vec_id >= 25").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), c).select("id", "centre")
+    return similarity.nearest(_vectors(spark, sf), _centres(spark, sf)).select("id", "centre")
 
 
-@query("", """WITH c AS (SELECT vec_id AS centre, CAST(embedding AS DOUBLE[]) AS cv FROM embeddings WHERE vec_id < 100),
-s AS (SELECT e.vec_id AS id, c.centre, CAST(row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), c.cv) DESC, c.centre) AS INTEGER) AS rank
-FROM embeddings e CROSS JOIN c WHERE e.vec_id >= 100) SELECT id, centre, rank FROM s WHERE rank <= 10""")
+@query("", _CENTRES + " SELECT id, centre, rank FROM s WHERE rank <= 5")
 def topk_neighbours(spark, sf):
-    e = fix.table(spark, sf, "embeddings")
-    c = e.where("vec_id < 100").select(F.col("vec_id").alias("centre"), F.col("vec_id").alias("ord"), F.col("embedding").alias("cv"))
-    return similarity.nearest(e.where("vec_id >= 100").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), c, 10).select("id", "centre", "rank")
+    return similarity.nearest(_vectors(spark, sf), _centres(spark, sf), 5).select("id", "centre", "rank")
 
 
 @query("", """WITH s AS (SELECT vec_id, vec_id // 8 AS paragraph, vec_id % 8 AS no, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -68,7 +68,8 @@ def test_every_format(spark, tmp_path):
 def test_incremental_scan(spark, tmp_path):
     root = corpus(tmp_path)
     files = src.scan(spark, root)
-    registry = src.mark_processed(spark.createDataFrame([], "file_path string, content_hash string"), files.select("file_path", "content_hash")).localCheckpoint()
+    src.mark_processed(spark.createDataFrame([], "file_path string, content_hash string"), files.select("file_path", "content_hash")).write.parquet(f"{tmp_path}-registry")
+    registry = spark.read.parquet(f"{tmp_path}-registry")
     assert src.needs_processing(files, registry).count() == 0
     (tmp_path / "a.md").write_text("# changed")
     again = src.needs_processing(src.scan(spark, root), registry)
