@@ -204,9 +204,3 @@ def nested(rows: list[dict], orphans_as_roots: bool = True) -> list[dict]:
         elif r.get("parent_task_id") is None or orphans_as_roots:
             roots.append(r)
     return roots
-
-
-def html_report(lines: list[tuple[str, str]], title: str) -> str:
-    """A page from outline lines, escaped already."""
-    body = "\n".join(f'<div style="margin-left:{(len(v) - len(v.lstrip())) // 2}em">{v.strip()}</div>' for _, v in lines)
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1>\n{body}\n</body></html>'

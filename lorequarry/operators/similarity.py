@@ -150,22 +150,40 @@ def near_dedup(units: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def average_linkage(matrix: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers by average linkage on cosine distances, with no merge at or above ``threshold``."""
+    """Cluster numbers by average linkage on cosine distances, with no merge at or above ``threshold``.
+
+    Chains of nearest neighbours lead to pairs that are nearest to each other, which can be merged in any order, as average
+    linkage is reducible: quadratic time instead of a search for the closest pair each time.
+    """
     n = len(matrix)
     d = 1 - matrix @ matrix.T
     np.fill_diagonal(d, np.inf)
-    size, owner, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        masked = np.where(alive[:, None] & alive[None, :], d, np.inf)
-        i, j = divmod(int(np.argmin(masked)), n)
-        if not masked[i, j] < threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, i] = np.inf
-        size[i] += size[j]
-        owner[owner == owner[j]] = owner[i]
-        alive[j] = False
+    size, owner, left = np.ones(n), np.arange(n), set(range(n))
+    chain: list[int] = []
+    while len(left) > 1:
+        if not chain:
+            chain = [min(left)]
+        x = chain[-1]
+        y = int(np.argmin(d[x]))
+        if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            y = chain[-2]
+        if len(chain) < 2 or y != chain[-2]:
+            chain.append(y)
+            continue
+        del chain[-2:]
+        if d[x, y] < threshold:
+            i, j = min(x, y), max(x, y)
+            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i], d[:, i] = row, row
+            d[i, i] = np.inf
+            size[i] += size[j]
+            owner[owner == owner[j]] = owner[i]
+            gone = [j]
+        else:  # nothing is closer to either, now or later
+            gone = [x, y]
+        for j in gone:
+            d[j] = d[:, j] = np.inf
+            left.discard(j)
     return owner
 
 

@@ -75,7 +75,7 @@ def extract(spark: SparkSession, source: str, store: Store, concepts: DataFrame
     units = providers.distill(units, models.get("distill"))
     units = providers.novelty(providers.classify(units, models.get("classify")), models.get("novelty"))
     units = tag(units, concepts).select("*")
-    old = store.read("units")
+    old = store.read("units_all")  # before deduplication: copies may lose the unit they went into
     if old is not None:  # units of files that were read again are replaced
         units = old.join(new.select(F.col("file_path").alias("_f")), F.col("source_file") == F.col("_f"), "left_anti").unionByName(units, allowMissingColumns=True)
     order = Window.orderBy("source_file", "original_span.start", "id")

@@ -294,7 +294,7 @@ def unresolved_contradictions(spark, sf):
 # --- Discovery
 
 
-@query("units", """SELECT section_2 AS label, concat(source_file, '>', section_2) AS path, CAST(count(*) AS BIGINT) AS n, min(ord) AS first, 0.7 AS confidence, string_agg(id, '|' ORDER BY ord) AS unit_ids
+@query("units", """SELECT section_2 AS label, concat(source_file, '>', section_2) AS path, CAST(count(*) AS BIGINT) AS n, min(ord) AS first, CAST(0.7 AS DOUBLE) AS confidence, string_agg(id, '|' ORDER BY ord) AS unit_ids
 FROM units GROUP BY source_file, section_2 HAVING count(*) >= 2""")
 def heading_candidates(spark, sf):
     u = fix.units(spark, sf).withColumn("source_section", F.array("source_file", "section_2"))
@@ -421,7 +421,7 @@ l AS (SELECT doc_id AS file_path, seq, trim(line, ' ' || chr(9) || chr(13)) AS t
 o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY file_path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l)"""
 
 
-@query("", _LINES + rf""" SELECT file_path, CAST(seq AS INTEGER) AS seq, CAST(a AS BIGINT) AS a, CAST(a + length(text) AS BIGINT) AS b, CASE WHEN regexp_matches(text, '{_TRANS}') THEN 0.8 ELSE 0.7 END AS confidence,
+@query("", _LINES + rf""" SELECT file_path, CAST(seq AS INTEGER) AS seq, CAST(a AS BIGINT) AS a, CAST(a + length(text) AS BIGINT) AS b, CASE WHEN regexp_matches(text, '{_TRANS}') THEN CAST(0.8 AS DOUBLE) ELSE 0.7 END AS confidence,
 CASE WHEN regexp_matches(text, '{_TRANS}') THEN 'structural_transition' ELSE 'structural_paragraph' END AS method FROM o""")
 def structural_boundaries(spark, sf):
     b = elements.structural_boundaries(_lines(spark, sf))
