@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .ngrams import pieces
 from .sketching import xor_counts
-from .workspace import Workspace, nonempty
+from .workspace import Workspace, nonempty, small
 
 #: Items of a group that are compared with as many others in one step.
 BLOCK = 512
@@ -200,13 +200,12 @@ def components(ws: Workspace, star: DataFrame, sets: DataFrame, expand: Expand,
     side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("payload").alias(f"x{c}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb", "xa", "xb")
     comp = ws.save(connected_components(ws, confirm(full, expand, percent, most_bits)), "components")
-    # a pair alone in its bucket has been tested
-    sizes = star.groupBy("bucket").agg(F.count_distinct("hub", "id").alias("n")).where("n > 1").select("bucket")
-    ties = star.join(sizes, "bucket").select("bucket", "hub", "id").distinct()
     label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
-    ties = ties.join(label("hub"), "hub", "left").join(label("id"), "id", "left").withColumn("lhub", F.coalesce("lhub", "hub")).withColumn("lid", F.coalesce("lid", "id"))
-    ties = ws.save(ties, "ties")
-    apart = ties.groupBy("bucket").agg(F.min(F.least("lhub", "lid")).alias("lo"), F.max(F.greatest("lhub", "lid")).alias("hi")).where("lo < hi").select("bucket")
+    ties = star.join(small(label("hub"), 24), "hub", "left").join(small(label("id"), 24), "id", "left").withColumn("lhub", F.coalesce("lhub", "hub")).withColumn("lid", F.coalesce("lid", "id"))
+    ties = ws.save(ties.select("bucket", "hub", "id", "lhub", "lid"), "ties")
+    # a bucket of one pair has been tested, and one within a component needs no test
+    b = ties.groupBy("bucket").agg(F.min(F.least("lhub", "lid")).alias("lo"), F.max(F.greatest("lhub", "lid")).alias("hi"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("hub", "id") for f in (F.min, F.max)])
+    apart = b.where("lo < hi and (min_hub <> max_hub or min_id <> max_id)").select("bucket")
     ties = ws.save(ties.join(apart, "bucket"), "apart")
     if not nonempty(ties):
         return comp

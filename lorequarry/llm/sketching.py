@@ -27,10 +27,12 @@ def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
 def minhash(elements: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """Signatures ``[set, k]`` of the sets ``elements[starts[i]:starts[i + 1]]``, none of them empty; 32-bit elements."""
     a, b = permutations(k)
-    out = np.empty((len(starts), k), np.uint32)
+    out, hashed = np.empty((k, len(starts)), np.uint32), np.empty_like(elements)
     for j in range(k):
-        out[:, j] = np.minimum.reduceat(elements * a[j] + b[j], starts)
-    return out
+        np.multiply(elements, a[j], out=hashed)
+        np.add(hashed, b[j], out=hashed)
+        np.minimum.reduceat(hashed, starts, out=out[j])
+    return np.ascontiguousarray(out.T)
 
 
 def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
