@@ -263,12 +263,13 @@ def elements_with_paths(found: DataFrame) -> DataFrame:
     return e.withColumn("section_path", F.when(F.size(F.coalesce("_given", F.array().cast("array<string>"))) > 0, F.col("_given")).otherwise(F.col("section_path"))).drop("_given")
 
 
-def read_extraction(spark: SparkSession, path: str) -> DataFrame:
-    """Units of an extraction file, read tolerantly: a lineage that is text stays text."""
-    units = "array<struct<id:string,text:string,unit_type:string,source_file:string,source_section:array<string>,confidence:double,surprise_score:double,content_hash:string,lineage:string,folio_tags:array<struct<iri:string,label:string,confidence:double,extraction_path:string,branch:string>>>>"
+def read_extraction(spark: SparkSession, path: str, tags: str = "tags") -> DataFrame:
+    """Units of an extraction file, read tolerantly: a lineage that is text stays text. ``tags`` is the name of the field
+    that holds a unit's concepts."""
+    units = f"array<struct<id:string,text:string,unit_type:string,source_file:string,source_section:array<string>,confidence:double,surprise_score:double,content_hash:string,lineage:string,`{tags}`:array<struct<iri:string,label:string,confidence:double,extraction_path:string,branch:string>>>>"
     raw = spark.read.schema(f"corpus string, units {units}").json(path, multiLine=True)
     u = raw.select("corpus", F.posexplode("units").alias("ord", "u"))
-    return u.select("corpus", "ord", "u.*").withColumnRenamed("folio_tags", "tags")
+    return u.select("corpus", "ord", "u.*").withColumnRenamed(tags, "tags")
 
 
 def file_counts(elements: DataFrame) -> DataFrame:

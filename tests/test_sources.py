@@ -88,8 +88,8 @@ def test_uploads(tmp_path):
 
 
 def test_read_extraction_tolerates_text_lineage(spark, tmp_path):
-    (tmp_path / "extraction.json").write_text('{"corpus": "demo", "units": [{"id": "u1", "text": "t", "unit_type": "best_practice", "lineage": "by hand", "confidence": 0.5, "folio_tags": [{"iri": "i", "label": "L"}]}, {"id": "u2", "lineage": [{"stage": "s"}]}]}')
-    got = src.read_extraction(spark, f"file://{tmp_path}/extraction.json").orderBy("ord").collect()
+    (tmp_path / "extraction.json").write_text('{"corpus": "demo", "units": [{"id": "u1", "text": "t", "unit_type": "best_practice", "lineage": "by hand", "confidence": 0.5, "concepts": [{"iri": "i", "label": "L"}]}, {"id": "u2", "lineage": [{"stage": "s"}]}]}')
+    got = src.read_extraction(spark, f"file://{tmp_path}/extraction.json", "concepts").orderBy("ord").collect()
     assert [(r["id"], r["unit_type"], r["lineage"]) for r in got] == [("u1", "best_practice", "by hand"), ("u2", None, '[{"stage": "s"}]')]
 
 
