@@ -229,12 +229,11 @@ def search(vectors: DataFrame, queries: Column, s: Settings = Settings()) -> Dat
     index = fit(ws, rows, s)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(index)
     dealt = "cell long, kind int, id long, v array<double>, bucket array<int>"
     names = ["cell", "kind", "id", "v", "bucket"]
 
     def deal_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = index
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column("vec_id").to_numpy()
@@ -246,7 +245,7 @@ def search(vectors: DataFrame, queries: Column, s: Settings = Settings()) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(ix.first_cell[t][at] + spread), pa.array(np.zeros(len(at)), pa.int32()), batch.column("vec_id"), batch.column("v"), code], names=names)
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = index
         least = max(ix.share * ix.n, s.least_visits * s.k)
         start = np.cumsum([0] + [len(b) for b in ix.buckets])
         for whole in batches:

@@ -210,12 +210,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no language was learned. Repeated
     rows get equal results. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                lang, score = classify(shared.value, part.column("text").to_pylist())
+                lang, score = classify(model, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
@@ -223,12 +221,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is told with a score of at least ``reject_below``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                lang, score = classify(shared.value, part.column("text").to_pylist())
+                lang, score = classify(model, part.column("text").to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= reject_below for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -139,12 +139,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null text is an empty one, whose score is that of no feature. Repeated rows get equal scores. An empty table gives
     an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(shared.value, part.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(model, part.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 

@@ -39,3 +39,13 @@ def test_entry_without_the_subpackage(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op') or q == 'pipeline'])"], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     n, names = out.stdout.split(" ", 1)
     assert int(n) > 50 and names.strip() == "[]"
+
+
+def test_models_travel_with_their_functions():
+    """Broadcast variables are pickled by reference, which needs the package on the executors; closures are not."""
+    from pathlib import Path
+
+    import lorequarry.llm
+
+    for f in Path(lorequarry.llm.__file__).parent.glob("*.py"):
+        assert "sparkContext.broadcast" not in f.read_text()
