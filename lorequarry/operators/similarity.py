@@ -17,6 +17,8 @@ from .lineage import cut
 BLOCK = 2048
 #: Centres of a block in a nearest-centre join.
 CENTRES = 1024
+#: Buckets pay if they compare fewer than this share of all pairs: a joined pair costs about 100 times one of a matrix product.
+BUCKETS_PAY = 0.01
 
 
 def exact_dedup(units: DataFrame) -> DataFrame:
@@ -68,16 +70,36 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector:
     return cells.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, similarity double")
 
 
-def bucketed_pairs(vectors: DataFrame, threshold: float, tables: int = 12, bits: int = 8, key: str = "id", vector: str = "embedding", seed: int = 3) -> DataFrame:
+def bucket_plan(threshold: float, n: int, miss: float) -> tuple[int, int] | None:
+    """``(tables, bits)`` that miss a pair at ``threshold`` with probability ``miss`` at most, at the least cost for ``n``
+    vectors; None if comparing all pairs by blocks costs less."""
+    same = 1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi
+    if same in (0.0, 1.0):
+        return (1, 16) if same else None
+    plans = [(int(np.ceil(np.log(miss) / np.log1p(-(same**bits)))), bits) for bits in range(1, 33)]
+    share = lambda p: p[0] / 2 ** p[1] + 2 * p[0] / max(n, 1)
+    best = min(plans, key=share)
+    return best if share(best) < BUCKETS_PAY else None
+
+
+def bucketed_pairs(vectors: DataFrame, threshold: float, tables: int | None = None, bits: int | None = None, key: str = "id", vector: str = "embedding", seed: int = 3, miss: float = 1e-6) -> DataFrame:
     """As ``similar_pairs`` of unit vectors, from random-projection buckets: candidates share one, and are then verified.
 
-    A pair of cosine c is missed with probability (1 - (1 - acos(c) / pi) ** bits) ** tables: 0.2 % at 0.85.
+    A pair of cosine c is missed with probability (1 - (1 - acos(c) / pi) ** bits) ** tables. Tables and bits follow from
+    the threshold, so that this is ``miss`` at most. Where so many buckets would cost more than all pairs (low thresholds,
+    few vectors), the pairs are those of ``similar_pairs``, and none is missed. Given ``tables`` and ``bits`` are taken as
+    they are.
     """
+    if tables is None or bits is None:
+        plan = bucket_plan(threshold, vectors.count(), miss)
+        if plan is None:
+            return similar_pairs(vectors, threshold, key, vector)
+        tables, bits = plan
     first = vectors.select(F.max(F.size(vector))).first()[0] or 1
     planes = np.random.default_rng(seed).standard_normal((tables * bits, first))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
             if batch.num_rows:
                 v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 side = (v @ planes.T > 0).reshape(batch.num_rows, tables, bits)

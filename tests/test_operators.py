@@ -144,6 +144,32 @@ def test_similar_pairs_by_blocks(spark, monkeypatch):
     assert found <= want and len(found) >= 0.95 * len(want)
 
 
+def test_bucketed_pairs_query_finds_all_pairs_at_its_threshold(spark):
+    from lorequarry.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    i, j = np.nonzero(m @ m.T > 0.45)
+    want = {(a, b) for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True) if a < b}
+    assert len(want) > 10
+    assert {(r["a"], r["b"]) for r in QUERIES["bucketed_pairs"](spark, sf).collect()} == want
+
+
+def test_buckets_follow_from_the_threshold(spark):
+    for t, n in ((0.85, 10**6), (0.7, 10**8), (0.95, 10**5)):
+        tables, bits = similarity.bucket_plan(t, n, 1e-6)
+        assert (1 - (1 - np.arccos(t) / np.pi) ** bits) ** tables <= 1e-6
+    assert similarity.bucket_plan(0.45, 10_000, 1e-6) is None
+    rng = np.random.default_rng(2)
+    m = np.repeat(rng.standard_normal((300, 16)), 2, axis=0) + 0.1 * rng.standard_normal((600, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if m[i] @ m[j] > 0.9}
+    tables, bits = similarity.bucket_plan(0.9, 10**6, 1e-6)
+    assert len(want) > 200 and {(r["a"], r["b"]) for r in similarity.bucketed_pairs(df, 0.9, tables, bits).collect()} == want
+
+
 def global_linkage(m, t):
     d = 1 - m @ m.T
     groups = [[i] for i in range(len(m))]
