@@ -3,6 +3,9 @@
 Numbers, names and units become typed placeholders, so a question that was given other figures or names keeps its
 template. Windows of template tokens are hash-joined with those of the benchmark. For documents that share enough of an
 item, the values in the placeholders are compared: a re-parameterised copy maps equal values to equal values.
+
+Whether a capitalised word is a name depends on where it stands, so texts are read in three ways (``VIEWS``), and items
+in each way that their first words can be read in after other text.
 """
 
 from __future__ import annotations
@@ -34,18 +37,33 @@ UNITS = (
     "miles mile feet foot inches inch yards yard liters liter litres litre gallons gallon seconds second minutes minute hours hour days day weeks week months month years year "
     "dollars dollar cents cent euros euro percent degrees degree watts watt volts volt mph kmh"
 ).split()
-FIGURES = r"[$€£¥]?\d+(?:[.,:/]\d+)*%?"
+#: Capitalised words that begin sentences and are no names; so are the words that the benchmark has in lower case.
+STARTERS = (
+    "a an the this that these those there it he she they we you i his her their its our my your if in on at of for from to by with as and or but when while after before then each every all some one no not "
+    "what which who whom whose where why how is are was were do does did has have had can could will would should may might must let find given calculate compute determine solve show prove write explain describe name choose select consider suppose assume "
+    "der die das ein eine wer wie wo wann warum welche welcher welches und ist sind wenn es er sie wir le la les un une des qui que quel quelle quels quelles comment où quand pourquoi si il elle el los las una qué cuál cuánto cómo dónde cuándo quién"
+).split()
+# groups are repeated possessively: the regex engine recurses for each repetition of others, and long runs end the stack
+FIGURES = r"[$€£¥]?\d+(?:[.,:/]\d+)*+%?"
 _PROPER = r"\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
 #: A capitalised word or several, not at the start of a sentence or line.
-NAMES = r"([\p{L}\p{N},;:'’\")\]%" + END + r"] )(" + _PROPER + r"(?: " + _PROPER + r")*)"
+NAMES = r"([\p{L}\p{N},;:'’\")\]%" + END + r"] )(" + _PROPER + r"(?: " + _PROPER + r")*+)"
+#: The same wherever it stands.
+ALL_NAMES = r"(?<![\p{L}\p{M}])(" + _PROPER + r"(?: " + _PROPER + r")*+)"
+#: Names by their place in the sentence; no names, in any case; every capitalised word a name.
+PLACED, PLAIN, CAPITALS = VIEWS = ("placed", "plain", "capitals")
 SPLIT = rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}]+"
 VALUES = rf"[{NUMBER}-{UNIT}][^{END}]*|[\p{{L}}\p{{M}}]+"
 
 
-def _mark(text: Column, values: bool) -> Column:
+def _mark(text: Column, values: bool, view: str) -> Column:
     v = lambda k: f"${k}" if values else ""
     text = F.regexp_replace(text, FIGURES, f" {NUMBER}{v(0)}{END} ")
-    return F.lower(F.regexp_replace(text, NAMES, f"$1 {NAME}{v(2)}{END} "))
+    if view == PLACED:
+        text = F.regexp_replace(text, NAMES, f"$1 {NAME}{v(2)}{END} ")
+    elif view == CAPITALS:
+        text = F.regexp_replace(text, ALL_NAMES, f" {NAME}{v(1)}{END} ")
+    return F.lower(text)
 
 
 def _typed(tokens: str, values: bool) -> Column:
@@ -57,24 +75,58 @@ def _typed(tokens: str, values: bool) -> Column:
     return F.transform(tokens, lambda t, i: F.when(word(t), mark(NUMBER, t)).when(t.isin(*UNITS) & F.coalesce(F.startswith(before(i), F.lit(NUMBER)) | word(before(i)), F.lit(False)), mark(UNIT, t)).otherwise(t))
 
 
-def with_template(rows: DataFrame, text: str, name: str) -> DataFrame:
+def with_template(rows: DataFrame, text: str, name: str, view: str = PLACED) -> DataFrame:
     """``rows`` with an array of tokens: runs of letters in lower case, and placeholders."""
-    return rows.withColumn("_raw", F.array_remove(F.split(_mark(F.col(text), False), SPLIT), "")).withColumn(name, _typed("_raw", False)).drop("_raw")
+    return rows.withColumn("_raw", F.array_remove(F.split(_mark(F.col(text), False, view), SPLIT), "")).withColumn(name, _typed("_raw", False)).drop("_raw")
 
 
-def with_values(rows: DataFrame, text: str, name: str) -> DataFrame:
+def with_values(rows: DataFrame, text: str, name: str, view: str = PLACED) -> DataFrame:
     """The same tokens, with the value after each placeholder."""
-    return rows.withColumn("_raw", F.regexp_extract_all(_mark(F.col(text), True), F.lit(VALUES), F.lit(0))).withColumn(name, _typed("_raw", True)).drop("_raw")
+    return rows.withColumn("_raw", F.regexp_extract_all(_mark(F.col(text), True, view), F.lit(VALUES), F.lit(0))).withColumn(name, _typed("_raw", True)).drop("_raw")
+
+
+def _item_readings(items: DataFrame) -> DataFrame:
+    """``items(item_id, item_text)`` -> a row for each way to read an item: ``view``, ``item_text`` after the ``skip``
+    tokens before it, ``renamed`` if its first word is read as a name, and ``common``: those of its capitalised words
+    that are no names.
+
+    After a word a first word can be a name, after a number it can be a unit, and in lower case it is neither.
+    """
+    capital = F.explode(F.transform(F.regexp_extract_all("item_text", F.lit(r"\p{Lu}[\p{L}\p{M}'’-]*"), F.lit(0)), F.lower))
+    lower = items.select(F.explode(F.regexp_extract_all("item_text", F.lit(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}'’-]*"), F.lit(0))).alias("word"))
+    lower = lower.union(items.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, STARTERS))))).distinct()
+    common = items.select("item_text", capital.alias("word")).distinct().join(lower, "word", "left_semi").groupBy("item_text").agg(F.collect_set("word").alias("common"))
+    items = items.join(common, "item_text", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    text = F.col("item_text")
+    first_lower = F.concat(F.lower(F.substring(text, 1, 1)), F.expr("substring(item_text, 2)"))
+    ways = [(PLACED, text, 0), (PLACED, F.concat(F.lit("x "), text), 1), (PLACED, F.concat(F.lit("5 "), text), 1), (PLAIN, text, 0), (PLAIN, F.concat(F.lit("5 "), text), 1), (CAPITALS, text, 0), (CAPITALS, first_lower, 0)]
+    read = None
+    for view, wording, skip in ways:
+        part = items.select("item_id", "common", F.lit(view).alias("view"), F.lit(skip).alias("skip"), wording.alias("item_text"))
+        part = with_template(part, "item_text", "tokens", view).withColumn("tokens", F.expr("slice(tokens, skip + 1, greatest(size(tokens) - skip, 0))"))
+        part = part.withColumn("renamed", F.lit(view == PLACED and skip == 1) & F.coalesce(F.get("tokens", F.lit(0)) == NAME, F.lit(False)))
+        read = part if read is None else read.unionByName(part)
+    # readings that don't differ are one: the first
+    again = Window.partitionBy("item_id", "view", F.expr("substring(item_text, 1 + 2 * skip)"), "tokens").orderBy("skip", "item_text")
+    return read.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
 
 
 def _shape(token: Column) -> Column:
     return F.when(token < F.lit(NUMBER), token).when(token > F.lit(END), token).otherwise(F.substring(token, 1, 1))
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """The hashes of all windows, in order."""
-    last = F.size(tokens) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))).otherwise(F.array().cast("array<bigint>"))
+def _grams(rows: DataFrame, view: Column) -> DataFrame:
+    """``rows`` with ``grams``, the hashes of all runs of MIN_TOKENS tokens, in order."""
+    rows = rows.withColumn("_t", F.transform("tokens", lambda t: F.xxhash64(view, t)))
+    n = F.size("_t") - MIN_TOKENS
+    at = lambda i: F.xxhash64(*[F.get(F.col("_t"), i + k) for k in range(MIN_TOKENS)])
+    grams = F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("grams", grams).drop("_t")
+
+
+def _window(first: Column, last: Column) -> Column:
+    """A window's hash: that of its first and last runs."""
+    return F.xxhash64(first, last)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -91,37 +143,52 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ws = Workspace(spark, "leaks")
     docs = docs.select("doc_id", F.col("text").cast("string")).where("doc_id is not null and text is not null")
     items = benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
-    items = with_template(items, "item_text", "tokens").withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
-    items = items.withColumn("version", F.xxhash64("item_text")).withColumn("width", F.least("n_tokens", F.lit(WINDOW)))
-    items = ws.save(items, "items")
-    widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most WINDOW numbers
+    items = _item_readings(items).withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
+    items = items.withColumn("version", F.xxhash64("view", "item_text")).withColumn("width", F.least("n_tokens", F.lit(WINDOW)))
+    items = ws.save(_grams(items, F.col("view")), "items")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WINDOW numbers
     if not widths:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", "n_tokens", F.lit(0).alias("n_covered"), F.lit(0).alias("n_slots"), F.lit("").alias("kind"))
-    each = F.coalesce(*[F.when(F.col("width") == w, _windows(F.col("tokens"), w)) for w in sorted(widths)])
-    sought = ws.save(items.select("item_id", "version", "width", F.posexplode(each).alias("item_pos", "h")), "windows")
-    shaped = with_template(docs, "text", "tokens").select("doc_id", "tokens")
+    sought = items.select("item_id", "version", "width", "grams", F.posexplode("grams").alias("item_pos", "g"))
+    sought = sought.withColumn("last", F.get("grams", F.col("item_pos") + F.col("width") - MIN_TOKENS)).where("last is not null")
+    sought = ws.save(sought.select("item_id", "version", "width", "item_pos", "g", _window(F.col("g"), F.col("last")).alias("h")), "windows")
+    begins = ws.save(sought.select("g").distinct(), "begins")
     seen = None
-    for w in sorted(widths):
-        part = shaped.select("doc_id", F.lit(w).alias("width"), F.posexplode(_windows(F.col("tokens"), w)).alias("pos", "h"))
+    for view in VIEWS:
+        rows = _grams(with_template(docs, "text", "tokens", view).select("doc_id", "tokens"), F.lit(view)).select("doc_id", "grams")
+        # a window is its first run of tokens and the runs at which one of each width ends
+        ends = F.transform("grams", lambda g, i: F.struct(g.alias("g"), *[F.get(F.col("grams"), i + (w - MIN_TOKENS)).alias(f"w{w}") for w in widths]))
+        part = rows.select("doc_id", F.posexplode(ends).alias("pos", "e")).select("doc_id", "pos", "e.*")
         seen = part if seen is None else seen.unionByName(part)
-    hits = seen.join(small(sought, 40), ["h", "width"]).select("doc_id", "item_id", "version", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    seen = seen.join(small(begins, 16), "g", "left_semi")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), _window(F.col("g"), F.col(f"w{w}")).alias("h"), F.col(f"w{w}").alias("last")) for w in widths]))
+    seen = seen.select("doc_id", "pos", each.alias("e")).select("doc_id", "pos", "e.*").where("last is not null").drop("last")
+    hits = seen.join(small(sought, 48), ["h", "width"]).select("doc_id", "item_id", "version", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     # windows of one alignment, then all alignments of a document and an item
     by_shift = hits.groupBy("doc_id", "item_id", "version", "width", "shift").agg(F.count("*").alias("n"), F.collect_set("item_pos").alias("at"))
     by_item = by_shift.groupBy("doc_id", "item_id", "version", "width").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     reach = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + F.col("width") - F.greatest(F.lit(0), s["end"] - p)).alias("n"), (p + F.col("width")).alias("end")))["n"]
-    held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "n_tokens", "item_text"), ["item_id", "version"])
+    held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "view", "skip", "renamed", "common", "n_tokens", "item_text"), ["item_id", "version"])
     held = ws.save(held.where((F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS)), "held")
-    wanted = ws.save(held.select("doc_id").distinct(), "wanted")
-    texts = with_values(docs.join(small(wanted, 16), "doc_id"), "text", "theirs").select("doc_id", "theirs")
-    both = texts.join(with_values(held, "item_text", "ours"), "doc_id")
+    wanted = ws.save(held.select("doc_id", "view").distinct(), "wanted")
+    both = None
+    for view in VIEWS:
+        texts = with_values(docs.join(small(wanted.where(F.col("view") == view).select("doc_id"), 16), "doc_id"), "text", "theirs", view).select("doc_id", "theirs")
+        part = texts.join(with_values(held.where(F.col("view") == view), "item_text", "ours", view), "doc_id")
+        both = part if both is None else both.unionByName(part)
+    both = both.withColumn("ours", F.expr("slice(ours, skip + 1, size(ours))"))
     aligned = F.filter(
-        F.zip_with("ours", F.slice("theirs", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("ours")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
+        F.transform("ours", lambda x, i: F.struct(x.alias("x"), F.get(F.col("theirs"), F.col("shift") + i).alias("y"), i.alias("i"))),
         lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (_shape(p["x"]) == _shape(p["y"])),
     )
     both = both.withColumn("aligned", aligned)
+    # a word that is no name, though it is read as one, is held only by itself
+    word = lambda p: F.substring_index(p["x"].substr(F.lit(2), F.length(p["x"])), " ", 1)
+    other = lambda p: p["x"].startswith(NAME) & F.array_contains("common", word(p)) & ~F.array_contains(F.split(p["y"].substr(F.lit(2), F.length(p["y"])), " "), word(p))
+    both = both.where(~F.exists("aligned", lambda p: ((F.col("view") == CAPITALS) | (F.col("renamed") & (p["i"] == 0))) & other(p)))
     slots = F.filter("aligned", lambda p: p["x"].between(F.lit(NUMBER), F.lit(END)))
     both = both.withColumn("slots", slots)
-    pairs, ours, theirs = (F.size(F.array_distinct(c)) for c in (F.col("slots"), F.col("slots.x"), F.col("slots.y")))
+    pairs, ours, theirs = (F.size(F.array_distinct(c)) for c in (F.transform("slots", lambda p: F.struct(p["x"], p["y"])), F.col("slots.x"), F.col("slots.y")))
     both = both.withColumn("consistency", F.when(F.size("slots") == 0, 1.0).otherwise((ours + theirs) / (2 * pairs)))
     both = both.where((F.col("consistency") >= MIN_CONSISTENCY) & (F.size("aligned") - F.size("slots") >= MIN_LITERALS))
     kind = F.when(F.exists("slots", lambda p: p["x"] != p["y"]), "reparameterised").otherwise("verbatim")

@@ -72,3 +72,29 @@ def test_no_python_on_the_executors(spark):
     sf = "/root/testdata/sf0.001"
     plan = dc.find_leaks(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_copies_are_found_in_any_context_and_case(spark):
+    items = [(1, "What is the capital of France?"), (2, "Miles are longer than most runners think they are"), (3, "Der Hund von Herrn Meier jagt die Katze von Frau Schulz durch den Garten."), (4, "Tom has 5 apples and eats 2. Maria has 9 pears and sells 3. How many are left?")]
+    renamed = items[3][1].replace("Tom", "Ann").replace("Maria", "Zoe").replace("5", "7")
+    docs = [
+        (1, "eranha before What is the capital of France? after"),
+        (2, "Question: What is the capital of France?"),
+        (3, "Peter What is the capital of France?"),
+        (4, "asked him what is the capital of Spain last week"),
+        (5, "Paris is the capital of France, and Paris is large."),
+        (6, "and Paris is the capital of France"),
+        (7, "about 12 Miles are longer than most runners think they are"),
+        (8, "x " + items[2][1].lower()),
+        (9, "x " + items[2][1].upper()),
+        (10, renamed),
+        (11, "some words, then " + renamed),
+    ]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 2), (8, 3), (9, 3), (10, 4), (11, 4)}
+    assert {k for k, r in got.items() if r["kind"] == "reparameterised"} == {(4, 1), (10, 4), (11, 4)}
+
+
+def test_long_runs_do_not_end_the_stack(spark):
+    docs = [(1, "x " + "Ab " * 60_000 + "and " + ITEMS[1][1]), (2, "1" + ",2" * 60_000 + " " + ITEMS[1][1])]
+    assert set(leaks(spark, docs)) == {(1, 2), (2, 2)}
