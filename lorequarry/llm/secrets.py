@@ -28,11 +28,17 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 8, 16, 32
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 _PLACE = {k: i for i, k in enumerate(KINDS)}
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----", re.ASCII)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----", re.ASCII)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])", re.ASCII)
-#: Shortest encoded key that is decoded: an EC key of 256 bits without its public part takes more.
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}", re.ASCII)
-_HEXBLOB = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}", re.ASCII)
+#: Fewest characters of an encoded key: an EC key of 256 bits without its public part takes more.
+B64_MIN, HEX_KEY_MIN = 40, 48
+#: Where a key can start in base64 (tag 0x30 and a length, or the container's magic) and in hex (and the next tag), at any place in a run.
+_B64_START = re.compile(r"M(?=[A-I])|b3BlbnNzaC(?=1rZXktdjE)", re.ASCII)
+_HEX_START = re.compile(r"30(?=(?:[0-7][0-9a-f]|81..|82.{4}|83.{6})(?:0201|30))|6f70656e737368(?=2d6b65792d7631)", re.ASCII | re.IGNORECASE)
+_B64_PIECE, _HEX_PIECE = re.compile(r"[A-Za-z0-9+/_-]+", re.ASCII), re.compile(r"[0-9a-fA-F]+")
+#: Between the lines of a wrapped key: a line break, as it is or escaped, with quotes and indentation.
+_BREAK = re.compile(r"""[ \t"',]{0,8}(?:\\+[nr]|[\r\n])(?:\\+[nrt]|[\s"']){0,80}""", re.ASCII)
+_ESCAPED_SLASH = re.compile(r"\\+/")
 _OPENSSH_MAGIC = b"openssh-key-v1\0"
 #: Algorithms of signed and encrypted tokens.
 _ALGS = ("HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES256K", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none")
@@ -106,10 +112,11 @@ def der_key(data: bytes) -> bool:
     return False
 
 
-def openssh_key(data: bytes) -> bool:
-    """The container's magic, three strings, a key count and that many public keys and one private part, with lengths that fit."""
+def _openssh_end(data: bytes) -> int:
+    """The end of the container at the start of ``data``: its magic, three strings, a key count and that many public keys
+    and one private part, with lengths that fit. 0 if there is none."""
     if not data.startswith(_OPENSSH_MAGIC):
-        return False
+        return 0
     at = len(_OPENSSH_MAGIC)
 
     def string() -> bytes | None:
@@ -123,10 +130,15 @@ def openssh_key(data: bytes) -> bool:
         return data[at - n : at]
 
     if any(string() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(string() is not None for _ in range(keys + 1))
+    return at if 1 <= keys <= 16 and all(string() is not None for _ in range(keys + 1)) else 0
+
+
+def openssh_key(data: bytes) -> bool:
+    """A private key container from the start of ``data``."""
+    return _openssh_end(data) > 0
 
 
 def token_header(part: str) -> bool:
@@ -147,25 +159,88 @@ def _blob_kind(data: bytes | None) -> str | None:
     return "der" if der_key(data) else "openssh" if openssh_key(data) else None
 
 
+def _take(text: str, at: int, want: int, piece: re.Pattern[str]) -> tuple[str, int, bool]:
+    """Up to ``want`` digits from ``at`` on, over line breaks; where they end, and whether they are in one line."""
+    parts, n, end, whole = [], 0, at, True
+    while n < want:
+        m = piece.match(text, at, min(len(text), at + want - n))
+        if m:
+            parts.append(m[0])
+            n, at = n + len(m[0]), m.end()
+            end = at
+        if n >= want:
+            break
+        if piece is _B64_PIECE and (m := _ESCAPED_SLASH.match(text, at)):
+            parts.append("/")
+            n, at = n + 1, m.end()
+            end = at
+        elif m := _BREAK.match(text, at):
+            at, whole = m.end(), False
+            if not piece.match(text, at):
+                break
+        else:
+            break
+    return "".join(parts), end, whole
+
+
+def _der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that starts with ``head``, 0 if no private key starts so."""
+    if len(head) < 8 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if k > 4:
+        return 0
+    n = int.from_bytes(head[2 : 2 + k], "big") if k else head[1]
+    body = head[2 + k :]
+    return 2 + k + n if body[:2] == b"\x02\x01" or body[:1] == b"\x30" else 0
+
+
+def _keys(text: str, start: re.Pattern[str], piece: re.Pattern[str], least: int) -> list[tuple[str, int, int, bool]]:
+    """Keys in base64 or hex from any place in a run, by the length in their own header; and whether each is in one line."""
+    b64, found, done = piece is _B64_PIECE, [], 0
+    decode = _decode64 if b64 else lambda s: bytes.fromhex(s[: len(s) // 2 * 2])
+    digits = lambda n: -(-n * 4 // 3) if b64 else 2 * n
+    for m in start.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if len(m[0]) > 2:
+            s = _take(text, at, len(text), piece)[0]
+            data = decode(s[:-1] if b64 and len(s) % 4 == 1 else s)
+            kind, n = "openssh", _openssh_end(data or b"")
+        else:
+            head = decode(_take(text, at, 16 if b64 else 24, piece)[0])
+            kind, n = "der", _der_size(head or b"")
+            if n and digits(n) > len(text) - at:
+                n = 0
+        if not n or digits(n) < least:
+            continue
+        s, end, whole = _take(text, at, digits(n), piece)
+        if len(s) < digits(n) or (kind == "der" and not der_key(decode(s) or b"")):
+            continue
+        while b64 and end < len(text) and text[end] == "=" and text[max(at, end - 2) : end] != "==":
+            end += 1
+        found.append((kind, at, end, whole))
+        done = end
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])
+            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", re.sub(r"\\+[nr]", "\n", m[2]))
+            body = re.sub(r"\\+/", "/", re.sub(r"\\+[nrt]", " ", body))
             data = _decode64("".join(body.split()))
             if _blob_kind(data) or (data and "ENCRYPTED" in m[0]):
                 found.append(("pem", *m.span()))
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if token_header(m[1])]
-    for m in _B64.finditer(text):
-        # encodings of a DER sequence start with its tag 0x30, those of the container with its magic
-        if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC"):
-            if kind := _blob_kind(_decode64(m[0])):
-                found.append((kind, *m.span()))
-    for m in _HEXBLOB.finditer(text):
-        if m[0][:2] == "30" or m[0].startswith("6f70656e737368"):
-            if kind := _blob_kind(bytes.fromhex(m[0])):
-                found.append((kind, *m.span()))
+    pems = [(a, b) for k, a, b in found if k == "pem"]
+    for kind, a, b, whole in _keys(text, _B64_START, _B64_PIECE, B64_MIN) + _keys(text, _HEX_START, _HEX_PIECE, HEX_KEY_MIN):
+        # the lines of a block are the block's
+        if whole or not any(x <= a and b <= y for x, y in pems):
+            found.append((kind, a, b))
     return found
 
 
