@@ -21,7 +21,9 @@ WINDOW = 8
 MIN_TOKENS = 4
 #: A document holds an item if windows cover this share of its tokens, or this many tokens.
 MIN_COVER, ENOUGH_TOKENS = 0.5, 25
-#: Tokens besides placeholders that must agree where item and document are aligned.
+#: Whatever share of the item it is, a run of so many tokens that are the same, figures included, is held.
+VERBATIM_RUN = 13
+#: Tokens besides placeholders that must agree where item and document are aligned, unless all tokens of the item do.
 MIN_LITERALS = 3
 #: Least consistency of the placeholders' values: 1 if they map one to one.
 MIN_CONSISTENCY = 0.75
@@ -169,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_item = by_shift.groupBy("doc_id", "item_id", "version", "width").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     reach = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + F.col("width") - F.greatest(F.lit(0), s["end"] - p)).alias("n"), (p + F.col("width")).alias("end")))["n"]
     held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "view", "skip", "renamed", "common", "n_tokens", "item_text"), ["item_id", "version"])
-    held = ws.save(held.where((F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS)), "held")
+    held = ws.save(held.where((F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS) | ((F.col("view") == PLAIN) & (F.col("n_covered") >= VERBATIM_RUN))), "held")
     wanted = ws.save(held.select("doc_id", "view").distinct(), "wanted")
     both = None
     for view in VIEWS:
@@ -190,8 +192,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = both.withColumn("slots", slots)
     pairs, ours, theirs = (F.size(F.array_distinct(c)) for c in (F.transform("slots", lambda p: F.struct(p["x"], p["y"])), F.col("slots.x"), F.col("slots.y")))
     both = both.withColumn("consistency", F.when(F.size("slots") == 0, 1.0).otherwise((ours + theirs) / (2 * pairs)))
-    both = both.where((F.col("consistency") >= MIN_CONSISTENCY) & (F.size("aligned") - F.size("slots") >= MIN_LITERALS))
-    kind = F.when(F.exists("slots", lambda p: p["x"] != p["y"]), "reparameterised").otherwise("verbatim")
+    same = F.transform("ours", lambda x, i: F.coalesce(x == F.get(F.col("theirs"), F.col("shift") + i), F.lit(False)))
+    grown = lambda s, x: F.struct(F.when(x, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(x, s["now"] + 1).otherwise(0)).alias("most"))
+    both = both.withColumn("run", F.aggregate(same, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), grown, lambda s: s["most"]))
+    all_same, long_run = F.col("run") == F.col("n_tokens"), (F.col("view") == PLAIN) & (F.col("run") >= VERBATIM_RUN)
+    share = (F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS)
+    copied = share & (F.col("consistency") >= MIN_CONSISTENCY) & (F.size("aligned") - F.size("slots") >= MIN_LITERALS)
+    both = both.where(copied | all_same | long_run)
+    kind = F.when(F.exists("slots", lambda p: p["x"] != p["y"]) & copied, "reparameterised").otherwise("verbatim")
     both = both.select("doc_id", "item_id", "n_tokens", "n_covered", F.size("slots").alias("n_slots"), kind.alias("kind"))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_covered"), "n_tokens", F.desc("kind"), "n_slots")
     return both.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")

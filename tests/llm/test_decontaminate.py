@@ -98,3 +98,11 @@ def test_copies_are_found_in_any_context_and_case(spark):
 def test_long_runs_do_not_end_the_stack(spark):
     docs = [(1, "x " + "Ab " * 60_000 + "and " + ITEMS[1][1]), (2, "1" + ",2" * 60_000 + " " + ITEMS[1][1])]
     assert set(leaks(spark, docs)) == {(1, 2), (2, 2)}
+
+
+def test_long_verbatim_runs_and_items_of_few_words(spark):
+    words = [a + b for a in ("bal", "cor", "dim", "fen", "gol", "hup", "jat") for b in ("an", "ek", "il", "os", "um", "ar", "et", "ib")]
+    items = [(1, " ".join(words)), (2, "Calculate 12 * 7 + 5 - 3")]
+    docs = [(1, "some text " + " ".join(words[10:34]) + " other text"), (2, "some text " + " ".join(words[10:20]) + " other text"), (3, "Please: Calculate 12 * 7 + 5 - 3"), (4, "Please: Calculate 12 * 8 + 5 - 3")]
+    got = leaks(spark, docs, items)
+    assert {k: r["kind"] for k, r in got.items()} == {(1, 1): "verbatim", (3, 2): "verbatim"}
