@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,16 +102,17 @@ def parents(tasks: DataFrame, concepts: DataFrame) -> DataFrame:
     return tasks.join(a, "task_id", "left").join(b, "task_id", "left").withColumn("parent_task_id", F.coalesce("parent_task_id", "_c")).drop("_c")
 
 
-def depths(tasks: DataFrame, most: int = 64) -> DataFrame:
+def depths(tasks: DataFrame) -> DataFrame:
     """``tasks(task_id, parent_task_id)`` -> ``task_id, depth, root, path``; a missing parent makes a root, and tasks on or
-    below a cycle have depth null. Levels are joined one by one, each keyed by task."""
+    below a cycle have depth null. Levels are joined one by one, each keyed by task, until one is empty; no
+    path passes a task twice."""
     known = tasks.select(F.col("task_id").alias("_p"))
     t = tasks.select("task_id", "parent_task_id").join(known, F.col("parent_task_id") == F.col("_p"), "left").select("task_id", F.col("_p").alias("up"))
     level = t.where("up is null").select("task_id", F.lit(0).alias("depth"), F.col("task_id").alias("root"), F.array("task_id").alias("path"))
     out = level
-    for d in range(1, most + 1):
+    for d in itertools.count(1):
         above = level.select(F.col("task_id").alias("up"), "root", "path")
-        level = cut(t.join(above, "up").select("task_id", F.lit(d).alias("depth"), "root", F.array_append("path", F.col("task_id")).alias("path")))
+        level = cut(t.join(above, "up").where(~F.array_contains("path", F.col("task_id"))).select("task_id", F.lit(d).alias("depth"), "root", F.array_append("path", F.col("task_id")).alias("path")))
         if not level.limit(1).count():
             break
         out = out.unionByName(level)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,11 +203,11 @@ def supersession(versions: DataFrame, key: str, time: str) -> DataFrame:
     return versions.withColumn("valid_to", F.lead(time).over(Window.partitionBy(key).orderBy(time)))
 
 
-def dependents(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def dependents(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``edges(id, depends_on)``, ``roots(id)`` -> all that depends on a root, directly or not, with the least ``hops``."""
     seen = roots.select("id", F.lit(0).alias("hops"))
     front = seen
-    for hop in range(1, most + 1):
+    for hop in itertools.count(1):
         near = edges.join(front.select(F.col("id").alias("depends_on")), "depends_on").select("id").distinct()
         front = near.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
         front = cut(front)

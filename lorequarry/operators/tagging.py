@@ -13,12 +13,16 @@ SEMANTIC_MIN, SEMANTIC_K = 0.3, 10
 RESOLVE_MIN = 0.6
 
 
-def ruler(units: DataFrame, concepts: DataFrame, longest: int = 6) -> DataFrame:
+def ruler(units: DataFrame, concepts: DataFrame, longest: int | None = None) -> DataFrame:
     """``units(id, text)``, ``concepts(iri, label, branch)`` -> ``id, pos, iri, label, branch, confidence``: labels that
     occur in the text as whole words, in any case.
 
     Word n-grams of the text are hash-joined with the labels, so that the cost doesn't grow with their number.
+    The n-grams have up to ``longest`` words, as many as the longest label if it isn't given.
     """
+    if longest is None:
+        longest = concepts.agg(F.max(F.size(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}]+"), lambda w: w != "")))).first()[0] or 1
+        longest = max(longest, 1)
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))))
     found = units.select("id", words.alias("words")).select("id", F.explode(grams).alias("g")).select("id", F.col("g.gram").alias("gram"), F.col("g.pos").alias("pos"))

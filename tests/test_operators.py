@@ -390,3 +390,15 @@ def test_providers_fail_softly(spark):
     assert {r["unit_type"] for r in providers.classify(units, broken).collect()} == {"advice", "citation"}
     assert {r["surprise_score"] for r in providers.novelty(units, lambda rows: [{"score": 7.0} for _ in rows]).collect()} == {1.0}
     assert providers.route("distill", {"LLM_DISTILL_MODEL": "m"}, ("p", "d")) == ("p", "m")
+
+
+def test_deep_trees_and_long_labels(spark):
+    n = 67
+    t = spark.createDataFrame([(f"t{i}", f"t{i - 1}" if i else None) for i in range(n)], "task_id string, parent_task_id string")
+    assert {r["task_id"]: r["depth"] for r in discovery.depths(t).collect()} == {f"t{i}": i for i in range(n)}
+    e = spark.createDataFrame([(f"t{i}", f"t{i - 1}") for i in range(1, n)] + [("t0", f"t{n - 1}")], "id string, depends_on string")
+    got = {r["id"]: r["hops"] for r in review.dependents(e, spark.createDataFrame([("t0",)], "id string")).collect()}
+    assert got == {f"t{i}": i for i in range(1, n)}
+    concepts = spark.createDataFrame([("c", "Duty to preserve all of the relevant evidence", "b")], "iri string, label string, branch string")
+    units = spark.createDataFrame([("u", "the duty to preserve all of the relevant evidence holds")], "id string, text string")
+    assert [r["iri"] for r in tagging.ruler(units, concepts).collect()] == ["c"]
