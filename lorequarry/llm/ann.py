@@ -214,21 +214,26 @@ def fit(ws: Workspace, vectors: DataFrame, s: Settings) -> Index | None:
 
 def search(vectors: DataFrame, queries: Column, s: Settings = Settings()) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> ``query_id, rank, vec_id, score``, for each valid row that ``queries`` selects
-    its ``k`` nearest found among all others, nearest first, ties to the smaller vec_id.
+    its ``k`` nearest found among all others of its length, nearest first, ties to the smaller vec_id.
 
     ``score`` is the inner product of the vectors as they are, in double precision. Vectors that are null, zero or hold
-    null or non-finite components take no part, nor do rows without an id or of another length than the longest; rows that
-    share an id are one, the smallest vector. With fewer than ``k`` other vectors all are returned. An empty table gives
-    an empty result.
+    null or non-finite components take no part, nor do rows without an id; rows that share an id are one, the smallest
+    vector. With fewer than ``k`` other vectors all are returned. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
     rows = ws.save(valid_vectors(vectors), "vectors")
-    longest = rows.agg(F.max(F.size("v")).alias("d")).first()["d"]
-    rows = rows.where(F.size("v") == F.lit(longest or 0))
+    found = None
+    for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        part = _search(ws, rows.where(F.size("v") == r["d"]), queries, s)
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> DataFrame:
+    """The same for valid vectors of one length, one at least."""
+    spark = ws.spark
     index = fit(ws, rows, s)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dealt = "cell long, kind int, id long, v array<double>, bucket array<int>"
     names = ["cell", "kind", "id", "v", "bucket"]
 

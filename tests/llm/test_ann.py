@@ -61,3 +61,14 @@ def test_invalid_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 0.0]), (20, [1.0]), (7, [0.9, 0.1]), (7, [0.9, 0.1]), (None, [1.0, 1.0])]
     got = run(spark, rows)
     assert {q: [v for v, _, _ in x] for q, x in got.items()} == {0: [7, 1]}
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((50, 8)).astype(np.float32)
+    rows = [(i, m[i].tolist()) for i in range(50)] + [(100, [1.0] * 9), (200, [1.0] * 3), (201, [2.0] * 3)]
+    got = run(spark, rows)
+    assert set(got) == {0, 20, 40, 200}
+    for q in (0, 20, 40):
+        assert [v for v, _, _ in got[q]] == [v for v, _ in brute(list(range(50)), m, q)]
+    assert got[200] == [(201, 6.0, 1)]
