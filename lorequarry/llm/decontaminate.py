@@ -4,8 +4,9 @@ Numbers, names and units become typed placeholders, so a question that was given
 template. Windows of template tokens are hash-joined with those of the benchmark. For documents that share enough of an
 item, the values in the placeholders are compared: a re-parameterised copy maps equal values to equal values.
 
-Whether a capitalised word is a name depends on where it stands, so texts are read in three ways (``VIEWS``), and items
-in each way that their first words can be read in after other text.
+A text is read in two ways (``VIEWS``) that don't hang on what stands around an item: without names, in lower case, which
+finds copies in any case and those with other figures; and with every capitalised word as a name, which finds those with
+other names. Items are read in each way that their first words can be read in after other text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, small
+from .workspace import Workspace, small, unused
 
 #: Template tokens of a window; a shorter item is one window of its own length.
 WINDOW = 8
@@ -48,12 +49,11 @@ STARTERS = (
 # groups are repeated possessively: the regex engine recurses for each repetition of others, and long runs end the stack
 FIGURES = r"[$€£¥]?\d+(?:[.,:/]\d+)*+%?"
 _PROPER = r"\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
-#: A capitalised word or several, not at the start of a sentence or line.
-NAMES = r"([\p{L}\p{N},;:'’\")\]%" + END + r"] )(" + _PROPER + r"(?: " + _PROPER + r")*+)"
-#: The same wherever it stands.
-ALL_NAMES = r"(?<![\p{L}\p{M}])(" + _PROPER + r"(?: " + _PROPER + r")*+)"
-#: Names by their place in the sentence; no names, in any case; every capitalised word a name.
-PLACED, PLAIN, CAPITALS = VIEWS = ("placed", "plain", "capitals")
+#: A capitalised word or several, wherever it stands.
+NAMES = r"(^|[^\p{L}\p{M}])(" + _PROPER + r"(?: " + _PROPER + r")*+)"
+#: No names, in any case; every capitalised word a name.
+PLAIN, CAPITALS = VIEWS = ("plain", "capitals")
+WORDS = r"[\p{L}\p{M}][\p{L}\p{M}'’-]*"
 SPLIT = rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}]+"
 VALUES = rf"[{NUMBER}-{UNIT}][^{END}]*|[\p{{L}}\p{{M}}]+"
 
@@ -61,10 +61,8 @@ VALUES = rf"[{NUMBER}-{UNIT}][^{END}]*|[\p{{L}}\p{{M}}]+"
 def _mark(text: Column, values: bool, view: str) -> Column:
     v = lambda k: f"${k}" if values else ""
     text = F.regexp_replace(text, FIGURES, f" {NUMBER}{v(0)}{END} ")
-    if view == PLACED:
+    if view == CAPITALS:
         text = F.regexp_replace(text, NAMES, f"$1 {NAME}{v(2)}{END} ")
-    elif view == CAPITALS:
-        text = F.regexp_replace(text, ALL_NAMES, f" {NAME}{v(1)}{END} ")
     return F.lower(text)
 
 
@@ -74,52 +72,53 @@ def _typed(tokens: str, values: bool) -> Column:
     word = lambda t: t.isin(*NUMBER_WORDS)
     before = lambda i: F.get(F.col(tokens), i - 1)
     mark = lambda m, t: F.concat(F.lit(m), t) if values else F.lit(m)
-    return F.transform(tokens, lambda t, i: F.when(word(t), mark(NUMBER, t)).when(t.isin(*UNITS) & F.coalesce(F.startswith(before(i), F.lit(NUMBER)) | word(before(i)), F.lit(False)), mark(UNIT, t)).otherwise(t))
+    unit = lambda t, i: t.isin(*UNITS) & F.coalesce(F.startswith(before(i), F.lit(NUMBER)) | word(before(i)), F.lit(False))
+    # one look-up tells that most tokens are neither
+    return F.transform(tokens, lambda t, i: F.when(~t.isin(*NUMBER_WORDS, *UNITS), t).when(word(t), mark(NUMBER, t)).when(unit(t, i), mark(UNIT, t)).otherwise(t))
 
 
-def with_template(rows: DataFrame, text: str, name: str, view: str = PLACED) -> DataFrame:
+def with_template(rows: DataFrame, text: str, name: str, view: str) -> DataFrame:
     """``rows`` with an array of tokens: runs of letters in lower case, and placeholders."""
     return rows.withColumn("_raw", F.array_remove(F.split(_mark(F.col(text), False, view), SPLIT), "")).withColumn(name, _typed("_raw", False)).drop("_raw")
 
 
-def with_values(rows: DataFrame, text: str, name: str, view: str = PLACED) -> DataFrame:
+def with_values(rows: DataFrame, text: str, name: str, view: str) -> DataFrame:
     """The same tokens, with the value after each placeholder."""
     return rows.withColumn("_raw", F.regexp_extract_all(_mark(F.col(text), True, view), F.lit(VALUES), F.lit(0))).withColumn(name, _typed("_raw", True)).drop("_raw")
 
 
 def _item_readings(items: DataFrame) -> DataFrame:
-    """``items(item_id, item_text)`` -> a row for each way to read an item: ``view``, ``item_text`` after the ``skip``
-    tokens before it, ``renamed`` if its first word is read as a name, and ``common``: those of its capitalised words
-    that are no names.
+    """``items(item_id, item_text)`` -> a row for each way to read an item: ``view``, ``wording`` after the ``skip``
+    tokens before it, ``tokens``, and ``common``: those of its capitalised words that are no names.
 
-    After a word a first word can be a name, after a number it can be a unit, and in lower case it is neither.
+    After a number a first word can be a unit, and within a sentence it can be in lower case.
     """
-    capital = F.explode(F.transform(F.regexp_extract_all("item_text", F.lit(r"\p{Lu}[\p{L}\p{M}'’-]*"), F.lit(0)), F.lower))
-    lower = items.select(F.explode(F.regexp_extract_all("item_text", F.lit(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}'’-]*"), F.lit(0))).alias("word"))
+    found = items.select("item_text", F.explode(F.regexp_extract_all("item_text", F.lit(WORDS), F.lit(0))).alias("word"))
+    lower = found.where(F.col("word").rlike(r"^\p{Ll}")).select("word")
     lower = lower.union(items.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, STARTERS))))).distinct()
-    common = items.select("item_text", capital.alias("word")).distinct().join(lower, "word", "left_semi").groupBy("item_text").agg(F.collect_set("word").alias("common"))
+    capital = found.where(F.col("word").rlike(r"^\p{Lu}")).select("item_text", F.lower("word").alias("word")).distinct()
+    common = capital.join(lower, "word", "left_semi").groupBy("item_text").agg(F.collect_set("word").alias("common"))
     items = items.join(common, "item_text", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     text = F.col("item_text")
     first_lower = F.concat(F.lower(F.substring(text, 1, 1)), F.expr("substring(item_text, 2)"))
-    ways = [(PLACED, text, 0), (PLACED, F.concat(F.lit("x "), text), 1), (PLACED, F.concat(F.lit("5 "), text), 1), (PLAIN, text, 0), (PLAIN, F.concat(F.lit("5 "), text), 1), (CAPITALS, text, 0), (CAPITALS, first_lower, 0)]
+    ways = [(PLAIN, text, 0), (PLAIN, F.concat(F.lit("5 "), text), 1), (CAPITALS, text, 0), (CAPITALS, first_lower, 0)]
     read = None
     for view, wording, skip in ways:
-        part = items.select("item_id", "common", F.lit(view).alias("view"), F.lit(skip).alias("skip"), wording.alias("item_text"))
-        part = with_template(part, "item_text", "tokens", view).withColumn("tokens", F.expr("slice(tokens, skip + 1, greatest(size(tokens) - skip, 0))"))
-        part = part.withColumn("renamed", F.lit(view == PLACED and skip == 1) & F.coalesce(F.get("tokens", F.lit(0)) == NAME, F.lit(False)))
+        part = items.select("item_id", "item_text", "common", F.lit(view).alias("view"), F.lit(skip).alias("skip"), wording.alias("wording"))
+        part = with_template(part, "wording", "tokens", view).withColumn("tokens", F.expr("slice(tokens, skip + 1, greatest(size(tokens) - skip, 0))"))
         read = part if read is None else read.unionByName(part)
     # readings that don't differ are one: the first
-    again = Window.partitionBy("item_id", "view", F.expr("substring(item_text, 1 + 2 * skip)"), "tokens").orderBy("skip", "item_text")
-    return read.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    again = Window.partitionBy("item_id", "view", "item_text", "tokens").orderBy("skip", "wording")
+    return read.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again", "item_text")
 
 
 def _shape(token: Column) -> Column:
     return F.when(token < F.lit(NUMBER), token).when(token > F.lit(END), token).otherwise(F.substring(token, 1, 1))
 
 
-def _grams(rows: DataFrame, view: Column) -> DataFrame:
+def _grams(rows: DataFrame) -> DataFrame:
     """``rows`` with ``grams``, the hashes of all runs of MIN_TOKENS tokens, in order."""
-    rows = rows.withColumn("_t", F.transform("tokens", lambda t: F.xxhash64(view, t)))
+    rows = rows.withColumn("_t", F.transform("tokens", lambda t: F.xxhash64(t)))
     n = F.size("_t") - MIN_TOKENS
     at = lambda i: F.xxhash64(*[F.get(F.col("_t"), i + k) for k in range(MIN_TOKENS)])
     grams = F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
@@ -131,6 +130,18 @@ def _window(first: Column, last: Column) -> Column:
     return F.xxhash64(first, last)
 
 
+def _in_views(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, view, tokens``: each text is scanned once for its figures."""
+    raw = lambda c: F.array_remove(F.split(F.lower(c), SPLIT), "")
+    rows = docs.select("doc_id", F.regexp_replace("text", FIGURES, f" {NUMBER}{END} ").alias("_text"))
+    both = F.array(
+        F.struct(F.lit(PLAIN).alias("view"), raw(F.col("_text")).alias("raw")),
+        F.struct(F.lit(CAPITALS).alias("view"), raw(F.regexp_replace("_text", NAMES, f"$1 {NAME}{END} ")).alias("raw")),
+    )
+    rows = rows.select("doc_id", F.inline(both))
+    return rows.withColumn("tokens", _typed("raw", False)).drop("raw")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> a row for each document and item that it holds:
     ``doc_id, item_id, n_tokens, n_covered, n_slots, kind``.
@@ -146,37 +157,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string")).where("doc_id is not null and text is not null")
     items = benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
     items = _item_readings(items).withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
-    items = items.withColumn("version", F.xxhash64("view", "item_text")).withColumn("width", F.least("n_tokens", F.lit(WINDOW)))
-    items = ws.save(_grams(items, F.col("view")), "items")
+    items = items.withColumn("version", F.xxhash64("view", "wording")).withColumn("width", F.least("n_tokens", F.lit(WINDOW)))
+    items = ws.save(_grams(items), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WINDOW numbers
     if not widths:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", "n_tokens", F.lit(0).alias("n_covered"), F.lit(0).alias("n_slots"), F.lit("").alias("kind"))
-    sought = items.select("item_id", "version", "width", "grams", F.posexplode("grams").alias("item_pos", "g"))
+    sought = items.select("item_id", "view", "version", "width", "grams", F.posexplode("grams").alias("item_pos", "g"))
     sought = sought.withColumn("last", F.get("grams", F.col("item_pos") + F.col("width") - MIN_TOKENS)).where("last is not null")
-    sought = ws.save(sought.select("item_id", "version", "width", "item_pos", "g", _window(F.col("g"), F.col("last")).alias("h")), "windows")
+    sought = ws.save(sought.select("item_id", "view", "version", "width", "item_pos", "g", _window(F.col("g"), F.col("last")).alias("h")), "windows")
     begins = ws.save(sought.select("g").distinct(), "begins")
-    seen = None
-    for view in VIEWS:
-        rows = _grams(with_template(docs, "text", "tokens", view).select("doc_id", "tokens"), F.lit(view)).select("doc_id", "grams")
-        # a window is its first run of tokens and the runs at which one of each width ends
-        ends = F.transform("grams", lambda g, i: F.struct(g.alias("g"), *[F.get(F.col("grams"), i + (w - MIN_TOKENS)).alias(f"w{w}") for w in widths]))
-        part = rows.select("doc_id", F.posexplode(ends).alias("pos", "e")).select("doc_id", "pos", "e.*")
-        seen = part if seen is None else seen.unionByName(part)
+    seen = _grams(_in_views(docs)).select("doc_id", "view", "grams")
+    # a window is its first run of tokens and the runs at which one of each width ends
+    ends = F.transform("grams", lambda g, i: F.struct(g.alias("g"), *[F.get(F.col("grams"), i + (w - MIN_TOKENS)).alias(f"w{w}") for w in widths]))
+    seen = seen.select("doc_id", "view", F.posexplode(ends).alias("pos", "e")).select("doc_id", "view", "pos", "e.*")
     seen = seen.join(small(begins, 16), "g", "left_semi")
     each = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), _window(F.col("g"), F.col(f"w{w}")).alias("h"), F.col(f"w{w}").alias("last")) for w in widths]))
-    seen = seen.select("doc_id", "pos", each.alias("e")).select("doc_id", "pos", "e.*").where("last is not null").drop("last")
-    hits = seen.join(small(sought, 48), ["h", "width"]).select("doc_id", "item_id", "version", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    seen = seen.select("doc_id", "view", "pos", each.alias("e")).select("doc_id", "view", "pos", "e.*").where("last is not null").drop("last")
+    hits = seen.join(small(sought, 64), ["h", "width", "view"]).select("doc_id", "item_id", "version", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     # windows of one alignment, then all alignments of a document and an item
     by_shift = hits.groupBy("doc_id", "item_id", "version", "width", "shift").agg(F.count("*").alias("n"), F.collect_set("item_pos").alias("at"))
     by_item = by_shift.groupBy("doc_id", "item_id", "version", "width").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     reach = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + F.col("width") - F.greatest(F.lit(0), s["end"] - p)).alias("n"), (p + F.col("width")).alias("end")))["n"]
-    held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "view", "skip", "renamed", "common", "n_tokens", "item_text"), ["item_id", "version"])
+    held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "view", "skip", "common", "n_tokens", "wording"), ["item_id", "version"])
     held = ws.save(held.where((F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS) | ((F.col("view") == PLAIN) & (F.col("n_covered") >= VERBATIM_RUN))), "held")
     wanted = ws.save(held.select("doc_id", "view").distinct(), "wanted")
     both = None
     for view in VIEWS:
         texts = with_values(docs.join(small(wanted.where(F.col("view") == view).select("doc_id"), 16), "doc_id"), "text", "theirs", view).select("doc_id", "theirs")
-        part = texts.join(with_values(held.where(F.col("view") == view), "item_text", "ours", view), "doc_id")
+        part = texts.join(with_values(held.where(F.col("view") == view), "wording", "ours", view), "doc_id")
         both = part if both is None else both.unionByName(part)
     both = both.withColumn("ours", F.expr("slice(ours, skip + 1, size(ours))"))
     aligned = F.filter(
@@ -187,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # a word that is no name, though it is read as one, is held only by itself
     word = lambda p: F.substring_index(p["x"].substr(F.lit(2), F.length(p["x"])), " ", 1)
     other = lambda p: p["x"].startswith(NAME) & F.array_contains("common", word(p)) & ~F.array_contains(F.split(p["y"].substr(F.lit(2), F.length(p["y"])), " "), word(p))
-    both = both.where(~F.exists("aligned", lambda p: ((F.col("view") == CAPITALS) | (F.col("renamed") & (p["i"] == 0))) & other(p)))
+    both = both.where(~F.exists("aligned", other))
     slots = F.filter("aligned", lambda p: p["x"].between(F.lit(NUMBER), F.lit(END)))
     both = both.withColumn("slots", slots)
     pairs, ours, theirs = (F.size(F.array_distinct(c)) for c in (F.transform("slots", lambda p: F.struct(p["x"], p["y"])), F.col("slots.x"), F.col("slots.y")))
@@ -206,7 +214,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item of the benchmark."""
+    """The rows of ``docs``, with all their columns, that hold no item of the benchmark. Rows without a doc_id stay."""
     ws = Workspace(docs.sparkSession, "leaks-clean")
-    lost = ws.save(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    return docs.join(small(lost, 16), F.col("doc_id") == F.col("_lost"), "left_anti")
+    gone = unused("_lost", docs)
+    lost = ws.save(find_leaks(docs, benchmark).select(F.col("doc_id").alias(gone)).distinct(), "lost")
+    return docs.join(small(lost, 16), F.col("doc_id") == F.col(gone), "left_anti")

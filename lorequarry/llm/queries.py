@@ -171,42 +171,57 @@ SELECT f.doc_id, f.path, f.license, f.cosine, f.unit, CASE WHEN f.license IS NUL
 def leaks_sql() -> str:
     """Windows as text, with no hashing; the rest is as the operator defines it."""
     d = decontaminate
-    words, units = (", ".join(f"'{w}'" for w in ws) for ws in (d.NUMBER_WORDS, d.UNITS))
-    names = d.NAMES.replace("'", "''")
+    words, units, starters = (", ".join(f"'{w}'" for w in ws) for ws in (d.NUMBER_WORDS, d.UNITS, d.STARTERS))
+    # RE2 knows no possessive repetition; nothing follows these groups, so a greedy one is the same
+    figures, names = (p.replace("*+", "*").replace("'", "''") for p in (d.FIGURES, d.NAMES))
+    every_word = d.WORDS.replace("'", "''")
 
-    def mark(text: str, values: bool) -> str:
+    def mark(text: str, values: bool, view: str) -> str:
         v = (lambda k: f"\\{k}") if values else (lambda k: "")
-        return f"lower(regexp_replace(regexp_replace({text}, '{d.FIGURES}', ' {d.NUMBER}{v(0)}{d.END} ', 'g'), '{names}', '\\1 {d.NAME}{v(2)}{d.END} ', 'g'))"
+        out = f"regexp_replace({text}, '{figures}', ' {d.NUMBER}{v(0)}{d.END} ', 'g')"
+        return f"lower({out})" if view == d.PLAIN else f"lower(regexp_replace({out}, '{names}', '\\1 {d.NAME}{v(2)}{d.END} ', 'g'))"
 
     def typed(tokens: str, values: bool) -> str:
         m = lambda k: f"concat('{k}', t)" if values else f"'{k}'"
         number = f"({tokens}[i - 1][1] = '{d.NUMBER}' OR {tokens}[i - 1] IN ({words}))"
         return f"list_transform({tokens}, lambda t, i: CASE WHEN t IN ({words}) THEN {m(d.NUMBER)} WHEN t IN ({units}) AND i > 1 AND {number} THEN {m(d.UNIT)} ELSE t END)"
 
-    raw = lambda c: f"list_filter(string_split_regex({mark(c, False)}, '{d.SPLIT}'), lambda x: x <> '')"
-    val = lambda c: f"regexp_extract_all({mark(c, True)}, '{d.VALUES}')"
+    by_view = lambda f: f"CASE view WHEN '{d.PLAIN}' THEN {f(d.PLAIN)} ELSE {f(d.CAPITALS)} END"
+    raw = lambda c: f"list_filter(string_split_regex({by_view(lambda v: mark(c, False, v))}, '{d.SPLIT}'), lambda x: x <> '')"
+    val = lambda c: f"regexp_extract_all({by_view(lambda v: mark(c, True, v))}, '{d.VALUES}')"
     shape = lambda x: f"(CASE WHEN {x}[1] IN ('{d.NUMBER}', '{d.NAME}', '{d.UNIT}') THEN {x}[1] ELSE {x} END)"
+    share = f"(n_covered >= {d.MIN_COVER} * n_tokens OR n_covered >= {d.ENOUGH_TOKENS})"
     return f"""
 WITH i0 AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-i1 AS (SELECT item_id, text, {raw("text")} AS k, {val("text")} AS kv FROM i0),
-i2 AS (SELECT item_id, text, {typed("k", False)} AS t, {typed("kv", True)} AS ours FROM i1),
-i3 AS (SELECT *, len(t) AS n_tokens, least(len(t), {d.WINDOW}) AS width FROM i2 WHERE len(t) >= {d.MIN_TOKENS}),
-iw AS (SELECT item_id, text, width, unnest(range(0, n_tokens - width + 1)) AS item_pos, unnest(list_transform(range(1, n_tokens - width + 2), lambda q: array_to_string(t[q : q + width - 1], ' '))) AS h FROM i3),
-d1 AS (SELECT doc_id, {raw("text")} AS k, {val("text")} AS kv FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-d2 AS (SELECT doc_id, {typed("k", False)} AS t, {typed("kv", True)} AS theirs FROM d1),
-dw AS (SELECT doc_id, width, unnest(range(0, len(t) - width + 1)) AS pos, unnest(list_transform(range(1, len(t) - width + 2), lambda q: array_to_string(t[q : q + width - 1], ' '))) AS h FROM d2, (SELECT DISTINCT width FROM i3) w WHERE len(t) >= width),
-hits AS (SELECT dw.doc_id, iw.item_id, iw.text, iw.width, iw.item_pos, dw.pos - iw.item_pos AS shift FROM dw JOIN iw ON iw.h = dw.h AND iw.width = dw.width),
-s AS (SELECT doc_id, item_id, text, shift, row_number() OVER (PARTITION BY doc_id, item_id, text ORDER BY count(*) DESC, shift) AS r FROM hits GROUP BY doc_id, item_id, text, shift),
-p AS (SELECT DISTINCT doc_id, item_id, text, width, item_pos FROM hits),
-g AS (SELECT *, least(width, coalesce(lead(item_pos) OVER (PARTITION BY doc_id, item_id, text ORDER BY item_pos) - item_pos, width)) AS c FROM p),
-c AS (SELECT doc_id, item_id, text, CAST(sum(c) AS INTEGER) AS n_covered FROM g GROUP BY ALL),
-j AS (SELECT c.*, i3.n_tokens, i3.ours, d2.theirs[greatest(s.shift, 0) + 1 : greatest(s.shift, 0) + len(i3.ours)] AS theirs FROM c JOIN s ON s.r = 1 AND s.doc_id = c.doc_id AND s.item_id = c.item_id AND s.text = c.text
-  JOIN i3 ON i3.item_id = c.item_id AND i3.text = c.text JOIN d2 ON d2.doc_id = c.doc_id WHERE c.n_covered >= {d.MIN_COVER} * i3.n_tokens OR c.n_covered >= {d.ENOUGH_TOKENS}),
-x AS (SELECT doc_id, item_id, text, n_tokens, n_covered, unnest(ours[1 : least(len(ours), len(theirs))]) AS x, unnest(theirs[1 : least(len(ours), len(theirs))]) AS y FROM j),
-a AS (SELECT *, x[1] IN ('{d.NUMBER}', '{d.NAME}', '{d.UNIT}') AS slot FROM x WHERE {shape("x")} = {shape("y")}),
-f AS (SELECT doc_id, item_id, text, n_tokens, n_covered, count(*) FILTER (slot) AS n_slots, count(*) FILTER (NOT slot) AS literals, count(DISTINCT x) FILTER (slot) AS nx, count(DISTINCT y) FILTER (slot) AS ny, count(DISTINCT concat(x, chr(1), y)) FILTER (slot) AS nxy, coalesce(bool_or(slot AND x <> y), false) AS differ FROM a GROUP BY ALL),
-k AS (SELECT *, CASE WHEN differ THEN 'reparameterised' ELSE 'verbatim' END AS kind FROM f WHERE literals >= {d.MIN_LITERALS} AND (n_slots = 0 OR (nx + ny) / (2.0 * nxy) >= {d.MIN_CONSISTENCY})),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_covered DESC, n_tokens, kind DESC, n_slots) AS r FROM k)
+ww AS (SELECT DISTINCT text, unnest(regexp_extract_all(text, '{every_word}')) AS word FROM i0),
+low AS (SELECT DISTINCT word FROM ww WHERE regexp_matches(word, '^\\p{{Ll}}') UNION SELECT unnest([{starters}])),
+common AS (SELECT text, list(DISTINCT lower(word)) AS common FROM ww WHERE regexp_matches(word, '^\\p{{Lu}}') AND lower(word) IN (SELECT word FROM low) GROUP BY text),
+w0 AS (SELECT item_id, text, '{d.PLAIN}' AS view, 0 AS skip, text AS wording FROM i0 UNION ALL SELECT item_id, text, '{d.PLAIN}', 1, concat('5 ', text) FROM i0
+  UNION ALL SELECT item_id, text, '{d.CAPITALS}', 0, text FROM i0 UNION ALL SELECT item_id, text, '{d.CAPITALS}', 0, concat(lower(text[1:1]), text[2:]) FROM i0),
+w1 AS (SELECT *, {raw("wording")} AS k, {val("wording")} AS kv FROM w0),
+w2 AS (SELECT item_id, text, view, skip, wording, {typed("k", False)}[skip + 1 :] AS t, {typed("kv", True)}[skip + 1 :] AS ours FROM w1),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY item_id, view, text, t ORDER BY skip, wording) AS again FROM w2),
+i3 AS (SELECT w3.*, concat(view, ':', wording) AS version, len(t) AS n_tokens, least(len(t), {d.WINDOW}) AS width, coalesce(common, []) AS common FROM w3 LEFT JOIN common ON common.text = w3.text WHERE again = 1 AND len(t) >= {d.MIN_TOKENS}),
+iw AS (SELECT item_id, view, version, width, unnest(range(0, n_tokens - width + 1)) AS item_pos, unnest(list_transform(range(1, n_tokens - width + 2), lambda q: array_to_string(t[q : q + width - 1], ' '))) AS h FROM i3),
+d0 AS (SELECT doc_id, text, view FROM documents, (VALUES ('{d.PLAIN}'), ('{d.CAPITALS}')) AS v(view) WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+d1 AS (SELECT doc_id, view, {raw("text")} AS k, {val("text")} AS kv FROM d0),
+d2 AS (SELECT doc_id, view, {typed("k", False)} AS t, {typed("kv", True)} AS theirs FROM d1),
+dw AS (SELECT doc_id, d2.view, width, unnest(range(0, len(t) - width + 1)) AS pos, unnest(list_transform(range(1, len(t) - width + 2), lambda q: array_to_string(t[q : q + width - 1], ' '))) AS h FROM d2, (SELECT DISTINCT width FROM i3) w WHERE len(t) >= width),
+hits AS (SELECT dw.doc_id, iw.item_id, iw.view, iw.version, iw.width, iw.item_pos, dw.pos - iw.item_pos AS shift FROM dw JOIN iw ON iw.h = dw.h AND iw.width = dw.width AND iw.view = dw.view),
+s AS (SELECT doc_id, item_id, version, shift, row_number() OVER (PARTITION BY doc_id, item_id, version ORDER BY count(*) DESC, shift) AS r FROM hits GROUP BY doc_id, item_id, version, shift),
+p AS (SELECT DISTINCT doc_id, item_id, version, width, item_pos FROM hits),
+g AS (SELECT *, least(width, coalesce(lead(item_pos) OVER (PARTITION BY doc_id, item_id, version ORDER BY item_pos) - item_pos, width)) AS c FROM p),
+c AS (SELECT doc_id, item_id, version, CAST(sum(c) AS INTEGER) AS n_covered FROM g GROUP BY ALL),
+j AS (SELECT c.*, s.shift, i3.view, i3.n_tokens, i3.ours, i3.common, d2.theirs FROM c JOIN s ON s.r = 1 AND s.doc_id = c.doc_id AND s.item_id = c.item_id AND s.version = c.version
+  JOIN i3 ON i3.item_id = c.item_id AND i3.version = c.version JOIN d2 ON d2.doc_id = c.doc_id AND d2.view = i3.view WHERE {share} OR (i3.view = '{d.PLAIN}' AND n_covered >= {d.VERBATIM_RUN})),
+x0 AS (SELECT doc_id, item_id, version, view, n_tokens, n_covered, common, ours, theirs, shift, unnest(range(1, len(ours) + 1)) AS i FROM j),
+x AS (SELECT doc_id, item_id, version, view, n_tokens, n_covered, common, i, ours[i] AS x, CASE WHEN shift + i >= 1 THEN theirs[shift + i] END AS y FROM x0),
+q AS (SELECT doc_id, item_id, version, max(n) AS run FROM (SELECT doc_id, item_id, version, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, version ORDER BY i) AS island FROM x WHERE x = y) GROUP BY doc_id, item_id, version, island) GROUP BY ALL),
+a AS (SELECT *, x[1] IN ('{d.NUMBER}', '{d.NAME}', '{d.UNIT}') AS slot, x[1] = '{d.NAME}' AND list_contains(common, string_split(x[2:], ' ')[1]) AND NOT list_contains(string_split(y[2:], ' '), string_split(x[2:], ' ')[1]) AS other FROM x WHERE y IS NOT NULL AND {shape("x")} = {shape("y")}),
+f AS (SELECT doc_id, item_id, version, view, n_tokens, n_covered, count(*) FILTER (slot) AS n_slots, count(*) FILTER (NOT slot) AS literals, count(DISTINCT x) FILTER (slot) AS nx, count(DISTINCT y) FILTER (slot) AS ny, count(DISTINCT concat(x, chr(1), y)) FILTER (slot) AS nxy, coalesce(bool_or(slot AND x <> y), false) AS differ, bool_or(other) AS other FROM a GROUP BY ALL),
+k AS (SELECT f.*, coalesce(q.run, 0) AS run, {share} AND literals >= {d.MIN_LITERALS} AND (n_slots = 0 OR (nx + ny) / (2.0 * nxy) >= {d.MIN_CONSISTENCY}) AS copied FROM f LEFT JOIN q ON q.doc_id = f.doc_id AND q.item_id = f.item_id AND q.version = f.version WHERE NOT other),
+m AS (SELECT *, CASE WHEN differ AND copied THEN 'reparameterised' ELSE 'verbatim' END AS kind FROM k WHERE copied OR run = n_tokens OR (view = '{d.PLAIN}' AND run >= {d.VERBATIM_RUN})),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_covered DESC, n_tokens, kind DESC, n_slots) AS r FROM m)
 SELECT doc_id, item_id, CAST(n_tokens AS INTEGER) AS n_tokens, n_covered, CAST(n_slots AS INTEGER) AS n_slots, kind FROM b WHERE r = 1
 """
 

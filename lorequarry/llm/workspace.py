@@ -7,6 +7,7 @@ and goes on from the file. That cuts the lineage, and a lost executor costs only
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,12 @@ def _remove_all() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a new local folder."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a new local folder if all runs on this machine, as in
+    tests, and an error otherwise."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lorequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,5 +72,13 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or ``name`` with underscores behind it, that none of the frames has as a column in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def nonempty(df: DataFrame) -> bool:
     return len(df.take(1)) > 0

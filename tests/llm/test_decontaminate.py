@@ -42,11 +42,12 @@ def test_inconsistent_values_are_no_copy(spark):
 def test_template_tokens(spark):
     text = "He paid $3,000.50 to Mary Ann in five minutes, 12km from New York. The end 7%"
     df = spark.createDataFrame([(text,)], "t string")
-    shape = dc.with_template(df, "t", "x").first()["x"]
-    values = dc.with_values(df, "t", "x").first()["x"]
-    assert shape == ["he", "paid", dc.NUMBER, "to", dc.NAME, "in", dc.NUMBER, dc.UNIT, dc.NUMBER, dc.UNIT, "from", dc.NAME, "the", "end", dc.NUMBER]
-    assert [v[0] if v[0] in dc.NUMBER + dc.NAME + dc.UNIT else v for v in values] == shape
-    assert dc.NAME + "mary ann" in values and dc.NUMBER + "$3,000.50" in values
+    for view, words in ((dc.PLAIN, "he paid # to mary ann in # @ # @ from new york the end #"), (dc.CAPITALS, "~ paid # to ~ in # @ # @ from ~ ~ end #")):
+        shape = dc.with_template(df, "t", "x", view).first()["x"]
+        values = dc.with_values(df, "t", "x", view).first()["x"]
+        assert shape == words.translate(str.maketrans("#~@", dc.NUMBER + dc.NAME + dc.UNIT)).split(" ")
+        assert [v[0] if v[0] in dc.NUMBER + dc.NAME + dc.UNIT else v for v in values] == shape
+        assert dc.NUMBER + "$3,000.50" in values and (view == dc.PLAIN or dc.NAME + "mary ann" in values)
 
 
 def test_edge_cases(spark):
