@@ -42,6 +42,13 @@ def cluster_candidates(units: DataFrame, clusters: DataFrame, covered: DataFrame
     return g.select(F.coalesce("_l", fx.first_words(F.col("longest"))).alias("label"), F.lit("clustering").alias("source_signal"), F.coalesce("_k", F.lit(0.3)).alias("confidence"), F.array().cast("array<string>").alias("heading_path"), "unit_ids", "source_file", "first")
 
 
+def prompt_texts(units: DataFrame, clusters: DataFrame, most: int = 20) -> DataFrame:
+    """``cluster, texts``: the first texts of each cluster, for a model that is to name it."""
+    w = Window.partitionBy("cluster").orderBy("ord")
+    u = units.join(clusters, "id").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return u.groupBy("cluster").agg(_in_order("text").alias("texts"))
+
+
 def concept_mode(candidate_tags: DataFrame) -> DataFrame:
     """``candidate_tags(candidate, pos, iri, label, confidence)`` -> ``candidate, iri, label, n, mean_confidence``: the most
     frequent concept, the first met of equals, with its label as last met."""
@@ -140,8 +147,9 @@ def type_counts(links: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def jurisdiction_flags(links: DataFrame, units: DataFrame, pattern: str = fx.JURISDICTIONAL) -> DataFrame:
-    hit = links.join(units.select(F.col("id").alias("unit_id"), "text"), "unit_id")
-    return hit.groupBy("task_id").agg(F.bool_or(fx.is_jurisdictional(F.col("text"), pattern)).alias("jurisdiction_sensitive"))
+    # the pattern runs once a unit, and no text meets the links
+    hit = links.join(units.select(F.col("id").alias("unit_id"), fx.is_jurisdictional(F.col("text"), pattern).alias("hit")), "unit_id")
+    return hit.groupBy("task_id").agg(F.bool_or("hit").alias("jurisdiction_sensitive"))
 
 
 def procedural_order(tasks: DataFrame, orders: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written to the session's checkpoint folder, which executors share, and read from there.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary one is taken.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken if all runs on this machine, as in
+    tests; on a cluster that is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorequarry-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="lorequarry-"))
     return df.checkpoint()
 
 

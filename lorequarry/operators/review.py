@@ -43,8 +43,13 @@ def with_review(units: DataFrame, decisions: DataFrame) -> DataFrame:
     return j.withColumn("review_status", F.coalesce("_s", F.lit("unreviewed"))).withColumn("edited_text", F.coalesce("edited_text", F.lit(""))).drop("_id", "_s")
 
 
-def list_units(units: DataFrame, concept: str = "__all__", confidence: str | None = None, high: float = fx.HIGH, medium: float = fx.MEDIUM) -> DataFrame:
-    """Units by concept, ``__all__`` and ``__untagged__`` included, and by confidence band."""
+def list_units(units: DataFrame, concept: str = "__all__", confidence: str | None = None, high: float = fx.HIGH, medium: float = fx.MEDIUM, status: str | None = None, types: tuple[str, ...] = ()) -> DataFrame:
+    """Units by concept, ``__all__`` and ``__untagged__`` included, by confidence band, and by review status and types if
+    they are given."""
+    if status:
+        units = units.where(F.col("review_status") == status)
+    if types:
+        units = units.where(F.col("unit_type").isin(*types))
     if concept == "__untagged__":
         units = units.where(F.size("tags") == 0)
     elif concept != "__all__":
@@ -174,8 +179,11 @@ def iri_registry(registry: DataFrame, entities: DataFrame, namespace: str) -> Da
     return registry.unionByName(fresh.select("entity_id", fx.mint_iri(F.col("entity_id"), namespace).alias("iri"), F.lit(None).cast("timestamp").alias("deprecated_at")))
 
 
-def deprecate(registry: DataFrame, entity_id: str, at: Column) -> DataFrame:
-    return registry.withColumn("deprecated_at", F.when(F.col("entity_id") == entity_id, at).otherwise(F.col("deprecated_at")))
+def deprecate(registry: DataFrame, entity_id: str, at: Column, successor: str | None = None) -> DataFrame:
+    """With the time, and the successor's IRI if one is given; an entity that was deprecated before keeps its time."""
+    mine = F.col("entity_id") == entity_id
+    out = registry.withColumn("deprecated_at", F.when(mine, F.coalesce("deprecated_at", at)).otherwise(F.col("deprecated_at")))
+    return out if successor is None else out.withColumn("successor", F.when(mine, F.lit(successor)).otherwise(F.col("successor") if "successor" in registry.columns else F.lit(None).cast("string")))
 
 
 def iri_collisions(registry: DataFrame) -> DataFrame:
@@ -188,6 +196,96 @@ def authorities(log: DataFrame) -> DataFrame:
     return latest(ok, ["corpus_name", "source_file"], "at", "event_id").orderBy(F.desc("authority_level"), "source_file")
 
 
+def lookup(rows: DataFrame, key: str, value: object) -> dict:
+    """The row whose key has the value; a missing one is a KeyError."""
+    found = rows.where(F.col(key) == F.lit(value)).head(1)
+    if not found:
+        raise KeyError(value)
+    return found[0].asDict(recursive=True)
+
+
+def in_canonical_order(tasks: DataFrame) -> DataFrame:
+    """With the ``place`` of each task below its parent: by ``canonical_order``, those without one first, then by label."""
+    w = Window.partitionBy("parent_task_id").orderBy(F.col("canonical_order").asc_nulls_first(), "label", "task_id")
+    return tasks.withColumn("place", F.row_number().over(w))
+
+
+def in_label_order(rows: DataFrame, group: str) -> DataFrame:
+    """With the ``place`` of each row in its group by label, in code point order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("label", "id")))
+
+
+def task_units(links: DataFrame, units: DataFrame) -> DataFrame:
+    """Units of tasks with what the link says: whether it is the canonical one of its unit, and how sure it is.
+
+    A unit's canonical link is its surest, of equals that of the smallest task id; a missing confidence is 0.
+    """
+    sure = F.coalesce("assignment_confidence", F.lit(0.0))
+    first = links.groupBy("unit_id").agg(F.min_by("task_id", F.struct(-sure, "task_id")).alias("_first"))
+    linked = links.join(first, "unit_id").withColumn("is_canonical", F.col("task_id") == F.col("_first")).withColumn("assignment_confidence", sure).drop("_first")
+    return linked.join(units.withColumnRenamed("id", "unit_id"), "unit_id")
+
+
+def task_detail(tasks: DataFrame, links: DataFrame, units: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """``task_id, unit_type, n, has_unresolved``: the units of each task by type; types are null for a task without units."""
+    n = links.join(units.select(F.col("id").alias("unit_id"), "unit_type"), "unit_id").groupBy("task_id", "unit_type").agg(F.count("*").alias("n"))
+    open_ = contradictions.where("resolution is null").select("task_id").distinct().withColumn("_open", F.lit(True))
+    t = tasks.select("task_id").join(n, "task_id", "left").join(open_, "task_id", "left")
+    return t.select("task_id", "unit_type", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("_open", F.lit(False)).alias("has_unresolved"))
+
+
+def filter_tasks(tasks: DataFrame, status: str | None = None, band: str | None = None, flags: tuple[str, ...] = (), high: float = fx.HIGH, medium: float = fx.MEDIUM) -> DataFrame:
+    """Tasks by status, confidence band, and flags that must be set, such as ``has_contradictions``, ``has_orphans`` and
+    ``jurisdiction_sensitive``."""
+    if status:
+        tasks = tasks.where(F.col("status") == status)
+    if band:
+        tasks = tasks.where(fx.band(F.col("confidence"), high, medium) == band)
+    for f in flags:
+        tasks = tasks.where(F.coalesce(F.col(f), F.lit(False)))
+    return tasks
+
+
+def dashboard(stats: DataFrame, bands: DataFrame) -> DataFrame:
+    """``stats`` of ``discovery_stats`` with ``top_level``, ``pending`` and the band that most units are in; the highest of
+    equals."""
+    rank = F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("band"))
+    most = bands.agg(F.max_by("band", F.struct("n", rank)).alias("majority_band"))
+    return one_row(stats.withColumn("top_level", F.col("total_tasks") - F.col("subtasks")).withColumn("pending", F.col("contradictions") - F.col("resolved")), most)
+
+
+def type_histogram(units: DataFrame, types: tuple[str, ...] = fx.UNIT_TYPES) -> DataFrame:
+    """``unit_type, n`` of all types, zeros included."""
+    known = units.sparkSession.createDataFrame([(t,) for t in types], "unit_type string")
+    n = units.groupBy("unit_type").agg(F.count("*").alias("n"))
+    return known.join(n, "unit_type", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def tagged_count(units: DataFrame) -> DataFrame:
+    return units.agg(F.count("*").alias("total"), F.count_if(F.size("tags") > 0).alias("tagged"))
+
+
+def export_totals(tasks: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:
+    """Units as an export counts them: ``linked_units`` once for each task that they are in, and ``total_units``."""
+    return one_row(tasks.agg(F.count("*").alias("total_tasks")), links.join(tasks.select("task_id"), "task_id", "left_semi").agg(F.count("*").alias("linked_units")), units.agg(F.count("*").alias("total_units")))
+
+
+def create_task(tasks: DataFrame, log: DataFrame, task: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """``task``, a row made by hand, is added unless its id is taken; the log gets a row for each that was added."""
+    fresh = task.join(tasks.select("task_id"), "task_id", "left_anti")
+    return append(tasks, fresh), append(log, audit(fresh, "create", at))
+
+
+def audit(tasks: DataFrame, action: str, at: Column, detail: Column | None = None) -> DataFrame:
+    """A log row for each task: moves, merges, splits and deletions are told apart by ``action``."""
+    return tasks.select("task_id", F.lit(action).alias("action"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"), at.alias("at"))
+
+
+def reset(log: DataFrame, units: DataFrame) -> DataFrame:
+    """The log without the decisions on ``units(id)``, those of a corpus."""
+    return log.join(units.select("id"), "id", "left_anti")
+
+
 def locked_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks that the next discovery must keep, with their edited labels."""
     return tasks.where(F.col("status").isin("approved", "edited")).withColumn("label", fx.edited_label(F.col("edited_label"), F.col("label")))

@@ -11,24 +11,30 @@ TAG = "struct<iri:string,label:string,confidence:double,contributing_paths:array
 RULER_CONFIDENCE, LLM_CONFIDENCE = 0.72, 0.5
 SEMANTIC_MIN, SEMANTIC_K = 0.3, 10
 RESOLVE_MIN = 0.6
+#: Up to so many labels their first words are broadcast.
+BROADCAST_LABELS = 200_000
 
 
 def ruler(units: DataFrame, concepts: DataFrame, longest: int | None = None) -> DataFrame:
     """``units(id, text)``, ``concepts(iri, label, branch)`` -> ``id, pos, iri, label, branch, confidence``: labels that
     occur in the text as whole words, in any case.
 
-    Word n-grams of the text are hash-joined with the labels, so that the cost doesn't grow with their number.
-    The n-grams have up to ``longest`` words, as many as the longest label if it isn't given.
+    Words of the text meet the labels' first words, and the n-grams from there on the labels, so that the cost doesn't
+    grow with their number. With ``longest``, longer labels are left out.
     """
     if longest is None:
         longest = concepts.agg(F.max(F.size(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}]+"), lambda w: w != "")))).first()[0] or 1
         longest = max(longest, 1)
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))))
-    found = units.select("id", words.alias("words")).select("id", F.explode(grams).alias("g")).select("id", F.col("g.gram").alias("gram"), F.col("g.pos").alias("pos"))
-    found = found.groupBy("id", "gram").agg(F.min("pos").alias("pos"))
-    names = concepts.withColumn("gram", F.array_join(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")).where("gram <> ''")
-    return found.join(names, "gram").select("id", "pos", "iri", "label", "branch", F.lit(RULER_CONFIDENCE).alias("confidence"))
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    names = concepts.withColumn("words", split("label")).withColumn("gram", F.array_join("words", " ")).where("gram <> ''")
+    # labels are looked for where their first word is
+    starts = names.groupBy(F.get("words", F.lit(0)).alias("word")).agg(F.array_sort(F.collect_set(F.size("words"))).alias("sizes"))
+    starts = F.broadcast(starts) if concepts.count() <= BROADCAST_LABELS else starts
+    ahead = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"), F.slice("words", i + 1, longest).alias("ahead")))
+    at = units.select("id", split("text").alias("words")).select("id", F.inline(ahead)).join(starts, "word")
+    at = at.select("id", "pos", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.size("ahead")), lambda n: F.array_join(F.slice("ahead", 1, n), " "))).alias("gram"))
+    found = at.join(names.select("gram").distinct(), "gram", "left_semi").groupBy("id", "gram").agg(F.min("pos").alias("pos"))
+    return found.join(names.drop("words"), "gram").select("id", "pos", "iri", "label", "branch", F.lit(RULER_CONFIDENCE).alias("confidence"))
 
 
 def label_search(headings: DataFrame, concepts: DataFrame, least: float = 0.3) -> DataFrame:

@@ -88,7 +88,7 @@ def similar_pairs(spark, sf):
     return similarity.similar_pairs(fix.table(spark, sf, "embeddings"), 0.35, key="vec_id").select("a", "b")
 
 
-@query()
+@query("", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.45")
 def bucketed_pairs(spark, sf):
     return similarity.bucketed_pairs(fix.table(spark, sf, "embeddings"), 0.45, key="vec_id").select("a", "b")
 
@@ -447,7 +447,13 @@ def knowledge_units(spark, sf):
     return elements.knowledge_units(b).select("id", "content_hash")
 
 
-@query()
+@query("", r"""WITH c AS (SELECT conv_id AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no, trim(concat(CASE role WHEN 'system' THEN '# ' WHEN 'user' THEN '- ' ELSE '' END, replace(text, chr(10), ' '))) AS line FROM conversations),
+k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}\s+.+$') THEN 'heading' WHEN regexp_matches(line, '^([-*+]|\d+\.)\s+.+$') THEN 'list_item' ELSE 'paragraph' END AS kind FROM c),
+s AS (SELECT *, CASE WHEN kind <> 'paragraph' OR coalesce(lag(kind) OVER w, 'blank') <> 'paragraph' THEN 1 ELSE 0 END AS first FROM k WINDOW w AS (PARTITION BY file_path ORDER BY no)),
+r AS (SELECT *, sum(first) OVER (PARTITION BY file_path ORDER BY no) AS run FROM s),
+e AS (SELECT file_path, run, kind, min(no) AS no, string_agg(line, chr(10) ORDER BY no) AS raw FROM r WHERE kind <> 'blank' GROUP BY file_path, run, kind)
+SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY no) - 1 AS INTEGER) AS seq, trim(CASE kind WHEN 'heading' THEN regexp_replace(raw, '^#{1,6}\s+', '') WHEN 'list_item' THEN regexp_replace(raw, '^([-*+]|\d+\.)\s+', '') ELSE raw END) AS text,
+kind AS element_type, CAST(CASE kind WHEN 'heading' THEN length(regexp_extract(raw, '^#{1,6}')) ELSE 0 END AS INTEGER) AS level FROM e""".replace("\\\\", "\\"))
 def markdown_elements(spark, sf):
     """Conversations as Markdown: the system's text a heading, the user's a list item, the assistant's a paragraph."""
     c = fix.table(spark, sf, "conversations")
@@ -543,7 +549,36 @@ def triple_counts(spark, sf):
     return t.groupBy(F.regexp_extract("p", r"[^/#]+$", 0).alias("p")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _ntriples_sql() -> str:
+    x, k = "http://www.w3.org/2001/XMLSchema#", MODULE
+    esc = lambda c: "replace(replace(replace(replace(replace(" + c + r""", '\\', '\\\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+    line = lambda s, p, o, kind="literal", t="": f"SELECT concat('<', {s}, '> <{p}> ', " + (f"'<', {o}, '>'" if kind == "iri" else f"chr(34), {esc(o)}, chr(34)" + (f", '^^<{t}>'" if t else "")) + ", ' .') AS value FROM"
+    g = graph
+    rows = [
+        f"{line(f"'{k}'", g.RDF + 'type', f"'{g.OWL}Ontology'", 'iri')} range(1)",
+        f"{line(f"'{k}'", g.RDFS + 'label', "'Knowledge module'")} range(1)",
+        f"{line(f"'{k}'", g.DC + 'description', "'Knowledge extracted from documents'")} range(1)",
+        f"{line(f"concat('{k}/', p)", g.RDF + 'type', f"'{g.OWL}AnnotationProperty'", 'iri')} (SELECT unnest([{', '.join(f"'{p}'" for p in g.PROPERTIES)}]) AS p)",
+        f"{line('iri', g.RDF + 'type', f"'{g.OWL}Class'", 'iri')} t",
+        f"{line('iri', g.RDFS + 'label', 'label')} t",
+        f"{line('iri', k + '/isProcedural', "'true'", t=x + 'boolean')} t WHERE task_id LIKE 'R%'",
+        f"{line('iri', g.RDFS + 'subClassOf', f"concat('{k}/', parent_task_id)", 'iri')} t WHERE parent_task_id IS NOT NULL",
+        *[f"{line('task_iri', f'{k}/{p}', 'text')} x WHERE unit_type = '{p}'" for p in ("principle", "pitfall")],
+        f"{line('iri', g.RDF + 'type', f"'{g.OWL}NamedIndividual'", 'iri')} v",
+        f"{line('iri', g.RDF + 'type', 'task_iri', 'iri')} v",
+        f"{line('iri', g.RDFS + 'label', 'text[1:100]')} v",
+        f"{line('iri', g.SKOS + 'note', 'text')} v",
+        f"{line('iri', k + '/unitType', 'unit_type')} v",
+        f"{line('iri', k + '/confidence', 'CAST(confidence AS VARCHAR)', t=x + 'float')} v",
+        f"{line('iri', k + '/noveltyScore', 'CAST(confidence / 2 AS VARCHAR)', t=x + 'float')} v WHERE ord % 4 = 0",
+        f"{line('iri', g.PROV + 'wasDerivedFrom', 'source_file')} v",
+        f"{line('iri', g.DC + 'source', 'source_file')} v",
+    ]
+    return f""", t AS (SELECT *, concat('{k}/', task_id) AS iri FROM tasks), x AS (SELECT u.*, concat('{k}/unit/', u.id) AS iri, t.iri AS task_iri FROM links l JOIN t ON t.task_id = l.task_id JOIN units u ON u.ord = l.unit_ord), v AS (SELECT * FROM x WHERE ord % 6 <> 0)
+SELECT DISTINCT value FROM ({" UNION ALL ".join(rows)})"""
+
+
+@query("units tasks links", _ntriples_sql())
 def ntriples(spark, sf):
     return graph.ntriples(graph.triples(*_graph(spark, sf)))
 
@@ -556,9 +591,9 @@ def graph_validation(spark, sf):
     return graph.validate(t, f"{MODULE}/")
 
 
-@query("units tasks links", """SELECT (SELECT count(*) FROM tasks) AS classes, (SELECT count(DISTINCT u.ord) FROM links l JOIN units u ON u.ord = l.unit_ord WHERE u.ord % 6 <> 0) AS individuals""")
+@query("units tasks links", f"""SELECT (SELECT count(*) FROM tasks) AS classes, (SELECT count(DISTINCT u.ord) FROM links l JOIN units u ON u.ord = l.unit_ord WHERE u.ord % 6 <> 0) AS individuals, (SELECT CAST(sum(n) AS BIGINT) FROM ({ORACLES["triple_counts"]}) x) AS triples""")
 def graph_stats(spark, sf):
-    return graph.graph_stats(graph.triples(*_graph(spark, sf))).select("classes", "individuals")
+    return graph.graph_stats(graph.triples(*_graph(spark, sf)))
 
 
 @query("tasks", f"""SELECT concat('{MODULE}/', task_id) AS s, CASE WHEN task_id LIKE '%7' AND task_id LIKE 'C%' THEN 'added' WHEN task_id LIKE 'N%' THEN 'changed' ELSE 'unchanged' END AS change FROM tasks""")
@@ -569,11 +604,17 @@ def graph_diff(spark, sf):
     return graph.graph_diff(graph.triples(before, no, u), graph.triples(t, no, u)).where("kind = 'class'").select("s", "change")
 
 
-@query("tasks", "SELECT t.task_id, CAST(count(c.task_id) AS INTEGER) AS subtasks, CAST(0 AS INTEGER) AS units FROM tasks t LEFT JOIN tasks c ON c.parent_task_id = t.task_id WHERE t.parent_task_id IS NULL GROUP BY t.task_id")
+@query("units tasks links", """SELECT t.task_id, CAST((SELECT count(*) FROM tasks c WHERE c.parent_task_id = t.task_id) AS INTEGER) AS subtasks,
+CAST((SELECT count(DISTINCT u.ord) FROM links l JOIN units u ON u.ord = l.unit_ord WHERE concat('R', CAST(u.ord % 5 AS VARCHAR)) = t.task_id) AS INTEGER) AS units,
+coalesce((SELECT md5(string_agg(text[1:100], '|' ORDER BY ord)) FROM (SELECT DISTINCT u.ord, u.text FROM links l JOIN units u ON u.ord = l.unit_ord WHERE concat('R', CAST(u.ord % 5 AS VARCHAR)) = t.task_id)), md5('')) AS digest FROM tasks t WHERE t.parent_task_id IS NULL""")
 def jsonld_root_chunks(spark, sf):
-    c = graph.jsonld_chunks(*_graph(spark, sf))
-    v = F.from_json("value", "`fi:subtasks` array<struct<`@id`:string>>, `fi:units` array<struct<`@id`:string>>")
-    return c.withColumn("v", v).select("task_id", F.size(F.coalesce(F.col("v.`fi:subtasks`"), F.array())).alias("subtasks"), F.size("v.`fi:units`").alias("units"))
+    """Units are linked to regions too, by their number."""
+    t, l, u = _graph(spark, sf)
+    more = l.select(F.concat(F.lit("R"), F.expr("cast(substring(unit_id, 6) as bigint) % 5").cast("string")).alias("task_id"), "unit_id").distinct()
+    c = graph.jsonld_chunks(t, l.unionByName(more), u)
+    v = F.from_json("value", "`fi:subtasks` array<struct<`@id`:string>>, `fi:units` array<struct<`@id`:string,`rdfs:label`:string>>")
+    labels = F.transform("v.`fi:units`", lambda x: x["rdfs:label"])
+    return c.withColumn("v", v).select("task_id", F.size(F.coalesce(F.col("v.`fi:subtasks`"), F.array())).alias("subtasks"), F.size("v.`fi:units`").alias("units"), F.md5(F.array_join(labels, "|")).alias("digest"))
 
 
 @query()
@@ -582,9 +623,9 @@ def markdown_outline(spark, sf):
     return graph.outline_lines(t.withColumn("ord", F.dense_rank().over(Window.orderBy("task_id"))), l, u)
 
 
-@query("tasks", """, d AS (SELECT task_id, parent_task_id FROM tasks WHERE contains(lower(label), 'an') UNION SELECT t.task_id, t.parent_task_id FROM tasks t JOIN d ON d.parent_task_id = t.task_id) SELECT DISTINCT task_id FROM d""")
+@query("tasks", """, d AS (SELECT task_id, parent_task_id FROM tasks WHERE contains(lower(label), 'n_1') UNION SELECT t.task_id, t.parent_task_id FROM tasks t JOIN d ON d.parent_task_id = t.task_id) SELECT DISTINCT task_id FROM d""")
 def tree_search(spark, sf):
-    return discovery.matching_subtrees(fix.tasks(spark, sf), "an").select("task_id")
+    return discovery.matching_subtrees(fix.tasks(spark, sf), "N_1").select("task_id")
 
 
 @query("tasks", ", r AS (SELECT task_id, 0 AS hops FROM tasks WHERE task_id = 'R1' UNION ALL SELECT t.task_id, r.hops + 1 FROM tasks t JOIN r ON t.parent_task_id = r.task_id) SELECT task_id AS id, hops FROM r WHERE hops > 0")
@@ -614,3 +655,6 @@ def review_activity_tumbling(spark, sf):
 g AS (SELECT *, sum(n) OVER (PARTITION BY unit_ord ORDER BY reviewed_at, event_id) AS s FROM p) SELECT unit_ord, strftime(min(reviewed_at), '%Y-%m-%d %H:%M:%S') AS start, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY unit_ord, s""")
 def review_activity_session(spark, sf):
     return jobs.sessions(fix.decisions(spark, sf), "6 hours").select("unit_ord", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+from . import operator_queries  # noqa: E402, F401  registers its queries

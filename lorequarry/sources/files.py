@@ -23,9 +23,6 @@ FORMATS = {
     ".md": "markdown", ".txt": "plain_text", ".docx": "word", ".doc": "word", ".pdf": "pdf", ".html": "html", ".htm": "html", ".rtf": "rtf",
     ".eml": "email", ".msg": "email", ".csv": "csv", ".xlsx": "excel", ".tsv": "tsv", ".xml": "xml", ".wpd": "wordperfect",
 }
-#: Largest file that a parser task holds.
-MAX_BYTES = 256 << 20
-
 _ELEMENT = "file_path string, seq int, text string, element_type string, level int, section_path array<string>, page int, ok boolean, error string"
 
 
