@@ -28,7 +28,12 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 8, 16, 32
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 _PLACE = {k: i for i, k in enumerate(KINDS)}
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----", re.ASCII)
+_PEM_BEGIN, _PEM_END = "-----BEGIN ", "-----END "
+_PEM_LABEL = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----", re.ASCII)
+_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*+", re.ASCII)
+_PEM_HEADER = re.compile(r"^[ \t]*([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.ASCII | re.MULTILINE)
+#: Block lengths of the ciphers of encrypted blocks, by how their names begin.
+CIPHER_BLOCKS = {"AES": 16, "CAMELLIA": 16, "SEED": 16, "ARIA": 16, "DES": 8, "RC2": 8, "IDEA": 8, "BF": 8, "CAST": 8}
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])", re.ASCII)
 #: Fewest characters of an encoded key: an EC key of 256 bits without its public part takes more.
 B64_MIN, HEX_KEY_MIN = 40, 48
@@ -225,15 +230,35 @@ def _keys(text: str, start: re.Pattern[str], piece: re.Pattern[str], least: int)
     return found
 
 
+def pem_key(body: str) -> bool:
+    """What stands between the marks of a block: a key, or, below the headers of an encrypted one, an IV of the cipher's
+    block length and whole blocks. Line breaks and slashes may be escaped."""
+    body = re.sub(r"\\+/", "/", re.sub(r"\\+t", " ", re.sub(r"\\+[nr]", "\n", body)))
+    headers = {m[1].lower(): m[2] for m in _PEM_HEADER.finditer(body)}
+    data = _decode64("".join(_PEM_HEADER.sub("", body).split()))
+    if headers.get("proc-type", "").replace(" ", "").upper() == "4,ENCRYPTED":
+        cipher, _, iv = headers.get("dek-info", "").partition(",")
+        block = next((n for name, n in CIPHER_BLOCKS.items() if cipher.upper().startswith(name)), 0)
+        return bool(block and data) and re.fullmatch(r"\s*[0-9A-Fa-f]{%d}\s*" % (2 * block), iv) is not None and len(data) % block == 0
+    return _blob_kind(data) is not None
+
+
+def pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks from a BEGIN line to the END line of its label with no other BEGIN between; each part of the text is looked
+    at once."""
+    at = text.find(_PEM_BEGIN)
+    while at >= 0:
+        after = text.find(_PEM_BEGIN, at + len(_PEM_BEGIN))
+        if m := _PEM_LABEL.match(text, at):
+            stop = len(text) if after < 0 else after
+            end = text.find(f"{_PEM_END}{m[1]}-----", m.end(), stop)
+            if end >= 0 and _PEM_BODY.match(text, m.end(), end).end() == end and pem_key(text[m.end() : end]):
+                yield at, end + len(_PEM_END) + len(m[1]) + 5
+        at = after
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    found = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", re.sub(r"\\+[nr]", "\n", m[2]))
-            body = re.sub(r"\\+/", "/", re.sub(r"\\+[nrt]", " ", body))
-            data = _decode64("".join(body.split()))
-            if _blob_kind(data) or (data and "ENCRYPTED" in m[0]):
-                found.append(("pem", *m.span()))
+    found = [("pem", a, b) for a, b in pem_spans(text)]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if token_header(m[1])]
     pems = [(a, b) for k, a, b in found if k == "pem"]
