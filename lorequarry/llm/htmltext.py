@@ -39,12 +39,13 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".
 #: Elements nest no deeper; what lies below goes into the element at this depth, as in browsers.
 DEPTH = 200
 
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
 _START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
 _END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_BRACE = re.compile(r"[{}]")
 _SIMPLE = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+)*)$")
 
 
@@ -79,14 +80,15 @@ class Tree:
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
         while at < n:
-            lt = s.find("<", at)
-            if lt < 0:
+            found = _MARKUP.search(s, at)
+            if not found:
                 self._text(s[at:])
                 return
+            lt = found.start()
             if lt > at:
                 self._text(s[at:lt])
             after = s[lt + 1 : lt + 2]
-            if after.isascii() and after.isalpha():
+            if after not in "/!?":
                 m = _START.match(s, lt) or _LOOSE.match(s, lt)
                 if not m:
                     return  # an unfinished tag at the end is dropped
@@ -94,9 +96,9 @@ class Tree:
                 tag = m[1].lower()
                 attrs = _attributes(m[2])
                 if tag in RAW or tag in ESCAPABLE_RAW or tag == "plaintext":
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(s, at) if tag != "plaintext" else None
+                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(s, at) if tag != "plaintext" else None
                     body = s[at : end.start()] if end else s[at:]
-                    at = end.end() if end else n
+                    at = s.find(">", end.end()) + 1 or n if end else n
                     self._start(tag, attrs)
                     self._raw(tag, body)
                     self._end(tag)
@@ -120,12 +122,9 @@ class Tree:
                     continue
                 end = s.find("-->", lt + 4)
                 at = end + 3 if end >= 0 else n
-            elif after in ("!", "?"):
+            else:
                 gt = s.find(">", lt)
                 at = gt + 1 if gt >= 0 else n
-            else:
-                self._text("<")
-                at = lt + 1
 
     def _raw(self, tag: str, body: str) -> None:
         if tag == "style":
@@ -300,62 +299,98 @@ class Tree:
             self._close(tag, SCOPE if tag in BLOCKS else SCOPE | BLOCKS)
 
 
-def _declared(style: str) -> dict[str, str]:
-    out = {}
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """Of each property whether it is important, and its value; the last one counts, but for important ones before it."""
+    out: dict[str, tuple[bool, str]] = {}
     for part in style.split(";"):
         name, _, value = part.partition(":")
         if value:
-            out[name.strip().lower()] = value.replace("!important", "").strip().lower()
+            bare = value.strip().lower()
+            important = bare.endswith("important") and bare[:-9].rstrip().endswith("!")
+            if important:
+                bare = bare[:-9].rstrip()[:-1].rstrip()
+            name = name.strip().lower()
+            if important or not out.get(name, (False, ""))[0]:
+                out[name] = important, bare
     return out
 
 
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations, in one pass; at-rules with a block hold for some media only and are left out."""
+    head, last, skip = None, 0, 0
+    for m in _BRACE.finditer(sheet):
+        if m[0] == "{":
+            if skip:
+                skip += 1
+                continue
+            head, last = sheet[last : m.start()].rpartition(";")[2], m.end()
+            if head.lstrip().startswith("@"):
+                head, skip = None, 1
+        elif skip:
+            skip -= 1
+            last = m.end()
+        else:
+            if head is not None:
+                yield head, sheet[last : m.start()]
+            head, last = None, m.end()
+
+
 class Visibility:
-    """What simple selectors of style sheets, attributes and inline styles say of an element."""
+    """What simple selectors of style sheets, attributes and inline styles say of an element. As in browsers, important
+    declarations count most, then inline ones, then ids, classes and tags in the selector, then the later one."""
 
     def __init__(self, sheets: list[str]):
-        self.by_tag: dict[str, dict[str, str]] = {}
-        self.by_name: list[tuple[str, list[str], dict[str, str]]] = []
+        #: rules by one name that an element must have: a class, an id, a tag, or none
+        self.rules: dict[str, list[tuple[frozenset[str], str, tuple, dict[str, tuple[bool, str]]]]] = {}
+        order = 0
         for sheet in sheets:
             if "none" not in sheet and "hidden" not in sheet and "collapse" not in sheet:
                 continue
-            sheet = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)
-            sheet = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", sheet)  # rules that hold for some media only
-            for selectors, body in _RULE.findall(sheet):
+            for selectors, body in _rules(_without_comments(sheet)):
                 said = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
                 for sel in selectors.split(",") if said else ():
                     m = _SIMPLE.match(sel.strip())
-                    if m and m[2]:
-                        self.by_name.append(((m[1] or "").lower(), re.findall(r"[.#][\w-]+", m[2]), said))
-                    elif m and m[1]:
-                        self.by_tag.setdefault(m[1].lower(), {}).update(said)
+                    if m and m[0]:
+                        tag, need, order = (m[1] or "").lower(), re.findall(r"[.#][\w-]+", m[2]), order + 1
+                        ids = sum(x[0] == "#" for x in need)
+                        rule = frozenset(need), tag, (0, ids, len(need) - ids, len(tag) > 0, order), said
+                        self.rules.setdefault(need[0] if need else tag or "*", []).append(rule)
 
     def of(self, node: Node, inherited: bool) -> tuple[bool, bool]:
         """Whether the element takes part in the layout, and whether its own text is seen."""
         if node.tag in NEVER:
             return False, False
-        said: dict[str, str] = {}
-        if node.tag in self.by_tag:
-            said.update(self.by_tag[node.tag])
-        if not node.attrs:
-            shown = said.get("display") != "none" and node.tag != "dialog"
-            return shown, _seen(said, inherited)
-        a = node.attrs
-        if self.by_name:
-            names = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
-            for tag, need, what in self.by_name:
-                if tag in ("", node.tag) and names.issuperset(need):
-                    said.update(what)
-        if "hidden" in a and a["hidden"].lower() != "until-found":
-            said.setdefault("display", "none")
+        a, said = node.attrs, {}
+        if self.rules:
+            names = ({f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())) if a else set()
+            for key in (node.tag, "*", *names):
+                for need, tag, rank, what in self.rules.get(key, ()):
+                    if tag in ("", node.tag) and names.issuperset(need):
+                        _cascade(said, what, rank)
         if "style" in a:
-            said.update(_declared(a["style"]))
-        shown = said.get("display") != "none" and not (node.tag == "dialog" and "open" not in a) and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
-        return shown, _seen(said, inherited)
+            _cascade(said, _declared(a["style"]), (1,))
+        display = said["display"][1] if "display" in said else "none" if "hidden" in a and a["hidden"].lower() != "until-found" else ""
+        shown = display != "none" and not (node.tag == "dialog" and "open" not in a) and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
+        return shown, _seen(said["visibility"][1] if "visibility" in said else None, inherited)
+
+
+def _cascade(said: dict[str, tuple[tuple, str]], what: dict[str, tuple[bool, str]], rank: tuple) -> None:
+    for name, (important, value) in what.items():
+        if name not in said or (important, rank) >= said[name][0]:
+            said[name] = (important, rank), value
+
+
+def _without_comments(sheet: str) -> str:
+    out, at = [], 0
+    while (i := sheet.find("/*", at)) >= 0:
+        out.append(sheet[at:i])
+        j = sheet.find("*/", i + 2)
+        at = len(sheet) if j < 0 else j + 2
+    return "".join([*out, sheet[at:]])
 
 
-def _seen(said: dict[str, str], inherited: bool) -> bool:
-    v = said.get("visibility")
-    return inherited if v in (None, "inherit") else v not in ("hidden", "collapse")
+def _seen(visibility: str | None, inherited: bool) -> bool:
+    return inherited if visibility in (None, "inherit") else visibility not in ("hidden", "collapse")
 
 
 def width(s: str) -> int:

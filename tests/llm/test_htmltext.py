@@ -81,3 +81,94 @@ def test_query_edge_cases(spark):
     got = extract(df).collect()
     assert [(r["page_id"], r["n_chars"]) for r in got] == [(1, 1), (2, 0), (3, 0), (3, 0), (4, 399_999)]
     assert extract(df.limit(0)).count() == 0
+
+
+# A plain renderer of a subset, to compare with: words, spans, breaks, hidden elements, divisions and paragraphs.
+
+words = st.sampled_from(["ab", "c ", " d", "&amp;", " e  f ", "\n"])
+inline = st.recursive(words, lambda x: st.tuples(st.sampled_from(["b", "span", "br", "hidden", "unseen"]), st.lists(x, max_size=3)), max_leaves=6)
+block = st.recursive(inline, lambda x: st.one_of(st.tuples(st.just("div"), st.lists(x, max_size=4)), st.tuples(st.just("p"), st.lists(inline, max_size=4))), max_leaves=12)
+
+
+def written(node):
+    if isinstance(node, str):
+        return node
+    tag, children = node
+    body = "".join(map(written, children))
+    if tag == "br":
+        return "<br>"
+    name, attr = {"hidden": ("span", " style='display:none'"), "unseen": ("i", " class=gone")}.get(tag, (tag, ""))
+    return f"<{name}{attr}>{body}</{name}>"
+
+
+def plain(nodes):
+    parts = []  # texts, and numbers of line ends
+
+    def walk(node):
+        if isinstance(node, str):
+            parts.append(node.replace("&amp;", "&"))
+        elif node[0] == "br":
+            parts.append("\0")
+        elif node[0] not in ("hidden", "unseen"):
+            edge = {"div": 1, "p": 2}.get(node[0], 0)
+            parts.append(edge)
+            for x in node[1]:
+                walk(x)
+            parts.append(edge)
+
+    for n in nodes:
+        walk(n)
+    out, gap, run = "", 0, ""
+
+    def flush():
+        nonlocal out, gap, run
+        text = "\n".join(" ".join(line.split()) for line in run.split("\0"))
+        text = text[:-1] if text.endswith("\n") else text  # a break at the end of a block ends its line and no more
+        if text.strip() or "\0" in run:
+            out += ("\n" * gap if out else "") + text
+            gap = 0
+        run = ""
+
+    for p in [*parts, 1]:
+        if isinstance(p, str):
+            run += p
+        elif p:
+            flush()
+            gap = max(gap, p)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(block, max_size=5))
+def test_matches_a_plain_renderer(nodes):
+    html = "<style>.gone{display:none}</style><body>" + "".join(map(written, nodes))
+    if "<br>" in html:  # blank lines at block edges are laid out in their own way
+        assert text(html).split() == plain(nodes).split()
+    else:
+        assert text(html) == plain(nodes)
+
+
+def test_cascade_of_style_sheets():
+    assert text("<style>#a{display:block} .x{display:none}</style><p id=a class=x>1<p class=x>2") == "1"
+    assert text("<style>.x{display:none !important} #a{display:block}</style><p id=a class=x>1<p>2") == "2"
+    assert text("<style>.x{display:none!important}</style><p class=x style='display:block'>1<p style='display:none'>2<p>3") == "3"
+    assert text("<style>.x{display:none} p.x{display:block}</style><p class=x>1<i class=x>2</i>") == "1"
+    assert text("<style>@import 'a'; .x{display:none} @media print{.y{display:none}} /* .z{display:none} */</style><p class=x>1<p class=y>2<p class=z>3") == "2\n\n3"
+    assert text("<style>.x{display:none</style><p class=x>1") == "1"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for html in ("<style>none " + "a b, " * 1_000_000, "<style>none " + "a{b:c " * 800_000, "<p>x<style>none" + "</style " * 600_000, "<a " * 1_600_000, "<" * 5_000_000, "<!--" * 1_200_000, "<style>none @m{" + "a{b}" * 1_000_000, "&" * 5_000_000):
+        start = time.process_time()
+        render(html)
+        assert time.process_time() - start < 5
+    rules = "<style>" + "".join(f".c{i}{{display:none}}" for i in range(20_000)) + "</style>" + "<p class=c5>x" * 20_000
+    start = time.process_time()
+    assert render(rules)[1] == "" and time.process_time() - start < 5
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", "<title>T</title><p>a", "x", "y", "z")], "page_id long, url string, html string, text string, title string, n_chars string")
+    assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "T", "a", 1)]
