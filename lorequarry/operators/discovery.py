@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from .lineage import cut
+from .providers import map_rows
 from .similarity import components, nearest, similar_pairs
 
 MIN_UNITS_PER_HEADING, MIN_CLUSTER, MAX_OVERLAP = 2, 3, 0.7
@@ -220,6 +222,15 @@ def unit_pairs(links: DataFrame, units: DataFrame) -> DataFrame:
     return a.join(b, "task_id").where("ao < bo").select("task_id", "a", "b")
 
 
+def scored_pairs(pairs: DataFrame, units: DataFrame, score: Callable[[list[dict]], list[dict]], batch: int = 64) -> DataFrame:
+    """``pairs(task_id, a, b)`` -> ``a, b, score``: each pair of texts is read once by the model, whatever tasks it is in, and
+    texts meet their pairs only there. A batch that fails gives no scores."""
+    text = lambda c: units.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    once = pairs.select("a", "b").distinct().join(text("a"), "a").join(text("b"), "b").withColumn("id", F.concat_ws("|", "a", "b"))
+    got = map_rows(once.select("id", "text_a", "text_b"), score, "id string, score double", batch)
+    return once.select("id", "a", "b").join(got, "id").where("score is not null").select("a", "b", "score")
+
+
 def screen(pairs: DataFrame, scores: DataFrame, threshold: float = CONTRADICTION) -> DataFrame:
     """Pairs whose contradiction score is above the threshold."""
     return pairs.join(scores, ["a", "b"]).where(F.col("score") > threshold)

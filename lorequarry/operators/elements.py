@@ -137,16 +137,31 @@ def semantic_splits(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``sentences(paragraph, no, text, embedding)`` -> ``paragraph, segment, text, n``.
 
     A segment ends where the cosine of neighbours falls below ``threshold``; its sentences are joined by spaces.
-    Paragraphs that stay whole are not returned.
+    Paragraphs that stay whole, and those of fewer than two sentences, are not returned. With ``start`` and ``end`` of the
+    sentences, segments have theirs.
     """
+    span = [F.min("start").alias("start"), F.max("end").alias("end")] if {"start", "end"} <= set(sentences.columns) else []
     w = Window.partitionBy("paragraph").orderBy("no")
     s = sentences.withColumn("similarity", fx.dot(F.lag("embedding").over(w), F.col("embedding")))
     s = s.withColumn("segment", F.sum(F.coalesce((F.col("similarity") < threshold).cast("int"), F.lit(0))).over(w))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), " ")
-    parts = s.groupBy("paragraph", "segment").agg(joined.alias("text"), F.count("*").alias("n"))
+    parts = s.groupBy("paragraph", "segment").agg(joined.alias("text"), F.count("*").alias("n"), *span)
     return parts.withColumn("_all", F.count("*").over(Window.partitionBy("paragraph"))).where("_all > 1").drop("_all")
 
 
+def sentences_of(boundaries: DataFrame) -> DataFrame:
+    """``paragraph, no, text, start, end`` of the sentences of ambiguous boundaries; ``paragraph`` is their key."""
+    key = F.struct("file_path", "seq", "part").alias("paragraph")
+    found = boundaries.where(ambiguous(boundaries)).select(key, F.col("start").alias("base"), F.posexplode(parts_with_positions(F.col("text"), fx.sentences(F.col("text")))).alias("no", "p"))
+    return found.select("paragraph", "no", F.col("p.part").alias("text"), (F.col("base") + F.col("p.start")).alias("start"), (F.col("base") + F.col("p.end")).alias("end"))
+
+
+def semantic_tier(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``sentences_of`` with ``embedding`` -> the segments that ``refine`` takes as those of the second tier."""
+    parts = semantic_splits(sentences, threshold)
+    return parts.select("paragraph.file_path", "paragraph.seq", "paragraph.part", "start", "end", "text", F.lit(0.75).alias("confidence"), F.lit("semantic").alias("method"))
+
+
 def refine(boundaries: DataFrame, semantic: DataFrame, model: DataFrame) -> DataFrame:
     """The tiers in order: ambiguous boundaries are replaced by their semantic segments, else by those of the model, else
     they stay. ``semantic`` and ``model``: ``file_path, seq, part, start, end, text, confidence, method``."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from .discovery import depths
+from .lineage import cut
 
 # Namespaces of public vocabularies.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -26,68 +27,108 @@ ANNOTATING = {"best_practice": "bestPractice", "principle": "principle", "pitfal
 COLUMNS = ("s", "p", "o", "kind", "datatype")
 
 
-def _triple(s: Column, p: str | Column, o: Column, kind: str = "literal", datatype: str = "") -> list[Column]:
+def _triple(s: Column, p: str | Column, o: Column, kind: str = "literal", datatype: str = "") -> Column:
     p = F.lit(p) if isinstance(p, str) else p
-    return [s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("kind"), F.lit(datatype).alias("datatype")]
+    return F.struct(s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("kind"), F.lit(datatype).alias("datatype"))
 
 
-def triples(tasks: DataFrame, links: DataFrame, units: DataFrame, contradictions: DataFrame | None = None, module: str = MODULE) -> DataFrame:
+def _said(rows: DataFrame, *statements: Column) -> DataFrame:
+    """The statements on each row, in one pass over them; null ones are left out."""
+    return rows.select(F.explode(F.filter(F.array(*statements), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def triples(tasks: DataFrame, links: DataFrame, units: DataFrame, contradictions: DataFrame | None = None, module: str = MODULE, imports: tuple[str, ...] = ()) -> DataFrame:
     """``tasks(task_id, label, iri, parent_task_id, is_procedural)``, ``links(task_id, unit_id)``, ``units(id, iri, text,
     unit_type, confidence, novelty, source_file)`` -> distinct ``s, p, o, kind, datatype``.
 
-    Each kind of statement is a projection of tasks or of linked units; a unit without an IRI is left out.
+    Tasks are read once, and so are linked units; a unit without an IRI says nothing of itself. ``imports`` are the
+    ontologies that the module builds on.
     """
     spark, fi = tasks.sparkSession, f"{module}/"
     iri = lambda ns, x: F.lit(f"{ns}{x}")
-    one = spark.range(1)
-    m = F.lit(module)
-    out = [
-        one.select(*_triple(m, f"{RDF}type", iri(OWL, "Ontology"), "iri")),
-        one.select(*_triple(m, f"{RDFS}label", F.lit("Knowledge module"))),
-        one.select(*_triple(m, f"{DC}description", F.lit("Knowledge extracted from documents"))),
-        spark.createDataFrame([(p,) for p in PROPERTIES], "p string").select(*_triple(F.concat(F.lit(fi), "p"), f"{RDF}type", iri(OWL, "AnnotationProperty"), "iri")),
-        tasks.select(*_triple(F.col("iri"), f"{RDF}type", iri(OWL, "Class"), "iri")),
-        tasks.select(*_triple(F.col("iri"), f"{RDFS}label", F.col("label"))),
-        tasks.where("is_procedural").select(*_triple(F.col("iri"), f"{fi}isProcedural", F.lit("true"), "literal", f"{XSD}boolean")),
-    ]
+    m, s = F.lit(module), F.col("iri")
+    out = _said(spark.range(1), _triple(m, f"{RDF}type", iri(OWL, "Ontology"), "iri"), _triple(m, f"{RDFS}label", F.lit("Knowledge module")), _triple(m, f"{DC}description", F.lit("Knowledge extracted from documents")), *[_triple(F.lit(fi + p), f"{RDF}type", iri(OWL, "AnnotationProperty"), "iri") for p in PROPERTIES], *[_triple(m, f"{OWL}imports", F.lit(x), "iri") for x in imports])
     up = tasks.select(F.col("task_id").alias("parent_task_id"), F.col("iri").alias("up"))
-    out.append(tasks.join(up, "parent_task_id").select(*_triple(F.col("iri"), f"{RDFS}subClassOf", F.col("up"), "iri")))
+    out = out.unionByName(_said(
+        tasks.join(up, "parent_task_id", "left"),
+        _triple(s, f"{RDF}type", iri(OWL, "Class"), "iri"),
+        _triple(s, f"{RDFS}label", F.col("label")),
+        F.when(F.col("is_procedural"), _triple(s, f"{fi}isProcedural", F.lit("true"), "literal", f"{XSD}boolean")),
+        F.when(F.col("up").isNotNull(), _triple(s, f"{RDFS}subClassOf", F.col("up"), "iri")),
+    ))
     u = links.join(tasks.select("task_id", F.col("iri").alias("task_iri")), "task_id").join(units.withColumnRenamed("id", "unit_id"), "unit_id")
     named = F.create_map(*[F.lit(x) for k, v in ANNOTATING.items() for x in (k, fi + v)])
-    out.append(u.where(F.col("unit_type").isin(*ANNOTATING)).select(*_triple(F.col("task_iri"), F.element_at(named, F.col("unit_type")), F.col("text"))))
-    v = u.where("iri is not null and iri <> ''")
-    s = F.col("iri")
-    out += [
-        v.select(*_triple(s, f"{RDF}type", iri(OWL, "NamedIndividual"), "iri")),
-        v.select(*_triple(s, f"{RDF}type", F.col("task_iri"), "iri")),
-        v.select(*_triple(s, f"{RDFS}label", F.substring("text", 1, 100))),
-        v.select(*_triple(s, f"{SKOS}note", F.col("text"))),
-        v.select(*_triple(s, f"{fi}unitType", F.coalesce("unit_type", F.lit("unknown")))),
-        v.select(*_triple(s, f"{fi}confidence", F.coalesce("confidence", F.lit(0.0)), "literal", f"{XSD}float")),
-        v.where("novelty is not null").select(*_triple(s, f"{fi}noveltyScore", F.col("novelty"), "literal", f"{XSD}float")),
-        v.select(*_triple(s, f"{PROV}wasDerivedFrom", F.coalesce("source_file", F.lit("")))),
-        v.select(*_triple(s, f"{DC}source", F.coalesce("source_file", F.lit("")))),
-    ]
+    own = F.coalesce(s, F.lit("")) != ""
+    out = out.unionByName(_said(
+        u,
+        F.when(F.col("unit_type").isin(*ANNOTATING), _triple(F.col("task_iri"), F.try_element_at(named, F.col("unit_type")), F.col("text"))),
+        F.when(own, _triple(s, f"{RDF}type", iri(OWL, "NamedIndividual"), "iri")),
+        F.when(own, _triple(s, f"{RDF}type", F.col("task_iri"), "iri")),
+        F.when(own, _triple(s, f"{RDFS}label", F.substring("text", 1, 100))),
+        F.when(own, _triple(s, f"{SKOS}note", F.col("text"))),
+        F.when(own, _triple(s, f"{fi}unitType", F.coalesce("unit_type", F.lit("unknown")))),
+        F.when(own, _triple(s, f"{fi}confidence", F.coalesce("confidence", F.lit(0.0)), "literal", f"{XSD}float")),
+        F.when(own & F.col("novelty").isNotNull(), _triple(s, f"{fi}noveltyScore", F.col("novelty"), "literal", f"{XSD}float")),
+        F.when(own, _triple(s, f"{PROV}wasDerivedFrom", F.coalesce("source_file", F.lit("")))),
+        F.when(own, _triple(s, f"{DC}source", F.coalesce("source_file", F.lit("")))),
+    ))
     if contradictions is not None:
         c = contradictions.join(tasks.select("task_id", "iri"), "task_id")
         note = F.concat(F.lit("Contradiction between "), "unit_id_a", F.lit(" and "), "unit_id_b", F.lit(" (type: "), F.coalesce("contradiction_type", F.lit("unknown")), F.lit(", resolution: "), F.coalesce("resolution", F.lit("unresolved")), F.lit(")"))
-        out.append(c.select(*_triple(F.col("iri"), f"{fi}contradictionNote", note)))
-    all_ = out[0]
-    for x in out[1:]:
-        all_ = all_.unionByName(x)
-    return all_.dropDuplicates()
+        out = out.unionByName(_said(c, _triple(s, f"{fi}contradictionNote", note)))
+    return out.dropDuplicates()
+
+
+def _literal() -> Column:
+    text = F.col("o")
+    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return F.concat(F.lit('"'), text, F.lit('"'), F.when(F.col("datatype") != "", F.concat(F.lit("^^<"), "datatype", F.lit(">"))).otherwise(""))
 
 
 def ntriples(t: DataFrame) -> DataFrame:
     """A line of N-Triples each."""
-    esc = F.col("o")
-    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        esc = F.replace(esc, F.lit(raw), F.lit(safe))
-    literal = F.concat(F.lit('"'), esc, F.lit('"'), F.when(F.col("datatype") != "", F.concat(F.lit("^^<"), "datatype", F.lit(">"))).otherwise(""))
-    obj = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(literal)
+    obj = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(_literal())
     return t.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), obj, F.lit(" .")).alias("value"))
 
 
+def prefixes(module: str = MODULE) -> dict[str, str]:
+    return {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD, "skos": SKOS, "prov": PROV, "dc": DC, "fi": f"{module}/"}
+
+
+def _short(iri: Column, module: str) -> Column:
+    """The prefixed name of an IRI whose namespace has a prefix and whose rest is a plain name, else null."""
+    cases = [F.when(F.startswith(iri, F.lit(ns)) & F.substring(iri, len(ns) + 1, 1 << 20).rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit(f"{p}:"), F.substring(iri, len(ns) + 1, 1 << 20))) for p, ns in prefixes(module).items()]
+    return F.coalesce(*cases)
+
+
+def turtle(t: DataFrame, module: str = MODULE) -> DataFrame:
+    """A block of Turtle for each subject: ``s, value``, to follow ``turtle_head``."""
+    name = lambda c: F.coalesce(_short(F.col(c), module), F.concat(F.lit("<"), c, F.lit(">")))
+    obj = F.when(F.col("kind") == "iri", name("o")).otherwise(_literal())
+    said = F.concat(F.when(F.col("p") == f"{RDF}type", "a").otherwise(name("p")), F.lit(" "), obj)
+    g = t.select("s", said.alias("said"), (F.col("p") != f"{RDF}type").alias("later")).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("later", "said"))).alias("x"))
+    return g.select("s", F.concat(name("s"), F.lit(" "), F.array_join(F.transform("x", lambda x: x["said"]), " ;\n    "), F.lit(" .")).alias("value"))
+
+
+def turtle_head(module: str = MODULE) -> str:
+    return "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in prefixes(module).items()) + "\n"
+
+
+def rdfxml(t: DataFrame, module: str = MODULE) -> DataFrame:
+    """An element of RDF/XML for each subject: ``s, value``, to stand between ``rdfxml_head`` and its end tag. Predicates
+    without a prefix are left out, as XML has no name for them."""
+    esc = lambda c: fx.escape_html(F.col(c))
+    kind = F.when(F.col("datatype") != "", F.concat(F.lit(' rdf:datatype="'), esc("datatype"), F.lit('"'))).otherwise("")
+    body = F.when(F.col("kind") == "iri", F.concat(F.lit(' rdf:resource="'), esc("o"), F.lit('"/>'))).otherwise(F.concat(kind, F.lit(">"), esc("o"), F.lit("</"), "n", F.lit(">")))
+    g = t.withColumn("n", _short(F.col("p"), module)).where("n is not null").select("s", F.concat(F.lit("    <"), "n", body).alias("x")).groupBy("s").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    return g.select("s", F.concat(F.lit('  <rdf:Description rdf:about="'), esc("s"), F.lit('">\n'), F.array_join("x", "\n"), F.lit("\n  </rdf:Description>")).alias("value"))
+
+
+def rdfxml_head(module: str = MODULE) -> str:
+    return '<?xml version="1.0" encoding="utf-8"?>\n<rdf:RDF' + "".join(f'\n    xmlns:{p}="{ns}"' for p, ns in prefixes(module).items()) + ">\n"
+
+
 def _of_type(t: DataFrame, kind: str) -> DataFrame:
     return t.where((F.col("p") == f"{RDF}type") & (F.col("o") == f"{OWL}{kind}")).select("s").distinct()
 
@@ -193,6 +234,28 @@ def outline_lines(tasks: DataFrame, links: DataFrame, units: DataFrame) -> DataF
     return head.unionByName(group).unionByName(line)
 
 
+def tree_json(tasks: DataFrame) -> DataFrame:
+    """Each root task as JSON with its subtasks nested, in the order of ``ord``: ``task_id, ord, value``.
+
+    Levels are joined from the deepest up, so that no tree passes through the driver. Tasks below a missing parent, or on a
+    cycle, are left out.
+    """
+    top = tasks.where("parent_task_id is null").select(F.col("task_id").alias("root"))
+    t = cut(tasks.select("task_id", "label", "iri", "parent_task_id", "ord").join(depths(tasks).select("task_id", "depth", "root"), "task_id").join(top, "root", "left_semi").where("depth is not null"))
+    deepest = t.agg(F.max("depth")).first()[0]
+    child = None
+    for d in range(-1 if deepest is None else deepest, -1, -1):
+        level = t.where(F.col("depth") == d)
+        level = level.join(child, "task_id", "left") if child is not None else level.withColumn("children", F.lit(None).cast("string"))
+        own = F.to_json(F.struct("task_id", "label", "iri"))
+        value = F.concat(F.regexp_replace(own, r"\}$", ""), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        level = level.select("task_id", "parent_task_id", "ord", value.alias("value"))
+        if d == 0:
+            return level.select("task_id", "ord", "value")
+        child = level.groupBy(F.col("parent_task_id").alias("task_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), ",").alias("children"))
+    return t.select("task_id", "ord", F.lit("").alias("value"))
+
+
 def nested(rows: list[dict], orphans_as_roots: bool = True) -> list[dict]:
     """A list of tasks, in order, as a nested tree; on the driver, as no Spark type nests without end."""
     by_id = {r["task_id"]: {**r, "children": []} for r in rows}

@@ -1,27 +1,48 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, by tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_left: list[tuple[SparkSession, str]] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the session's checkpoint folder, which executors share, and read from there.
 
-    The folder is ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken if all runs on this machine, as in
-    tests; on a cluster that is an error.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+@atexit.register
+def _remove() -> None:
+    for spark, path in _left:
+        try:
+            if spark.sparkContext._jsc is not None:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended before
+            pass
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder is taken if all runs on this machine, as in tests;
+    on a cluster that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="lorequarry-"))
-    return df.checkpoint()
+        shared = "file://" + tempfile.mkdtemp(prefix="lorequarry-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written once below ``shared_dir`` and read from there; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _left.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

@@ -60,6 +60,14 @@ def map_rows(rows: DataFrame, call: Callable[[list[dict]], list[dict]], schema:
     return rows.mapInPandas(run, schema)
 
 
+def embed(rows: DataFrame, call: Callable[[list[dict]], list[dict]], key: str = "id") -> DataFrame:
+    """``rows(key, text, ...)`` with ``embedding``, an array of doubles from the replies' ``embedding``; null where the model
+    failed. ``key`` tells rows apart."""
+    name = F.to_json(F.struct(key))
+    got = map_rows(rows.select(name.alias("id"), "text"), call, "id string, embedding array<double>").withColumnRenamed("id", "_id")
+    return rows.join(got, name == F.col("_id"), "left").drop("_id")
+
+
 def distill(units: DataFrame, call: Callable[[list[dict]], list[dict]] | None = None) -> DataFrame:
     """Texts made shorter by a model; an empty or missing reply keeps the text. The hash follows the text."""
     if call is None:

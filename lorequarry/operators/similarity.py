@@ -41,11 +41,11 @@ def exact_dedup(units: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "embedding") -> DataFrame:
     """All pairs ``a < b`` whose inner product is above ``threshold``, with ``similarity``: exact, by blocks.
 
-    The rows are dealt into about sqrt(n / BLOCK) classes; every pair of classes meets in one task, which multiplies
-    matrices block by block. For vectors that aren't few, use ``bucketed_pairs``.
+    The rows are dealt into n / BLOCK classes, so that a task holds about two blocks whatever n is; every pair of classes
+    meets in one, which multiplies matrices. For vectors that aren't few, use ``bucketed_pairs``.
     """
     n = vectors.count()
-    classes = max(1, int(np.ceil(np.sqrt(n / BLOCK))))
+    classes = max(1, -(-n // BLOCK))
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(classes)).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
     kind = vectors.schema[key].dataType.simpleString()
@@ -117,19 +117,25 @@ def bucketed_pairs(vectors: DataFrame, threshold: float, tables: int | None = No
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` -> ``node, component``: the smallest node that can be reached, by label spreading and jumps."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
+    """``edges(a, b)`` -> ``node, component``: the smallest node that can be reached.
+
+    Nodes are hung below their smallest neighbour, those above and those below by turns, until all hang below the root of
+    their component: aggregations and joins on nodes, with no component in one task.
+    """
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("c").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("c", "m").alias("c1"), "c")
-        up = labels.select(F.col("node").alias("c1"), F.col("c").alias("c2"))
-        new = step.join(up, "c1", "left").select("node", F.least("c1", F.coalesce("c2", "c1")).alias("c"), F.col("c").alias("before"))
-        new = cut(new)
-        changed = new.where("c <> before").limit(1).count()
-        labels = new.select("node", "c")
-        if not changed:
-            return labels.withColumnRenamed("c", "component")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        above = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = above.groupBy("u").agg(F.min("v").alias("m"))
+        hung = cut(above.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        # done if no node hangs below two, or below one that hangs itself
+        ends = hung.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(hung.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        n = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        open_ = n.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
+        e = hung
+        if not open_:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def replay_near_dedup(pairs: DataFrame, units: DataFrame) -> DataFrame:

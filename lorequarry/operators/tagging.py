@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .similarity import nearest
 
 TAG = "struct<iri:string,label:string,confidence:double,contributing_paths:array<string>,branch:string>"
 RULER_CONFIDENCE, LLM_CONFIDENCE = 0.72, 0.5
@@ -58,6 +59,29 @@ def heading_concepts(headings: DataFrame, concepts: DataFrame) -> DataFrame:
     return hit.where("confidence is not null").select("id", F.col("depth").alias("pos"), "iri", "label", "branch", "confidence")
 
 
+def model_concepts(replies: DataFrame) -> DataFrame:
+    """``replies(id, concepts json)``, a list of ``concept_text`` and ``confidence`` -> ``id, pos, iri, label, branch,
+    confidence``; what can't be read is no concept, and a missing confidence is LLM_CONFIDENCE."""
+    said = F.from_json("concepts", "array<struct<concept_text:string,confidence:double>>")
+    c = replies.select("id", F.posexplode(said).alias("pos", "c")).where("c.concept_text is not null")
+    return c.select("id", "pos", F.lit("").alias("iri"), F.col("c.concept_text").alias("label"), F.lit("").alias("branch"), F.coalesce("c.confidence", F.lit(LLM_CONFIDENCE)).alias("confidence"))
+
+
+def semantic_concepts(units: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``units(id, embedding)``, ``concepts(iri, label, branch, embedding)`` -> ``id, pos, iri, label, branch, confidence``:
+    of each unit's SEMANTIC_K nearest concepts those of at least SEMANTIC_MIN."""
+    centres = concepts.where("embedding is not null").select(F.col("iri").alias("centre"), F.col("iri").alias("ord"), F.col("embedding").alias("cv"))
+    near = nearest(units.where("embedding is not null").select("id", F.col("embedding").alias("v")), centres, SEMANTIC_K).where(F.col("similarity") >= SEMANTIC_MIN)
+    named = near.join(concepts.select(F.col("iri").alias("centre"), "label", "branch"), "centre")
+    return named.select("id", (F.col("rank") - 1).alias("pos"), F.col("centre").alias("iri"), "label", "branch", F.col("similarity").alias("confidence"))
+
+
+def label_matches(labels: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``labels(label)`` -> the matches that ``resolve`` takes, by the likeness of labels."""
+    found = label_search(labels.distinct().select(F.col("label").alias("id"), F.lit(0).alias("depth"), F.col("label").alias("text")), concepts)
+    return found.select(F.col("id").alias("label"), F.col("iri").alias("match_iri"), F.col("label").alias("match_label"), F.col("branch").alias("match_branch"), "score")
+
+
 def as_concepts(rows: DataFrame, name: str) -> DataFrame:
     """``rows(id, pos, iri, label, branch, confidence)`` -> ``id`` and an ordered array."""
     fields = F.struct("pos", F.coalesce("iri", F.lit("")).alias("iri"), F.coalesce("label", F.lit("")).alias("label"), "confidence", F.coalesce("branch", F.lit("")).alias("branch"))
@@ -133,6 +157,13 @@ def resolve(tags: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def proposed_classes(tags: DataFrame) -> DataFrame:
+    """``tags(ord, pos, iri, label, confidence)`` -> of the labels that have no IRI the first tag each."""
+    first = Window.partitionBy("label").orderBy("ord", "pos")
+    p = tags.where("coalesce(iri, '') = '' and label <> ''").withColumn("_r", F.row_number().over(first))
+    return p.where("_r = 1").drop("_r")
+
+
 def unit_confidence(tags: Column, before: Column) -> Column:
     """The largest confidence of the tags; without any, what it was."""
     return F.coalesce(F.array_max(F.transform(tags, lambda t: t["confidence"])), before)

@@ -10,16 +10,18 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import discovery, elements, graph, providers, review, similarity, tagging
+from ..operators.lineage import cut
 from ..sources import files as src
 
-TASK = "task_id string, label string, iri string, parent_task_id string, is_procedural boolean, confidence double, source_file string, heading_path array<string>, ord long, status string"
+TASK = "task_id string, label string, iri string, parent_task_id string, is_procedural boolean, confidence double, source_file string, heading_path array<string>, ord long, status string, canonical_order int, has_contradictions boolean, has_orphans boolean, jurisdiction_sensitive boolean"
 LINK = "task_id string, unit_id string"
 REGISTRY = "file_path string, content_hash string, format string"
+CONTRADICTION = "contradiction_id string, task_id string, unit_id_a string, unit_id_b string, score double, contradiction_type string, explanation string, resolution string"
 CONCEPT = "iri string, label string, branch string, parent_iris array<string>"
 
 
@@ -62,7 +64,10 @@ def extract(spark: SparkSession, source: str, store: Store, concepts: DataFrame
     """Units of the files below ``source`` that are new or changed, together with those of the files seen before.
 
     ``concepts(iri, label, branch, parent_iris)`` is the ontology; without one units get no tags. ``models`` may hold functions
-    ``distill``, ``classify`` and ``novelty``. ``near`` is the cosine above which units are near-duplicates, None for none.
+    from a list of rows, each with ``id`` and ``text``, to a list of replies: ``distill``, ``classify``, ``novelty``, ``embed``
+    (``embedding``; for the second tier of boundaries and the semantic tags), ``boundaries`` (``reply``, JSON; for the third
+    tier) and ``concepts`` (``concepts``, JSON; tags). What isn't there is left out. ``near`` is the cosine above which
+    units are near-duplicates, None for none.
     """
     models = models or {}
     registry = store.read("registry", REGISTRY)
@@ -71,16 +76,14 @@ def extract(spark: SparkSession, source: str, store: Store, concepts: DataFrame
     found, errors = src.ingest(new, parsers)
     e = src.elements_with_paths(found)
     e = store.write("elements", e)
-    units = elements.knowledge_units(elements.structural_boundaries(e))
+    units = elements.knowledge_units(boundaries(store, e, models))
     units = providers.distill(units, models.get("distill"))
     units = providers.novelty(providers.classify(units, models.get("classify")), models.get("novelty"))
-    units = tag(units, concepts).select("*")
+    units = tag(store.write("classified", units), concepts, models)
     old = store.read("units_all")  # before deduplication: copies may lose the unit they went into
     if old is not None:  # units of files that were read again are replaced
         units = old.join(new.select(F.col("file_path").alias("_f")), F.col("source_file") == F.col("_f"), "left_anti").unionByName(units, allowMissingColumns=True)
-    order = Window.orderBy("source_file", "original_span.start", "id")
-    units = units.drop("ord").withColumn("ord", F.row_number().over(order).cast("long"))
-    units = store.write("units_all", units)
+    units = store.write("units_all", numbered(units.drop("ord"), "source_file", "original_span.start", "id"))
     kept = similarity.exact_dedup(units).drop("merged")
     if near is not None:
         v = store.write("unit_vectors", kept.withColumn("embedding", similarity.hash_embedding(F.col("text"), 256)))
@@ -93,16 +96,64 @@ def extract(spark: SparkSession, source: str, store: Store, concepts: DataFrame
     return kept
 
 
-def tag(units: DataFrame, concepts: DataFrame | None) -> DataFrame:
-    """Units with ``tags``: the dictionary and the headings, reconciled."""
-    kind = "array<struct<iri:string,label:string,confidence:double,extraction_path:string,branch:string>>"
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``ord``, their places in the order, from 1: rows are dealt out by ranges of the order, and each range is
+    numbered from the count of those before it, which are as many as there are partitions."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = cut(dealt)
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before, n = {}, 0
+    for r in counts:
+        before[r["_part"]], n = n, n + r["n"]
+    if not before:
+        return dealt.withColumn("ord", F.col("_at")).drop("_at")
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), part.cast("long"))
+    return dealt.withColumn("ord", base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+
+
+def boundaries(store: Store, e: DataFrame, models: dict[str, Callable]) -> DataFrame:
+    """The three tiers: by structure; where a paragraph is long, by the likeness of its sentences; else by a model's reply."""
+    b = store.write("boundaries", elements.structural_boundaries(e))
+    none = b.where(F.lit(False)).select("file_path", "seq", "part", "start", "end", "text", "confidence", "method")
+    semantic = model = none
+    if "embed" in models:
+        sentences = elements.sentences_of(b)
+        semantic = store.write("semantic_segments", elements.semantic_tier(providers.embed(sentences.withColumn("id", F.struct("paragraph", "no")), models["embed"]).drop("id")))
+    if "boundaries" in models:
+        key = ["file_path", "seq", "part"]
+        left = b.where(elements.ambiguous(b)).join(semantic.select(*key).distinct(), key, "left_anti").withColumn("id", F.to_json(F.struct(*key)))
+        got = providers.map_rows(left.select("id", "text"), models["boundaries"], "id string, reply string")
+        replies = left.join(got, "id").withColumn("candidates", F.array().cast("array<long>"))
+        model = store.write("model_segments", elements.model_segments(replies).select(*none.columns))
+    return elements.refine(b, semantic.select(*none.columns), model)
+
+
+def tag(units: DataFrame, concepts: DataFrame | None, models: dict[str, Callable] | None = None) -> DataFrame:
+    """Units with ``tags``: the dictionary, the headings and, with their models, the likeness to concepts and a model's own
+    concepts, reconciled. Concepts without an IRI are looked up by label, else they propose a class."""
+    kind, models = "array<struct<iri:string,label:string,confidence:double,extraction_path:string,branch:string>>", models or {}
     if concepts is None:
         return units.withColumn("tags", F.array().cast(kind))
     r = tagging.as_concepts(tagging.ruler(units.select("id", "text"), concepts), "ruler")
     h = tagging.as_concepts(tagging.heading_concepts(units.select("id", F.col("source_section").alias("section_path")), concepts), "heading")
     none = F.lit(None).cast("array<struct<pos:int,iri:string,label:string,confidence:double,branch:string>>")
-    u = units.select("id").join(r, "id", "left").join(h, "id", "left").withColumn("llm", none).withColumn("semantic", none)
-    found = tagging.reconcile(u).select(F.col("id").alias("_id"), F.transform("concepts", lambda c: F.struct(c["iri"].alias("iri"), c["label"].alias("label"), c["confidence"].alias("confidence"), F.element_at(c["contributing_paths"], 1).alias("extraction_path"), c["branch"].alias("branch"))).alias("tags"))
+    u = units.select("id").join(r, "id", "left").join(h, "id", "left")
+    if "concepts" in models:
+        said = providers.map_rows(units.select("id", "text", fx.breadcrumb(F.col("source_section")).alias("section")), models["concepts"], "id string, concepts string")
+        u = u.join(tagging.as_concepts(tagging.model_concepts(said), "llm"), "id", "left")
+    else:
+        u = u.withColumn("llm", none)
+    if "embed" in models:
+        near = tagging.semantic_concepts(providers.embed(units.select("id", "text"), models["embed"]), providers.embed(concepts.withColumn("text", F.col("label")), models["embed"], "iri"))
+        u = u.join(tagging.as_concepts(near, "semantic"), "id", "left")
+    else:
+        u = u.withColumn("semantic", none)
+    flat = tagging.reconcile(u).select("id", F.posexplode("concepts").alias("pos", "c")).select("id", "pos", "c.*")
+    bare = flat.where("coalesce(iri, '') = ''").select("label")
+    found = tagging.resolve(flat, tagging.label_matches(bare, concepts))
+    tags = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("iri", "label", "confidence", "extraction_path", "branch").alias("t")))), lambda x: x["t"])
+    found = found.groupBy(F.col("id").alias("_id")).agg(tags.alias("tags"))
     u = units.join(found, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("tags", F.coalesce("tags", F.array()).cast(kind))
     return u.withColumn("confidence", tagging.unit_confidence(F.col("tags"), F.col("confidence")))
 
@@ -117,44 +168,116 @@ def extraction_summary(units: DataFrame, high: float = fx.HIGH, medium: float =
     return out.unionByName(row(concepts, "concepts", F.lit("distinct")))
 
 
-def discover(spark: SparkSession, store: Store, concepts: DataFrame | None = None, cluster_threshold: float = 0.5, merge_threshold: float = 0.85) -> DataFrame:
-    """Tasks of the corpus' units with their links; tasks that a reviewer approved or edited stay as they are."""
+def discover(spark: SparkSession, store: Store, concepts: DataFrame | None = None, cluster_threshold: float = 0.5, merge_threshold: float = 0.85, models: dict[str, Callable] | None = None) -> DataFrame:
+    """Tasks of the corpus' units with their links; tasks that a reviewer approved or edited stay as they are.
+
+    ``models`` may hold functions from a list of rows to a list of replies: ``labels`` (rows of ``id, texts``, replies of
+    ``label, confidence``), ``order`` (rows of a parent's ``id, label, children``, replies of ``ordered``, labels in order
+    or null), ``contradiction`` (rows of ``id, text_a, text_b``, replies of ``score``), and ``confirm`` (the same rows,
+    replies of ``contradiction_type, explanation``).
+    """
+    models = models or {}
     units = store.read("units")
     if units is None:
         raise ValueError("nothing has been extracted")
     heads = discovery.heading_candidates(units)
     covered = heads.select(F.explode("unit_ids").alias("id"))
     vectors = store.write("discovery_vectors", units.select("id", similarity.hash_embedding(F.col("text"), 256).alias("embedding")))
-    clusters = discovery.cluster_candidates(units, similarity.cluster(vectors, cluster_threshold), covered)
+    found = store.write("clusters", similarity.cluster(vectors, cluster_threshold))
+    labels = None
+    if "labels" in models:
+        prompts = discovery.prompt_texts(units, found).select(F.col("cluster").cast("string").alias("id"), "texts")
+        labels = providers.map_rows(prompts, models["labels"], "id string, label string, confidence double").withColumnRenamed("id", "cluster")
+    clusters = discovery.cluster_candidates(units, found, covered, labels)
     cand = heads.withColumn("_s", F.lit(0)).unionByName(clusters.withColumn("_s", F.lit(1)))
-    cand = cand.withColumn("ord", F.row_number().over(Window.orderBy("_s", "first", "label")).cast("long")).drop("_s", "first")
+    cand = numbered(cand, "_s", "first", "label").drop("_s", "first")
     cand = store.write("candidates", cand.withColumn("candidate", F.col("ord")))
     t = cand.select("candidate", F.posexplode("unit_ids").alias("up", "id")).join(units.select("id", F.posexplode("tags").alias("tp", "t")), "id")
     modes = discovery.concept_mode(t.select("candidate", (F.col("up") * 1000 + F.col("tp")).alias("pos"), "t.iri", "t.label", "t.confidence"))
     mapped = discovery.map_candidates(cand, modes)
-    tasks = store.write("tasks_found", discovery.to_tasks(mapped))
-    links = tasks.select("task_id", F.explode("unit_ids").alias("unit_id"))
     known = concepts if concepts is not None else spark.createDataFrame([], CONCEPT)
+    deeper = discovery.deepest_concept(store.write("mapped", mapped).select("candidate", "iri", "label"), known).select("candidate", F.col("iri").alias("_iri"))
+    mapped = mapped.join(deeper, "candidate", "left").withColumn("iri", F.coalesce("_iri", "iri")).drop("_iri")
+    tasks = store.write("tasks_found", discovery.to_tasks(mapped))
+    links = store.write("links_found", tasks.select("task_id", F.explode("unit_ids").alias("unit_id")))
     tasks = discovery.parents(tasks, known.select("iri", "parent_iris"))
-    tasks = tasks.withColumn("is_procedural", F.lit(False)).withColumn("status", F.lit("unreviewed")).withColumn("iri", F.coalesce("iri", F.lit("")))
+    unset = lambda kind: F.lit(None).cast(kind)
+    tasks = tasks.withColumn("is_procedural", F.lit(False)).withColumn("status", F.lit("unreviewed")).withColumn("iri", F.coalesce("iri", F.lit(""))).withColumn("canonical_order", unset("int"))
+    if "order" in models:
+        tasks = store.write("tasks_unordered", tasks)
+        child = tasks.where("parent_task_id is not null").groupBy(F.col("parent_task_id").alias("task_id")).agg(F.array_sort(F.collect_list("label")).alias("children"))
+        asked = tasks.where("not is_procedural").select("task_id", "label").join(child, "task_id").withColumnRenamed("task_id", "id")
+        orders = providers.map_rows(asked, models["order"], "id string, ordered array<string>").where("ordered is not null").select(F.col("id").alias("parent_task_id"), F.col("ordered").alias("labels"))
+        tasks = discovery.procedural_order(tasks.drop("canonical_order"), orders).withColumn("canonical_order", F.col("canonical_order").cast("int"))
+    for flag in ("has_contradictions", "has_orphans", "jurisdiction_sensitive"):
+        tasks = tasks.withColumn(flag, F.lit(False))
     cols = [c.strip().split()[0] for c in TASK.split(", ")]
     tasks = store.write("tasks_parented", tasks.select(*cols))
+    links = store.write("links_assigned", links.unionByName(orphan_links(store, tasks, links, units)))
     v = store.write("label_vectors", tasks.select("ord", similarity.hash_embedding(F.col("label"), 256).alias("embedding")))
     m = discovery.iri_merges(tasks).withColumn("stage", F.lit(0)).unionByName(discovery.label_merges(tasks, v, merge_threshold).withColumn("stage", F.lit(1)))
     merges = store.write("merges", discovery.settle_merges(store.write("merge_candidates", m.select("stage", "first", "ord", "canonical", "merged"))))
     tasks, links = discovery.apply_merges(tasks, links, merges)
-    before = store.read("tasks", TASK)
+    links = store.write("links_merged", links.select("task_id", "unit_id"))
+    contradictions = store.write("contradictions", find_contradictions(spark, links, units, models))
+    tasks = flagged(tasks, links, units, contradictions, store.read("orphans", "unit_id string, task_id string"))
+    before = with_columns(store.read("tasks", TASK), TASK)
     before_links = store.read("links", LINK)
     tasks = discovery.with_locked(tasks.select(*cols), before.where(F.col("status").isin("approved", "edited")).select(*cols))
-    tasks, links = store.write("tasks", tasks), store.write("links", links.select("task_id", "unit_id"))
+    tasks, links = store.write("tasks", tasks), store.write("links", links)
     counted = lambda t, l: t.select("task_id", "label", "parent_task_id", "iri").join(l.groupBy("task_id").agg(F.count("*").alias("n_units")), "task_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0).cast("long")))
     store.write("diff", discovery.task_diff(counted(before, before_links), counted(tasks, links)))
     return tasks
 
 
-def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...] = ("nt", "jsonld", "html", "md", "json"), approved_only: bool = False, module: str = graph.MODULE) -> dict[str, str]:
+def with_columns(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows of an earlier version with nulls for the columns that they don't have yet."""
+    for c in schema.split(", "):
+        name, kind = c.strip().split(maxsplit=1)
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    return rows
+
+
+def orphan_links(store: Store, tasks: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:
+    """Links of the units without a task to the task whose units' texts are most like theirs; ``orphans`` keeps them."""
+    left = discovery.orphans(units, links)
+    centre = discovery.centroid_texts(links, units).join(tasks.select("task_id", "ord"), "task_id")
+    vector = lambda name: similarity.hash_embedding(F.col("text"), 256).alias(name)
+    centre = store.write("centroids", centre.select(F.col("task_id").alias("centre"), "ord", vector("cv")))
+    found = store.write("orphans", discovery.assign_orphans(left.select("id", vector("v")), centre))
+    return found.select("task_id", "unit_id")
+
+
+def find_contradictions(spark: SparkSession, links: DataFrame, units: DataFrame, models: dict[str, Callable]) -> DataFrame:
+    """Pairs of a task's units that the first model scores above the threshold and the second confirms; without the first
+    there are none, without the second none are confirmed."""
+    if "contradiction" not in models:
+        return spark.createDataFrame([], CONTRADICTION)
+    pairs = discovery.unit_pairs(links, units)
+    hits = discovery.screen(pairs, discovery.scored_pairs(pairs, units, models["contradiction"]))
+    text = lambda c: units.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    hits = hits.join(text("a"), "a").join(text("b"), "b").withColumn("id", fx.content_id(F.col("task_id"), F.col("a"), F.col("b")))
+    found = providers.contradictions(hits, models.get("confirm"))
+    return found.select(F.col("id").alias("contradiction_id"), "task_id", F.col("a").alias("unit_id_a"), F.col("b").alias("unit_id_b"), "score", "contradiction_type", "explanation", F.lit(None).cast("string").alias("resolution"))
+
+
+def flagged(tasks: DataFrame, links: DataFrame, units: DataFrame, contradictions: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Tasks with their flags: contradictions, units that were assigned as orphans, and texts that hang on a jurisdiction."""
+    law = discovery.jurisdiction_flags(links, units).withColumnRenamed("jurisdiction_sensitive", "_law")
+    has = lambda d, name: d.select("task_id").distinct().withColumn(name, F.lit(True))
+    late = links.join(orphans.select("unit_id").distinct(), "unit_id", "left_semi")
+    t = tasks.join(law, "task_id", "left").join(has(contradictions, "_con"), "task_id", "left").join(has(late, "_late"), "task_id", "left")
+    t = t.withColumn("jurisdiction_sensitive", F.coalesce("_law", F.lit(False))).withColumn("has_contradictions", F.coalesce("_con", F.lit(False))).withColumn("has_orphans", F.coalesce("_late", F.lit(False)))
+    return t.drop("_law", "_con", "_late")
+
+
+def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...] = ("nt", "ttl", "rdf", "jsonld", "html", "md", "json"), approved_only: bool = False, module: str = graph.MODULE, whole_files: bool = True) -> dict[str, str]:
     """Files below the local folder ``into``, and the triples as a version of the corpus; a validation report is always
-    among them. Returns their paths by format."""
+    among them. Returns their paths by format.
+
+    Without ``whole_files`` the formats are folders of text files below the corpus, ``export/<format>``, that executors write
+    in parallel; the reports stay in ``into``."""
     tasks, links, units = store.read("tasks", TASK), store.read("links", LINK), store.read("units")
     if units is None:
         raise ValueError("nothing has been extracted")
@@ -167,22 +290,31 @@ def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...
     t = tasks.join(minted, F.col("task_id") == F.col("_e"), "left").withColumn("iri", F.coalesce(F.nullif("iri", F.lit("")), "_i")).drop("_e", "_i")
     u = units.join(minted, F.col("id") == F.col("_e"), "left").select("ord", "id", F.col("_i").alias("iri"), "text", "unit_type", "confidence", F.col("surprise_score").alias("novelty"), "source_file")
     previous = store.read("triples")
-    triples = store.write("triples", graph.triples(t, links, u, module=module))
+    triples = store.write("triples", graph.triples(t, links, u, store.read("contradictions"), module=module))
     base = Path(into)
     base.mkdir(parents=True, exist_ok=True)
     out: dict[str, str] = {}
 
     def lines(name: str, df: DataFrame, head: str = "", foot: str = "") -> None:
+        kind = name.rpartition(".")[2]
+        if not whole_files:
+            out[kind] = f"{store.root}/export/{kind}"
+            df.write.mode("overwrite").text(out[kind])
+            return
         path = base / name
         with path.open("w", encoding="utf-8") as f:  # rows come a partition at a time
             f.write(head)
             f.writelines(r["value"] + "\n" for r in df.toLocalIterator())
             f.write(foot)
-        out[name.rpartition(".")[2]] = str(path)
+        out[kind] = str(path)
 
     outline = graph.outline_lines(t, links, u).orderBy("sort")
     if "nt" in formats:
         lines("graph.nt", graph.ntriples(triples).orderBy("value"))
+    if "ttl" in formats:
+        lines("graph.ttl", graph.turtle(triples, module).orderBy("s").select("value"), graph.turtle_head(module))
+    if "rdf" in formats:
+        lines("graph.rdf", graph.rdfxml(triples, module).orderBy("s").select("value"), graph.rdfxml_head(module), "</rdf:RDF>\n")
     if "jsonld" in formats:
         lines("tasks.jsonld", graph.jsonld_chunks(t, links, u).orderBy("task_id").select("value"))
     if "md" in formats:
@@ -191,7 +323,7 @@ def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...
         row = F.concat(F.lit('<div style="white-space:pre-wrap">'), fx.escape_html(F.col("value")), F.lit("</div>"))
         lines("tasks.html", outline.select(row.alias("value")), '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Tasks</title></head><body>\n', "</body></html>\n")
     if "json" in formats:
-        lines("tasks.json", review.task_list(t, links, spark.createDataFrame([], "task_id string, resolution string")).orderBy("ord").select(F.to_json(F.struct("task_id", "label", "iri", "parent_task_id", "unit_count")).alias("value")))
+        lines("tasks.json", graph.tree_json(t).orderBy("ord").select("value"))
     rules = {r["rule"]: r["n"] for r in graph.validate(triples, module + "/").groupBy("rule").agg(F.count("*").alias("n")).collect()}
     stats = graph.graph_stats(triples).first()
     report = ["# Validation report", "", "**FAILED**" if rules else "**PASSED**", ""] + [f"- {k}: {n} violations" for k, n in sorted(rules.items())] + [f"- {k}: {stats[k]}" for k in ("classes", "individuals", "triples")]
@@ -203,6 +335,29 @@ def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...
     return out
 
 
+def reports(store: Store, into: str) -> dict[str, str]:
+    """JSON files below the local folder ``into``, a row a line: ``extraction`` (the units), ``review`` (their buckets) and
+    ``proposed_classes``. Returns their paths."""
+    units = store.read("units")
+    if units is None:
+        raise ValueError("nothing has been extracted")
+    tags = units.select("ord", F.posexplode("tags").alias("pos", "t")).select("ord", "pos", "t.iri", "t.label", "t.confidence")
+    rows = {
+        "extraction": units.orderBy("ord").select(F.to_json(F.struct(*units.columns)).alias("value")),
+        "review": store.read("review").orderBy("bucket", "id").select(F.to_json(F.struct("bucket", "id")).alias("value")),
+        "proposed_classes": tagging.proposed_classes(tags).orderBy("label").select(F.to_json(F.struct("label", "ord", "confidence")).alias("value")),
+    }
+    base = Path(into)
+    base.mkdir(parents=True, exist_ok=True)
+    for name, df in rows.items():
+        with (base / f"{name}.json").open("w", encoding="utf-8") as f:  # a JSON array with a row a line, a partition at a time
+            f.write("[")
+            for i, r in enumerate(df.toLocalIterator()):
+                f.write(("," if i else "") + "\n" + r["value"])
+            f.write("\n]\n")
+    return {name: str(base / f"{name}.json") for name in rows}
+
+
 def bundle(paths: dict[str, str], into: str) -> str:
     with zipfile.ZipFile(into, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(paths.values()):

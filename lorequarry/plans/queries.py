@@ -164,9 +164,7 @@ def concept_tree(spark, sf):
 
 @query("tags", ", p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ord, pos) AS r FROM tags WHERE iri = '' AND label <> '') SELECT label, ord, confidence FROM p WHERE r = 1")
 def proposed_classes(spark, sf):
-    w = Window.partitionBy("label").orderBy("ord", "pos")
-    p = fix.tags(spark, sf).where("iri = '' and label <> ''").withColumn("r", F.row_number().over(w))
-    return p.where("r = 1").select("label", "ord", "confidence")
+    return tagging.proposed_classes(fix.tags(spark, sf)).select("label", "ord", "confidence")
 
 
 # --- Review

@@ -47,17 +47,34 @@ def test_extract_discover_export(spark, tmp_path, capsys):
     assert store.read("units").count() == 4 and store.read("elements").count() == 0
     cli.main(["discover", *args], spark)
     tasks = store.read("tasks").collect()
-    assert {t["label"] for t in tasks} == {"Cross-Examination"}
-    assert store.read("links").count() == 3
+    assert [(t["label"], t["has_orphans"], t["has_contradictions"], t["jurisdiction_sensitive"]) for t in tasks] == [("Cross-Examination", True, False, False)]
+    assert store.read("links").count() == 4 and store.read("orphans").count() == 1  # the unit below the other heading
     assert store.read("diff").where("change = 'added'").count() == 1
     cli.main(["discover", *args], spark)
     assert store.read("diff").count() == 0
     paths = engine.export(spark, store, f"{tmp_path}/export")
     chunk = json.loads(open(paths["jsonld"]).readline())
-    assert chunk["rdfs:label"] == "Cross-Examination" and len(chunk["fi:units"]) == 3
+    assert chunk["rdfs:label"] == "Cross-Examination" and len(chunk["fi:units"]) == 4
     assert "**PASSED**" in open(paths["validation"]).read()
     assert open(paths["md"]).read().startswith("# Task Hierarchy\n\n- **Cross-Examination**\n")
     assert "- 1 added" in open(paths["changelog"]).read()
+    tree = json.loads(open(paths["json"]).readline())
+    assert tree["label"] == "Cross-Examination" and tree["children"] == []
+    found = engine.reports(store, f"{tmp_path}/reports")
+    assert len(json.load(open(found["extraction"]))) == 4 and {r["bucket"] for r in json.load(open(found["review"]))} <= {"auto_approved", "spot_check", "needs_review"}
+    assert json.load(open(found["proposed_classes"])) == []
+    # the serializations say the same
+    import re
+    from xml.etree import ElementTree
+
+    rdf = ElementTree.parse(paths["rdf"]).getroot()
+    said = sum(len(x) for x in rdf)
+    lines = open(paths["nt"]).read().splitlines()
+    ttl = open(paths["ttl"]).read()
+    assert said == len(lines) == len(re.findall(r"(?m) [;.]$", ttl)) - ttl.count("@prefix")
+    assert not re.search(r"\bns\d+:", ttl) and "a owl:Class" in ttl
+    spread = engine.export(spark, store, f"{tmp_path}/export3", ("nt",), whole_files=False)
+    assert sorted(r["value"] for r in spark.read.text(spread["nt"]).collect()) == sorted(lines)
     again = engine.export(spark, store, f"{tmp_path}/export2", ("nt",))
     assert "- 1 unchanged" in open(again["changelog"]).read() and open(again["nt"]).read() == open(paths["nt"]).read()
     assert len(zipfile.ZipFile(engine.bundle(paths, f"{tmp_path}/b.zip")).namelist()) == len(paths)
@@ -65,3 +82,50 @@ def test_extract_discover_export(spark, tmp_path, capsys):
     (tmp_path / "in/a.md").write_text("# New\n\nA wholly different text about something else.")
     cli.main(["extract", f"file://{tmp_path}/in", *args], spark)
     assert store.read("units").count() == 5
+
+
+LONG = "# Motions\n\n## Summary Judgment\n\n" + " ".join(f"Courts weigh the evidence of part {i}." for i in range(10)) + " " + " ".join(f"Ducks swim in pond {i} quietly." for i in range(10)) + "\n\n" + "x" * 600 + "\n\nNever file late in federal court.\n\nAlways file late in federal court.\n"
+
+
+def test_models_take_part(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text(LONG)
+    concepts = spark.createDataFrame([("c1", "Evidence", "Law", []), ("c2", "Waterfowl", "Animals", []), ("c3", "Filing Rules", "Law", [])], engine.CONCEPT)
+    about_ducks = lambda t: any(w in t.lower() for w in ("duck", "waterfowl"))
+    models = {
+        "embed": lambda rows: [{"embedding": [0.0, 1.0, 0.0] if about_ducks(r["text"]) else [0.0, 0.0, 1.0] if "Filing" in r["text"] else [1.0, 0.0, 0.0]} for r in rows],
+        "boundaries": lambda rows: [{"reply": json.dumps({"boundaries": [{"start": 0, "end": 300}, {"start": 300, "end": 600}]})} for r in rows],
+        "concepts": lambda rows: [{"concepts": json.dumps([{"concept_text": "Filing Rule", "confidence": 0.9}, {"concept_text": "Unheard-of"}] if "file" in r["text"] else [])} for r in rows],
+    }
+    store = engine.Store(spark, f"file://{tmp_path}/out")
+    engine.extract(spark, f"file://{tmp_path}/in", store, concepts, models=models, near=None)
+    units = {r["text"]: r for r in store.read("units").collect()}
+    ducks = next(u for t, u in units.items() if t.startswith("Ducks"))
+    law = next(u for t, u in units.items() if t.startswith("Courts"))
+    assert len(units) == 5 and law["text"].endswith("part 9.") and ducks["text"].endswith("quietly.")  # second tier
+    assert LONG.index("Ducks") > 0 and law["original_span"]["end"] < ducks["original_span"]["start"]
+    assert store.read("model_segments").count() == 2 and sum(set(t) == {"x"} for t in units) == 1  # third tier; equal halves are one
+    tags = {t["iri"]: t for t in ducks["tags"]}
+    assert set(tags) == {"c2"} and tags["c2"]["extraction_path"] == "semantic"
+    filed = next(u for t, u in units.items() if t.startswith("Never"))
+    by = {t["label"]: t for t in filed["tags"]}
+    assert by["Filing Rules"]["iri"] == "c3" and by["Filing Rules"]["extraction_path"] == "llm"
+    assert by["Unheard-of"]["iri"] == "" and by["Unheard-of"]["extraction_path"] == "proposed_class"
+    again = {
+        "contradiction": lambda rows: [{"score": 0.9 if "late" in r["text_a"] and "late" in r["text_b"] else 0.1} for r in rows],
+        "confirm": lambda rows: [{"contradiction_type": "direct", "explanation": "never and always"} for _ in rows],
+    }
+    engine.discover(spark, store, concepts, models=again)
+    task = store.read("tasks").first()
+    assert task["has_contradictions"] and task["jurisdiction_sensitive"]
+    c = store.read("contradictions").collect()
+    assert len(c) == 1 and {c[0]["unit_id_a"], c[0]["unit_id_b"]} == {u["id"] for t, u in units.items() if "late" in t} and c[0]["contradiction_type"] == "direct"
+    paths = engine.export(spark, store, f"{tmp_path}/export", ("nt",))
+    assert "contradictionNote> \"Contradiction between" in open(paths["nt"]).read()
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    rows = [(f"f{i % 7}", i) for i in range(1000)]
+    got = engine.numbered(spark.createDataFrame(rows, "f string, i int").repartition(5), "f", "i").orderBy("ord").collect()
+    assert [(r["f"], r["i"]) for r in got] == sorted(rows) and [r["ord"] for r in got] == list(range(1, 1001))
+    assert engine.numbered(spark.createDataFrame([], "f string"), "f").count() == 0

@@ -402,3 +402,58 @@ def test_deep_trees_and_long_labels(spark):
     concepts = spark.createDataFrame([("c", "Duty to preserve all of the relevant evidence", "b")], "iri string, label string, branch string")
     units = spark.createDataFrame([("u", "the duty to preserve all of the relevant evidence holds")], "id string, text string")
     assert [r["iri"] for r in tagging.ruler(units, concepts).collect()] == ["c"]
+
+
+def test_nested_tree_and_serializations(spark):
+    import json
+    import re
+    from xml.etree import ElementTree
+
+    from lorequarry.operators import graph
+
+    rows = [("a", "A", "i/a", None, 2), ("b", "B", "i/b", "a", 4), ("c", "C", "i/c", "a", 3), ("d", 'D "q"', "i/d", "c", 1), ("e", "E", "i/e", None, 1), ("x", "X", "i/x", "missing", 5)] + [(f"k{i}", "K", "i/k", f"k{i - 1}" if i else "e", 9) for i in range(70)]
+    tasks = spark.createDataFrame(rows, "task_id string, label string, iri string, parent_task_id string, ord long")
+    got = [json.loads(r["value"]) for r in graph.tree_json(tasks).orderBy("ord").collect()]
+    assert [g["task_id"] for g in got] == ["e", "a"]
+    assert [c["task_id"] for c in got[1]["children"]] == ["c", "b"] and got[1]["children"][0]["children"][0]["label"] == 'D "q"'
+    depth, node = 0, got[0]
+    while node["children"]:
+        depth, node = depth + 1, node["children"][0]
+    assert depth == 70
+    assert graph.tree_json(tasks.limit(0)).count() == 0
+    t = spark.createDataFrame([("https://x.org/a b", graph.RDFS + "label", 'a "quoted" <text> & more\n', "literal", ""), ("https://x.org/a b", graph.RDF + "type", graph.OWL + "Class", "iri", ""), (graph.MODULE + "/T1", graph.MODULE + "/confidence", "0.5", "literal", graph.XSD + "float"), (graph.MODULE + "/T1", graph.SKOS + "related", graph.MODULE + "/T2", "iri", "")], "s string, p string, o string, kind string, datatype string")
+    ttl = {r["s"]: r["value"] for r in graph.turtle(t).collect()}
+    assert ttl["https://x.org/a b"] == '<https://x.org/a b> a owl:Class ;\n    rdfs:label "a \\"quoted\\" <text> & more\\n" .'
+    assert ttl[graph.MODULE + "/T1"] == f'fi:T1 fi:confidence "0.5"^^<{graph.XSD}float> ;\n    skos:related fi:T2 .'
+    xml = graph.rdfxml_head() + "\n".join(r["value"] for r in graph.rdfxml(t).collect()) + "</rdf:RDF>"
+    root = ElementTree.fromstring(xml)
+    assert {x.text for d in root for x in d if x.text} == {'a "quoted" <text> & more\n', "0.5"} and sum(len(d) for d in root) == 4
+    assert not re.search(r"ns\d+:", xml)
+    imported = graph.triples(tasks.withColumn("is_procedural", F.lit(None).cast("boolean")), spark.createDataFrame([], "task_id string, unit_id string"), spark.createDataFrame([], "id string, iri string, text string, unit_type string, confidence double, novelty double, source_file string"), imports=("https://y.org/o",))
+    assert imported.where(F.col("p") == graph.OWL + "imports").first()["o"] == "https://y.org/o"
+
+
+def test_tasks_made_by_hand_and_lookups(spark):
+    from lorequarry.operators import review
+
+    tasks = spark.createDataFrame([("a", "A", None, 2), ("b", "B", "a", None)], "task_id string, label string, parent_task_id string, canonical_order int")
+    log = spark.createDataFrame([], "task_id string, action string, detail string, at timestamp")
+    new = spark.createDataFrame([("b", "B2", None, None), ("c", "C", "a", 1)], tasks.schema)
+    after, seen = review.create_task(tasks, log, new, F.lit("2024-01-01").cast("timestamp"))
+    assert {r["task_id"]: r["label"] for r in after.collect()} == {"a": "A", "b": "B", "c": "C"}
+    assert [(r["task_id"], r["action"]) for r in seen.collect()] == [("c", "create")]
+    assert [r["task_id"] for r in review.in_canonical_order(after).where("parent_task_id = 'a'").orderBy("place").collect()] == ["b", "c"]
+    assert review.lookup(after, "task_id", "c")["label"] == "C"
+    with pytest.raises(KeyError):
+        review.lookup(after, "task_id", "z")
+
+
+def test_dictionary_finds_long_labels(spark):
+    from lorequarry.operators import tagging
+
+    label = "one two three four five six seven eight nine ten"
+    units = spark.createDataFrame([(1, f"x {label.upper()}, and one two"), (2, "one two three"), (3, None)], "id int, text string")
+    concepts = spark.createDataFrame([("c1", label, ""), ("c2", "One Two", ""), ("c3", "and", "")], "iri string, label string, branch string")
+    got = {(r["id"], r["iri"], r["pos"]) for r in tagging.ruler(units, concepts).collect()}
+    assert got == {(1, "c1", 1), (1, "c2", 1), (1, "c3", 11), (2, "c2", 0)}
+    assert {(r["id"], r["iri"]) for r in tagging.ruler(units, concepts, 2).collect()} == {(1, "c2"), (1, "c3"), (2, "c2")}
