@@ -1,19 +1,20 @@
 """Licence scans by sparse TF-IDF cosine to templates, with inheritance from the nearest ancestor directory.
 
 DataFrame functions only. Lines, paragraphs and whole texts are compared with licence notices. A unit whose cosine with a
-template reaches the threshold must share one of the template's heaviest terms, so texts without any such term are left
-out beforehand without loss.
+template reaches the threshold must share one of the template's heaviest terms, so units without any such term are left
+out beforehand without loss. Terms weigh their number in the unit times their inverse document frequency.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, small
 
 #: Least cosine of a match.
 MIN_COSINE = 0.6
@@ -64,53 +65,54 @@ TEMPLATES = {
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def words(text: Column) -> Column:
-    """Distinct words in lower case; letters and digits count."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), _SPLIT), ""))
+#: Terms that are joined by broadcast: those in most files, which are few but would each be a hot key.
+FREQUENT = 1000
 
 
-def _terms(text: str) -> set[str]:
-    return set(re.findall(r"[^\W_]+", text.lower()))
+def words(text: Column) -> Column:
+    """Words in lower case, in order; letters and digits count."""
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
+def _terms(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
 
 
-def _weights(df: dict[str, int], n: int) -> tuple[dict[str, float], float]:
-    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
-    return idf, sum(idf.values()) / max(1, len(idf))
+def _idf(n: int, k: Column) -> Column:
+    return F.log((1.0 + n) / (1.0 + k)) + 1.0
 
 
 def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """``files(id, text)`` -> ``id, license, cosine, unit`` of the files with a match, the best one each.
 
-    ``unit`` is ``file`` if the text as a whole matches, else ``paragraph`` or ``line``. Document frequencies are counted
-    over all files; terms that no template has weigh their mean. Ties go to the larger unit, then to the first template.
-    Rows that share an id are one file.
+    ``unit`` is ``file`` if the text as a whole matches, else ``paragraph`` or ``line``. Document frequencies of all words
+    are counted over all files. Ties go to the larger unit, then to the first template. Rows that share an id are one file.
     """
     spark = files.sparkSession
     ws = Workspace(spark, "licenses")
-    table = [(n, name, _terms(text)) for n, (name, text) in enumerate((k, t) for k, v in TEMPLATES.items() for t in v)]
-    vocab = sorted({t for _, _, ts in table for t in ts})
+    table = [(k, name, Counter(_terms(text))) for k, (name, text) in enumerate((name, t) for name, ts in TEMPLATES.items() for t in ts)]
+    vocab = sorted({t for _, _, tf in table for t in tf})
     lit_vocab = F.array(*map(F.lit, vocab))
     files = files.where("id is not null and text is not null")
-    seen = files.select(F.array_intersect(words(F.col("text")), lit_vocab).alias("found"))
-    counted = seen.select(F.explode(F.concat("found", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # as many rows as template terms
-    df = {r["term"]: r["n"] for r in counted}
-    n = df.pop("", 0)
-    idf, rest = _weights({t: df.get(t, 0) for t in vocab}, n)
+    counts = files.select(F.explode(F.concat(F.array_distinct(words(F.col("text"))), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("k"))
+    counts = ws.save(counts, "counts")  # the empty term counts the files
+    known = {r["term"]: r["k"] for r in counts.where(F.col("term").isin("", *vocab)).collect()}  # as many rows as template terms
+    n = known.get("", 0)
+    idf = {t: math.log((1 + n) / (1 + known.get(t, 0))) + 1 for t in vocab}
     anchors, rows = set(), []
-    for k, name, ts in table:
-        norm = math.sqrt(sum(idf[t] ** 2 for t in ts))
-        rows += [(k, name, t, idf[t], idf[t] / norm) for t in ts]
+    for k, name, tf in table:
+        w = {t: c * idf[t] for t, c in tf.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        rows += [(k, name, t, x / norm) for t, x in w.items()]
         # what remains without the anchors is too little for the threshold
         mass = 0.0
-        for t in sorted(ts, key=lambda t: (-idf[t], t)):
+        for t in sorted(w, key=lambda t: (-w[t], t)):
             if 1 - mass < (min_cosine - 1e-9) ** 2:
                 break
             anchors.add(t)
-            mass += (idf[t] / norm) ** 2
+            mass += (w[t] / norm) ** 2
     lit_anchors = F.array(*map(F.lit, sorted(anchors)))
-    weights = spark.createDataFrame(rows, "template int, license string, term string, idf double, w double")
+    weights = spark.createDataFrame(rows, "template int, license string, term string, w double")
     units = F.array(
         F.struct(F.lit(0).alias("kind"), F.array(F.col("text")).alias("parts")),
         F.struct(F.lit(1).alias("kind"), F.split("text", r"\n[ \t\r]*\n").alias("parts")),
@@ -118,12 +120,17 @@ def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     )
     some = files.where(F.arrays_overlap(words(F.col("text")), lit_anchors)).select("id", F.explode(units).alias("u"))
     parts = some.select("id", F.col("u.kind").alias("kind"), F.posexplode("u.parts").alias("no", "part")).select("id", "kind", "no", words(F.col("part")).alias("terms"))
-    parts = parts.where(F.arrays_overlap("terms", lit_anchors)).select("id", "kind", "no", F.size("terms").alias("size"), F.array_intersect("terms", lit_vocab).alias("found"))
-    idf_of = F.create_map(*[x for t in vocab for x in (F.lit(t), F.lit(idf[t]))])
-    known = F.aggregate("found", F.lit(0.0), lambda s, t: s + F.pow(F.element_at(idf_of, t), F.lit(2.0)))
-    parts = parts.withColumn("norm", F.sqrt(known + (F.col("size") - F.size("found")) * F.lit(rest * rest)))
-    shared = parts.select("id", "kind", "no", "norm", F.explode("found").alias("term")).join(F.broadcast(weights), "term")
-    cosines = shared.groupBy("id", "kind", "no", "template", "license").agg((F.sum(F.col("idf") * F.col("w")) / F.first("norm")).alias("cosine"))
+    parts = parts.where(F.arrays_overlap("terms", lit_anchors))
+    seen = ws.save(parts.select("id", "kind", "no", F.explode("terms").alias("term")).groupBy("id", "kind", "no", "term").agg(F.count("*").alias("tf")), "terms")
+    counts = counts.where("term <> ''")
+    frequent = F.broadcast(ws.save(counts.orderBy(F.desc("k"), "term").limit(FREQUENT), "frequent"))
+    rare = small(ws.save(counts.join(frequent.select("term"), "term", "left_anti").join(seen.select("term").distinct(), "term", "left_semi"), "rare"), 64)
+    seen = seen.join(frequent, "term").unionByName(seen.join(frequent.select("term"), "term", "left_anti").join(rare, "term"))
+    x = F.col("tf") * _idf(n, F.col("k"))
+    # of a unit at most as many terms as the templates have go on
+    unit = seen.groupBy("id", "kind", "no").agg(F.sqrt(F.sum(x * x)).alias("norm"), F.collect_list(F.when(F.array_contains(lit_vocab, F.col("term")), F.struct("term", x.alias("x")))).alias("held"))
+    shared = unit.select("id", "kind", "no", "norm", F.explode("held").alias("h")).select("id", "kind", "no", "norm", "h.term", "h.x").join(F.broadcast(weights), "term")
+    cosines = shared.groupBy("id", "kind", "no", "template", "license").agg((F.sum(F.col("x") * F.col("w")) / F.first("norm")).alias("cosine"))
     best = cosines.where(F.col("cosine") >= min_cosine).groupBy("id").agg(F.max_by(F.struct("license", "cosine", "kind"), F.struct(F.round("cosine", 9), -F.col("kind"), -F.col("template"), -F.col("no"))).alias("b"))
     unit = F.element_at(F.array(F.lit("file"), F.lit("paragraph"), F.lit("line")), F.col("b.kind") + 1)
     return ws.save(best.select("id", F.col("b.license").alias("license"), F.round("b.cosine", 6).alias("cosine"), unit.alias("unit")), "own")

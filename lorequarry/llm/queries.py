@@ -140,9 +140,11 @@ FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id
 
 def license_sql() -> str:
     """Every line, paragraph and text against every template."""
-    rows = ", ".join(f"({k}, '{name}', '{t}')" for k, (name, text) in enumerate((n, x) for n, v in licenses.TEMPLATES.items() for x in v) for t in sorted(licenses._terms(text)))
+    rows = ", ".join(f"({k}, '{name}', $t${text}$t$)" for k, (name, text) in enumerate((n, x) for n, v in licenses.TEMPLATES.items() for x in v))
+    split = lambda x: f"unnest(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
     return rf"""
-WITH tpl(template, license, term) AS (VALUES {rows}),
+WITH notice(template, license, text) AS (VALUES {rows}),
+tpl AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, {split("text")} AS term FROM notice) GROUP BY ALL),
 d AS (SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL),
 parts AS (SELECT doc_id, 0 AS kind, 0 AS no, text AS part FROM d
   UNION ALL SELECT doc_id, 1, unnest(range(0, len(p))), unnest(p) FROM (SELECT doc_id, string_split_regex(text, '
@@ -150,14 +152,14 @@ parts AS (SELECT doc_id, 0 AS kind, 0 AS no, text AS part FROM d
 ]*
 ') AS p FROM d)
   UNION ALL SELECT doc_id, 2, unnest(range(0, len(p))), unnest(p) FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)),
-w AS (SELECT doc_id, kind, no, list_distinct(list_filter(string_split_regex(lower(part), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM parts),
-t AS (SELECT doc_id, kind, no, len(w) AS size, unnest(w) AS term FROM w),
-df AS (SELECT v.term, count(t.doc_id) AS k FROM (SELECT DISTINCT term FROM tpl) v LEFT JOIN t ON t.term = v.term AND t.kind = 0 GROUP BY v.term),
-idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + k)) + 1 AS idf FROM df),
-x AS (SELECT t.*, i.idf FROM t JOIN idf i ON i.term = t.term),
-norm AS (SELECT doc_id, kind, no, sqrt(sum(idf * idf) + (any_value(size) - count(*)) * (SELECT avg(idf) * avg(idf) FROM idf)) AS norm FROM x GROUP BY ALL),
-tn AS (SELECT template, sqrt(sum(idf * idf)) AS norm FROM tpl JOIN idf ON idf.term = tpl.term GROUP BY template),
-c AS (SELECT x.doc_id, x.kind, x.no, tpl.template, tpl.license, sum(x.idf * x.idf) / any_value(norm.norm) / any_value(tn.norm) AS cosine FROM x JOIN tpl ON tpl.term = x.term JOIN tn ON tn.template = tpl.template
+w AS (SELECT doc_id, kind, no, {split("part")} AS term FROM parts),
+t AS (SELECT doc_id, kind, no, term, count(*) AS tf FROM w GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + coalesce(k, 0))) + 1 AS idf FROM (SELECT term FROM t UNION SELECT term FROM tpl) v LEFT JOIN (SELECT term, count(*) AS k FROM t WHERE kind = 0 GROUP BY term) c USING (term)),
+x AS (SELECT t.doc_id, t.kind, t.no, t.term, t.tf * i.idf AS x FROM t JOIN idf i ON i.term = t.term),
+norm AS (SELECT doc_id, kind, no, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+tw AS (SELECT tpl.template, tpl.license, tpl.term, tpl.tf * i.idf AS w FROM tpl JOIN idf i ON i.term = tpl.term),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
+c AS (SELECT x.doc_id, x.kind, x.no, tw.template, tw.license, sum(x.x * tw.w) / any_value(norm.norm) / any_value(tn.norm) AS cosine FROM x JOIN tw ON tw.term = x.term JOIN tn ON tn.template = tw.template
   JOIN norm ON norm.doc_id = x.doc_id AND norm.kind = x.kind AND norm.no = x.no GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, kind, template, no) AS r FROM c WHERE cosine >= {licenses.MIN_COSINE}),
 f AS (SELECT a.doc_id, concat_ws('/', a.source, CAST(a.doc_id // 1000 AS VARCHAR), CAST(a.doc_id AS VARCHAR)) AS path, concat_ws('/', a.source, CAST(a.doc_id // 1000 AS VARCHAR)) AS folder,

@@ -2,32 +2,31 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from lorequarry.llm import licenses as lc
 
 
 def plain(files):
-    """Every unit against every template, with no filter beforehand."""
-    table = [(name, set(re.findall(r"[^\W_]+", t.lower()))) for name, ts in lc.TEMPLATES.items() for t in ts]
-    vocab = {t for _, ts in table for t in ts}
-    words = lambda s: set(re.findall(r"[^\W_]+", s.lower()))
-    n = len(files)
-    df = {t: sum(t in words(x) for _, x in files) for t in vocab}
-    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in vocab}
-    rest = sum(idf.values()) / len(idf)
+    """TF-IDF cosine of every unit with every template, with no filter beforehand."""
+    words = lambda s: Counter(re.findall(r"[^\W_]+", s.lower()))
+    table = [(name, words(t)) for name, ts in lc.TEMPLATES.items() for t in ts]
+    n, df = len(files), Counter(t for _, x in files for t in set(words(x)))
+    vector = lambda tf: {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in tf.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
     out = {}
     for i, text in files:
         best = None
         for kind, parts in enumerate(([text], re.split(r"\n[ \t\r]*\n", text), text.split("\n"))):
             for no, part in enumerate(parts):
-                w = words(part)
-                norm = math.sqrt(sum(idf.get(t, rest) ** 2 for t in w))
-                for k, (name, ts) in enumerate(table):
-                    cos = sum(idf[t] ** 2 for t in w & ts) / (norm * math.sqrt(sum(idf[t] ** 2 for t in ts))) if w & ts else 0
+                v = vector(words(part))
+                for k, (name, tf) in enumerate(table):
+                    w = vector(tf)
+                    cos = sum(x * w.get(t, 0) for t, x in v.items()) / (length(v) * length(w)) if v else 0
                     if cos >= lc.MIN_COSINE and (best is None or (round(cos, 9), -kind, -k, -no) > best[0]):
                         best = ((round(cos, 9), -kind, -k, -no), name)
         if best:
-            out[i] = best[1]
+            out[i] = best[1], round(best[0][0], 6)
     return out
 
 
@@ -44,8 +43,11 @@ FILES = [
 
 
 def test_matches_brute_force(spark):
-    got = {r["id"]: r["license"] for r in lc.own_licenses(spark.createDataFrame(FILES, "id long, text string")).collect()}
-    assert got == plain(FILES)
+    files = [*FILES, (9, "the the the MIT the the license the the"), (10, "Licensed, licensed, licensed under the licensed MIT MIT MIT license\nsee the project"), (11, "Released under the MIT License. Released under the MIT License.")]
+    found = {r["id"]: (r["license"], r["cosine"]) for r in lc.own_licenses(spark.createDataFrame(files, "id long, text string")).collect()}
+    want = plain(files)
+    assert found.keys() == want.keys() and all(found[i][0] == want[i][0] and abs(found[i][1] - want[i][1]) < 2e-6 for i in want)
+    got = {i: name for i, (name, _) in found.items()}
     assert got[1] == "MIT" and got[2] == "Apache-2.0" and got[4] == "GPL-3.0" and got[7] == "CC-BY-NC-4.0" and 3 not in got
 
 
