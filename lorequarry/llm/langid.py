@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import Grams, chunks, has_letter, normalize, pieces
+from .ngrams import Grams, chunks, has_letter, pieces
+from .workspace import plain_names
 
 LENGTHS = (2, 3, 4)
 BITS = 18
-#: The classifiers are fitted on at most about this many documents, shared evenly by the languages.
+#: The classifiers are fitted on at most about this many documents, shared evenly by the languages; each has one at least.
 SAMPLE_DOCS = 1200
-#: Most languages that are learned, the most frequent first.
-MAX_LANGUAGES = 400
 UNKNOWN = "und"
 #: n-grams of this length tell which share of a text looks like the training texts.
 KNOWN_LENGTH = 3
@@ -57,27 +56,35 @@ def family_of(lang: str) -> str:
 
 
 def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
+    """crc32 of the id as text, modulo ``folds``; null without an id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def held_out(doc_id: Column, folds: int, fold_: int) -> Column:
+    """Whether the row is in the fold that nothing is learned from. A row without an id is in no fold: it isn't held out,
+    and nothing is learned from it either."""
+    return F.coalesce(fold(doc_id, folds) == fold_, F.lit(False))
+
+
 @dataclass
 class Model:
     languages: list[str]
     families: list[str]
     #: (family, language, language) of each pairwise classifier
     pairs: list[tuple[str, str, str]]
-    #: one row for each family, then for each pair
+    #: one row for each family, then for each pair, of the weights of the known n-grams and a 0 for all others
     tables: np.ndarray
     bias: np.ndarray
+    #: the column of each n-gram, and which columns are of n-grams of the training texts
+    column: np.ndarray
     known: np.ndarray
 
 
-def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Feature numbers and relative frequencies of each text; n-gram lengths weigh alike."""
     for a, b in chunks(texts):
         g = Grams(texts[a:b], max(LENGTHS))
-        real = g.real(max(LENGTHS))
+        real = g.real()
         codes = [np.where(real, g.hashed(n, BITS), -1) for n in LENGTHS]
         for i, j in zip(g.starts, g.offsets[1:], strict=True):
             idx, cnt = np.unique(np.concatenate([c[i:j] for c in codes]), return_counts=True)
@@ -88,7 +95,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, 128):
-            texts = [normalize(t) for t in part.column("text").to_pylist()]
+            texts = [t or "" for t in part.column("text").to_pylist()]
             idx, val = zip(*features(texts), strict=True)
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["lang", "h", "idx", "val"])
 
@@ -116,24 +123,28 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, c:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from ``docs(doc_id, text, lang)``; rows whose text or lang is null teach nothing.
 
-    The sample is bounded: of each language those documents whose id hashes lowest, about ``sample_docs`` in all. The
-    driver holds their sparse features only.
+    The sample is bounded: of each language those documents whose id hashes lowest, about ``sample_docs`` in all, and at
+    least one of each. The driver holds their sparse features only.
     """
     docs = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    h = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("low")).collect()  # a row a language
+    counts = {r["lang"]: r["n"] for r in found}
     languages = sorted(counts)
     if not languages:
-        return Model([], [], [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), np.zeros(1 << BITS, bool))
+        return Model([], [], [], np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(1 << BITS, np.int32), np.zeros(1, bool))
     cap = max(1, sample_docs // len(languages))
-    h = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, cap / n)))])
-    sample = docs.where(F.col("lang").isin(languages)).select("lang", "text", h.alias("h")).where(F.col("h") <= F.element_at(rate, F.col("lang")))
+    # the document that hashes lowest, and all up to the language's share
+    low = {r["lang"]: r["low"] for r in found}
+    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(low[k], min(1.0, cap / n))))])
+    sample = docs.select("lang", "text", h.alias("h")).where(F.col("h") <= F.element_at(rate, F.col("lang")))
     got = sample.mapInArrow(_extract, "lang string, h double, idx array<int>, val array<float>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     langs = got["lang"].to_pylist()
     lists, weights = got["idx"].combine_chunks(), got["val"].combine_chunks()
     idx, val = lists.flatten().to_numpy(), weights.flatten().to_numpy()
-    known = np.zeros(1 << BITS, bool)
-    known[idx] = True
+    seen = np.unique(idx)
+    column = np.full(1 << BITS, len(seen), np.int32)
+    column[seen] = np.arange(len(seen))
     mean = np.bincount(idx, weights=val, minlength=1 << BITS) / max(1, len(langs))
     # frequent n-grams vary more; this brings all to one scale
     scale = 1 / np.sqrt(mean + 1e-5)
@@ -144,25 +155,28 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     of = np.array([family_of(x) for x in langs]) if langs else np.array([], str)
     langs = np.array(langs)
     families = sorted({family_of(x) for x in languages})
+    learn = lambda r, y: (lambda w, b: (w[seen], b))(*svm(r, y, 1 << BITS))
     fitted, pairs = [], []
     for f in families if len(families) > 1 else []:
-        fitted.append(svm(rows, np.where(of == f, 1, -1), 1 << BITS))
+        fitted.append(learn(rows, np.where(of == f, 1, -1)))
     for f in families:
         for a, b in combinations([x for x in languages if family_of(x) == f], 2):
             at = np.flatnonzero((langs == a) | (langs == b))
             pairs.append((f, a, b))
-            fitted.append(svm([rows[i] for i in at], np.where(langs[at] == a, 1, -1), 1 << BITS))
-    tables = np.array([w * scale for w, _ in fitted], np.float32).reshape(len(fitted), 1 << BITS)
+            fitted.append(learn([rows[i] for i in at], np.where(langs[at] == a, 1, -1)))
+    tables = np.zeros((len(fitted), len(seen) + 1), np.float32)
+    for k, (w, _) in enumerate(fitted):
+        tables[k, :-1] = w * scale[seen]
     del rows, idx, val
     pa.default_memory_pool().release_unused()
-    return Model(languages, families, pairs, tables, np.array([b for _, b in fitted]), known)
+    return Model(languages, families, pairs, tables, np.array([b for _, b in fitted]), column, np.arange(len(seen) + 1) < len(seen))
 
 
 def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. The score is the product of the confidence in the family, of that in the language
     against its closest rival, and of the share of the text's n-grams that occur in the training texts."""
     lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    bodies = [normalize(t) for t in texts]
+    bodies = [t or "" for t in texts]
     if not model.languages:
         return lang, score
     sure = lambda m: 1 / (1 + np.exp(-4 * np.clip(m, -20, 20)))
@@ -171,11 +185,11 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
         members[f].append((len(model.tables) - len(model.pairs) + k, a, b))
     for first, last in chunks(bodies):
         g = Grams(bodies[first:last], max(LENGTHS))
-        real = g.real(max(LENGTHS))
+        real = g.real()
         n = np.add.reduceat(real.astype(np.int64), g.starts)
         margin = np.zeros((len(model.tables), last - first))
         for length in LENGTHS:
-            idx = g.hashed(length, BITS)
+            idx = model.column.take(g.hashed(length, BITS))
             for k, table in enumerate(model.tables):
                 margin[k] += np.add.reduceat(np.where(real, table.take(idx), np.float32(0)), g.starts, dtype=np.float64)
             if length == KNOWN_LENGTH:
@@ -227,11 +241,13 @@ def keep_identified(docs: DataFrame, model: Model, reject_below: float = REJECT_
                 lang, score = classify(model, part.column("text").to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= reject_below for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = plain_names(docs, "text")
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 HELD_OUT, FOLDS = 2, 4
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
+    """Rows that may teach: in a fold, and not in the one held out."""
     return docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)

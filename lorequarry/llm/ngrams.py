@@ -1,38 +1,44 @@
-"""Hashed byte n-grams of letters, counted for many texts at once with numpy."""
+"""Hashed character n-grams of letters, counted for many texts at once with numpy."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Text that one numpy step works on, besides a longer single text.
-CHUNK_BYTES = 1 << 18
-#: Longest n-gram that fits the 32-bit code of the short ones; longer ones are mixed from two codes.
-SHORT = 4
+#: Characters that one numpy step works on, besides a longer single text.
+CHUNK_CHARS = 1 << 17
 
-# Odd multipliers, one for each n-gram length.
+# Odd multipliers, one for each n-gram length, and one between the characters of an n-gram.
 _MULTIPLIER = {n: np.uint32((0x9E3779B1 + 0x61C88646 * n | 1) & 0xFFFFFFFF) for n in range(1, 9)}
-#: ASCII letters stay, bytes of other scripts stay, all else parts words.
-_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_BETWEEN = np.uint32(0x85EBCA6B)
+_SPACE = np.uint32(32)
+#: From here on there are no letters or marks but the variation selectors, which are left out.
+_LETTERS_END = 0x32000
 
 
-def normalize(text: str | None) -> bytes:
-    """Lower case, with runs of anything but letters as one space."""
-    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split())
+@cache
+def _letters() -> np.ndarray:
+    """Of each code point whether it is a letter or a mark; all others part words."""
+    found = np.zeros(_LETTERS_END + 1, bool)
+    for i in range(_LETTERS_END):
+        found[i] = unicodedata.category(chr(i))[0] in "LM"
+    return found
 
 
 def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CHUNK_BYTES``."""
+def chunks(texts: Sequence[str | bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK_CHARS``."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t) + 8
-        if size >= CHUNK_BYTES:
+        if size >= CHUNK_CHARS:
             yield first, i + 1
             first, size = i + 1, 0
     if first < len(texts):
@@ -45,25 +51,29 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 class Grams:
-    """The texts of one chunk, each between spaces so that n-grams see where words begin and end."""
-
-    def __init__(self, texts: list[bytes], longest: int):
-        pad = b" " * longest
-        self.offsets = np.cumsum([0] + [1 + len(t) + len(pad) for t in texts])
-        self.bytes = np.frombuffer(b"".join(b" " + t + pad for t in texts) + pad, np.uint8)
+    """The texts of one chunk in lower case, with runs of anything but letters as one space, each text between spaces so
+    that n-grams see where words begin and end."""
+
+    def __init__(self, texts: Sequence[str], longest: int):
+        low = [t.lower() for t in texts]
+        lengths = np.fromiter(map(len, low), np.int64, len(low)) + 1
+        raw = np.frombuffer(("\0".join(low) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[np.minimum(raw, _LETTERS_END)]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        whose = np.repeat(np.arange(len(low)), lengths)[kept]
+        self.lengths = np.bincount(whose, minlength=len(low)) + 1 + longest
+        self.offsets = np.append(0, np.cumsum(self.lengths))
         self.starts, self.total = self.offsets[:-1], int(self.offsets[-1])
-        self.lengths = np.diff(self.offsets)
+        self.chars = np.full(self.total + longest, _SPACE)
+        self.chars[np.arange(len(whose)) + 1 + (1 + longest) * whose] = np.where(letter, raw, _SPACE)[kept]
 
     def codes(self, n: int) -> np.ndarray:
-        """32-bit codes of all n-grams; for n over 4 two overlapping codes are mixed."""
-        if n > SHORT:
-            a, b = self.codes(SHORT), self.bytes[SHORT : self.total + SHORT].astype(np.uint32)
-            for k in range(1, n - SHORT):
-                b = b << np.uint32(8) | self.bytes[SHORT + k : self.total + SHORT + k]
-            return a * np.uint32(0x85EBCA6B) ^ (a >> np.uint32(15)) + b * np.uint32(0xC2B2AE35)
-        code = self.bytes[: self.total].astype(np.uint32)
+        """A 32-bit number of each n-gram."""
+        code = self.chars[: self.total].copy()
         for k in range(1, n):
-            code = code << np.uint32(8) | self.bytes[k : self.total + k]
+            code *= _BETWEEN
+            code ^= self.chars[k : self.total + k]
         return code
 
     def hashed(self, n: int, bits: int) -> np.ndarray:
@@ -72,6 +82,6 @@ class Grams:
         code *= np.uint32(0x2C1B3C6D)
         return (code >> np.uint32(32 - bits)).astype(np.int64)
 
-    def real(self, n: int) -> np.ndarray:
+    def real(self) -> np.ndarray:
         """Whether the n-gram has a letter in its first place or begins a word: else it lies in the padding."""
-        return (self.bytes[: self.total] != 32) | (self.bytes[1 : self.total + 1] != 32)
+        return (self.chars[: self.total] != 32) | (self.chars[1 : self.total + 1] != 32)

@@ -33,7 +33,7 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs))
-    return langid.predict(docs, model).select("doc_id", (langid.fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id"), langid.FOLDS, langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, toxicity.training_rows(labels))
-    held_out = langid.fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    held_out = langid.held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

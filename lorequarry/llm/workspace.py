@@ -10,6 +10,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +63,23 @@ class Workspace:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
+
+    def forget(self, *saved: DataFrame) -> None:
+        """Removes the files of tables that ``save`` returned and that nothing reads any more."""
+        for df in saved:
+            _remove(self.spark, df._path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Folders of operator calls that are begun within go at its end, when what is read from them has been saved."""
+    mark = len(_left)
+    yield
+    while len(_left) > mark:
+        _remove(*_left.pop())
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -80,5 +98,10 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def plain_names(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with numbers as the names of all columns but those to keep: Arrow functions take no dotted or odd names."""
+    return df.toDF(*[c if c in keep else f"_{i}" for i, c in enumerate(df.columns)])
+
+
 def nonempty(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
