@@ -5,7 +5,7 @@ Within a source, documents in key order are a weighted sample without replacemen
 epochs and a rest takes every document ``e`` times first; the rest is a prefix of the key order.
 
 The prefix sum does not sort a source in one task. Keys are put into ranges of about ``RANGE_ROWS`` documents, the sums
-of the ranges are added up, and only the one range in which the budget ends is ordered.
+of the ranges are added up in two levels, and only the one range in which the budget ends is ordered.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .workspace import Workspace
 
 #: Documents that one key range holds on average.
 RANGE_ROWS = 2000
+#: Ranges of a source that are added up in one task.
+GROUP_RANGES = 10_000
 #: Most times that a source, and so a document, is taken.
 MAX_EPOCHS = 3
 #: Weights of the sources by their place in code point order, repeating; null comes last.
@@ -33,9 +35,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """In (0, 1), from 52 bits of a SHA-256 of the id and the seed."""
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+def uniform(name: Column, seed: int) -> Column:
+    """In (0, 1), from 52 bits of a SHA-256 of the name, a text, and the seed."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), name), 256)
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -61,8 +63,17 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` -> ``doc_id, source, size``: all that mixing needs of the texts."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """``docs(doc_id, text, source, ...)`` -> ``doc_id, source, size, name``: all that mixing needs of the texts. ``name``
+    is the id, or what tells rows without an id apart."""
+    text = F.col("text").cast("string")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    return docs.select("doc_id", "source", word_count(text).alias("size"), name.alias("name"))
+
+
+def even(key: Column, rates: list[tuple[float, Column]]) -> Column:
+    """From 0 to 1: the share of documents whose key is below, if ``rates`` has the weights and the documents of each."""
+    n = sum((c for _, c in rates[1:]), rates[0][1])
+    return sum((c * (1 - F.exp(-key * w)) for w, c in rates[1:]), rates[0][1] * (1 - F.exp(-key * rates[0][0]))) / n
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -73,8 +84,8 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, weights
     budget ends inside a document, it is taken if that brings the source nearer to its target.
 
     A null or empty text has size 0 and is never taken. A null source is a source. Rows that agree in ``doc_id`` are
-    told apart by size; equal rows get results of which it is not told which belongs to which. Other columns are not
-    looked at. An empty input gives an empty result. Reruns agree, as keys depend on ids, labels and the seed alone.
+    told apart by size; rows without one are by their text. Equal rows get results of which it is not told which belongs
+    to which. Other columns are not looked at. An empty input gives an empty result. Reruns agree, as keys depend on ids, labels and the seed alone.
     """
     ws = Workspace(docs.sparkSession, "mix")
     rows = ws.save(sizes(docs), "sizes")
@@ -82,20 +93,26 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, weights
         rows = quality_weight(rows, labels)
     else:
         rows = rows.withColumn("quality_weight", F.lit(UNLABELLED_WEIGHT))
-    rows = ws.save(rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / F.col("quality_weight")).alias("key")), "keys")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    rows = ws.save(rows.select("doc_id", "source", "size", "quality_weight", (-F.log(uniform(F.col("name"), seed)) / F.col("quality_weight")).alias("key")), "keys")
+    kinds = sorted({UNLABELLED_WEIGHT, *QUALITY_WEIGHT.values()})
+    of_kind = [F.count_if(F.col("quality_weight") == w).alias(f"n{i}") for i, w in enumerate(kinds)]
+    stats = ws.save(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), *of_kind), "stats")
     targets = water_fill(stats.select("source", "source_size"), weights, max_epochs)
     plan = stats.drop("source_size").withColumnRenamed("source", "s2").join(targets, F.col("s2").eqNullSafe(F.col("source"))).drop("s2")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # keys are near exponential: 1 - exp(-key) spreads them evenly enough over the ranges
     plan = plan.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).cast("long")).drop("n")
     by_source = plan.withColumnRenamed("source", "s2")
     r = rows.join(by_source, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    r = r.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")).cast("long"))
+    at = even(F.col("key"), [(w, F.col(f"n{i}")) for i, w in enumerate(kinds)])  # spreads the keys evenly over the ranges
+    r = r.withColumn("range", F.least(F.floor(at * F.col("ranges")), F.col("ranges") - 1).cast("long")).drop("quality_weight", *[f"n{i}" for i in range(len(kinds))])
     sums = r.groupBy("source", "range").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
-    up = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(up), F.lit(0)))
+    sums = ws.save(sums.withColumn("group", F.floor(F.col("range") / GROUP_RANGES)), "sums")
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("source", "group").agg(F.sum("s").alias("s")).withColumn("below", F.coalesce(F.sum("s").over(before("source", "group")), F.lit(0)))
+    groups = groups.select(F.col("source").alias("s4"), F.col("group").alias("g4"), "below")
+    sums = sums.withColumn("inside", F.coalesce(F.sum("s").over(before("source", "group", "range")), F.lit(0)))
+    sums = sums.join(groups, F.col("source").eqNullSafe(F.col("s4")) & (F.col("group") == F.col("g4"))).withColumn("before", F.col("below") + F.col("inside"))
     sums = sums.select(F.col("source").alias("s3"), F.col("range").alias("r3"), "before", (F.col("before") + F.col("s") <= F.col("rest")).alias("whole"), (F.col("before") < F.col("rest")).alias("reached"))
     r = r.join(sums, F.col("source").eqNullSafe(F.col("s3")) & (F.col("range") == F.col("r3"))).drop("s3", "r3")
     # only the range in which the budget ends needs its order; every other row is a partition value of its own
