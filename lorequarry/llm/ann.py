@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by largest inner product, with multiprobe p-stable hashing.
 
 Vectors are lifted so that the largest inner product is the smallest Euclidean distance, and hashed by several tables of
-Gaussian projections cut into cells. A query visits the occupied buckets of all tables in the order of the estimated
+Gaussian projections, each cut into cells of one width from a random offset. The number of projections grows with that of
+vectors, so that buckets are about as many as the square root of the vectors asks for. A query visits the occupied buckets of all tables in the order of the estimated
 chance that they hold a near vector, the squared distances from its projections to the buckets' cells added up, until
 it has passed a share of all vectors. That share is fitted: it is the one at which a bounded set of sample queries,
 compared with every vector, finds ``target_recall`` of its true neighbours. Candidates of all tables are scored exactly.
 
-A bucket's rows are dealt out in cells of at most ``cell_rows`` vectors; queries stream past a cell in batches.
+A bucket's rows are dealt out in cells of at most ``cell_rows`` vectors; queries stream past a cell in batches. Where queries
+are many, each meets its cells in one of several shares, which all hold the cells' vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,15 @@ from .workspace import Workspace
 class Settings:
     k: int = 20
     tables: int = 2
-    #: projections of a table, and cells of a projection: at most ``cells ** hashes`` buckets a table
+    #: projections of a table for up to ``many`` vectors, and cells of a projection: at most ``cells ** hashes`` buckets a
+    #: table. Beyond, a projection is added each time that vectors are ``cells ** 2`` times as many.
     hashes: int = 6
     cells: int = 4
-    cell_rows: int = 8192
+    many: int = 1 << 16
+    cell_rows: int = 2048
+    #: queries of a share, and numbers that the visiting order of a batch of queries may take
+    share_queries: int = 1 << 16
+    order_numbers: int = 1 << 22
     #: vectors that place the cells, and queries that fit the share of vectors to visit
     sample_vectors: int = 4096
     sample_queries: int = 128
@@ -38,6 +45,9 @@ class Settings:
     least_visits: int = 20
     seed: int = 9
 
+    def for_rows(self, n: int) -> Settings:
+        return replace(self, hashes=self.hashes + max(0, int(np.log(max(n, 1) / self.many) / np.log(self.cells) / 2)))
+
 
 @dataclass
 class Index:
@@ -146,15 +156,17 @@ def fit(ws: Workspace, vectors: DataFrame, s: Settings) -> Index | None:
     stats = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda x, y: x + y * y)).alias("r2"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     if not stats["n"]:
         return None
+    s = s.for_rows(stats["n"])
     rng = np.random.default_rng(s.seed)
     index = Index(s, stats["d"], stats["r2"] * (1 + 1e-12), rng.standard_normal((s.tables, s.hashes, stats["d"] + 1)), np.zeros(0), n=stats["n"])
     by_hash = vectors.orderBy(F.xxhash64(F.lit(s.seed), "vec_id"), "vec_id")
     sample = by_hash.limit(s.sample_vectors).toArrow()
     sample_v = _matrix(sample["v"].combine_chunks(), index.dims)
     p = index.project(sample_v, False)
-    # cells of equal width between the outer tenths; the outer ones are open
+    # cells of equal width from a random offset, about between the outer tenths; the outer ones are open
     low, high = np.quantile(p, [0.1, 0.9], axis=0)
-    index.edges = low[..., None] + (high - low)[..., None] * np.linspace(0, 1, s.cells - 1)[None, None, :] if s.cells > 2 else ((low + high) / 2)[..., None]
+    width = (high - low) / (s.cells - 1)
+    index.edges = low[..., None] + width[..., None] * (rng.random(low.shape)[..., None] + np.arange(s.cells - 1))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +246,12 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
     """The same for valid vectors of one length, one at least."""
     spark = ws.spark
     index = fit(ws, rows, s)
-    dealt = "cell long, kind int, id long, v array<double>, bucket array<int>"
-    names = ["cell", "kind", "id", "v", "bucket"]
+    s, dims = index.settings, index.dims
+    dealt = "cell long, share int, kind int, id long, v array<double>, bucket array<int>"
+    names = ["cell", "share", "kind", "id", "v", "bucket"]
+    asked = rows.where(queries)
+    shares = max(1, -(-asked.count() // s.share_queries))
+    scrambled = lambda ids, k: (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % k
 
     def deal_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index
@@ -245,16 +261,18 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
                 home = ix.bucket_of(_matrix(batch.column("v"), ix.dims))
                 for t in range(s.tables):
                     at = np.searchsorted(ix.buckets[t], home[:, t])
-                    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % ix.parts[t][at]
+                    spread = scrambled(ids, ix.parts[t][at])
                     code = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), pa.array(at, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ix.first_cell[t][at] + spread), pa.array(np.zeros(len(at)), pa.int32()), batch.column("vec_id"), batch.column("v"), code], names=names)
+                    for share in range(shares):
+                        yield pa.RecordBatch.from_arrays([pa.array(ix.first_cell[t][at] + spread), pa.array(np.full(len(at), share), pa.int32()), pa.array(np.zeros(len(at)), pa.int32()), batch.column("vec_id"), batch.column("v"), code], names=names)
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index
         least = max(ix.share * ix.n, s.least_visits * s.k)
         start = np.cumsum([0] + [len(b) for b in ix.buckets])
+        step = max(1, min(256, s.order_numbers // max(1, int(start[-1]))))
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 order, before, _ = ix.visits(_matrix(batch.column("v"), ix.dims))
                 cells, which, lists = [], [], []
                 for i in range(batch.num_rows):
@@ -270,13 +288,14 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
                             which.append(i)
                             lists.append(b.astype(np.int32))
                 take = pa.array(which, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.ones(len(cells)), pa.int32()), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(lists, pa.list_(pa.int32()))], names=names)
+                share = scrambled(batch.column("vec_id").take(take).to_numpy(zero_copy_only=False), shares)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(share, pa.int32()), pa.array(np.ones(len(cells)), pa.int32()), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(lists, pa.list_(pa.int32()))], names=names)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by cell, its vectors before its queries; only the vectors of one cell are held."""
+        """Rows come by cell and share, vectors before queries; only the vectors of one cell are held."""
         cell, held, ready = None, [], None
         for whole in batches:
-            cells, kinds = whole.column("cell").to_numpy(), whole.column("kind").to_numpy()
+            cells, kinds = whole.column("cell").to_numpy() * shares + whole.column("share").to_numpy(), whole.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(cells)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -293,13 +312,13 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
                     t = pa.Table.from_batches(held).combine_chunks()
                     home = t["bucket"].combine_chunks().flatten().to_numpy()
                     by = np.argsort(home, kind="stable")
-                    v = _matrix(t["v"].combine_chunks(), index_dims)[by]
+                    v = _matrix(t["v"].combine_chunks(), dims)[by]
                     names_, starts = np.unique(home[by], return_index=True)
                     ready = (v, t["id"].to_numpy()[by], names_, np.append(starts, len(by)))
                 v, ids, names_, starts = ready
                 for i in range(0, part.num_rows, 256):
                     q = part.slice(i, 256)
-                    qv, q_ids, lists = _matrix(q.column("v"), index_dims), q.column("id").to_numpy(), q.column("bucket")
+                    qv, q_ids, lists = _matrix(q.column("v"), dims), q.column("id").to_numpy(), q.column("bucket")
                     owner = np.repeat(np.arange(len(q_ids)), lists.value_lengths().to_numpy())
                     asked = np.zeros((len(q_ids), len(names_)), bool)
                     code = lists.flatten().to_numpy()
@@ -312,11 +331,9 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
                         scores[who, starts[j] : starts[j + 1]] = qv[who] @ v[starts[j] : starts[j + 1]].T
                     yield _record(*top(scores, qv, v, q_ids, ids, s.k))
 
-    index_dims = index.dims
-    asked = rows.where(queries)
     both = rows.mapInArrow(deal_vectors, dealt).unionByName(asked.mapInArrow(deal_queries, dealt))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = both.repartition(parts, "cell").sortWithinPartitions("cell", "kind").mapInArrow(visit, _FOUND)
+    found = both.repartition(parts, "cell", "share").sortWithinPartitions("cell", "share", "kind").mapInArrow(visit, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
     return merged.where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

@@ -72,3 +72,36 @@ def test_each_length_is_searched_among_its_own(spark):
     for q in (0, 20, 40):
         assert [v for v, _, _ in got[q]] == [v for v, _ in brute(list(range(50)), m, q)]
     assert got[200] == [(201, 6.0, 1)]
+
+
+def test_candidates_grow_less_than_vectors(spark):
+    """At two sizes the recall holds, and a query visits a smaller share of the larger table."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 24))
+    share = []
+    for n in (2000, 16_000):
+        m = (centres[rng.integers(0, 40, n)] + 0.4 * rng.standard_normal((n, 24))).astype(np.float32)
+        df = spark.createDataFrame([(i, m[i].tolist()) for i in range(n)], "vec_id long, embedding array<float>")
+        ws = ann.Workspace(spark, "test-ann")
+        share.append(ann.fit(ws, ws.save(ann.valid_vectors(df), "vectors"), ann.Settings()).share)
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % (n // 50) == 0).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        d = m.astype(float)
+        recall = []
+        for q in range(0, n, n // 50):
+            s = d @ d[q]
+            s[q] = -np.inf
+            recall.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
+        assert np.mean(recall) >= 0.9
+    assert share[1] < share[0] < 0.5
+    assert ann.Settings().for_rows(1 << 16).hashes == 6 and ann.Settings().for_rows(1 << 30).hashes > 8
+
+
+def test_queries_are_split_and_names_clash(spark):
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((300, 8)).astype(np.float32)
+    rows = [(i, m[i].tolist(), "x", 1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, score int, rank int")
+    one, many = (sorted(map(tuple, ann.search(df, F.col("vec_id") % 3 == 0, s).collect())) for s in (ann.Settings(), ann.Settings(share_queries=16, cell_rows=64)))
+    assert one == many and len(one) == 2000
