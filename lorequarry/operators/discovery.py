@@ -16,6 +16,8 @@ from .similarity import components, nearest, similar_pairs
 
 MIN_UNITS_PER_HEADING, MIN_CLUSTER, MAX_OVERLAP = 2, 3, 0.7
 CONTRADICTION = 0.7
+#: Units of a block of a task whose pairs are listed.
+PAIR_BLOCK = 512
 
 
 def _in_order(value: str, order: str = "ord") -> Column:
@@ -216,10 +218,14 @@ def apply_merges(tasks: DataFrame, links: DataFrame, merges: DataFrame, repoint:
 
 def unit_pairs(links: DataFrame, units: DataFrame) -> DataFrame:
     """All pairs of units of a task, earlier first: ``task_id, a, b``. A task's pairs grow with the square of its units, as
-    each is to be read by the contradiction model; ``units`` of a task are few."""
+    each is to be read by the contradiction model. The units of a large task are dealt into blocks, each two of which meet
+    under a key of their own, so that no task of Spark's has more than the pairs of two blocks."""
     u = links.join(units.select(F.col("id").alias("unit_id"), "ord"), "unit_id").select("task_id", "unit_id", "ord")
-    a, b = u.toDF("task_id", "a", "ao"), u.toDF("task_id", "b", "bo")
-    return a.join(b, "task_id").where("ao < bo").select("task_id", "a", "b")
+    n = u.groupBy("task_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    u = u.join(n, "task_id").withColumn("own", F.pmod(F.xxhash64("unit_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = u.select("task_id", F.col("own").alias("i"), F.col("other").alias("j"), F.col("unit_id").alias("a"), F.col("ord").alias("ao"))
+    b = u.select("task_id", F.col("other").alias("i"), F.col("own").alias("j"), F.col("unit_id").alias("b"), F.col("ord").alias("bo"))
+    return a.join(b, ["task_id", "i", "j"]).where("ao < bo").select("task_id", "a", "b")
 
 
 def scored_pairs(pairs: DataFrame, units: DataFrame, score: Callable[[list[dict]], list[dict]], batch: int = 64) -> DataFrame:

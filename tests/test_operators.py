@@ -457,3 +457,12 @@ def test_dictionary_finds_long_labels(spark):
     got = {(r["id"], r["iri"], r["pos"]) for r in tagging.ruler(units, concepts).collect()}
     assert got == {(1, "c1", 1), (1, "c2", 1), (1, "c3", 11), (2, "c2", 0)}
     assert {(r["id"], r["iri"]) for r in tagging.ruler(units, concepts, 2).collect()} == {(1, "c2"), (1, "c3"), (2, "c2")}
+
+
+def test_pairs_of_a_large_task_are_listed_once(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "PAIR_BLOCK", 7)
+    links = spark.createDataFrame([("big", f"u{i:02d}") for i in range(40)] + [("small", "u01"), ("small", "u02"), ("one", "u03"), ("none", "missing")], "task_id string, unit_id string")
+    units = spark.createDataFrame([(f"u{i:02d}", i) for i in range(40)], "id string, ord int")
+    got = [(r["task_id"], r["a"], r["b"]) for r in discovery.unit_pairs(links, units).collect()]
+    want = {("big", f"u{i:02d}", f"u{j:02d}") for i in range(40) for j in range(i + 1, 40)} | {("small", "u01", "u02")}
+    assert len(got) == len(want) and set(got) == want
