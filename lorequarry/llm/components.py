@@ -22,7 +22,7 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``; ``component`` is the smallest node of the component.
 
     Self-loops and repeated edges are allowed; nodes without an edge to another node are not returned. An empty input
-    gives an empty result. Each round writes its edges, so lineage stays short.
+    gives an empty result. Each round writes its edges, so lineage stays short, and removes those of the round before.
     """
     e = edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = ws.save(e, "edges")
@@ -32,6 +32,7 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        e = ws.save(star, "edges")
+        e, before = ws.save(star, "edges"), e
+        ws.forget(before)
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -16,11 +16,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from . import workspace
 from .linking import components, stars
 from .ngrams import pieces
 from .sketching import bands, minhash, mix64, most_bits, odd_sketch
-from .workspace import BROADCAST_BYTES, Workspace
+from .workspace import Workspace, plain_names, unused
 
 
 @dataclass(frozen=True)
@@ -49,20 +51,43 @@ def key_of(line: str) -> str:
     return line.strip().lower()
 
 
-def line_id(key: str) -> int:
-    """64 bits, as a signed number."""
-    h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >= 1 << 63 else h
+def line_digest(key: str) -> bytes:
+    """128 bits: what makes lines equal."""
+    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
 
 
-def expand(payload: bytes, width: int) -> np.ndarray:
-    """The distinct shingles of a line in UTF-8, as sorted 64-bit hashes; a shorter line is one shingle."""
-    chars = np.frombuffer(payload.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(1, len(chars) - width + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(min(width, len(chars))):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + chars[j : j + n]
-    return np.unique(mix64(h))
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """``[line, 2]`` as signed numbers: the id of a line, and what tells lines of one id apart."""
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
+def expand(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of lines in UTF-8 as 64-bit hashes, line after line, and how many each has; a line that is shorter than a
+    shingle is one."""
+    keys = [p.decode("utf-8", "surrogatepass") for p in payloads]
+    chars, lengths, inside = _joined(keys, width)
+    n = len(chars) - width + 1
+    wide = chars.astype(np.uint64)
+    h = wide[:n].copy()
+    for j in range(1, width):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += wide[j : j + n]
+    h = mix64(h[inside[:n]])
+    counts = lengths - width + 1
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
+    short = np.flatnonzero(size < width)  # what they are padded with is no character of theirs
+    h[(np.cumsum(counts) - counts)[short]] ^= mix64(size[short].astype(np.uint64) + np.uint64(1))
+    return h, counts
+
+
+def _joined(keys: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all keys, padded to a shingle at least; their lengths; and where shingles begin."""
+    part = [k if len(k) >= width else k + "\0" * (width - len(k)) for k in keys]
+    chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, part), np.int64, len(part))
+    inside = np.ones(len(chars), bool)
+    inside[(np.cumsum(lengths)[:, None] - np.arange(1, width)).ravel()] = False
+    return chars, lengths, inside
 
 
 def signatures(keys: list[str], s: Settings) -> np.ndarray:
@@ -75,17 +100,12 @@ def signatures(keys: list[str], s: Settings) -> np.ndarray:
         while last < len(keys) and (last == first or size + len(keys[last]) <= CHUNK_CHARS):
             size += max(w, len(keys[last]))
             last += 1
-        part = [k if len(k) >= w else k + "\0" * (w - len(k)) for k in keys[first:last]]
-        chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        ends = np.cumsum(lengths)
+        chars, lengths, inside = _joined(keys[first:last], w)
         n = len(chars) - w + 1
         h = chars[:n].copy()
         for j in range(1, w):
             h *= np.uint32(0x01000193)
             h += chars[j : j + n]
-        inside = np.ones(len(chars), bool)
-        inside[(ends[:, None] - np.arange(1, w)).ravel()] = False
         h = h[inside[:n]]
         h ^= h >> np.uint32(16)
         h *= np.uint32(0x85EBCA6B)
@@ -98,21 +118,21 @@ def signatures(keys: list[str], s: Settings) -> np.ndarray:
     return out
 
 
-_LINES = "doc_id long, line_no int, id long, bands binary"
+_LINES = "doc_id long, line_no int, id long, other long, bands binary"
 
 
 def sign(docs: DataFrame, s: Settings) -> DataFrame:
     """The lines of ``docs(doc_id, text)`` that aren't blank; ``bands`` is null where the task has signed an equal line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for part in pieces(batch, 256):
                 doc, no, ids, at, keys = [], [], [], [], []
                 for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for i, line in enumerate((text or "").split("\n")):
                         if key := key_of(line):
-                            x = line_id(key)
+                            x = line_digest(key)
                             if x not in seen:
                                 if len(seen) >= REMEMBERED:
                                     seen.clear()
@@ -122,11 +142,16 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
                             doc.append(d)
                             no.append(i)
                             ids.append(x)
-                band: list[bytes | None] = [None] * len(ids)
+                if not ids:
+                    continue
+                fresh = np.zeros(len(ids), bool)
+                fresh[at] = True
+                ends, band = np.cumsum(np.append(0, fresh * (8 * s.bands))), b""
                 if keys:
-                    for i, b in zip(at, bands(signatures(keys, s), s.rows), strict=True):
-                        band[i] = b.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.array(band, pa.binary())], names=["doc_id", "line_no", "id", "bands"])
+                    band = bands(signatures(keys, s), s.rows).tobytes()
+                half = _halves(ids)
+                band = pa.Array.from_buffers(pa.binary(), len(ids), [pa.py_buffer(np.packbits(fresh, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(band)])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1]), band], names=["doc_id", "line_no", "id", "other", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").mapInArrow(run, _LINES)
 
@@ -148,15 +173,16 @@ def _fetch(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("text", "lines").mapInArrow(run, "id long, sketch binary, payload binary")
 
 
-def _with_lines(ws: Workspace, docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with ``lines(doc_id, line_no, id)`` as an array by document, of numbers that hold the line's place
-    and half of its id. The arrays are broadcast if their counted size is small; else both sides are shuffled."""
+def _with_lines(ws: Workspace, docs: DataFrame, lines: DataFrame, how: str, name: str) -> DataFrame:
+    """``docs`` joined with ``lines(doc_id, line_no, id)`` as an array ``name`` by document, of numbers that hold the line's
+    place and half of its id. The arrays are broadcast if their counted size is small; else both sides are shuffled."""
     packed = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)))
-    by_doc = ws.save(lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(packed).alias("lines")), "by_doc")
-    size = by_doc.agg(F.coalesce(F.sum(F.size("lines") * 8 + 64), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
+    doc = unused("_doc", docs)
+    by_doc = ws.save(lines.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(packed).alias(name)), "by_doc")
+    size = by_doc.agg(F.coalesce(F.sum(F.size(name) * 8 + 64), F.lit(0))).first()[0]
+    if size <= workspace.BROADCAST_BYTES:
         by_doc = F.broadcast(by_doc)
-    return docs.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), how).drop("_doc")
+    return docs.join(by_doc, F.col("doc_id").cast("long") == F.col(doc), how).drop(doc)
 
 
 def _listed(lines: list[int] | None, split: list[str]) -> Iterator[tuple[int, int, str]]:
@@ -164,58 +190,73 @@ def _listed(lines: list[int] | None, split: list[str]) -> Iterator[tuple[int, in
     for x in lines or ():
         no = x >> 32
         if no < len(split) and (key := key_of(split[no])):
-            found = line_id(key)
+            found = int(_halves([line_digest(key)])[0, 0])
             if found & 0xFFFFFFFF == x & 0xFFFFFFFF:
                 yield no, found, key
 
 
+#: A line that makes up more than this share of all, and stands more than this many times, is joined by broadcast: there
+#: are fewer than 1 / share such lines.
+HOT_SHARE, HOT_TIMES = 1e-3, 1000
+
+
 def decide(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> written ``lines(doc_id, line_no, id)`` of all lines that aren't blank, and written
     ``removed(doc_id, line_no, id)``.
 
     Of each component of similar lines the occurrence with the smallest (doc_id, line_no) stays. Rows without a doc_id
-    or text take no part. Lines of equal number in rows that share a doc_id are one occurrence if they are equal.
+    or text take no part. Lines of equal number in rows that share a doc_id are one occurrence if they are equal. Lines are
+    equal if 128 bits of hash are; of lines that share an id, its first half, all but those of one stay as they are.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
     signed = ws.save(sign(docs, s), "signed")
-    star = stars(ws, signed.where("bands is not null"))
-    first = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    star = stars(ws, signed.where("bands is not null"), s.bands)
+    first = signed.groupBy("id").agg(F.min(F.struct("other", "doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     near = ws.save(star.select(F.col("hub").alias("id")).unionByName(star.select("id")).distinct(), "near")
     items = ws.save(first.join(near.withColumn("near", F.lit(True)), "id", "left").where("near or n > 1"), "items")
     wanted = ws.save(items.where("near").select("first.doc_id", "first.line_no", "id"), "wanted")
-    texts = ws.save(_fetch(_with_lines(ws, docs.select("doc_id", F.col("text").cast("string")), wanted, "inner"), s).dropDuplicates(["id"]), "texts")
+    texts = ws.save(_fetch(_with_lines(ws, docs.select("doc_id", F.col("text").cast("string")), wanted, "inner", "lines"), s).dropDuplicates(["id"]), "texts")
     bits = most_bits(s.percent / 100, s.samples, s.sketch_bits)
 
     comp = components(ws, star, texts, partial(expand, width=s.width), s.percent, bits)
     items = items.join(comp, F.col("id") == F.col("node"), "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
-    stays = items.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    items = ws.save(items.join(stays, "component").select("id", "stays"), "repeated")
-    lines = signed.select("doc_id", "line_no", "id")
-    removed = lines.join(items, "id").where(F.struct("doc_id", "line_no") != F.col("stays")).select("doc_id", "line_no", "id")
-    return lines, ws.save(removed.distinct(), "removed")
+    place = F.struct("first.doc_id", "first.line_no")
+    stays = items.groupBy("component").agg(F.min(place).alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    items = ws.save(items.join(stays, "component").select("id", F.col("first.other").alias("same"), "n", "stays"), "repeated")
+    lines = signed.select("doc_id", "line_no", "id", "other")
+    hot = F.broadcast(items.where(F.col("n") > max(HOT_TIMES, int(lines.count() * HOT_SHARE))))
+    joined = lines.join(hot, "id").unionByName(lines.join(hot.select("id"), "id", "left_anti").join(items, "id"))
+    removed = joined.where((F.col("other") == F.col("same")) & (F.struct("doc_id", "line_no") != F.col("stays"))).select("doc_id", "line_no", "id")
+    return lines.drop("other"), ws.save(removed.distinct(), "removed")
 
 
-def dedup(docs: DataFrame, s: Settings = Settings(), drop_empty: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, s: Settings = Settings(), drop_empty: bool = False, counts: bool = True) -> DataFrame:
     """``docs`` with all its columns, without the lines that ``decide`` removes, and with ``n_lines`` and ``n_removed``.
 
-    ``n_lines`` counts the lines that weren't blank. ``n_chars``, if it is there as a number, is set anew where the text
-    changed. A document that loses its last line has the text ``''``; with ``drop_empty`` it goes. A null text stays
-    null. Other rows pass through as they are. An empty table gives an empty result.
+    ``n_lines`` counts the lines that weren't blank. Columns of these names are replaced; without ``counts`` they stay, and
+    none is added. ``n_chars``, if it is there as a number, is set anew where the text changed. A document that loses its
+    last line has the text ``''``; with ``drop_empty`` it goes. A null text stays null. Other rows pass through as they
+    are. An empty table gives an empty result.
     """
     _, removed = decide(docs, s)
-    out = docs.schema.names
+    if counts:
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    names_out = [*docs.columns, *(("n_lines", "n_removed") if counts else ())]
+    docs = plain_names(docs, "doc_id", "text", "n_chars")
+    out = docs.columns
     number = "n_chars" in out and docs.schema["n_chars"].dataType.typeName() in ("integer", "long")
+    listed = unused("lines", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 512):
-                texts, counts, gone, sizes, keep = [], [], [], [], []
+                texts, found, gone, sizes, keep = [], [], [], [], []
                 given = part.column("n_chars").to_pylist() if number else [None] * part.num_rows
-                for text, lines, n in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), given, strict=True):
+                for text, lines, n in zip(part.column("text").to_pylist(), part.column(listed).to_pylist(), given, strict=True):
                     split = (text or "").split("\n")
                     drop = {no for no, _, _ in _listed(lines, split)}
-                    counts.append(sum(1 for x in split if x.strip()))
+                    found.append(sum(1 for x in split if x.strip()) if counts else 0)
                     if drop:
                         text = "\n".join(x for i, x in enumerate(split) if i not in drop)
                         if not text.strip():
@@ -229,8 +270,10 @@ def dedup(docs: DataFrame, s: Settings = Settings(), drop_empty: bool = False) -
                 cols["text"] = pa.array(texts, pa.string())
                 if number:
                     cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
-                arrays = [cols[c] for c in out] + [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*out, "n_lines", "n_removed"]).filter(pa.array(keep, pa.bool_()))
+                arrays, names = [cols[c] for c in out], list(out)
+                if counts:
+                    arrays, names = arrays + [pa.array(found, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long"
-    return _with_lines(Workspace(docs.sparkSession, "lines-out"), docs, removed, "left").mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, *([StructField("n_lines", LongType()), StructField("n_removed", LongType())] if counts else [])])
+    return _with_lines(Workspace(docs.sparkSession, "lines-out"), docs, removed, "left", listed).mapInArrow(run, schema).toDF(*names_out)

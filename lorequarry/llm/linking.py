@@ -1,7 +1,8 @@
 """From banded signatures to components of verified links, without emitting all pairs of a group.
 
-1. ``stars``: inside each batch the items of a bucket are tied to the batch's first; only those firsts meet in a shuffle,
-   where they are tied to the smallest. A bucket of n items gives fewer than n pairs, and a hot one few rows to shuffle.
+1. ``stars``: inside a task's buffer the items of a bucket are tied to the first; only those firsts meet in a shuffle, packed by
+   part of the buckets, where they are tied to the smallest. A bucket of n items gives fewer than n pairs, and a hot one
+   an entry a buffer to shuffle.
 2. The pairs are verified, by sketch and then on the full sets, and components are formed from the links found.
 3. A bucket whose items still lie in several components may hide links between them. Items of such buckets are put into
    groups, and blocks of a group are compared with each other: sketches first, then exact intersections as products of
@@ -26,47 +27,92 @@ from .workspace import Workspace, nonempty, small
 BLOCK = 512
 #: Set elements that one matrix product takes.
 COLUMNS = 2048
+#: Payloads, in bytes, that one step of the exact comparison takes, besides a longer single pair.
+STEP_BYTES = 1 << 20
 
-#: From the payload of an item to the sorted distinct 64-bit elements of its set.
-Expand = Callable[[bytes], np.ndarray]
+#: Bucket entries that a task ties at once, and those that it holds of one part after the shuffle, on average.
+BUFFER, PART = 1 << 20, 1 << 19
+
+#: From the payloads of items to the elements of their sets, set after set, and how many each has; an element may come
+#: more than once.
+Expand = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 STAR_SCHEMA = "bucket long, hub long, id long"
 
 
-def _local(batches: Iterator[pa.RecordBatch], ties: bool) -> Iterator[pa.RecordBatch]:
-    """From ``id, bands``: with ``ties`` rows ``(bucket, first id, other id)``, else ``(bucket, first id)`` of the batch."""
+def _tied(buckets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The distinct buckets and the smallest id of each, and rows ``bucket, smallest id, other id``."""
+    order = np.argsort(buckets)
+    buckets, ids = buckets[order], ids[order]
+    new = np.ones(len(buckets), bool)
+    new[1:] = buckets[1:] != buckets[:-1]
+    start = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids, start) if len(start) else ids
+
+    def ties() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        hub = np.repeat(least, np.diff(np.append(start, len(ids))))
+        at = np.flatnonzero(hub != ids)
+        for i in range(0, len(at), 100_000):
+            k = at[i : i + 100_000]
+            yield buckets[k], hub[k], ids[k]
+
+    return buckets[start], least, ties()
+
+
+_PACKED = "part int, firsts binary, bucket long, hub long, id long"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """From ``id, bands``: ties within a buffer as rows with ``bucket, hub, id``, and of each bucket the first entry, packed
+    by part."""
+    names = ["part", "firsts", "bucket", "hub", "id"]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        buckets, least, ties = _tied(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        for b, h, i in ties:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary()), *(pa.array(x, pa.int64()) for x in (b, h, i))], names=names)
+        entry = np.stack([buckets, least], axis=1)
+        part = (buckets.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        found, cut = np.unique(part[order], return_index=True)
+        blobs = [x.tobytes() for x in np.split(entry[order], cut[1:])]
+        none = pa.nulls(len(found), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary()), none, none, none], names=names)
+
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        raw = b"".join(batch.column("bands").to_pylist())
-        buckets = np.frombuffer(raw, np.int64).reshape(len(ids), -1)
-        by_id = np.argsort(ids, kind="stable")
-        ids, keys = ids[by_id], buckets[by_id].ravel()
-        who = np.repeat(ids, buckets.shape[1])
-        order = np.argsort(keys, kind="stable")  # within a bucket ids stay in order
-        keys, who = keys[order], who[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        if ties:
-            at = np.flatnonzero(~new)
-            hub = who[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))[at]]
-            other = hub != who[at]
-            cols = [keys[at[other]], hub[other], who[at[other]]]
-        else:
-            cols = [keys[new], who[new]]
-        for i in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], pa.int64()) for c in cols], names=["bucket", "hub", "id"][: len(cols)])
-
-
-def stars(ws: Workspace, items: DataFrame) -> DataFrame:
-    """``items(id long, bands binary)``, the band keys packed as 64-bit numbers -> written ``bucket, hub, id``."""
-    items = items.select("id", "bands")
-    near = items.mapInArrow(lambda it: _local(it, True), STAR_SCHEMA)
-    firsts = items.mapInArrow(lambda it: _local(it, False), "bucket long, id long")
-    w = Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    far = firsts.withColumn("hub", F.min("id").over(w)).where("hub <> id").select("bucket", "hub", "id")
-    return ws.save(near.unionByName(far), "stars")
+        if batch.num_rows:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            buckets = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            held.append((buckets, np.repeat(ids, len(buckets) // len(ids))))
+            size += len(buckets)
+            if size >= BUFFER:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties of the packed firsts of each part; one part at a time is in memory."""
+    for part in grouped(batches, ["part"]):
+        entry = np.frombuffer(b"".join(part["firsts"].to_pylist()), np.int64).reshape(-1, 2)
+        for cols in _tied(entry[:, 0], entry[:, 1])[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "hub", "id"])
+
+
+def stars(ws: Workspace, items: DataFrame, bands: int) -> DataFrame:
+    """Written ``items(id long, bands binary)``, the ``bands`` keys of each packed as 64-bit numbers -> written ``bucket,
+    hub, id``. An id may come more than once."""
+    shuffles = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, -(-items.count() * bands // PART))
+    packed = ws.save(items.select("id", "bands").mapInArrow(lambda it: _pack(it, parts), _PACKED), "packed")
+    far = packed.where("part is not null").select("part", "firsts").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_unpack, STAR_SCHEMA)
+    out = ws.save(packed.where("part is null").select("bucket", "hub", "id").unionByName(far), "stars")
+    ws.forget(packed)
+    return out
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -95,52 +141,78 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+#: Pairs of one step of the exact comparison: their numbers and sides take the low bits of the elements' hashes, whose
+#: other 55 bits tell the elements of two sets apart.
+STEP_PAIRS = 256
+
+
+def common_elements(flat: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and of the unions of at most ``STEP_PAIRS`` pairs of sets, given by their numbers."""
+    starts = np.cumsum(counts) - counts
+    who, n = np.stack([left, right], axis=1).ravel(), counts[np.stack([left, right], axis=1).ravel()]
+    at = np.arange(int(n.sum())) + np.repeat(starts[who] - (np.cumsum(n) - n), n)
+    tag = np.repeat(np.arange(2 * len(left), dtype=np.uint64), n)  # the pair, and the side in the lowest bit
+    key = flat[at] & ~np.uint64(2 * STEP_PAIRS - 1) | tag
+    key.sort()
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    key = key[first]  # each element of a side once
+    pair = key >> np.uint64(1)
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    number = (pair & np.uint64(STEP_PAIRS - 1)).astype(np.int64)
+    union = np.bincount(number[new], minlength=len(left))
+    return np.bincount(number, minlength=len(left)) - union, union
+
+
 def confirm(pairs: DataFrame, expand: Expand, percent: int, most_bits: int) -> DataFrame:
     """``pairs(a, b, sa, sb, xa, xb)`` of sketches and payloads -> the ``a, b`` whose sketches differ in at most
     ``most_bits`` bits and whose sets have ``100 * intersection >= percent * union``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for part in pieces(batch, 256):
-                keep = []
-                for sa, sb, xa, xb in zip(*(part.column(c).to_pylist() for c in ("sa", "sb", "xa", "xb")), strict=True):
-                    ok = (int.from_bytes(sa) ^ int.from_bytes(sb)).bit_count() <= most_bits
-                    if ok:
-                        if xa != last:
-                            last, x = xa, expand(xa)
-                        y = expand(xb)
-                        ok = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-                    if ok:
-                        both = np.concatenate([x, y])
-                        both.sort(kind="stable")
-                        common = int((both[1:] == both[:-1]).sum())
-                        ok = 100 * common >= percent * (len(x) + len(y) - common)
-                    keep.append(ok)
-                got = part.filter(pa.array(keep, pa.bool_()))
+            for part in pieces(batch, STEP_PAIRS):
+                sa, sb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("sa", "sb"))
+                part = part.filter(pa.array(np.bitwise_count(sa ^ sb).sum(1) <= most_bits))
+                xa, xb = part.column("xa").to_pylist(), part.column("xb").to_pylist()
+                keep = np.zeros(part.num_rows, bool)
+                first = 0
+                while first < part.num_rows:
+                    last, size = first, 0
+                    while last < part.num_rows and (last == first or size < STEP_BYTES):
+                        size += len(xa[last]) + len(xb[last])
+                        last += 1
+                    number: dict[bytes, int] = {}
+                    left, right = (np.array([number.setdefault(x, len(number)) for x in xs[first:last]]) for xs in (xa, xb))
+                    both, union = common_elements(*expand(list(number)), left, right)
+                    keep[first:last] = 100 * both >= percent * union
+                    first = last
+                got = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Exact sizes of the intersections of all pairs of sets."""
-    sizes = np.array([len(x) for x in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def intersections(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact sizes of the intersections of all pairs of sets, and of the sets."""
+    values, col = np.unique(flat, return_inverse=True)
+    place = np.unique(np.repeat(np.arange(len(counts)), counts) * np.int64(len(values)) + col)
+    row, col = np.divmod(place, max(1, len(values)))
+    sizes = np.bincount(row, minlength=len(counts))
     # an element of one set alone is in no intersection
-    shared = np.cumsum(counts > 1) - 1
-    row, col = np.repeat(np.arange(len(sets)), sizes), inverse
-    at = counts[col] > 1
+    often = np.bincount(col, minlength=len(values)) > 1
+    shared = np.cumsum(often) - 1
+    at = often[col]
     row, col = row[at], shared[col[at]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    out = np.zeros((len(sets), len(sets)), np.float64)
+    out = np.zeros((len(sizes), len(sizes)), np.float64)
     for c in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
         a, b = np.searchsorted(col, [c, c + COLUMNS])
-        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m = np.zeros((len(sizes), COLUMNS), np.float32)
         m[row[a:b], col[a:b] - c] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out.astype(np.int64), sizes
 
 
 def forest(link: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
@@ -166,25 +238,37 @@ def forest(link: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], expand: Expand, percent: int, most_bits: int) -> Iterator[pa.RecordBatch]:
-    """Of each block pair a forest of the verified links between different labels."""
-    for block in grouped(batches, ["grp", "i", "j"]):
+    """Of each block pair a forest of the verified links between different labels. Small ones are compared in one step."""
+
+    def compare(pairs: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        block = pa.concat_tables(pairs)
         ids, label, side = (block[c].to_numpy() for c in ("id", "label", "side"))
+        rows = [p.num_rows for p in pairs]
+        pair = np.repeat(np.arange(len(pairs)), rows)
+        within = np.repeat([p["i"][0].as_py() == p["j"][0].as_py() for p in pairs], rows)
         sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        near = (xor_counts(sketch, sketch) <= most_bits) & (label[:, None] != label[None, :])
-        if block["i"][0].as_py() != block["j"][0].as_py():
-            near &= side[:, None] != side[None, :]
+        near = (pair[:, None] == pair[None, :]) & (label[:, None] != label[None, :]) & (within[:, None] | (side[:, None] != side[None, :]))
+        near &= xor_counts(sketch, sketch) <= most_bits
         use = np.flatnonzero(near.any(0))
         if not len(use):
-            continue
+            return
         payload = block["payload"].take(pa.array(use)).to_pylist()
-        sets = [expand(x) for x in payload]
-        common, sizes = intersections(sets), np.array([len(x) for x in sets])
+        common, sizes = intersections(*expand(payload))
         link = near[np.ix_(use, use)] & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
         found = forest(link, label[use])
         if found:
             a, b = (ids[use[list(c)]] for c in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
+    held: list[pa.Table] = []
+    for pair in grouped(batches, ["grp", "i", "j"]):
+        if held and sum(p.num_rows for p in held) + pair.num_rows > BLOCK // 2:
+            yield from compare(held)
+            held = []
+        held.append(pair)
+    if held:
+        yield from compare(held)
+
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """``rows(grp, n, id, ...)``, each once for every block of its group; block pairs have i <= j."""
@@ -200,6 +284,7 @@ def components(ws: Workspace, star: DataFrame, sets: DataFrame, expand: Expand,
     side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("payload").alias(f"x{c}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb", "xa", "xb")
     comp = ws.save(connected_components(ws, confirm(full, expand, percent, most_bits)), "components")
+    ws.forget(pairs)
     label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
     ties = star.join(small(label("hub"), 24), "hub", "left").join(small(label("id"), 24), "id", "left").withColumn("lhub", F.coalesce("lhub", "hub")).withColumn("lid", F.coalesce("lid", "id"))
     ties = ws.save(ties.select("bucket", "hub", "id", "lhub", "lid"), "ties")

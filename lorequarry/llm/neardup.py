@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .linking import components, stars
 from .ngrams import chunks, pieces
 from .sketching import bands, minhash, most_bits, odd_sketch, word_shingles
-from .workspace import Workspace, nonempty, small
+from .workspace import Workspace, nonempty, small, unused
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,8 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, "id long, sketch binary, payload binary")
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, np.uint64)
+def unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(payloads), np.uint64), np.fromiter(map(len, payloads), np.int64, len(payloads)) // 8
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     signed = ws.save(sign(docs, s), "signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = ws.save(classes, "classes")
-    star = stars(ws, classes)
+    star = stars(ws, classes, s.bands)
     bits = most_bits(s.percent / 100, s.samples, s.sketch_bits)
     candidates = ws.save(star.select(F.col("hub").alias("id")).unionByName(star.select("id")).distinct(), "candidates")
     wanted = ws.save(classes.select("id", "sketch").join(candidates, "id"), "wanted")
@@ -123,8 +123,9 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "neardup-keep")
     found = ws.save(near_duplicates(docs, s), "found")
-    lost = ws.save(found.where("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    kept = docs.join(small(lost, 16), F.col("doc_id").cast("long") == F.col("_lost"), "left_anti")
+    gone = unused("_lost", docs)
+    lost = ws.save(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "lost")
+    kept = docs.join(small(lost, 16), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     if nonempty(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")):
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
     return kept

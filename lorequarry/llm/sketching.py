@@ -18,19 +18,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers, odd, and addends of ``k`` maps of 32-bit numbers onto themselves."""
-    rng = np.random.default_rng(_SEED)
-    return rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
+def permutations(k: int) -> np.ndarray:
+    """Odd multipliers: ``k`` maps of 32-bit numbers onto themselves."""
+    return np.random.default_rng(_SEED).integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minhash(elements: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Signatures ``[set, k]`` of the sets ``elements[starts[i]:starts[i + 1]]``, none of them empty; 32-bit elements."""
-    a, b = permutations(k)
+    """Signatures ``[set, k]`` of the sets ``elements[starts[i]:starts[i + 1]]``, none of them empty; the elements are mixed
+    32-bit numbers."""
     out, hashed = np.empty((k, len(starts)), np.uint32), np.empty_like(elements)
-    for j in range(k):
-        np.multiply(elements, a[j], out=hashed)
-        np.add(hashed, b[j], out=hashed)
+    for j, a in enumerate(permutations(k)):
+        np.multiply(elements, a, out=hashed)
         np.minimum.reduceat(hashed, starts, out=out[j])
     return np.ascontiguousarray(out.T)
 

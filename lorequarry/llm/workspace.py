@@ -50,11 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of the Arrow batches between the JVM and Python, where the session has Spark's own values.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long rows: batches as large as Spark's own would take most of a small executor's memory."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
+
+
 class Workspace:
     """A folder of one operator call. The folder goes when the driver ends, since results are read from it lazily."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         _left.append((spark, self.root))

@@ -107,3 +107,20 @@ def test_long_verbatim_runs_and_items_of_few_words(spark):
     docs = [(1, "some text " + " ".join(words[10:34]) + " other text"), (2, "some text " + " ".join(words[10:20]) + " other text"), (3, "Please: Calculate 12 * 7 + 5 - 3"), (4, "Please: Calculate 12 * 8 + 5 - 3")]
     got = leaks(spark, docs, items)
     assert {k: r["kind"] for k, r in got.items()} == {(1, 1): "verbatim", (3, 2): "verbatim"}
+
+
+def test_clashing_column_names_and_no_broadcast(spark, monkeypatch):
+    from lorequarry.llm import workspace
+
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
+    names = ["_lost", "_lost_", "item_id", "view", "tokens", "grams", "_text"]
+    df = spark.createDataFrame([(1, "before, " + ITEMS[1][1], *["q"] * len(names)), (2, "clean words here", *["q"] * len(names)), (None, ITEMS[1][1], *["q"] * len(names)), (4, None, *["q"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(*i, "z") for i in ITEMS], "item_id long, text string, doc_id string")
+    out = dc.clean(df, items)
+    assert out.columns == df.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 2, 4]
+    assert [(r["doc_id"], r["item_id"]) for r in dc.find_leaks(df, items).collect()] == [(1, 2)]
+
+
+def test_hostile_text(spark):
+    docs = [(1, "Aaa Bbb " * 600_000 + ITEMS[1][1]), (2, "1,2" * 1_500_000), (3, "a" * 5_000_000), (4, ITEMS[1][1] + " 1:2" * 1_000_000)]
+    assert set(leaks(spark, docs)) == {(1, 2), (4, 2)}

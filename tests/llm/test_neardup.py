@@ -141,3 +141,21 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         up[y] = x
     assert got == {n: find(n) for n in up if find(n) != n or any(find(m) == n and m != n for m in up)}
+
+
+def test_clashing_column_names_and_no_broadcast(spark, monkeypatch):
+    from lorequarry.llm import workspace
+
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    names = ["_lost", "_lost_", "id", "digest", "component_id", "kept", "bands"]
+    df = spark.createDataFrame([(i, text if i < 3 else "something wholly different from that one", *["q"] * len(names)) for i in range(1, 4)] + [(None, text, *["q"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = neardup.keep_one(df)
+    assert out.columns == df.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
+    assert neardup.near_duplicates(df).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_hostile_text(spark):
+    rows = [(1, "a " * 2_500_000), (2, "a" * 5_000_000), (3, " " * 5_000_000), (4, " ".join(map(str, range(700_000)))), (5, " ".join(map(str, range(699_990))))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (0, 3), 4: (699_996, 4), 5: (699_986, 4)}
