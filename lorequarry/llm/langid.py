@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import Grams, chunks, has_letter, pieces
-from .workspace import plain_names
+from .workspace import bound_batches, plain_names
 
 LENGTHS = (2, 3, 4)
 BITS = 18
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     The sample is bounded: of each language those documents whose id hashes lowest, about ``sample_docs`` in all, and at
     least one of each. The driver holds their sparse features only.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.where("lang is not null and text is not null")
     h = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("low")).collect()  # a row a language

@@ -43,6 +43,34 @@ def test_stages_against_plain_versions(spark):
     assert all(r["taken"] <= mixing.MAX_EPOCHS * r["size"] for r in rows["mixing"].values())
 
 
+def test_stages_bear_any_table(spark):
+    """Nulls in any column, empty and repeated rows, ties, an empty table, and columns whose names are used inside."""
+    names = ["lines", "_lost", "_doc", "n_lines", "n_removed", "id", "view", "size", "name", "key", "component_id", "score", "x.y", "a b"]
+    prose = "the quick brown fox jumps over the lazy dog and runs on to the other side of the hill"
+    german = "der schnelle braune fuchs springt über den faulen hund und läuft weiter auf die andere seite"
+    rows = [(i, f"{prose} number {i}\nthe same last line of all of them" if i % 2 else f"{german} nummer {i}", "en" if i % 2 else "de", "web", 80) for i in range(1, 41)]
+    rows += [rows[0], rows[0], (None, prose, None, None, None), (51, None, "en", None, 1), (52, "", None, "web", None), (53, "12 34", "en", "web", 5), (54, prose, "en", None, None), (55, prose, None, "web", 3)]
+    df = spark.createDataFrame([(*r, *["q"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    sf = "/root/testdata/sf0.001"
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, df, sf)
+        if name != "mixing":
+            assert got.columns == df.columns
+        ids = sorted((r["doc_id"] or 0) for r in got.collect())
+        if name == "language":  # without a letter, or without a text, no language can be told
+            assert ids.count(1) == 3 and not {51, 52, 53} & set(ids)
+        if name == "lines":  # 54 and 55 have only a line that is like one of document 1; empty texts had nothing to lose
+            assert 1 in ids and not {54, 55} & set(ids) and {51, 52, 53} <= set(ids) and 0 in ids
+        if name == "near_duplicates":  # a document is there once, rows without an id stay
+            assert ids.count(1) == 1 and ids.count(0) == 1 and 54 in ids and 55 not in ids and {51, 52, 53} <= set(ids)
+        if name == "decontamination":
+            assert len(ids) == len(rows)
+        if name == "mixing":
+            assert len(ids) == len(rows)
+        empty = f(spark, df.limit(0), sf)
+        assert empty.columns == got.columns and empty.count() == 0
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "taken" in got.columns
