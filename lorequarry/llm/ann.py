@@ -37,6 +37,8 @@ class Settings:
     #: queries of a share, and numbers that the visiting order of a batch of queries may take
     share_queries: int = 1 << 16
     order_numbers: int = 1 << 22
+    #: found rows that a task holds, to merge what its cells have found for a query
+    held_rows: int = 1 << 20
     #: vectors that place the cells, and queries that fit the share of vectors to visit
     sample_vectors: int = 4096
     sample_queries: int = 128
@@ -144,6 +146,17 @@ def top(scores: np.ndarray, q: np.ndarray, v: np.ndarray, q_ids: np.ndarray, ids
     return q_ids[x[keep]], ids[y[keep]], s[keep]
 
 
+def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of found rows each query's ``k`` best, each vector once."""
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])  # a vector that was found twice has one score
+    q, v, s = q[once], v[once], s[once]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], v[keep], s[keep]
+
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -292,8 +305,10 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(share, pa.int32()), pa.array(np.ones(len(cells)), pa.int32()), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(lists, pa.list_(pa.int32()))], names=names)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by cell and share, vectors before queries; only the vectors of one cell are held."""
+        """Rows come by share and cell, vectors before queries; the vectors of one cell are held, and the best found so far."""
         cell, held, ready = None, [], None
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_found = 0
         for whole in batches:
             cells, kinds = whole.column("cell").to_numpy() * shares + whole.column("share").to_numpy(), whole.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(cells)]
@@ -329,11 +344,20 @@ def _search(ws: Workspace, rows: DataFrame, queries: Column, s: Settings) -> Dat
                     for j in np.flatnonzero(asked.any(0)):
                         who = np.flatnonzero(asked[:, j])
                         scores[who, starts[j] : starts[j + 1]] = qv[who] @ v[starts[j] : starts[j + 1]].T
-                    yield _record(*top(scores, qv, v, q_ids, ids, s.k))
+                    found.append(top(scores, qv, v, q_ids, ids, s.k))
+                    n_found += len(found[-1][0])
+                    if n_found > s.held_rows:
+                        found = [best_of(*map(np.concatenate, zip(*found, strict=True)), s.k)]
+                        n_found = len(found[0][0])
+                        if n_found > s.held_rows // 2:
+                            yield _record(*found.pop())
+                            n_found = 0
+        if found:
+            yield _record(*best_of(*map(np.concatenate, zip(*found, strict=True)), s.k))
 
     both = rows.mapInArrow(deal_vectors, dealt).unionByName(asked.mapInArrow(deal_queries, dealt))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = both.repartition(parts, "cell", "share").sortWithinPartitions("cell", "share", "kind").mapInArrow(visit, _FOUND)
+    scored = both.repartition(parts, "cell", "share").sortWithinPartitions("share", "cell", "kind").mapInArrow(visit, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
+    merged = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
     return merged.where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

@@ -103,5 +103,5 @@ def test_queries_are_split_and_names_clash(spark):
     m = rng.standard_normal((300, 8)).astype(np.float32)
     rows = [(i, m[i].tolist(), "x", 1, 2) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, score int, rank int")
-    one, many = (sorted(map(tuple, ann.search(df, F.col("vec_id") % 3 == 0, s).collect())) for s in (ann.Settings(), ann.Settings(share_queries=16, cell_rows=64)))
+    one, many = (sorted(map(tuple, ann.search(df, F.col("vec_id") % 3 == 0, s).collect())) for s in (ann.Settings(), ann.Settings(share_queries=16, cell_rows=64, held_rows=300)))
     assert one == many and len(one) == 2000
