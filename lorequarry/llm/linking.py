@@ -28,10 +28,10 @@ BLOCK = 512
 #: Set elements that one matrix product takes.
 COLUMNS = 2048
 #: Payloads, in bytes, that one step of the exact comparison takes, besides a longer single pair.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 #: Bucket entries that a task ties at once, and those that it holds of one part after the shuffle, on average.
-BUFFER, PART = 1 << 20, 1 << 19
+BUFFER, PART = 1 << 18, 1 << 19
 
 #: From the payloads of items to the elements of their sets, set after set, and how many each has; an element may come
 #: more than once.
