@@ -23,11 +23,12 @@ def con(sf):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         if isinstance(v, bool | str):
             return v
-        return round(float(v), 6) if isinstance(v, float) else v
+        # pandas makes floats of integers that may be null
+        return int(v) if isinstance(v, float) and v.is_integer() else round(float(v), 6) if isinstance(v, float) else v
 
     names = sorted(df.columns)
     return sorted((tuple(plain(v) for v in r) for r in df[names].astype(object).itertuples(index=False)), key=repr)
