@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, htmltext, langid, licenses, linededup, mixing, neardup, secrets, toxicity
+from . import ann, decontaminate, exactdedup, fim, htmltext, langid, licenses, linededup, mixing, neardup, runs, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(table(spark, sf_dir, "documents"), runs.CONTRACT))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_htmltext": op1_htmltext,
     "op2_neardup": op2_neardup,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_ann": op9_ann,
     "op10_toxicity": op10_toxicity,
+    "op11_exactdedup": op11_exactdedup,
+    "op12_runs": op12_runs,
+    "op13_fim": op13_fim,
 }
 
 MIX_SQL = r"""
@@ -228,10 +243,49 @@ SELECT doc_id, item_id, CAST(n_tokens AS INTEGER) AS n_tokens, n_covered, CAST(n
 """
 
 
+EXACT_SQL = """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)
+"""
+
+#: The crc32 of the id is folded bit by bit. Every pair of equal words of a document that are a period apart belongs to one
+#: stretch of that period; of stretches with the same bounds the one of the smallest period is a run.
+RUNS_SQL = r"""
+WITH c AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 % len(w) AS a, h // 10 % 8 AS k FROM c),
+v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + k)) END]) ELSE w END AS w FROM g),
+e AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS x FROM v WHERE n >= 24),
+m AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i JOIN v ON v.doc_id = a.doc_id AND b.i - a.i <= v.n // 3),
+s AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM m) GROUP BY doc_id, p, island),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM s WHERE length >= greatest(24, 3 * p) GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS place FROM r),
+d AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT v.doc_id, CASE WHEN t.doc_id IS NULL THEN array_to_string(v.w, ' ') ELSE coalesce((SELECT string_agg(e.x, ' ' ORDER BY e.i) FROM e ANTI JOIN d ON d.doc_id = e.doc_id AND d.i = e.i WHERE e.doc_id = v.doc_id), '') END AS collapsed FROM v LEFT JOIN t ON t.doc_id = v.doc_id)
+SELECT k.doc_id, coalesce(t.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(k.collapsed) AS collapsed_sha256
+FROM k LEFT JOIN t ON t.doc_id = k.doc_id LEFT JOIN b ON b.doc_id = k.doc_id AND b.place = 1
+"""
+
+FIM_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256(concat('1:', doc_id)) AS h FROM documents),
+u AS (SELECT doc_id, t, n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+o AS (SELECT doc_id, t, n, form, a, b, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', substr(t, 1, a), '<S>', substr(t, b + 1), '<M>', substr(t, a + 1, b - a))
+  ELSE concat('<S>', substr(t, b + 1), '<P>', substr(t, 1, a), '<M>', substr(t, a + 1, b - a)) END AS output FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
 ORACLES: dict[str, str] = {
     "op2_neardup": NEARDUP_SQL,
     "op3_decontaminate": leaks_sql(),
     "op4_linededup": LINES_SQL,
     "op6_mixing": MIX_SQL.format(documents="documents"),
     "op7_licenses": license_sql(),
+    "op11_exactdedup": EXACT_SQL,
+    "op12_runs": RUNS_SQL,
+    "op13_fim": FIM_SQL,
 }
