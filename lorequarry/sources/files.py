@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import elements as el
+from ..operators.lineage import cut
+from . import layout
+from .compound import parse_doc, parse_msg
 
 # Suffixes that are read, and the names of their formats.
 FORMATS = {
@@ -203,12 +206,14 @@ def parse_delimited(content: bytes, sep: str) -> Parsed:
     return [(" | ".join(c), "paragraph", 0, []) for r in rows if (c := [x.strip() for x in r if x.strip()])]
 
 
-#: Parsers by suffix. A caller may add others, as for PDF, whose libraries aren't part of Python.
+#: Parsers by suffix, besides those of ``layout``. A caller may add others or replace them.
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {
     ".html": parse_html,
     ".htm": parse_html,
     ".xml": parse_xml,
     ".docx": parse_docx,
+    ".doc": parse_doc,
+    ".msg": lambda c: parse_msg(c, parse_html, parse_rtf),
     ".xlsx": parse_xlsx,
     ".rtf": parse_rtf,
     ".eml": parse_eml,
@@ -241,17 +246,21 @@ def parse_binary(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]]
 def ingest(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> tuple[DataFrame, DataFrame]:
     """``scan``'s rows -> ``elements(file_path, seq, text, element_type, level, section_path)`` and ``errors(file_path, error)``.
 
-    Markdown and plain text are parsed by column functions; the rest by parsers in Python. A text format that a parser
-    was added for, and which gave nothing, falls back to the column functions.
+    Markdown and plain text are parsed by column functions; PDF files are read as placed pieces of text, of which plans make lines
+    and paragraphs; the rest goes to parsers in Python. A text format that a parser was added for, and which gave nothing,
+    falls back to the column functions.
     """
     text = files.where(F.col("suffix").isin(".md", ".txt")).select("file_path", "suffix", F.decode("content", "UTF-8").alias("text"))
     none = F.array().cast("array<string>")
     md = el.markdown_elements(text.where("suffix = '.md'").select("file_path", "text"))
     plain = el.plain_elements(text.where("suffix = '.txt'").select("file_path", "text"))
     native = el.with_whole_text(text.select("file_path", "text"), md.unionByName(plain)).withColumn("section_path", none)
-    other = parse_binary(files.where(~F.col("suffix").isin(".md", ".txt")), parsers)
-    good = other.where("ok").select(*native.columns)
-    return native.unionByName(good), other.where("not ok").select("file_path", "error")
+    placed = [] if ".pdf" in (parsers or {}) else [".pdf"]
+    other = parse_binary(files.where(~F.col("suffix").isin(".md", ".txt", *placed)), parsers)
+    pieces = cut(layout.pieces(files.where(F.col("suffix").isin(placed))))  # read twice, parsed once
+    errors = other.where("not ok").select("file_path", "error").unionByName(pieces.where("error is not null").select("file_path", "error"))
+    good = other.where("ok").select(*native.columns).unionByName(layout.elements(layout.lines(pieces)).select(*native.columns))
+    return native.unionByName(good), errors
 
 
 def elements_with_paths(found: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_every_format(spark, tmp_path):
         "h.rtf": [("paragraph", "First bold", 0), ("paragraph", "Second é end", 0)],
         "i.eml": [("heading", "Hello", 1), ("paragraph", "Body one", 0), ("paragraph", "Body two", 0)],
     }
-    assert [(r["file_path"].rpartition("/")[2], r["error"]) for r in errors.collect()] == [("j.pdf", "ValueError: no parser for .pdf")]
+    assert [(r["file_path"].rpartition("/")[2], r["error"]) for r in errors.collect()] == [("j.pdf", "ValueError: not a PDF file")]
     paths = {r["text"]: r["section_path"] for r in src.elements_with_paths(elements.where(F.col("file_path").endswith("a.md") | F.col("file_path").endswith("d.xml"))).collect()}
     assert paths["item"] == ["A"] and paths["two"] == ["r", "s", "t"]
 
