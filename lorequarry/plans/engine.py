@@ -1,7 +1,8 @@
 """The engine end to end: extract units from files, discover tasks, export them. Every stage is a written table.
 
 A corpus is a folder: ``registry``, ``units``, ``tasks``, ``links`` and ``decisions`` as Parquet, and ``export`` for what others read.
-Runs write versions, ``name/v=N``, and the last one with a success mark counts, so that a run that dies leaves the one before.
+Runs write versions, ``name/v=N``, and the last one with a success mark counts, so that a run that dies leaves the one before. A
+run that is called again goes on after the last stage that was finished with the same inputs and parameters.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import discovery, elements, graph, providers, review, similarity, tagging
 from ..operators.lineage import cut
 from ..sources import files as src
+from .stages import Run, Store, name_of
 
 TASK = "task_id string, label string, iri string, parent_task_id string, is_procedural boolean, confidence double, source_file string, heading_path array<string>, ord long, status string, canonical_order int, has_contradictions boolean, has_orphans boolean, jurisdiction_sensitive boolean"
 LINK = "task_id string, unit_id string"
@@ -25,77 +27,63 @@ CONTRADICTION = "contradiction_id string, task_id string, unit_id_a string, unit
 CONCEPT = "iri string, label string, branch string, parent_iris array<string>"
 
 
-class Store:
-    """Versioned tables of one corpus, on any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        out = []
-        for s in fs.listStatus(p):
-            n = s.getPath().getName()
-            if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                out.append(int(n[2:]))
-        return sorted(out)
-
-    def has(self, name: str) -> bool:
-        return bool(self._versions(name))
-
-    def read(self, name: str, schema: str | None = None, back: int = 0) -> DataFrame | None:
-        """The last version, or the one ``back`` before it; an empty table if there is none and a schema is given."""
-        v = self._versions(name)
-        if len(v) > back:
-            return self.spark.read.parquet(f"{self.root}/{name}/v={v[-1 - back]}")
-        return self.spark.createDataFrame([], schema) if schema else None
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        n = max(self._versions(name), default=-1) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={n}")
-
-
-def extract(spark: SparkSession, source: str, store: Store, concepts: DataFrame | None = None, high: float = fx.HIGH, medium: float = fx.MEDIUM, models: dict[str, Callable] | None = None, near: float | None = 0.85, parsers: dict | None = None) -> DataFrame:
+def extract(spark: SparkSession, source: str, store: Store, concepts: DataFrame | None = None, high: float = fx.HIGH, medium: float = fx.MEDIUM, models: dict[str, Callable] | None = None, near: float | None = 0.85, parsers: dict | None = None, progress: Callable[[str, str, float], None] | None = None) -> DataFrame:
     """Units of the files below ``source`` that are new or changed, together with those of the files seen before.
 
     ``concepts(iri, label, branch, parent_iris)`` is the ontology; without one units get no tags. ``models`` may hold functions
     from a list of rows, each with ``id`` and ``text``, to a list of replies: ``distill``, ``classify``, ``novelty``, ``embed``
     (``embedding``; for the second tier of boundaries and the semantic tags), ``boundaries`` (``reply``, JSON; for the third
     tier) and ``concepts`` (``concepts``, JSON; tags). What isn't there is left out. ``near`` is the cosine above which
-    units are near-duplicates, None for none.
+    units are near-duplicates, None for none. ``progress`` is told each stage's name and state, and the share that is done.
     """
     models = models or {}
-    registry = store.read("registry", REGISTRY)
+    run = Run(store, "extract", "registry", progress, of=12 + 2 * len(models))
+    registry = run.base("registry", REGISTRY)
     files = src.scan(spark, source)
+    # what is new is told by the files' sizes and times, so that no content is read for it
+    run.table("files", spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length", "modificationTime"))
+    run.table("ontology", concepts)
+    of = lambda *names: [(n, name_of(models.get(n))) for n in names]
     new = src.needs_processing(files, registry)
     found, errors = src.ingest(new, parsers)
-    e = src.elements_with_paths(found)
-    e = store.write("elements", e)
-    units = elements.knowledge_units(boundaries(store, e, models))
-    units = providers.distill(units, models.get("distill"))
-    units = providers.novelty(providers.classify(units, models.get("classify")), models.get("novelty"))
-    units = tag(store.write("classified", units), concepts, models)
-    old = store.read("units_all")  # before deduplication: copies may lose the unit they went into
-    if old is not None:  # units of files that were read again are replaced
-        units = old.join(new.select(F.col("file_path").alias("_f")), F.col("source_file") == F.col("_f"), "left_anti").unionByName(units, allowMissingColumns=True)
-    units = store.write("units_all", numbered(units.drop("ord"), "source_file", "original_span.start", "id"))
-    kept = similarity.exact_dedup(units).drop("merged")
+    e = run.stage("elements", lambda: src.elements_with_paths(found), ["files", "base:registry"], sorted(parsers or {}))
+
+    def units_of() -> DataFrame:
+        units = elements.knowledge_units(boundaries(run, e, models))
+        units = providers.distill(units, models.get("distill"))
+        return providers.novelty(providers.classify(units, models.get("classify")), models.get("novelty"))
+
+    classified = run.stage("classified", units_of, ["elements"], of("embed", "boundaries", "distill", "classify", "novelty"))
+    old = run.base("units_all")  # before deduplication: copies may lose the unit they went into
+
+    def merged() -> DataFrame:
+        units = tag(classified, concepts, models)
+        if old is not None:  # units of files that were read again are replaced
+            kept = old.join(new.select(F.col("file_path").alias("_f")), F.col("source_file") == F.col("_f"), "left_anti")
+            units = kept.unionByName(units, allowMissingColumns=True)
+        return numbered(units.drop("ord"), "source_file", "original_span.start", "id")
+
+    units = run.stage("units_all", merged, ["classified", "base:units_all", "ontology"], of("embed", "concepts"))
+    exact = lambda: similarity.exact_dedup(units).drop("merged")
     if near is not None:
-        v = store.write("unit_vectors", kept.withColumn("embedding", similarity.hash_embedding(F.col("text"), 256)))
-        kept = similarity.near_dedup(v, near).drop("embedding")
-    kept = store.write("units", kept)
-    store.write("errors", errors)
-    store.write("registry", src.mark_processed(registry, new.select("file_path", "content_hash", "format")))
-    store.write("summary", extraction_summary(kept, high, medium))
-    store.write("review", kept.select("id", fx.review_bucket(F.col("confidence"), high, medium).alias("bucket")))
+        v = run.stage("unit_vectors", lambda: exact().withColumn("embedding", similarity.hash_embedding(F.col("text"), 256)), ["units_all"])
+        kept = run.stage("units", lambda: similarity.near_dedup(v, near).drop("embedding"), ["unit_vectors"], near)
+    else:
+        kept = run.stage("units", exact, ["units_all"])
+    run.stage("errors", lambda: errors, ["elements"])
+    run.stage("summary", lambda: extraction_summary(kept, high, medium), ["units"], high, medium)
+    run.stage("review", lambda: kept.select("id", fx.review_bucket(F.col("confidence"), high, medium).alias("bucket"), review_reason(high, medium).alias("reason")), ["units"], high, medium)
+    run.stage("registry", lambda: src.mark_processed(registry, new.select("file_path", "content_hash", "format")), ["elements", "units", "review", "summary"])
     return kept
 
 
+def review_reason(high: float = fx.HIGH, medium: float = fx.MEDIUM) -> Column:
+    """Why a unit is in its bucket of the review."""
+    c = F.format_number(F.col("confidence"), 2)
+    below = lambda x: F.concat(F.lit("confidence "), c, F.lit(f" below {x:.2f}"))
+    return F.when(F.col("confidence") >= high, F.concat(F.lit("confidence "), c)).when(F.col("confidence") >= medium, below(high)).otherwise(below(medium))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``ord``, their places in the order, from 1: rows are dealt out by ranges of the order, and each range is
     numbered from the count of those before it, which are as many as there are partitions."""
@@ -112,20 +100,20 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return dealt.withColumn("ord", base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
 
 
-def boundaries(store: Store, e: DataFrame, models: dict[str, Callable]) -> DataFrame:
+def boundaries(run: Run, e: DataFrame, models: dict[str, Callable]) -> DataFrame:
     """The three tiers: by structure; where a paragraph is long, by the likeness of its sentences; else by a model's reply."""
-    b = store.write("boundaries", elements.structural_boundaries(e))
+    b = run.stage("boundaries", lambda: elements.structural_boundaries(e), ["elements"])
     none = b.where(F.lit(False)).select("file_path", "seq", "part", "start", "end", "text", "confidence", "method")
     semantic = model = none
     if "embed" in models:
-        sentences = elements.sentences_of(b)
-        semantic = store.write("semantic_segments", elements.semantic_tier(providers.embed(sentences.withColumn("id", F.struct("paragraph", "no")), models["embed"]).drop("id")))
+        sentences = elements.sentences_of(b).withColumn("id", F.struct("paragraph", "no"))
+        semantic = run.stage("semantic_segments", lambda: elements.semantic_tier(providers.embed(sentences, models["embed"]).drop("id")), ["boundaries"], name_of(models["embed"]))
     if "boundaries" in models:
         key = ["file_path", "seq", "part"]
         left = b.where(elements.ambiguous(b)).join(semantic.select(*key).distinct(), key, "left_anti").withColumn("id", F.to_json(F.struct(*key)))
         got = providers.map_rows(left.select("id", "text"), models["boundaries"], "id string, reply string")
         replies = left.join(got, "id").withColumn("candidates", F.array().cast("array<long>"))
-        model = store.write("model_segments", elements.model_segments(replies).select(*none.columns))
+        model = run.stage("model_segments", lambda: elements.model_segments(replies).select(*none.columns), ["boundaries", *["semantic_segments"] * ("embed" in models)], name_of(models["boundaries"]))
     return elements.refine(b, semantic.select(*none.columns), model)
 
 
@@ -168,7 +156,7 @@ def extraction_summary(units: DataFrame, high: float = fx.HIGH, medium: float =
     return out.unionByName(row(concepts, "concepts", F.lit("distinct")))
 
 
-def discover(spark: SparkSession, store: Store, concepts: DataFrame | None = None, cluster_threshold: float = 0.5, merge_threshold: float = 0.85, models: dict[str, Callable] | None = None) -> DataFrame:
+def discover(spark: SparkSession, store: Store, concepts: DataFrame | None = None, cluster_threshold: float = 0.5, merge_threshold: float = 0.85, models: dict[str, Callable] | None = None, progress: Callable[[str, str, float], None] | None = None) -> DataFrame:
     """Tasks of the corpus' units with their links; tasks that a reviewer approved or edited stay as they are.
 
     ``models`` may hold functions from a list of rows to a list of replies: ``labels`` (rows of ``id, texts``, replies of
@@ -180,54 +168,84 @@ def discover(spark: SparkSession, store: Store, concepts: DataFrame | None = Non
     units = store.read("units")
     if units is None:
         raise ValueError("nothing has been extracted")
-    heads = discovery.heading_candidates(units)
-    covered = heads.select(F.explode("unit_ids").alias("id"))
-    vectors = store.write("discovery_vectors", units.select("id", similarity.hash_embedding(F.col("text"), 256).alias("embedding")))
-    found = store.write("clusters", similarity.cluster(vectors, cluster_threshold))
-    labels = None
-    if "labels" in models:
-        prompts = discovery.prompt_texts(units, found).select(F.col("cluster").cast("string").alias("id"), "texts")
-        labels = providers.map_rows(prompts, models["labels"], "id string, label string, confidence double").withColumnRenamed("id", "cluster")
-    clusters = discovery.cluster_candidates(units, found, covered, labels)
-    cand = heads.withColumn("_s", F.lit(0)).unionByName(clusters.withColumn("_s", F.lit(1)))
-    cand = numbered(cand, "_s", "first", "label").drop("_s", "first")
-    cand = store.write("candidates", cand.withColumn("candidate", F.col("ord")))
-    t = cand.select("candidate", F.posexplode("unit_ids").alias("up", "id")).join(units.select("id", F.posexplode("tags").alias("tp", "t")), "id")
-    modes = discovery.concept_mode(t.select("candidate", (F.col("up") * 1000 + F.col("tp")).alias("pos"), "t.iri", "t.label", "t.confidence"))
-    mapped = discovery.map_candidates(cand, modes)
+    run = Run(store, "discover", "diff", progress, of=18 + ("order" in models))
+    stage, model = run.stage, lambda *names: [(n, name_of(models.get(n))) for n in names]
+    run.given("units", [store.last("units"), store.marked("units", store.last("units")).get("print")])
+    run.table("ontology", concepts)
     known = concepts if concepts is not None else spark.createDataFrame([], CONCEPT)
-    deeper = discovery.deepest_concept(store.write("mapped", mapped).select("candidate", "iri", "label"), known).select("candidate", F.col("iri").alias("_iri"))
-    mapped = mapped.join(deeper, "candidate", "left").withColumn("iri", F.coalesce("_iri", "iri")).drop("_iri")
-    tasks = store.write("tasks_found", discovery.to_tasks(mapped))
-    links = store.write("links_found", tasks.select("task_id", F.explode("unit_ids").alias("unit_id")))
-    tasks = discovery.parents(tasks, known.select("iri", "parent_iris"))
+    before, before_links = with_columns(run.base("tasks", TASK), TASK), run.base("links", LINK)
+    heads = discovery.heading_candidates(units)
+    vectors = stage("discovery_vectors", lambda: units.select("id", similarity.hash_embedding(F.col("text"), 256).alias("embedding")), ["units"])
+    found = stage("clusters", lambda: similarity.cluster(vectors, cluster_threshold), ["discovery_vectors"], cluster_threshold)
+
+    def candidates() -> DataFrame:
+        labels = None
+        if "labels" in models:
+            prompts = discovery.prompt_texts(units, found).select(F.col("cluster").cast("string").alias("id"), "texts")
+            labels = providers.map_rows(prompts, models["labels"], "id string, label string, confidence double").withColumnRenamed("id", "cluster")
+        clusters = discovery.cluster_candidates(units, found, heads.select(F.explode("unit_ids").alias("id")), labels)
+        cand = heads.withColumn("_s", F.lit(0)).unionByName(clusters.withColumn("_s", F.lit(1)))
+        cand = numbered(cand, "_s", "first", "label").drop("_s", "first")
+        return cand.withColumn("candidate", F.col("ord"))
+
+    cand = stage("candidates", candidates, ["units", "clusters"], model("labels"))
+
+    def mapping() -> DataFrame:
+        t = cand.select("candidate", F.posexplode("unit_ids").alias("up", "id")).join(units.select("id", F.posexplode("tags").alias("tp", "t")), "id")
+        modes = discovery.concept_mode(t.select("candidate", (F.col("up") * 1000 + F.col("tp")).alias("pos"), "t.iri", "t.label", "t.confidence"))
+        return discovery.map_candidates(cand, modes)
+
+    mapped = stage("mapped", mapping, ["candidates"])
+
+    def tasks_of() -> DataFrame:
+        deeper = discovery.deepest_concept(mapped.select("candidate", "iri", "label"), known).select("candidate", F.col("iri").alias("_iri"))
+        return discovery.to_tasks(mapped.join(deeper, "candidate", "left").withColumn("iri", F.coalesce("_iri", "iri")).drop("_iri"))
+
+    first = stage("tasks_found", tasks_of, ["mapped", "ontology"])
+    links = stage("links_found", lambda: first.select("task_id", F.explode("unit_ids").alias("unit_id")), ["tasks_found"])
     unset = lambda kind: F.lit(None).cast(kind)
-    tasks = tasks.withColumn("is_procedural", F.lit(False)).withColumn("status", F.lit("unreviewed")).withColumn("iri", F.coalesce("iri", F.lit(""))).withColumn("canonical_order", unset("int"))
-    if "order" in models:
-        tasks = store.write("tasks_unordered", tasks)
-        child = tasks.where("parent_task_id is not null").groupBy(F.col("parent_task_id").alias("task_id")).agg(F.array_sort(F.collect_list("label")).alias("children"))
-        asked = tasks.where("not is_procedural").select("task_id", "label").join(child, "task_id").withColumnRenamed("task_id", "id")
-        orders = providers.map_rows(asked, models["order"], "id string, ordered array<string>").where("ordered is not null").select(F.col("id").alias("parent_task_id"), F.col("ordered").alias("labels"))
-        tasks = discovery.procedural_order(tasks.drop("canonical_order"), orders).withColumn("canonical_order", F.col("canonical_order").cast("int"))
-    for flag in ("has_contradictions", "has_orphans", "jurisdiction_sensitive"):
-        tasks = tasks.withColumn(flag, F.lit(False))
+
+    def parented() -> DataFrame:
+        t = discovery.parents(first, known.select("iri", "parent_iris"))
+        return t.withColumn("is_procedural", F.lit(False)).withColumn("status", F.lit("unreviewed")).withColumn("iri", F.coalesce("iri", F.lit(""))).withColumn("canonical_order", unset("int"))
+
     cols = [c.strip().split()[0] for c in TASK.split(", ")]
-    tasks = store.write("tasks_parented", tasks.select(*cols))
-    links = store.write("links_assigned", links.unionByName(orphan_links(store, tasks, links, units)))
-    v = store.write("label_vectors", tasks.select("ord", similarity.hash_embedding(F.col("label"), 256).alias("embedding")))
-    m = discovery.iri_merges(tasks).withColumn("stage", F.lit(0)).unionByName(discovery.label_merges(tasks, v, merge_threshold).withColumn("stage", F.lit(1)))
-    merges = store.write("merges", discovery.settle_merges(store.write("merge_candidates", m.select("stage", "first", "ord", "canonical", "merged"))))
-    tasks, links = discovery.apply_merges(tasks, links, merges)
-    links = store.write("links_merged", links.select("task_id", "unit_id"))
-    contradictions = store.write("contradictions", find_contradictions(spark, links, units, models))
-    tasks = flagged(tasks, links, units, contradictions, store.read("orphans", "unit_id string, task_id string"))
-    before = with_columns(store.read("tasks", TASK), TASK)
-    before_links = store.read("links", LINK)
-    tasks = discovery.with_locked(tasks.select(*cols), before.where(F.col("status").isin("approved", "edited")).select(*cols))
-    tasks, links = store.write("tasks", tasks), store.write("links", links)
+
+    def ordered() -> DataFrame:
+        t = parented()
+        if "order" in models:
+            t = stage("tasks_unordered", parented, ["tasks_found", "ontology"])
+            child = t.where("parent_task_id is not null").groupBy(F.col("parent_task_id").alias("task_id")).agg(F.array_sort(F.collect_list("label")).alias("children"))
+            asked = t.where("not is_procedural").select("task_id", "label").join(child, "task_id").withColumnRenamed("task_id", "id")
+            orders = providers.map_rows(asked, models["order"], "id string, ordered array<string>").where("ordered is not null").select(F.col("id").alias("parent_task_id"), F.col("ordered").alias("labels"))
+            t = discovery.procedural_order(t.drop("canonical_order"), orders).withColumn("canonical_order", F.col("canonical_order").cast("int"))
+        for flag in ("has_contradictions", "has_orphans", "jurisdiction_sensitive"):
+            t = t.withColumn(flag, F.lit(False))
+        return t.select(*cols)
+
+    tasks = stage("tasks_parented", ordered, ["tasks_found", "ontology"], model("order"))
+    assigned = stage("links_assigned", lambda: links_with_orphans(run, tasks, links, units), ["links_found", "tasks_parented", "units"])
+    v = stage("label_vectors", lambda: tasks.select("ord", similarity.hash_embedding(F.col("label"), 256).alias("embedding")), ["tasks_parented"])
+
+    def merging() -> DataFrame:
+        m = discovery.iri_merges(tasks).withColumn("stage", F.lit(0)).unionByName(discovery.label_merges(tasks, v, merge_threshold).withColumn("stage", F.lit(1)))
+        return m.select("stage", "first", "ord", "canonical", "merged")
+
+    wanted = stage("merge_candidates", merging, ["tasks_parented", "label_vectors"], merge_threshold)
+    merges = stage("merges", lambda: discovery.settle_merges(wanted), ["merge_candidates"])
+    merged, merged_links = discovery.apply_merges(tasks, assigned, merges)
+    kept_links = stage("links_merged", lambda: merged_links.select("task_id", "unit_id"), ["links_assigned", "merges"])
+    against = stage("contradictions", lambda: find_contradictions(spark, kept_links, units, models), ["links_merged", "units"], model("contradiction", "confirm"))
+
+    def final() -> DataFrame:
+        t = flagged(merged, kept_links, units, against, store.read("orphans", "unit_id string, task_id string"))
+        return discovery.with_locked(t.select(*cols), before.where(F.col("status").isin("approved", "edited")).select(*cols))
+
+    done = stage("tasks", final, ["tasks_parented", "merges", "links_merged", "contradictions", "base:tasks"])
+    done_links = stage("links", lambda: kept_links, ["links_merged", "base:links"])
     counted = lambda t, l: t.select("task_id", "label", "parent_task_id", "iri").join(l.groupBy("task_id").agg(F.count("*").alias("n_units")), "task_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0).cast("long")))
-    store.write("diff", discovery.task_diff(counted(before, before_links), counted(tasks, links)))
-    return tasks
+    stage("diff", lambda: discovery.task_diff(counted(before, before_links), counted(done, done_links)), ["tasks", "links"])
+    return done
 
 
 def with_columns(rows: DataFrame, schema: str) -> DataFrame:
@@ -239,14 +257,14 @@ def with_columns(rows: DataFrame, schema: str) -> DataFrame:
     return rows
 
 
-def orphan_links(store: Store, tasks: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:
-    """Links of the units without a task to the task whose units' texts are most like theirs; ``orphans`` keeps them."""
+def links_with_orphans(run: Run, tasks: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:
+    """Links, and those of the units without a task to the task whose units' texts are most like theirs; ``orphans`` keeps them."""
     left = discovery.orphans(units, links)
-    centre = discovery.centroid_texts(links, units).join(tasks.select("task_id", "ord"), "task_id")
     vector = lambda name: similarity.hash_embedding(F.col("text"), 256).alias(name)
-    centre = store.write("centroids", centre.select(F.col("task_id").alias("centre"), "ord", vector("cv")))
-    found = store.write("orphans", discovery.assign_orphans(left.select("id", vector("v")), centre))
-    return found.select("task_id", "unit_id")
+    texts = discovery.centroid_texts(links, units).join(tasks.select("task_id", "ord"), "task_id")
+    centre = run.stage("centroids", lambda: texts.select(F.col("task_id").alias("centre"), "ord", vector("cv")), ["links_found", "tasks_parented", "units"])
+    found = run.stage("orphans", lambda: discovery.assign_orphans(left.select("id", vector("v")), centre), ["centroids"])
+    return links.unionByName(found.select("task_id", "unit_id"))
 
 
 def find_contradictions(spark: SparkSession, links: DataFrame, units: DataFrame, models: dict[str, Callable]) -> DataFrame:
