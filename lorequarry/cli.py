@@ -1,4 +1,4 @@
-"""Command line: extract, discover, export."""
+"""Command line: extract, discover, export, report."""
 
 from __future__ import annotations
 
@@ -21,10 +21,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     d.add_argument("--cluster-threshold", type=float, default=0.5)
     d.add_argument("--merge-threshold", type=float, default=0.85)
     x = sub.add_parser("export", help="files for others")
-    x.add_argument("-f", "--formats", default="nt,jsonld,html,md,json")
+    x.add_argument("-f", "--formats", default=",".join(engine.FORMATS))
+    x.add_argument("--whole-files", action="store_true", help="a file a format, through this process, instead of folders that executors write")
     x.add_argument("--approved-only", action="store_true")
-    x.add_argument("--bundle", help="also a ZIP of all files")
-    for q in (e, d, x):
+    x.add_argument("--bundle", help="also a ZIP of all files, which are whole ones then")
+    r = sub.add_parser("report", help="JSON files: the units, their summary, what is to be reviewed and why, and proposed classes")
+    for q in (e, d, x, r):
         q.add_argument("-c", "--corpus", default="default")
         q.add_argument("-o", "--output", default="output")
         q.add_argument("--concepts", help="Parquet of the ontology")
@@ -32,13 +34,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("lorequarry").getOrCreate()
     store = engine.Store(spark, f"{a.output}/{a.corpus}")
     concepts = spark.read.parquet(a.concepts) if a.concepts else None
+    tell = lambda stage, state, share: print(f"{share:4.0%} {stage} {state}")
     if a.command == "extract":
-        units = engine.extract(spark, a.source, store, concepts, a.confidence_high, a.confidence_medium)
+        units = engine.extract(spark, a.source, store, concepts, a.confidence_high, a.confidence_medium, progress=tell)
         print(f"{units.count()} units")
     elif a.command == "discover":
-        print(f"{engine.discover(spark, store, concepts, a.cluster_threshold, a.merge_threshold).count()} tasks")
+        print(f"{engine.discover(spark, store, concepts, a.cluster_threshold, a.merge_threshold, progress=tell).count()} tasks")
+    elif a.command == "report":
+        for k, v in engine.reports(store, f"{a.output}/{a.corpus}-export").items():
+            print(f"{k}: {v}")
     else:
-        paths = engine.export(spark, store, f"{a.output}/{a.corpus}-export", tuple(a.formats.split(",")), a.approved_only)
+        paths = engine.export(spark, store, f"{a.output}/{a.corpus}-export", tuple(a.formats.split(",")), a.approved_only, whole_files=a.whole_files or bool(a.bundle))
         if a.bundle:
             paths["bundle"] = engine.bundle(paths, a.bundle)
         for k, v in paths.items():

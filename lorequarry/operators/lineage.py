@@ -51,3 +51,18 @@ def one_row(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "ord") -> DataFrame:
+    """``rows`` with ``name``, their places in the order, from 1: rows are dealt out by ranges of the order, and each range is
+    numbered from the count of those before it. The counts, one a range, are joined by broadcast."""
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before, n = [], 0
+    for r in counts:
+        before.append((r["_part"], n))
+        n += r["n"]
+    base = dealt.sparkSession.createDataFrame(before, "_part long, _before long")
+    joined = dealt.withColumn("_part", part).join(F.broadcast(base), "_part", "left")
+    return joined.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")

@@ -15,15 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import discovery, elements, graph, providers, review, similarity, tagging
-from ..operators.lineage import cut
+from ..operators import discovery, elements, graph, providers, review, similarity, site, tagging
+from ..operators.lineage import numbered
 from ..sources import files as src
+from ..sources import named_files
 from .stages import Run, Store, name_of
 
 TASK = "task_id string, label string, iri string, parent_task_id string, is_procedural boolean, confidence double, source_file string, heading_path array<string>, ord long, status string, canonical_order int, has_contradictions boolean, has_orphans boolean, jurisdiction_sensitive boolean"
 LINK = "task_id string, unit_id string"
 REGISTRY = "file_path string, content_hash string, format string"
 CONTRADICTION = "contradiction_id string, task_id string, unit_id_a string, unit_id_b string, score double, contradiction_type string, explanation string, resolution string"
+#: What is exported; ``site`` is a folder of pages.
+FORMATS = ("nt", "ttl", "rdf", "jsonld", "html", "site", "md", "json")
 CONCEPT = "iri string, label string, branch string, parent_iris array<string>"
 
 
@@ -84,22 +87,6 @@ def review_reason(high: float = fx.HIGH, medium: float = fx.MEDIUM) -> Column:
     return F.when(F.col("confidence") >= high, F.concat(F.lit("confidence "), c)).when(F.col("confidence") >= medium, below(high)).otherwise(below(medium))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``ord``, their places in the order, from 1: rows are dealt out by ranges of the order, and each range is
-    numbered from the count of those before it, which are as many as there are partitions."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    dealt = cut(dealt)
-    part = F.shiftright("_at", 33)
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
-    before, n = {}, 0
-    for r in counts:
-        before[r["_part"]], n = n, n + r["n"]
-    if not before:
-        return dealt.withColumn("ord", F.col("_at")).drop("_at")
-    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), part.cast("long"))
-    return dealt.withColumn("ord", base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
-
-
 def boundaries(run: Run, e: DataFrame, models: dict[str, Callable]) -> DataFrame:
     """The three tiers: by structure; where a paragraph is long, by the likeness of its sentences; else by a model's reply."""
     b = run.stage("boundaries", lambda: elements.structural_boundaries(e), ["elements"])
@@ -290,11 +277,11 @@ def flagged(tasks: DataFrame, links: DataFrame, units: DataFrame, contradictions
     return t.drop("_law", "_con", "_late")
 
 
-def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...] = ("nt", "ttl", "rdf", "jsonld", "html", "md", "json"), approved_only: bool = False, module: str = graph.MODULE, whole_files: bool = True) -> dict[str, str]:
+def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...] = FORMATS, approved_only: bool = False, module: str = graph.MODULE, whole_files: bool = True) -> dict[str, str]:
     """Files below the local folder ``into``, and the triples as a version of the corpus; a validation report is always
     among them. Returns their paths by format.
 
-    Without ``whole_files`` the formats are folders of text files below the corpus, ``export/<format>``, that executors write
+    The site is a folder below the corpus, ``export/site``, a page a file. Without ``whole_files`` the other formats are folders of text files below the corpus, ``export/<format>``, that executors write
     in parallel; the reports stay in ``into``."""
     tasks, links, units = store.read("tasks", TASK), store.read("links", LINK), store.read("units")
     if units is None:
@@ -340,6 +327,8 @@ def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...
     if "html" in formats:
         row = F.concat(F.lit('<div style="white-space:pre-wrap">'), fx.escape_html(F.col("value")), F.lit("</div>"))
         lines("tasks.html", outline.select(row.alias("value")), '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Tasks</title></head><body>\n', "</body></html>\n")
+    if "site" in formats:
+        out["site"] = named_files.write(spark, site.pages(t, links, u), f"{store.root}/export/site")
     if "json" in formats:
         lines("tasks.json", graph.tree_json(t).orderBy("ord").select("value"))
     rules = {r["rule"]: r["n"] for r in graph.validate(triples, module + "/").groupBy("rule").agg(F.count("*").alias("n")).collect()}
@@ -354,15 +343,16 @@ def export(spark: SparkSession, store: Store, into: str, formats: tuple[str, ...
 
 
 def reports(store: Store, into: str) -> dict[str, str]:
-    """JSON files below the local folder ``into``, a row a line: ``extraction`` (the units), ``review`` (their buckets) and
-    ``proposed_classes``. Returns their paths."""
+    """JSON files below the local folder ``into``, a row a line: ``extraction`` (the units), ``summary``, ``review`` (the units'
+    buckets and why) and ``proposed_classes``. Returns their paths."""
     units = store.read("units")
     if units is None:
         raise ValueError("nothing has been extracted")
     tags = units.select("ord", F.posexplode("tags").alias("pos", "t")).select("ord", "pos", "t.iri", "t.label", "t.confidence")
     rows = {
         "extraction": units.orderBy("ord").select(F.to_json(F.struct(*units.columns)).alias("value")),
-        "review": store.read("review").orderBy("bucket", "id").select(F.to_json(F.struct("bucket", "id")).alias("value")),
+        "review": store.read("review").orderBy("bucket", "id").select(F.to_json(F.struct("bucket", "id", "reason")).alias("value")),
+        "summary": store.read("summary").orderBy("measure", "key").select(F.to_json(F.struct("measure", "key", "n")).alias("value")),
         "proposed_classes": tagging.proposed_classes(tags).orderBy("label").select(F.to_json(F.struct("label", "ord", "confidence")).alias("value")),
     }
     base = Path(into)
@@ -379,5 +369,7 @@ def reports(store: Store, into: str) -> dict[str, str]:
 def bundle(paths: dict[str, str], into: str) -> str:
     with zipfile.ZipFile(into, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(paths.values()):
-            z.write(p, Path(p).name)
+            base = Path(p.removeprefix("file://").removeprefix("file:"))
+            for f in [base] if base.is_file() else sorted(x for x in base.rglob("*") if x.is_file()):
+                z.write(f, f.relative_to(base.parent))
     return into

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import site
+from ..operators.lineage import cut
 from ..sources import files as src
 from . import fixture_files as made
+from . import fixtures as fix
 from .queries import query
 
 
@@ -45,3 +48,20 @@ def word_elements(spark, sf):
 def message_elements(spark, sf):
     """Every document as a saved message."""
     return _read(made.of_documents(spark, sf, ".msg", lambda i, t: made.message(f"Document {i}", "\r\n\r\n".join(" ".join(p) for p in made.paragraphs(t)))))
+
+
+@query("tasks links units", f"""SELECT t.task_id, CAST(coalesce(c.n, 0) + coalesce(u.n, 0) AS BIGINT) AS items, CAST(greatest(1, ceil((coalesce(c.n, 0) + coalesce(u.n, 0)) / {site.PAGE}.0)) AS BIGINT) AS pages, CAST(0 AS BIGINT) AS dangling
+FROM (SELECT task_id FROM tasks UNION ALL SELECT '') t LEFT JOIN (SELECT coalesce(parent_task_id, '') AS p, count(*) AS n FROM tasks GROUP BY ALL) c ON c.p = t.task_id
+LEFT JOIN (SELECT l.task_id, count(*) AS n FROM links l JOIN units u ON u.ord = l.unit_ord GROUP BY ALL) u ON u.task_id = t.task_id""")
+def site_pages(spark, sf):
+    """The site of all tasks: for each the items and pages, and how many of their links lead nowhere."""
+    t = fix.tasks(spark, sf).withColumn("ord", F.substring("task_id", 2, 20).cast("long"))
+    for flag in ("is_procedural", "has_contradictions", "jurisdiction_sensitive"):
+        t = t.withColumn(flag, F.lit(False))
+    u = fix.units(spark, sf)
+    made_ = cut(site.pages(t, fix.links(spark, sf).join(u.select(F.col("ord").alias("unit_ord"), F.col("id").alias("unit_id")), "unit_ord").select("task_id", "unit_id"), u))
+    lost = site.page_links(made_).where("not found").groupBy("path").agg(F.count("*").alias("dangling"))
+    p = made_.where("path like '%.html'").select("path", F.regexp_count("content", F.lit("<li>")).alias("items"), F.regexp_replace("path", r"-\d+\.html$", ".html").alias("first")).join(lost, "path", "left")
+    p = p.groupBy("first").agg(F.sum("items").cast("long").alias("items"), F.count("*").alias("pages"), F.coalesce(F.sum("dangling"), F.lit(0)).alias("dangling"))
+    name = fix.tasks(spark, sf).select("task_id").unionByName(spark.range(1).select(F.lit("").alias("task_id")))
+    return name.select("task_id", site.page_path(F.col("task_id")).alias("first")).join(p, "first").drop("first")

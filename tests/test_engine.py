@@ -62,6 +62,7 @@ def test_extract_discover_export(spark, tmp_path, capsys):
     assert tree["label"] == "Cross-Examination" and tree["children"] == []
     found = engine.reports(store, f"{tmp_path}/reports")
     assert len(json.load(open(found["extraction"]))) == 4 and {r["bucket"] for r in json.load(open(found["review"]))} <= {"auto_approved", "spot_check", "needs_review"}
+    assert all(r["reason"].startswith("confidence 0.") for r in json.load(open(found["review"]))) and {"measure": "total", "key": "units", "n": 4} in json.load(open(found["summary"]))
     assert json.load(open(found["proposed_classes"])) == []
     # the serializations say the same
     import re
@@ -77,7 +78,9 @@ def test_extract_discover_export(spark, tmp_path, capsys):
     assert sorted(r["value"] for r in spark.read.text(spread["nt"]).collect()) == sorted(lines)
     again = engine.export(spark, store, f"{tmp_path}/export2", ("nt",))
     assert "- 1 unchanged" in open(again["changelog"]).read() and open(again["nt"]).read() == open(paths["nt"]).read()
-    assert len(zipfile.ZipFile(engine.bundle(paths, f"{tmp_path}/b.zip")).namelist()) == len(paths)
+    names = zipfile.ZipFile(engine.bundle(paths, f"{tmp_path}/b.zip")).namelist()
+    assert len([n for n in names if "/" not in n]) == len(paths) - 1 and "site/index.html" in names and "site/search/0.json" in names
+    assert "Cross-Examination" in open(paths["site"].removeprefix("file://") + "/index.html").read()
     # a file that changed replaces its units; the other file's copies take their place
     (tmp_path / "in/a.md").write_text("# New\n\nA wholly different text about something else.")
     cli.main(["extract", f"file://{tmp_path}/in", *args], spark)
