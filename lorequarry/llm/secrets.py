@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 _PLACE = {k: i for i, k in enumerate(KINDS)}
 
 _PEM_BEGIN, _PEM_END = "-----BEGIN ", "-----END "
-_PEM_LABEL = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----", re.ASCII)
+_PEM_LABEL = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----", re.ASCII)
 _PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*+", re.ASCII)
 _PEM_HEADER = re.compile(r"^[ \t]*([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.ASCII | re.MULTILINE)
 #: Block lengths of the ciphers of encrypted blocks, by how their names begin.
@@ -42,7 +42,7 @@ _B64_START = re.compile(r"M(?=[A-I])|b3BlbnNzaC(?=1rZXktdjE)", re.ASCII)
 _HEX_START = re.compile(r"30(?=(?:[0-7][0-9a-f]|81..|82.{4}|83.{6})(?:0201|30))|6f70656e737368(?=2d6b65792d7631)", re.ASCII | re.IGNORECASE)
 _B64_PIECE, _HEX_PIECE = re.compile(r"[A-Za-z0-9+/_-]+", re.ASCII), re.compile(r"[0-9a-fA-F]+")
 #: Between the lines of a wrapped key: a line break, as it is or escaped, with quotes and indentation.
-_BREAK = re.compile(r"""[ \t"',]{0,8}(?:\\+[nr]|[\r\n])(?:\\+[nrt]|[\s"']){0,80}""", re.ASCII)
+_BREAK = re.compile(r"""[ \t"',]*+(?:\\++[nr]|[\r\n])(?:\\++[nrt]|[\s"']++)*+""", re.ASCII)
 _ESCAPED_SLASH = re.compile(r"\\+/")
 _OPENSSH_MAGIC = b"openssh-key-v1\0"
 #: Algorithms of signed and encrypted tokens.
@@ -72,78 +72,114 @@ def _decode64(s: str) -> bytes | None:
         return None
 
 
-def _der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values from ``at`` that fill the bytes up to ``end`` exactly, else None."""
+#: ``read(at, n)``: up to ``n`` bytes from ``at``.
+Reader = Callable[[int, int], bytes]
+
+
+def _header(read: Reader, at: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the DER value whose header is at ``at``."""
+    head = read(at, 6)
+    if len(head) < 2:
+        return None
+    n, k = head[1], 0
+    if n >= 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or 2 + k > len(head):
+            return None
+        n = int.from_bytes(head[2 : 2 + k], "big")
+    return head[0], at + 2 + k, at + 2 + k + n
+
+
+def _items(read: Reader, at: int, end: int, most: int) -> list[tuple[int, int, int]]:
+    """The values that fill the bytes up to ``end`` exactly; none if they don't, or if there are more than ``most``."""
     items = []
     while at < end:
-        if at + 2 > end:
-            return None
-        tag, n = data[at], data[at + 1]
-        at += 2
-        if n >= 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > end:
-                return None
-            n = int.from_bytes(data[at : at + k], "big")
-            at += k
-        if at + n > end:
-            return None
-        items.append((tag, at, at + n))
-        at += n
+        item = _header(read, at)
+        if item is None or item[2] > end or len(items) == most:
+            return []
+        items.append(item)
+        at = item[2]
     return items
 
 
-def der_key(data: bytes) -> bool:
-    """A DER sequence whose nested lengths fit, laid out as a private key: PKCS#1, SEC1, PKCS#8 or encrypted PKCS#8."""
-    top = _der_items(data, 0, len(data))
-    if not top or len(top) != 1 or top[0][0] != 0x30:
-        return False
-    inner = _der_items(data, top[0][1], top[0][2])
-    if not inner or len(inner) < 2:
-        return False
-    tags = [t for t, _, _ in inner]
-    value = lambda i: data[inner[i][1] : inner[i][2]]
-    if tags[0] == 0x02 and len(value(0)) == 1:
+def _der_end(read: Reader, size: int) -> int:
+    """The end of a private key at the start of ``size`` bytes: a DER sequence whose nested lengths fit, laid out as PKCS#1,
+    SEC1, PKCS#8 or encrypted PKCS#8. 0 if there is none. Only headers are read, and no layout has more than ten values."""
+    top = _header(read, 0)
+    if top is None or top[0] != 0x30 or top[2] > size:
+        return 0
+    inner = _items(read, top[1], top[2], 10)
+    if len(inner) < 2:
+        return 0
+    tags, sizes = [t for t, _, _ in inner], [b - a for _, a, b in inner]
+
+    def algorithm(i: int) -> bool:
+        parts = _items(read, inner[i][1], inner[i][2], 4)
+        return bool(parts) and parts[0][0] == 0x06
+
+    good = False
+    if tags[0] == 0x02 and sizes[0] == 1:
         if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):  # version, n, e, d, p, q, dp, dq, qinv
-            return len(value(1)) >= 32
-        if tags[1] == 0x04 and len(value(1)) >= 16 and value(0) == b"\x01":  # SEC1
-            return all(t in (0xA0, 0xA1) for t in tags[2:])
-        if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8
-            alg = _der_items(data, inner[1][1], inner[1][2])
-            return bool(alg) and alg[0][0] == 0x06
-    if tags == [0x30, 0x04]:  # encrypted PKCS#8
-        alg = _der_items(data, inner[0][1], inner[0][2])
-        return bool(alg) and alg[0][0] == 0x06 and len(value(1)) >= 16
-    return False
-
-
-def _openssh_end(data: bytes) -> int:
-    """The end of the container at the start of ``data``: its magic, three strings, a key count and that many public keys
-    and one private part, with lengths that fit. 0 if there is none."""
-    if not data.startswith(_OPENSSH_MAGIC):
+            good = sizes[1] >= 32
+        elif tags[1] == 0x04 and sizes[1] >= 16 and read(inner[0][1], 1) == b"\x01":  # SEC1
+            good = all(t in (0xA0, 0xA1) for t in tags[2:])
+        elif tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8
+            good = algorithm(1)
+    elif tags == [0x30, 0x04]:  # encrypted PKCS#8
+        good = algorithm(0) and sizes[1] >= 16
+    return top[2] if good else 0
+
+
+def _of(data: bytes) -> Reader:
+    return lambda at, n: data[at : at + n]
+
+
+def der_key(data: bytes) -> bool:
+    return len(data) > 0 and _der_end(_of(data), len(data)) == len(data)
+
+
+def _openssh_end(read: Reader, size: int, follow: dict[int, int] | None = None, base: int = 0) -> int:
+    """The end of the container at the start of the bytes: its magic, three strings, a key count and that many public keys
+    and one private part, with lengths that fit. 0 if there is none.
+
+    ``follow`` keeps, by place from ``base`` on, how many strings follow one another there, so that many starts in one run
+    don't walk the same way twice.
+    """
+    if read(0, len(_OPENSSH_MAGIC)) != _OPENSSH_MAGIC:
         return 0
-    at = len(_OPENSSH_MAGIC)
 
-    def string() -> bytes | None:
-        nonlocal at
-        if at + 4 > len(data):
-            return None
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return None
-        at += 4 + n
-        return data[at - n : at]
+    def after(at: int) -> int:
+        head = read(at, 4)
+        end = at + 4 + int.from_bytes(head, "big") if len(head) == 4 else size + 1
+        return end if end <= size else 0
 
-    if any(string() is None for _ in range(3)) or at + 4 > len(data):
+    at = len(_OPENSSH_MAGIC)
+    for _ in range(3):
+        at = after(at)
+        if not at:
+            return 0
+    head = read(at, 4)
+    keys = int.from_bytes(head, "big")
+    if len(head) < 4 or not keys:
         return 0
-    keys = int.from_bytes(data[at : at + 4], "big")
+    follow, walked, here = {} if follow is None else follow, [], at + 4
+    while here and base + here not in follow:
+        walked.append(here)
+        here = after(here)
+    n = follow[base + here] if here else 0
+    for k, place in enumerate(reversed(walked), 0 if not here else 1):
+        follow[base + place] = n + k
     at += 4
-    return at if 1 <= keys <= 16 and all(string() is not None for _ in range(keys + 1)) else 0
+    if follow[base + at] < keys + 1:
+        return 0
+    for _ in range(keys + 1):
+        at = after(at)
+    return at
 
 
 def openssh_key(data: bytes) -> bool:
     """A private key container from the start of ``data``."""
-    return _openssh_end(data) > 0
+    return _openssh_end(_of(data), len(data)) > 0
 
 
 def token_header(part: str) -> bool:
@@ -164,65 +200,87 @@ def _blob_kind(data: bytes | None) -> str | None:
     return "der" if der_key(data) else "openssh" if openssh_key(data) else None
 
 
-def _take(text: str, at: int, want: int, piece: re.Pattern[str]) -> tuple[str, int, bool]:
-    """Up to ``want`` digits from ``at`` on, over line breaks; where they end, and whether they are in one line."""
-    parts, n, end, whole = [], 0, at, True
-    while n < want:
-        m = piece.match(text, at, min(len(text), at + want - n))
-        if m:
-            parts.append(m[0])
-            n, at = n + len(m[0]), m.end()
-            end = at
-        if n >= want:
-            break
-        if piece is _B64_PIECE and (m := _ESCAPED_SLASH.match(text, at)):
-            parts.append("/")
-            n, at = n + 1, m.end()
-            end = at
-        elif m := _BREAK.match(text, at):
-            at, whole = m.end(), False
-            if not piece.match(text, at):
+class _Run:
+    """The digits from a place on, over line breaks, joined, with where each piece of them stands in the text."""
+
+    def __init__(self, text: str, at: int, piece: re.Pattern[str]):
+        self.b64, self.places, self.froms, self.breaks = piece is _B64_PIECE, [], [], []
+        parts, n = [], 0
+        while True:
+            if m := piece.match(text, at):
+                part = m[0]
+            elif self.b64 and n and (m := _ESCAPED_SLASH.match(text, at)):
+                part = "/"
+            elif n and (m := _BREAK.match(text, at)) and piece.match(text, m.end()):
+                at = m.end()
+                self.breaks.append(n)
+                continue
+            else:
                 break
-        else:
-            break
-    return "".join(parts), end, whole
-
-
-def _der_size(head: bytes) -> int:
-    """Bytes of the DER sequence that starts with ``head``, 0 if no private key starts so."""
-    if len(head) < 8 or head[0] != 0x30:
-        return 0
-    k = head[1] & 0x7F if head[1] >= 0x80 else 0
-    if k > 4:
-        return 0
-    n = int.from_bytes(head[2 : 2 + k], "big") if k else head[1]
-    body = head[2 + k :]
-    return 2 + k + n if body[:2] == b"\x02\x01" or body[:1] == b"\x30" else 0
+            self.places.append(n)
+            self.froms.append(at)
+            parts.append(part)
+            n, at = n + len(part), m.end()
+        self.digits, self.end = "".join(parts).replace("-", "+").replace("_", "/"), at
+        #: by alignment, how many strings follow one another at a byte
+        self.follow: list[dict[int, int]] = [{} for _ in range(4)]
+
+    def index(self, place: int) -> int:
+        """Of a place in the text, which digit it is."""
+        i = bisect_right(self.froms, place) - 1
+        return self.places[i] + place - self.froms[i]
+
+    def place(self, digit: int) -> int:
+        """Of a digit, where it stands in the text."""
+        i = bisect_right(self.places, digit) - 1
+        return self.froms[i] + digit - self.places[i]
+
+    def bytes_at(self, first: int) -> tuple[Reader, int]:
+        """The bytes of the digits from ``first`` on, read where they are asked for, and their number."""
+        def read_hex(at: int, n: int) -> bytes:
+            s = self.digits[first + 2 * at : first + 2 * (at + n)]
+            return bytes.fromhex(s[: len(s) // 2 * 2])
+
+        def read(at: int, n: int) -> bytes:
+            skip = at % 3
+            a = first + at // 3 * 4
+            s = self.digits[a : a + -(-(skip + n) // 3) * 4]
+            odd = len(s) % 4
+            return binascii.a2b_base64(s if not odd else s[:-1] if odd == 1 else s + "=" * (4 - odd))[skip : skip + n]
+
+        left = len(self.digits) - first
+        return (read, left * 3 // 4) if self.b64 else (read_hex, left // 2)
 
 
 def _keys(text: str, start: re.Pattern[str], piece: re.Pattern[str], least: int) -> list[tuple[str, int, int, bool]]:
-    """Keys in base64 or hex from any place in a run, by the length in their own header; and whether each is in one line."""
-    b64, found, done = piece is _B64_PIECE, [], 0
-    decode = _decode64 if b64 else lambda s: bytes.fromhex(s[: len(s) // 2 * 2])
-    digits = lambda n: -(-n * 4 // 3) if b64 else 2 * n
+    """Keys in base64 or hex from any place in a run, by the length in their own header; and whether each is in one line.
+
+    Runs are joined once, and of a candidate only the headers of nested values are decoded."""
+    b64, found, done, run = piece is _B64_PIECE, [], 0, None
     for m in start.finditer(text):
         at = m.start()
         if at < done:
             continue
+        if run is None or at >= run.end:
+            run = _Run(text, at, piece)
+        first = run.index(at)
+        read, size = run.bytes_at(first)
         if len(m[0]) > 2:
-            s = _take(text, at, len(text), piece)[0]
-            data = decode(s[:-1] if b64 and len(s) % 4 == 1 else s)
-            kind, n = "openssh", _openssh_end(data or b"")
+            step = 4 if b64 else 2
+            kind, n = "openssh", _openssh_end(read, size, run.follow[first % step], first // step * (3 if b64 else 1))
         else:
-            head = decode(_take(text, at, 16 if b64 else 24, piece)[0])
-            kind, n = "der", _der_size(head or b"")
-            if n and digits(n) > len(text) - at:
-                n = 0
-        if not n or digits(n) < least:
-            continue
-        s, end, whole = _take(text, at, digits(n), piece)
-        if len(s) < digits(n) or (kind == "der" and not der_key(decode(s) or b"")):
+            head = read(0, 9)
+            k = head[1] & 0x7F if len(head) == 9 and head[1] >= 0x80 else 0
+            # the first value is a version of one byte or a sequence
+            kind, n = "der", _der_end(read, size) if head[2 + k : 4 + k] == b"\x02\x01" or head[2 + k : 3 + k] == b"\x30" else 0
+        digits = -(-n * 4 // 3) if b64 else 2 * n
+        if not n or digits < least:
             continue
+        last = run.place(first + digits - 1)
+        end = last + 1
+        if run.digits[first + digits - 1] == "/" and text[last] == "\\":  # an escaped slash is longer than itself
+            end = _ESCAPED_SLASH.match(text, last).end()
+        whole = bisect_right(run.breaks, first) == bisect_right(run.breaks, first + digits - 1)
         while b64 and end < len(text) and text[end] == "=" and text[max(at, end - 2) : end] != "==":
             end += 1
         found.append((kind, at, end, whole))
@@ -249,7 +307,7 @@ def pem_spans(text: str) -> Iterator[tuple[int, int]]:
     at = text.find(_PEM_BEGIN)
     while at >= 0:
         after = text.find(_PEM_BEGIN, at + len(_PEM_BEGIN))
-        if m := _PEM_LABEL.match(text, at):
+        if (m := _PEM_LABEL.match(text, at)) and m[1].endswith("PRIVATE KEY"):
             stop = len(text) if after < 0 else after
             end = text.find(f"{_PEM_END}{m[1]}-----", m.end(), stop)
             if end >= 0 and _PEM_BODY.match(text, m.end(), end).end() == end and pem_key(text[m.end() : end]):

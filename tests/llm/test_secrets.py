@@ -104,6 +104,33 @@ def test_hostile_texts_take_linear_time():
         assert time.process_time() - start < 10
 
 
+def test_nested_claims_take_linear_time():
+    """Starts that claim what follows, one in the other, and containers without an end."""
+    import time
+
+    claims = ("3082 7fff 020100 0282 7000" + "11" * 40).replace(" ", "")
+    deep = "".join(f"30 83 {300_000 - 9 * i:06x} 02 01 00 02".replace(" ", "") for i in range(30_000))
+    magic = base64.b64encode(b"openssh-key-v1\0" + bytes(12) + b"\0\0\1\0" + bytes(7)).decode().rstrip("=")
+    strings = base64.b64encode(b"openssh-key-v1\0" + bytes(12) + b"\0\1\0\0" + bytes(30) + b"xx").decode()
+    for text in (claims * 25_000, deep * 8, base64.b64encode(bytes.fromhex(claims)).decode().rstrip("=") * 60_000, magic * 100_000, strings * 70_000, (magic + "\n") * 100_000, "MIIB" * 1_200_000, "b3BlbnNzaC1rZXktdjE" + "A" * 5_000_000):
+        start = time.process_time()
+        assert not secrets.confirmed_spans(text)
+        assert time.process_time() - start < 15, text[:80]
+
+
+def test_no_cap_on_blanks_keys_and_labels():
+    spans = lambda text: [(k, text[a:b]) for k, a, b in secrets.confirmed_spans(text)]
+    b64 = base64.b64encode(rsa()).decode()
+    wrapped = b64[:64] + "\n" + " " * 500 + b64[64:]
+    assert spans(f"x {wrapped} y") == [("der", wrapped)]
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (40).to_bytes(4, "big") + s(b"pub") * 40 + s(b"priv" * 20)
+    e = base64.b64encode(ssh).decode()
+    assert spans(f"x {e} y") == [("openssh", e)] and spans(f"x {e[:-8]} y") == []
+    block = f"-----BEGIN {'VERY ' * 20}PRIVATE KEY-----\n{b64}\n-----END {'VERY ' * 20}PRIVATE KEY-----"
+    assert spans(block)[0] == ("pem", block)
+
+
 def plain_keys(text):
     """Every base64 run's every part that is a key, by trying all of them; the first of those that overlap."""
     found = []
