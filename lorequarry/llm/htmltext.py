@@ -9,6 +9,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,24 +37,29 @@ LISTS = frozenset("ul ol menu dir".split())
 NEVER = frozenset("area base basefont datalist head link meta noembed noframes param rp script style template title audio video canvas iframe object source track".split())
 BUTTONS = frozenset("submit button reset".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Blanks that the cells of a page's tables may take to be aligned: so many, and so many for each character of its source.
+LEAST_BLANKS, MOST_BLANKS = 1 << 16, 4
+#: Places of the grid that cells of a table may span: so many, and so many for each cell.
+LEAST_SPANNED, MOST_SPANNED = 4096, 64
 #: Elements nest no deeper; what lies below goes into the element at this depth, as in browsers.
 DEPTH = 200
 
 _MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
-_START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
-_LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
-_END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
+_START = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _BRACE = re.compile(r"[{}]")
 _SIMPLE = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+)*)$")
+_COMBINED = re.compile(r"\s*>\s*|\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "names", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.parent, self.names = tag, attrs, [], None, None
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -76,6 +82,13 @@ class Tree:
         self.title = ""
         self.body: Node | None = None
         self._read(source)
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            for x in node.children:
+                if isinstance(x, Node):
+                    x.parent = node
+                    stack.append(x)
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -315,8 +328,17 @@ def _declared(style: str) -> dict[str, tuple[bool, str]]:
     return out
 
 
+def _for_screens(head: str) -> bool:
+    """Whether a block of rules holds on any screen, whatever its size."""
+    if not head.lstrip().lower().startswith("@media"):
+        return False
+    kinds = (re.sub(r"^only\s+", "", x.strip().lower()) for x in head.strip()[6:].split(","))
+    return any(k in ("", "screen", "all") for k in kinds)
+
+
 def _rules(sheet: str) -> Iterator[tuple[str, str]]:
-    """Selectors and declarations, in one pass; at-rules with a block hold for some media only and are left out."""
+    """Selectors and declarations, in one pass. Blocks for screens and all media are looked into; what other at-rules hold
+    depends on more and is left out."""
     head, last, skip = None, 0, 0
     for m in _BRACE.finditer(sheet):
         if m[0] == "{":
@@ -325,7 +347,8 @@ def _rules(sheet: str) -> Iterator[tuple[str, str]]:
                 continue
             head, last = sheet[last : m.start()].rpartition(";")[2], m.end()
             if head.lstrip().startswith("@"):
-                head, skip = None, 1
+                skip = 0 if _for_screens(head) else 1
+                head = None
         elif skip:
             skip -= 1
             last = m.end()
@@ -341,7 +364,8 @@ class Visibility:
 
     def __init__(self, sheets: list[str]):
         #: rules by one name that an element must have: a class, an id, a tag, or none
-        self.rules: dict[str, list[tuple[frozenset[str], str, tuple, dict[str, tuple[bool, str]]]]] = {}
+        self.rules: dict[str, list[tuple[list[Compound], tuple, dict[str, tuple[bool, str]]]]] = {}
+        self.combined = False
         order = 0
         for sheet in sheets:
             if "none" not in sheet and "hidden" not in sheet and "collapse" not in sheet:
@@ -349,12 +373,18 @@ class Visibility:
             for selectors, body in _rules(_without_comments(sheet)):
                 said = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
                 for sel in selectors.split(",") if said else ():
-                    m = _SIMPLE.match(sel.strip())
-                    if m and m[0]:
-                        tag, need, order = (m[1] or "").lower(), re.findall(r"[.#][\w-]+", m[2]), order + 1
-                        ids = sum(x[0] == "#" for x in need)
-                        rule = frozenset(need), tag, (0, ids, len(need) - ids, len(tag) > 0, order), said
-                        self.rules.setdefault(need[0] if need else tag or "*", []).append(rule)
+                    chain = _chain(sel.strip())
+                    if chain:
+                        order += 1
+                        names = [x for _, need, _ in chain for x in need]
+                        ids = sum(x[0] == "#" for x in names)
+                        rank = (0, ids, len(names) - ids, sum(bool(tag) for tag, _, _ in chain), order)
+                        tag, need, _ = chain[-1]
+                        self.combined |= len(chain) > 1
+                        self.rules.setdefault(min(need) if need else tag or "*", []).append((chain, rank, said))
+        #: what rules said of elements with the same tag, class and id; where selectors look at ancestors, it isn't kept
+        self.known: dict[tuple, dict[str, tuple[tuple, str]]] = {}
+        self.answers: dict[tuple[int, int], bool] = {}
 
     def of(self, node: Node, inherited: bool) -> tuple[bool, bool]:
         """Whether the element takes part in the layout, and whether its own text is seen."""
@@ -362,11 +392,16 @@ class Visibility:
             return False, False
         a, said = node.attrs, {}
         if self.rules:
-            names = ({f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())) if a else set()
-            for key in (node.tag, "*", *names):
-                for need, tag, rank, what in self.rules.get(key, ()):
-                    if tag in ("", node.tag) and names.issuperset(need):
-                        _cascade(said, what, rank)
+            key = node.tag, a.get("class"), a.get("id")
+            if self.combined or key not in self.known:
+                names = _names(node)
+                for k in (node.tag, "*", *names):
+                    for chain, rank, what in self.rules.get(k, ()):
+                        if _fits(chain[-1], node, names) and (len(chain) == 1 or self.above(chain, node)):
+                            _cascade(said, what, rank)
+                if not self.combined:
+                    self.known[key] = said
+            said = dict(said if self.combined else self.known[key])
         if "style" in a:
             _cascade(said, _declared(a["style"]), (1,))
         display = said["display"][1] if "display" in said else "none" if "hidden" in a and a["hidden"].lower() != "until-found" else ""
@@ -374,6 +409,59 @@ class Visibility:
         return shown, _seen(said["visibility"][1] if "visibility" in said else None, inherited)
 
 
+    def above(self, chain: list[Compound], node: Node) -> bool:
+        """Whether ancestors fit the compounds before the last; siblings share the answer. All places are followed at once, so
+        it takes the chain's length times the depth."""
+        key = id(chain), id(node.parent)
+        if key not in self.answers:
+            ancestors = []
+            while node.parent is not None:
+                node = node.parent
+                ancestors.append(node)
+            fit = {-1}
+            for i in range(len(chain) - 2, -1, -1):
+                places = (k + 1 for k in fit) if chain[i + 1][2] else range(min(fit) + 1, len(ancestors))
+                fit = {k for k in places if k < len(ancestors) and _fits(chain[i], ancestors[k], _names(ancestors[k]))}
+                if not fit:
+                    break
+            self.answers[key] = bool(fit)
+        return self.answers[key]
+
+
+#: A tag or none, classes and ids that are needed, and whether what stands before must be the parent.
+Compound = tuple[str, frozenset[str], bool]
+
+
+def _chain(selector: str) -> list[Compound]:
+    """The compounds of a selector of tags, classes and ids below one another; empty if it has anything else."""
+    out, at, child = [], 0, False
+    while selector:
+        m = _COMBINED.search(selector, at)
+        part = _SIMPLE.match(selector[at : m.start()] if m else selector[at:])
+        if not part or not part[0]:
+            return []
+        out.append(((part[1] or "").lower(), frozenset(re.findall(r"[.#][\w-]+", part[2])), child))
+        if not m:
+            break
+        at, child = m.end(), ">" in m[0]
+    return out
+
+
+def _names(node: Node) -> set[str]:
+    """Classes and ids of an element as selectors write them."""
+    if node.names is None:
+        node.names = _named(node.attrs)
+    return node.names
+
+
+def _named(a: dict[str, str]) -> set[str]:
+    return ({f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())) if a else set()
+
+
+def _fits(compound: Compound, node: Node, names: set[str]) -> bool:
+    return compound[0] in ("", node.tag) and names.issuperset(compound[1])
+
+
 def _cascade(said: dict[str, tuple[tuple, str]], what: dict[str, tuple[bool, str]], rank: tuple) -> None:
     for name, (important, value) in what.items():
         if name not in said or (important, rank) >= said[name][0]:
@@ -474,8 +562,9 @@ class Page:
 
 
 class Renderer:
-    def __init__(self, tree: Tree, scripting: bool = False):
-        self.rules, self.scripting = Visibility(tree.css), scripting
+    def __init__(self, tree: Tree, scripting: bool = False, blanks: int = 1 << 20):
+        #: ``blanks`` may be written to align cells; tables that would take more are written without
+        self.rules, self.scripting, self.blanks = Visibility(tree.css), scripting, blanks
 
     def render(self, node: Node) -> list[str]:
         page = Page()
@@ -604,69 +693,92 @@ class Renderer:
                 page.block(1)
             elif part.tag in rows:
                 rows[part.tag] += [(x, own) for x in part.children if isinstance(x, Node) and x.tag == "tr"]
-        grid: list[dict[int, tuple[list[str], int]]] = []
-        held: dict[int, int] = {}  # columns that a cell from above still takes, and for how many rows
+        found: list[list[tuple[list[str], int, int]]] = []
         for row, own in [*rows["thead"], *rows["tbody"], *rows["tfoot"]]:
             shown, own = self.rules.of(row, own)
             if not shown:
                 continue
-            cells, col = {}, 0
+            cells = []
             for x in row.children:
                 if not isinstance(x, Node) or x.tag not in ("td", "th"):
                     continue
                 shown, mine = self.rules.of(x, own)
-                if not shown:
-                    continue
-                while held.get(col):
-                    col += 1
-                across, down = _span(x.attrs.get("colspan"), 1000), _span(x.attrs.get("rowspan"), 65534)
-                inner = Page()
-                self.children(x, inner, mine, False)
-                cells[col] = (inner.done(), across)
-                for c in range(col, col + across):
-                    held[c] = down
-                col += across
-            held = {c: n - 1 for c, n in held.items() if n > 1}
-            grid.append(cells)
-        self.grid(grid, page)
+                if shown:
+                    inner = Page()
+                    self.children(x, inner, mine, False)
+                    cells.append((inner.done(), _span(x.attrs.get("colspan"), 1000), _span(x.attrs.get("rowspan"), 65534)))
+            found.append(cells)
+        self.grid(found, page)
         page.block(2)
 
-    def grid(self, grid: list[dict[int, tuple[list[str], int]]], page: Page) -> None:
-        if all(len(cells) <= 1 for cells in grid):  # one column: plain blocks
-            for cells in grid:
-                for lines, _ in cells.values():
+    def grid(self, rows: list[list[tuple[list[str], int, int]]], page: Page) -> None:
+        if all(len(cells) <= 1 for cells in rows):  # one column: plain blocks
+            for cells in rows:
+                for lines, _, _ in cells:
                     page.block(1)
                     page.exact("\n".join(lines))
                     page.block(1)
             return
-        wide: dict[int, int] = {}
-        for cells in grid:
-            for c, (lines, across) in cells.items():
-                if across == 1:
-                    wide[c] = max(wide.get(c, 0), max(map(width, lines), default=0))
-        for cells in grid:
-            for c, (lines, across) in cells.items():
-                if across > 1:  # a spanning cell widens the last of its columns if need be
-                    last = c + across - 1
-                    rest = max(map(width, lines), default=0) - sum(wide.get(k, 0) + 2 for k in range(c, last))
-                    wide[last] = max(wide.get(last, 0), rest, 0)
-        start, at = {}, 0
-        for c in range(max(wide, default=-1) + 1):
-            start[c] = at
-            at += wide.get(c, 0) + 2
-        for cells in grid:
-            for k in range(max((len(lines) for lines, _ in cells.values()), default=0)):
-                line, used = "", 0
-                for c in sorted(cells):
-                    lines = cells[c][0]
+        columns = self.columns(rows)
+        for i, cells in enumerate(rows):
+            starts = columns[i] if columns else [0] * len(cells)
+            for k in range(max((len(lines) for lines, _, _ in cells), default=0)):
+                parts, used = [], 0
+                for (lines, _, _), start in zip(cells, starts, strict=True):
                     if k < len(lines) and lines[k]:
-                        line += " " * (start[c] - used) + lines[k]
-                        used = start[c] + width(lines[k])
+                        parts.append(" " * (start - used if columns else 2 * bool(parts)) + lines[k])
+                        used = start + width(lines[k])
+                line = "".join(parts)
                 page.block(1)
                 if line.strip():
                     page.exact(line)
         page.block(1)
 
+    def columns(self, rows: list[list[tuple[list[str], int, int]]]) -> list[list[int]] | None:
+        """Where each cell begins, in characters; None if cells span or alignment takes more than the page's share.
+
+        A column in which no cell begins has no width.
+        """
+        cells = sum(map(len, rows))
+        area = sum(across * min(down, len(rows) - i) for i, row in enumerate(rows) for _, across, down in row)
+        if area > LEAST_SPANNED + MOST_SPANNED * cells:
+            return None
+        places: list[list[int]] = []
+        held: dict[int, int] = {}  # columns that a cell from above still takes, and for how many rows
+        for row in rows:
+            col, at = 0, []
+            for _, across, down in row:
+                while held.get(col):
+                    col += 1
+                at.append(col)
+                for c in range(col, col + across):
+                    held[c] = down
+                col += across
+            held = {c: n - 1 for c, n in held.items() if n > 1}
+            places.append(at)
+        begun = sorted({c for at in places for c in at})
+        wide = dict.fromkeys(begun, 0)
+        most = [[max(map(width, lines), default=0) for lines, _, _ in row] for row in rows]
+        for at, row, w in zip(places, rows, most, strict=True):
+            for c, (_, across, _), n in zip(at, row, w, strict=True):
+                if across == 1:
+                    wide[c] = max(wide[c], n)
+        for at, row, w in zip(places, rows, most, strict=True):
+            for c, (_, across, _), n in zip(at, row, w, strict=True):
+                if across > 1:  # a spanning cell widens the last of its columns if need be
+                    first, last = bisect_left(begun, c), bisect_left(begun, c + across) - 1
+                    rest = n - sum(wide[k] + 2 for k in begun[first:last])
+                    wide[begun[last]] = max(wide[begun[last]], rest, 0)
+        start, x = {}, 0
+        for c in begun:
+            start[c] = x
+            x += wide[c] + 2
+        blanks = sum(start[at[-1]] * max(len(lines) for lines, _, _ in row) for at, row in zip(places, rows, strict=True) if row)
+        if blanks > self.blanks:
+            return None
+        self.blanks -= blanks
+        return [[start[c] for c in at] for at in places]
+
 
 def _span(value: str | None, most: int) -> int:
     return min(most, int(value)) or 1 if value and value.isascii() and value.isdigit() and len(value) < 9 else 1
@@ -694,7 +806,7 @@ def render(source: str | None, scripting: bool = False) -> tuple[str, str]:
         return "", ""
     tree = Tree(source)
     body = tree.body
-    return tree.title, "\n".join(Renderer(tree, scripting).render(body)) if body else ""
+    return tree.title, "\n".join(Renderer(tree, scripting, LEAST_BLANKS + MOST_BLANKS * len(source)).render(body)) if body else ""
 
 
 def extract(pages: DataFrame, scripting: bool = False) -> DataFrame:

@@ -157,13 +157,38 @@ def test_cascade_of_style_sheets():
     assert text("<style>.x{display:none</style><p class=x>1") == "1"
 
 
+def test_combinators_and_media():
+    assert text("<style>.a .b{display:none}</style><div class=a><p class=b>1<p>2</div><p class=b>3") == "2\n\n3"
+    assert text("<style>div>p{display:none}</style><div><p>1</p><section><p>2</p></section></div><p>3") == "2\n\n3"
+    assert text("<style>.a > .b .c{visibility:hidden}</style><div class=a><div class=b><i><u class=c>1</u></i></div><i><div class=b><u class=c>2</u></div></i></div>") == "2"
+    # the nearest .b isn't a child of .a, but one further up is
+    assert text("<style>.a>.b .c{display:none}</style><div class=a><div class=b><div class=b><u class=c>1</u>2</div></div></div>") == "2"
+    assert text("<style>@media screen{.x{display:none}} @media only screen, print {.y{display:none}} @media screen and (min-width:9px){.z{display:none}} @media print{.w{display:none}}</style><p class=x>1<p class=y>2<p class=z>3<p class=w>4") == "3\n\n4"
+    assert text("<style>@media all{@media print{p{display:none}} .x{display:none}} .y{display:none}</style><p>1<p class=x>2<p class=y>3") == "1"
+    assert text("<style>#a .x{display:block} .a .x.x{display:none}</style><div id=a class=a><p class=x>1</div><div class=a><p class=x>2</div>") == "1"
+    assert text("<style>a:hover{display:none} p~p{display:none} [x]{display:none} .q{display:none}</style><p>1<p>2<p x>3<p class=q>4") == "1\n\n2\n\n3"
+
+
+def test_spans_take_no_more_room_than_their_cells():
+    assert text("<table><tr><td colspan=100>Title<td>b<tr><td>x<td colspan=99>y<td>z</table>") == "Title  b\nx  y   z"
+    for rows, row in ((60, "<tr><td colspan=1000 rowspan=65534>a<td>b"), (500, "<tr><td rowspan=65534>a<td>b"), (2000, "<tr><td rowspan=65534>a")):
+        out = text("<table>" + row * rows)
+        assert len(out) <= 8 * rows * len(row) + (1 << 16) and out.count("a") == rows
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>end" + "<tr><td>a<td>b" * 5_000
+    assert len(text(wide)) < 8 * len(wide) + (1 << 16) and text(wide).count("b") == 5_000
+    nested = "x"
+    for _ in range(60):
+        nested = "<table>" + "<tr><td>a<td>b" * 20 + "<tr><td>" + nested + "<td>c</table>"
+    assert len(text(nested)) < 8 * len(nested) + (1 << 16)
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
-    for html in ("<style>none " + "a b, " * 1_000_000, "<style>none " + "a{b:c " * 800_000, "<p>x<style>none" + "</style " * 600_000, "<a " * 1_600_000, "<" * 5_000_000, "<!--" * 1_200_000, "<style>none @m{" + "a{b}" * 1_000_000, "&" * 5_000_000):
+    for html in ("<a" * 2_500_000, "</a" * 1_600_000, "<a\"" * 1_600_000, "<table>" + "<tr><td colspan=1000 rowspan=65534>a<td>b" * 100_000, "<table>" + "<tr><td rowspan=9999>" * 200_000, "<style>.a .b{display:none}</style>" + "<div class=a>" * 150 + "<p class=b>x" * 300_000, "<style>none " + "a b, " * 1_000_000, "<style>none " + "a{b:c " * 800_000, "<p>x<style>none" + "</style " * 600_000, "<a " * 1_600_000, "<" * 5_000_000, "<!--" * 1_200_000, "<style>none @m{" + "a{b}" * 1_000_000, "&" * 5_000_000):
         start = time.process_time()
         render(html)
-        assert time.process_time() - start < 5
+        assert time.process_time() - start < 15, html[:60]
     rules = "<style>" + "".join(f".c{i}{{display:none}}" for i in range(20_000)) + "</style>" + "<p class=c5>x" * 20_000
     start = time.process_time()
     assert render(rules)[1] == "" and time.process_time() - start < 5
