@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import Grams, chunks, has_letter, pieces
-from .workspace import bound_batches, plain_names
+from .workspace import bound_batches, lean, plain_names
 
 LENGTHS = (2, 3, 4)
 BITS = 18
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     low = {r["lang"]: r["low"] for r in found}
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(low[k], min(1.0, cap / n))))])
     sample = docs.select("lang", "text", h.alias("h")).where(F.col("h") <= F.element_at(rate, F.col("lang")))
-    got = sample.mapInArrow(_extract, "lang string, h double, idx array<int>, val array<float>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    got = sample.mapInArrow(lean(_extract), "lang string, h double, idx array<int>, val array<float>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     langs = got["lang"].to_pylist()
     lists, weights = got["idx"].combine_chunks(), got["val"].combine_chunks()
     idx, val = lists.flatten().to_numpy(), weights.flatten().to_numpy()
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score = classify(model, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -243,7 +243,7 @@ def keep_identified(docs: DataFrame, model: Model, reject_below: float = REJECT_
                 yield part.filter(pa.array([x != UNKNOWN and s >= reject_below for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     plain = plain_names(docs, "text")
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
 
 
 HELD_OUT, FOLDS = 2, 4

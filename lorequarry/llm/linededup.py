@@ -22,7 +22,7 @@ from . import workspace
 from .linking import components, stars
 from .ngrams import pieces
 from .sketching import bands, minhash, mix64, most_bits, odd_sketch
-from .workspace import Workspace, plain_names, unused
+from .workspace import Workspace, lean, plain_names, unused
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
                 band = pa.Array.from_buffers(pa.binary(), len(ids), [pa.py_buffer(np.packbits(fresh, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(band)])
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1]), band], names=["doc_id", "line_no", "id", "other", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").mapInArrow(run, _LINES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").mapInArrow(lean(run), _LINES)
 
 
 def _fetch(rows: DataFrame, s: Settings) -> DataFrame:
@@ -170,7 +170,7 @@ def _fetch(rows: DataFrame, s: Settings) -> DataFrame:
                 sketch = [x.tobytes() for x in odd_sketch(signatures(keys, s), s.sketch_bits)] if keys else []
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(sketch, pa.binary()), pa.array([k.encode("utf-8", "surrogatepass") for k in keys], pa.binary())], names=["id", "sketch", "payload"])
 
-    return rows.select("text", "lines").mapInArrow(run, "id long, sketch binary, payload binary")
+    return rows.select("text", "lines").mapInArrow(lean(run), "id long, sketch binary, payload binary")
 
 
 def _with_lines(ws: Workspace, docs: DataFrame, lines: DataFrame, how: str, name: str) -> DataFrame:
@@ -276,4 +276,4 @@ def dedup(docs: DataFrame, s: Settings = Settings(), drop_empty: bool = False, c
                 yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
 
     schema = StructType([*docs.schema.fields, *([StructField("n_lines", LongType()), StructField("n_removed", LongType())] if counts else [])])
-    return _with_lines(Workspace(docs.sparkSession, "lines-out"), docs, removed, "left", listed).mapInArrow(run, schema).toDF(*names_out)
+    return _with_lines(Workspace(docs.sparkSession, "lines-out"), docs, removed, "left", listed).mapInArrow(lean(run), schema).toDF(*names_out)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .ngrams import pieces
 from .sketching import xor_counts
-from .workspace import Workspace, nonempty, small
+from .workspace import Workspace, lean, nonempty, small
 
 #: Items of a group that are compared with as many others in one step.
 BLOCK = 512
@@ -108,8 +108,8 @@ def stars(ws: Workspace, items: DataFrame, bands: int) -> DataFrame:
     hub, id``. An id may come more than once."""
     shuffles = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(shuffles, -(-items.count() * bands // PART))
-    packed = ws.save(items.select("id", "bands").mapInArrow(lambda it: _pack(it, parts), _PACKED), "packed")
-    far = packed.where("part is not null").select("part", "firsts").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_unpack, STAR_SCHEMA)
+    packed = ws.save(items.select("id", "bands").mapInArrow(lean(lambda it: _pack(it, parts)), _PACKED), "packed")
+    far = packed.where("part is not null").select("part", "firsts").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(_unpack), STAR_SCHEMA)
     out = ws.save(packed.where("part is null").select("bucket", "hub", "id").unionByName(far), "stars")
     ws.forget(packed)
     return out
@@ -190,7 +190,7 @@ def confirm(pairs: DataFrame, expand: Expand, percent: int, most_bits: int) -> D
                 got = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def intersections(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,7 @@ def components(ws: Workspace, star: DataFrame, sets: DataFrame, expand: Expand,
     items = items.join(items.groupBy("grp").agg(F.count("*").alias("n")), "grp")
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(items).join(sets, "id").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    fresh = ws.save(blocks.mapInArrow(lambda it: _compare(it, expand, percent, most_bits), "a long, b long"), "links")
+    fresh = ws.save(blocks.mapInArrow(lean(lambda it: _compare(it, expand, percent, most_bits)), "a long, b long"), "links")
     if not nonempty(fresh):
         return comp
     return ws.save(connected_components(ws, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "components")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .linking import components, stars
 from .ngrams import chunks, pieces
 from .sketching import bands, minhash, most_bits, odd_sketch, word_shingles
-from .workspace import Workspace, nonempty, small, unused
+from .workspace import Workspace, lean, nonempty, small, unused
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
                     cols = [part.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in (digest, band, sketch)]]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _SIGNED)
 
 
 def _sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
                     items = [x.tobytes() for x in word_shingles(texts[a:b], s.width)]
                     yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), part.column("sketch").slice(a, b - a), pa.array(items, pa.binary())], names=["id", "sketch", "payload"])
 
-    return docs.mapInArrow(run, "id long, sketch binary, payload binary")
+    return docs.mapInArrow(lean(run), "id long, sketch binary, payload binary")
 
 
 def unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

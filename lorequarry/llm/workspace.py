@@ -10,7 +10,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +61,38 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+#: Larger allocations of a Python worker are mapped, and unmapped when freed.
+MAPPED_BYTES = 1 << 20
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, for a function over Arrow batches, in a worker that gives memory back.
+
+    Workers are used again by later tasks. The C library raises the size from which it maps memory as large arrays are
+    freed, and from then on keeps theirs in its heap; Arrow's own pool keeps what it has had. An executor with few
+    gigabytes would hold the largest need of every stage for good.
+    """
+
+    def go(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; setting it keeps it
+            libc.mallopt(-8, 2)  # M_ARENA_MAX
+        pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return go
+
+
 class Workspace:
     """A folder of one operator call. The folder goes when the driver ends, since results are read from it lazily."""
 
