@@ -655,4 +655,4 @@ def review_activity_session(spark, sf):
     return jobs.sessions(fix.decisions(spark, sf), "6 hours").select("unit_ord", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-from . import format_queries, ledger_queries, operator_queries  # noqa: E402, F401  register their queries
+from . import cluster_queries, format_queries, ledger_queries, operator_queries  # noqa: E402, F401  register their queries
