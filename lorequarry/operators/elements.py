@@ -181,17 +181,19 @@ def refine(boundaries: DataFrame, semantic: DataFrame, model: DataFrame) -> Data
 def model_segments(replies: DataFrame, near: int = 20) -> DataFrame:
     """``replies(file_path, seq, part, start, text, candidates array<long>, reply json)`` -> segments of the third tier.
 
-    The reply lists spans within the text; they are clamped and empty ones dropped, and one alone is no split. A span that
-    begins within ``near`` characters of a candidate has confidence 0.85, else 0.75.
+    The reply lists spans within the text; a missing start or end is the text's. They are clamped, those that are empty or blank
+    are dropped, and one alone is no split. A span that begins less than ``near`` characters from a candidate, a place in
+    the text, has confidence 0.85, else 0.75.
     """
     spans = F.from_json("reply", "boundaries array<struct<start:long,end:long>>")["boundaries"]
     r = replies.withColumn("n", F.length("text").cast("long")).withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:long,end:long>>")))
-    cut = F.filter(F.transform("spans", lambda s: F.struct(F.greatest(F.lit(0), F.least(s["start"], F.col("n"))).alias("a"), F.greatest(F.lit(0), F.least(s["end"], F.col("n"))).alias("b"))), lambda s: s["b"] > s["a"])
-    r = r.withColumn("spans", cut).where(F.size("spans") > 1).select("*", F.explode("spans").alias("s"))
-    close = F.exists(F.coalesce("candidates", F.array().cast("array<bigint>")), lambda c: F.abs(c - F.col("s.a")) <= near)
-    piece = fx.strip(F.substring(F.col("text"), F.col("s.a").cast("int") + 1, (F.col("s.b") - F.col("s.a")).cast("int")))
-    out = r.select("file_path", "seq", "part", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("end"), piece.alias("text"), F.when(close, 0.85).otherwise(0.75).alias("confidence"), F.lit("llm").alias("method"))
-    return out.where("text <> ''")
+    clamped = lambda c, missing: F.greatest(F.lit(0), F.least(F.coalesce(c, missing), F.col("n")))
+    piece = lambda s: fx.strip(F.substring(F.col("text"), s["a"].cast("int") + 1, (s["b"] - s["a"]).cast("int")))
+    cut = F.transform("spans", lambda s: F.struct(clamped(s["start"], F.lit(0)).alias("a"), clamped(s["end"], F.col("n")).alias("b")))
+    r = r.withColumn("spans", F.filter(cut, lambda s: (s["b"] > s["a"]) & (piece(s) != ""))).where(F.size("spans") > 1).select("*", F.explode("spans").alias("s"))
+    close = F.exists(F.coalesce("candidates", F.array().cast("array<bigint>")), lambda c: F.abs(c - F.col("s.a")) < near)
+    out = r.select("file_path", "seq", "part", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("end"), piece(F.col("s")).alias("text"), F.when(close, 0.85).otherwise(0.75).alias("confidence"), F.lit("llm").alias("method"))
+    return out
 
 
 def knowledge_units(boundaries: DataFrame) -> DataFrame:

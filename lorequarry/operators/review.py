@@ -16,6 +16,9 @@ RESOLUTIONS = ("keep_both", "prefer_a", "prefer_b", "merge", "jurisdiction")
 AUTHORITY = (1, 10)
 
 
+TASK_STATUSES = ("approved", "rejected", "edited")
+
+
 def latest(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """The last row of each key. The state is an aggregate of the log, so a hot key is combined before the shuffle."""
     rest = [c for c in log.columns if c not in keys]
@@ -69,6 +72,32 @@ def bulk_approve(units: DataFrame, at: Column, ids: list[str] | None = None, lea
     return rows.select("id", F.lit("approved").alias("status"), F.lit(None).cast("string").alias("edited_text"), at.alias("reviewed_at"))
 
 
+def review_tasks(tasks: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Log rows of ``reviews(task_id, status, edited_label, note, reviewed_at, seq)``: those of tasks that are there, with a status
+    that a reviewer may give. A missing note is empty."""
+    known = reviews.where(valid(F.col("status"), TASK_STATUSES)).join(tasks.select("task_id").distinct(), "task_id", "left_semi")
+    return known.select("task_id", "status", "edited_label", F.coalesce("note", F.lit("")).alias("note"), "reviewed_at", "seq", F.lit("review").alias("action"))
+
+
+def bulk_approve_tasks(tasks: DataFrame, at: Column, seq: Column, ids: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """Log rows that approve the tasks of ``ids(task_id)``, or those at least as confident. They say nothing of labels and notes,
+    and ids of no task leave none."""
+    if ids is None and least is None:
+        raise ValueError("either ids or a least confidence")
+    some = tasks.join(ids.select("task_id").distinct(), "task_id", "left_semi") if ids is not None else tasks.where(F.col("confidence") >= least)
+    none = F.lit(None).cast("string")
+    return some.select("task_id", F.lit("approved").alias("status"), none.alias("edited_label"), none.alias("note"), at.alias("reviewed_at"), seq.cast("long").alias("seq"), F.lit("bulk").alias("action"))
+
+
+def reviewed_tasks(tasks: DataFrame, log: DataFrame) -> DataFrame:
+    """``tasks`` with ``status, edited_label, note, reviewed_at`` as the log leaves them: the last row's status, and the label and
+    note of the last single review, which a bulk approval keeps and a later review without a label clears."""
+    when = F.struct("reviewed_at", "seq")
+    state = log.groupBy("task_id").agg(F.max_by("status", when).alias("status"), F.max_by(F.struct("edited_label", "note"), F.when(F.col("action") == "review", when)).alias("_said"), F.max("reviewed_at").alias("reviewed_at"))
+    rows = tasks.drop("status", "edited_label", "note", "reviewed_at").join(state, "task_id", "left")
+    return rows.withColumn("status", F.coalesce("status", F.lit("unreviewed"))).withColumn("edited_label", F.col("_said.edited_label")).withColumn("note", F.coalesce("_said.note", F.lit(""))).drop("_said")
+
+
 def review_stats(units: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row: total, a count for each status, and for each confidence band. Unreviewed is what total leaves over."""
     u = units.agg(F.count("*").alias("total"), *[F.count_if(fx.band(F.col("confidence")) == b).alias(f"{b}_confidence") for b in ("high", "medium", "low")])
@@ -158,6 +187,15 @@ def delete_task(tasks: DataFrame, links: DataFrame, task_id: str) -> tuple[DataF
     return tasks.where(F.col("task_id") != task_id), links.where(F.col("task_id") != task_id)
 
 
+def delete_tasks(tasks: DataFrame, links: DataFrame, log: DataFrame, ids: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Without the tasks of ``ids(task_id)`` and their links, whose units have no task then; children keep their parent's id.
+    The log gets a row for each task that was there."""
+    ids = ids.select("task_id").distinct()
+    gone = tasks.join(ids, "task_id", "left_semi")
+    label = F.concat(F.lit("Deleted task: "), F.coalesce("label", F.lit("")))
+    return tasks.join(ids, "task_id", "left_anti"), links.join(gone.select("task_id"), "task_id", "left_anti"), append(log, audit(gone, "delete", at, label))
+
+
 def move_task(tasks: DataFrame, task_id: str, parent: str | None) -> DataFrame:
     return tasks.withColumn("parent_task_id", F.when(F.col("task_id") == task_id, F.lit(parent)).otherwise(F.col("parent_task_id")))
 

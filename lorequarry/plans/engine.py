@@ -99,7 +99,8 @@ def boundaries(run: Run, e: DataFrame, models: dict[str, Callable]) -> DataFrame
         key = ["file_path", "seq", "part"]
         left = b.where(elements.ambiguous(b)).join(semantic.select(*key).distinct(), key, "left_anti").withColumn("id", F.to_json(F.struct(*key)))
         got = providers.map_rows(left.select("id", "text"), models["boundaries"], "id string, reply string")
-        replies = left.join(got, "id").withColumn("candidates", F.array().cast("array<long>"))
+        # the paragraph's own beginning is the one place where structure and model can agree
+        replies = left.join(got, "id").withColumn("candidates", F.array(F.lit(0).cast("long")))
         model = run.stage("model_segments", lambda: elements.model_segments(replies).select(*none.columns), ["boundaries", *["semantic_segments"] * ("embed" in models)], name_of(models["boundaries"]))
     return elements.refine(b, semantic.select(*none.columns), model)
 

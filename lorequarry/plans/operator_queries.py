@@ -107,8 +107,8 @@ def refined_boundaries(spark, sf):
 
 @query("", """WITH r AS (SELECT doc_id, length(text) AS n, text FROM documents WHERE doc_id % 3 <> 2), s AS (SELECT doc_id, n, text, greatest(0, least(x, n)) AS a, greatest(0, least(y, n)) AS b, near FROM (
 SELECT doc_id, n, text, 0 AS x, 40 AS y, 1 AS near FROM r UNION ALL SELECT doc_id, n, text, 40, 90, 0 FROM r WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, n, text, 90, 9000000, 0 FROM r WHERE doc_id % 3 = 0)),
-k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS spans FROM s WHERE b > a)
-SELECT doc_id AS file_path, CAST(5 + a AS BIGINT) AS a, CAST(5 + b AS BIGINT) AS z, CASE near WHEN 1 THEN CAST(0.85 AS DOUBLE) ELSE 0.75 END AS confidence FROM k WHERE spans > 1 AND trim(text[a + 1 : b], ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS spans FROM s WHERE b > a AND trim(text[a + 1 : b], ' ' || chr(9) || chr(10) || chr(13)) <> '')
+SELECT doc_id AS file_path, CAST(5 + a AS BIGINT) AS a, CAST(5 + b AS BIGINT) AS z, CASE near WHEN 1 THEN CAST(0.85 AS DOUBLE) ELSE 0.75 END AS confidence FROM k WHERE spans > 1""")
 def model_boundaries(spark, sf):
     """Replies of a model as JSON: three spans, one, and none that can be read."""
     k = F.col("doc_id") % 3
@@ -341,6 +341,38 @@ def edited_hierarchy(spark, sf):
     return t.join(n, "task_id", "left").select("task_id", F.col("parent_task_id").alias("parent"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+_TASK_REVIEWS = """, t AS (SELECT *, CAST(substr(task_id, 2) AS BIGINT) * 37 % 101 / 100.0 AS confidence FROM tasks),
+l AS (SELECT concat('C', user_id) AS task_id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'edited' END AS status, CASE WHEN event_type = 'click' THEN concat('label ', event_id) END AS edited_label, ts AS tm, event_id AS seq, true AS one FROM events WHERE event_type <> 'view'
+  UNION ALL SELECT task_id, 'approved', NULL, TIMESTAMP '2024-01-16 00:00:00', -1, false FROM t WHERE confidence >= 0.5),
+a AS (SELECT task_id, arg_max(status, row(tm, seq)) AS status, max(tm) AS tm FROM l GROUP BY task_id),
+b AS (SELECT task_id, edited_label FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY tm DESC, seq DESC) AS r FROM l WHERE one) WHERE r = 1)
+SELECT t.task_id, coalesce(a.status, 'unreviewed') AS status, b.edited_label, a.tm AS reviewed_at FROM t LEFT JOIN a ON a.task_id = t.task_id LEFT JOIN b ON b.task_id = t.task_id"""
+
+
+@query("tasks", _TASK_REVIEWS)
+def task_reviews(spark, sf):
+    """Reviews of tasks one by one, some of a status that isn't allowed or of tasks that there aren't, and a bulk approval."""
+    t = fix.tasks(spark, sf).withColumn("confidence", F.expr("bigint(substr(task_id, 2)) * 37 % 101 / 100.0"))
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "approved").when(kind == "error", "rejected").when(kind == "view", "seen").otherwise("edited")
+    e = fix.table(spark, sf, "events").select(F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("task_id"), status.alias("status"), F.when(kind == "click", F.concat(F.lit("label "), F.col("event_id").cast("string"))).alias("edited_label"), F.lit(None).cast("string").alias("note"), F.col("ts").alias("reviewed_at"), F.col("event_id").alias("seq"))
+    at = F.lit("2024-01-16 00:00:00").cast(e.schema["reviewed_at"].dataType)
+    log = review.append(review.review_tasks(t, e), review.bulk_approve_tasks(t, at, F.lit(-1), least=0.5))
+    return review.reviewed_tasks(t, log).select("task_id", "status", "edited_label", "reviewed_at")
+
+
+@query("tasks links", ", gone AS (SELECT * FROM tasks WHERE parent_task_id = 'N3') SELECT task_id, 'delete' AS action, concat('Deleted task: ', label) AS detail, CAST((SELECT count(*) FROM links l WHERE l.task_id = gone.task_id) AS BIGINT) AS orphaned FROM gone")
+def deleted_tasks(spark, sf):
+    """The log of a deletion, with the number of units that lose their task; an id that isn't there leaves no row."""
+    t, links = fix.tasks(spark, sf), fix.links(spark, sf)
+    ids = t.where("parent_task_id = 'N3'").select("task_id").unionByName(spark.createDataFrame([("none",)], "task_id string"))
+    log = review.audit(t.limit(0), "", F.lit("2024-05-01").cast("timestamp"))
+    left, kept, log = review.delete_tasks(t, links, log, ids, F.lit("2024-05-01").cast("timestamp"))
+    orphaned = links.join(kept, links.columns, "left_anti").groupBy("task_id").agg(F.count("*").alias("orphaned"))
+    log = log.join(left.select("task_id"), "task_id", "left_anti")
+    return log.join(orphaned, "task_id", "left").select("task_id", "action", "detail", F.coalesce("orphaned", F.lit(0).cast("long")).alias("orphaned"))
+
+
 @query("tasks", """SELECT task_id AS entity_id, CASE WHEN task_id LIKE 'R%' THEN concat('old/', task_id) ELSE concat('new/', regexp_replace(to_base64(unhex(sha256(task_id)[1:32])), '[^A-Za-z0-9]', '', 'g')) END AS iri, CASE WHEN task_id = 'R2' THEN '2024-05-01' END AS deprecated, CASE WHEN task_id = 'R2' THEN 'old/R3' END AS successor FROM tasks""")
 def iri_registry(spark, sf):
     """Regions have IRIs, others get them; one is deprecated in favour of another."""

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry.operators import clusters, contests, polysemy
+from lorequarry.operators import clusters, contests, elements, polysemy, review
 
 EVENT = "id string, at int, seq int, actor string, action string, position string"
 
@@ -137,3 +137,36 @@ def test_coverage(spark):
         ("subtree", "t1", False, 3, 1, False), ("subtree", "t2", True, 1, 1, False), ("subtree", "t3", False, 2, 0, False), ("subtree", "t4", True, 0, 0, True), ("subtree", "t5", True, 0, 0, True),
         ("doctrine", "c1", True, 2, 1, False), ("doctrine", "c0", False, 2, 1, False), ("doctrine", "c00", False, 2, 1, False), ("doctrine", "c9", True, 1, 0, True),
     }
+
+
+def test_task_reviews_and_deletions(spark):
+    tasks = spark.createDataFrame([("a", "A", 0.9), ("b", "B", 0.2), ("c", None, None)], "task_id string, label string, confidence double")
+    rows = [("a", "edited", "A2", "n", 1, 1), ("a", "seen", "A3", None, 5, 5), ("b", "edited", "B2", "m", 1, 2), ("b", "rejected", None, None, 2, 3), ("x", "approved", None, None, 1, 4), ("c", None, None, None, 1, 6)]
+    log = review.review_tasks(tasks, spark.createDataFrame(rows, "task_id string, status string, edited_label string, note string, reviewed_at int, seq long"))
+    log = review.append(log, review.bulk_approve_tasks(tasks, F.lit(3), F.lit(9), least=0.5))
+    got = {x["task_id"]: (x["status"], x["edited_label"], x["note"], x["reviewed_at"]) for x in review.reviewed_tasks(tasks, log).collect()}
+    assert got == {"a": ("approved", "A2", "n", 3), "b": ("rejected", None, "", 2), "c": ("unreviewed", None, "", None)}
+    ids = spark.createDataFrame([("b",), ("b",), ("x",)], "task_id string")
+    assert [x["task_id"] for x in review.bulk_approve_tasks(tasks, F.lit(3), F.lit(9), ids).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        review.bulk_approve_tasks(tasks, F.lit(3), F.lit(9))
+
+    links = spark.createDataFrame([("b", "u1"), ("a", "u1"), ("x", "u2")], "task_id string, unit_id string")
+    left, kept, edits = review.delete_tasks(tasks, links, review.audit(tasks.limit(0), "", F.lit(1)), ids, F.lit(7))
+    assert {x["task_id"] for x in left.collect()} == {"a", "c"} and {tuple(x) for x in kept.collect()} == {("a", "u1"), ("x", "u2")}
+    assert [tuple(x) for x in edits.collect()] == [("b", "delete", "Deleted task: B", 7)]
+
+
+def test_model_segments_of_odd_replies(spark):
+    text = "x" * 30 + " " * 10 + "y" * 30
+    replies = {
+        "near": '{"boundaries": [{"start": 19, "end": 25}, {"start": 20, "end": 30}]}',
+        "blank": '{"boundaries": [{"start": 0, "end": 30}, {"start": 31, "end": 39}]}',
+        "open": '{"boundaries": [{"end": 30}, {"start": 40}]}',
+        "one": '{"boundaries": [{"start": 0, "end": 30}]}',
+        "bad": "no json",
+        "none": None,
+    }
+    df = spark.createDataFrame([(k, 0, 0, 100, text, [0], v) for k, v in replies.items()], "file_path string, seq int, part int, start long, text string, candidates array<long>, reply string")
+    got = {(x["file_path"], x["start"], x["end"], x["confidence"]) for x in elements.model_segments(df).collect()}
+    assert got == {("near", 119, 125, 0.85), ("near", 120, 130, 0.75), ("open", 100, 130, 0.85), ("open", 140, 170, 0.75)}
