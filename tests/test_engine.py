@@ -107,6 +107,8 @@ def test_models_take_part(spark, tmp_path):
     law = next(u for t, u in units.items() if t.startswith("Courts"))
     assert len(units) == 5 and law["text"].endswith("part 9.") and ducks["text"].endswith("quietly.")  # second tier
     assert LONG.index("Ducks") > 0 and law["original_span"]["end"] < ducks["original_span"]["start"]
+    # the first half begins where the paragraph does
+    assert sorted((r["start"], r["confidence"]) for r in store.read("model_segments").collect())[0][1] == 0.85
     assert store.read("model_segments").count() == 2 and sum(set(t) == {"x"} for t in units) == 1  # third tier; equal halves are one
     tags = {t["iri"]: t for t in ducks["tags"]}
     assert set(tags) == {"c2"} and tags["c2"]["extraction_path"] == "semantic"
