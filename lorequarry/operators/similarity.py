@@ -38,6 +38,11 @@ def exact_dedup(units: DataFrame) -> DataFrame:
     return kept.withColumn("ord", F.col("_first")).withColumn("cross_references", F.coalesce("cross_references", none)).withColumn("merged", F.coalesce("merged", F.lit(0).cast("long"))).drop("_key", "_n", "_first")
 
 
+def _frame(names: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """Parts of columns as one frame; without parts it has no columns, since Spark takes no empty column of numbers for strings."""
+    return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)} if parts else {})
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "embedding") -> DataFrame:
     """All pairs ``a < b`` whose inner product is above ``threshold``, with ``similarity``: exact, by blocks.
 
@@ -64,8 +69,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector:
             if i == j:
                 ok = a < b
                 a, b, x, y = a[ok], b[ok], x[ok], y[ok]
-            out.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": sims[x, y]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+            out.append((np.where(a < b, a, b), np.where(a < b, b, a), sims[x, y]))
+        return _frame(["a", "b", "similarity"], out)
 
     return cells.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, similarity double")
 
@@ -171,14 +176,15 @@ def replay_near_dedup(pairs: DataFrame, units: DataFrame) -> DataFrame:
 def near_dedup(units: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``units(ord, id, confidence, embedding, ...)`` without near-duplicates; ids of those that went into a unit in
     ``cross_references``."""
-    gone = replay_near_dedup(similar_pairs(units, threshold, key="ord"), units)
+    gone = replay_near_dedup(bucketed_pairs(units, threshold, key="ord").select("a", "b"), units)
     refs = gone.join(units.select(F.col("ord"), F.col("id")), "ord").groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("cross_references"))
     kept = units.drop("cross_references").join(gone.select("ord"), "ord", "left_anti").join(refs, F.col("ord") == F.col("canonical"), "left").drop("canonical")
     return kept.withColumn("cross_references", F.coalesce("cross_references", F.array().cast("array<string>")))
 
 
-def average_linkage(matrix: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers by average linkage on cosine distances, with no merge at or above ``threshold``.
+def average_linkage(matrix: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Cluster numbers by average linkage on cosine distances, with no merge at or above ``threshold``. A row is the mean of
+    ``sizes`` vectors of unit length, one if not given.
 
     Chains of nearest neighbours lead to pairs that are nearest to each other, which can be merged in any order, as average
     linkage is reducible: quadratic time instead of a search for the closest pair each time.
@@ -186,7 +192,7 @@ def average_linkage(matrix: np.ndarray, threshold: float) -> np.ndarray:
     n = len(matrix)
     d = 1 - matrix @ matrix.T
     np.fill_diagonal(d, np.inf)
-    size, owner, left = np.ones(n), np.arange(n), set(range(n))
+    size, owner, left = np.ones(n) if sizes is None else sizes.astype(np.float64), np.arange(n), set(range(n))
     chain: list[int] = []
     while len(left) > 1:
         if not chain:
@@ -215,21 +221,83 @@ def average_linkage(matrix: np.ndarray, threshold: float) -> np.ndarray:
     return owner
 
 
-def cluster(vectors: DataFrame, threshold: float = 0.5, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """``key, cluster``: average linkage on cosine distance. A merge below the threshold never leaves a component of the
-    graph of pairs below it, so components are clustered by themselves. ``cluster`` is the smallest key in it."""
-    edges = similar_pairs(vectors, 1 - threshold, key, vector).select("a", "b")
+def _closest(asking: DataFrame, nodes: DataFrame, above: float, block: int, n: int) -> DataFrame:
+    """``id, nn, s``: of each node that asks the other node with the largest inner product above ``above``, if any.
+
+    Blocks of those that ask meet blocks of all nodes in a task each, and return one row a node. Ties go by a hash of the pair,
+    so that of nodes all equally far from each other about half choose each other.
+    """
+    kind = nodes.schema["id"].dataType.simpleString()
+    here, there = max(1, -(-asking.count() // block)), max(1, -(-n // block))
+    deal = lambda df, own, k, other, m, side: df.select(F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.lit(side).alias("asks"), "id", F.xxhash64("id").alias("r"), "v").select("i", "j", "asks", "id", "r", "v")
+    cells = deal(asking, "i", here, "j", there, True).unionByName(deal(nodes, "j", there, "i", here, False))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out = []
+        if len(left) and len(right):
+            lm, rm = (np.array(x["v"].tolist(), dtype=np.float64).reshape(len(x), -1) for x in (left, right))
+            li, ri, lr, rr = left["id"].to_numpy(), right["id"].to_numpy(), left["r"].to_numpy(np.uint64), right["r"].to_numpy(np.uint64)
+            for at in range(0, len(lm), 512):
+                # both ends of a pair see the same number
+                s = np.round(lm[at : at + 512] @ rm.T, 12)
+                s[li[at : at + 512, None] == ri[None, :]] = -np.inf
+                top = s.max(axis=1)
+                tie = ((lr[at : at + 512, None] ^ rr[None, :]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(2)
+                pick = np.where(s == top[:, None], tie.astype(np.int64), -1).argmax(axis=1)
+                ok = np.nonzero(top > above)[0]
+                out.append((li[at + ok], ri[pick[ok]], top[ok], tie[ok, pick[ok]].astype(np.int64)))
+        return _frame(["id", "nn", "s", "tie"], out)
+
+    met = cells.groupBy("i", "j").applyInPandas(meet, f"id {kind}, nn {kind}, s double, tie long")
+    best = met.groupBy("id").agg(F.max_by(F.struct("nn", "s"), F.struct("s", "tie", "nn")).alias("x"))
+    return best.select("id", "x.nn", "x.s")
+
+
+def cluster(vectors: DataFrame, threshold: float = 0.5, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``id, cluster``: average linkage on cosine distance, with no merge at or above the threshold. ``cluster`` is the smallest
+    key in it; a row without a vector is alone.
+
+    The average distance of two clusters is one less the inner product of their means, so a cluster is a mean and a size,
+    whatever its members. In rounds every cluster finds the nearest, and those that are nearest to each other merge; as
+    average linkage is reducible, this gives what merging the closest pair each time gives. A cluster asks again only when
+    it or its nearest has merged, and leaves when nothing is near enough. Copies are one node from the start. What remains
+    when it fits a block is linked in one task.
+    """
     kind = vectors.schema[key].dataType.simpleString()
-    comp = components(edges)
-    rows = vectors.select(F.col(key).alias("node"), F.col(vector).cast("array<double>").alias("v")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    every = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = cut(every.where("v is not null").withColumn("_n", norm).select("id", F.when(F.col("_n") > 0, F.transform("v", lambda x: x / F.col("_n"))).otherwise(F.col("v")).alias("v")))
+    nodes = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("size")).select("id", "v", "size", F.lit(None).cast(kind).alias("nn"), F.lit(None).cast("double").alias("s")))
+    first = nodes.select(F.col("id").alias("a"), F.col("v").alias("w"))
+    edges = rows.join(first, (F.xxhash64("v") == F.xxhash64("w")) & (F.col("v") == F.col("w"))).where("a <> id").select("a", F.col("id").alias("b"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return pd.DataFrame({"id": pdf["node"].to_numpy(), "cluster": pdf["node"].to_numpy()[average_linkage(m, threshold)]})
-
-    return rows.groupBy("component").applyInPandas(link, f"id {kind}, cluster {kind}")
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        owner = ids[average_linkage(np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1), threshold, pdf["size"].to_numpy())]
+        return _frame(["a", "b"], [(owner[owner != ids], ids[owner != ids])])
+
+    while (n := nodes.count()) > block:
+        picks = cut(nodes.where("nn is not null").select("id", "nn", "s").unionByName(_closest(nodes.where("nn is null"), nodes, 1 - threshold, block, n)))
+        ends = [F.least("id", "nn").alias("a"), F.greatest("id", "nn").alias("b")]
+        pairs = cut(picks.groupBy(*ends).agg(F.count("*").alias("n")).where("n = 2").select("a", "b"))
+        if pairs.isEmpty():  # only where rounding hides one end of the closest pair
+            pairs = cut(picks.select("s", *ends).orderBy(F.desc("s"), "a", "b").limit(1).select("a", "b"))
+        edges = edges.unionByName(pairs)
+        merged = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        near = picks.select("id").unionByName(picks.select(F.col("nn").alias("id"))).distinct()
+        alive = cut(nodes.select("id", "v", "size").join(near, "id", "left_semi").join(picks, "id", "left"))
+        kept = alive.join(merged, "id", "left_anti").join(merged.select(F.col("id").alias("nn"), F.lit(True).alias("_m")), "nn", "left")
+        kept = kept.select("id", "v", "size", F.expr("if(_m, null, nn)").alias("nn"), F.expr("if(_m, null, s)").alias("s"))
+        side = lambda c: alive.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"), F.col("size").alias(f"n{c}"))
+        total = F.col("na") + F.col("nb")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        mean = F.zip_with("va", "vb", lambda x, y: (x * F.col("na") + y * F.col("nb")) / total)
+        nodes = cut(kept.unionByName(both.select(F.col("a").alias("id"), mean.alias("v"), total.alias("size"), F.lit(None).cast(kind).alias("nn"), F.lit(None).cast("double").alias("s"))))
+    edges = edges.unionByName(nodes.select("id", "v", "size", F.lit("all").alias("task")).groupBy("task").applyInPandas(link, f"a {kind}, b {kind}"))
+    return every.select("id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def nearest(rows: DataFrame, centres: DataFrame, k: int = 1) -> DataFrame:

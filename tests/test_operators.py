@@ -170,6 +170,13 @@ def test_buckets_follow_from_the_threshold(spark):
     assert len(want) > 200 and {(r["a"], r["b"]) for r in similarity.bucketed_pairs(df, 0.9, tables, bits).collect()} == want
 
 
+def test_pairs_of_many_string_keys(spark):
+    df = spark.range(1300).selectExpr("format_string('k%05d', id) AS id", "array(cos(id / 100D), sin(id / 100D)) AS embedding")
+    want = {(f"k{i:05d}", f"k{j:05d}") for i in range(1300) for j in range(i + 1, 1300) if np.cos((j - i) / 100) > 0.9999}
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df, 0.9999).collect()} == want
+    assert similarity.similar_pairs(df.where("id = 'k00000'"), 0.9999).count() == 0
+
+
 def global_linkage(m, t):
     d = 1 - m @ m.T
     groups = [[i] for i in range(len(m))]
@@ -192,6 +199,37 @@ def test_average_linkage(spark):
     assert {frozenset(g) for g in groups.values()} == global_linkage(m, 0.5)
 
 
+def clusters(df, *args, **kw):
+    groups = {}
+    for r in similarity.cluster(df, *args, **kw).collect():
+        groups.setdefault(r["cluster"], set()).add(r["id"])
+    assert all(c == min(g) for c, g in groups.items())
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(0, 0.3), (2, 0.9)])
+def test_linkage_in_rounds_is_that_of_one_task(spark, seed, threshold):
+    rng = np.random.default_rng(seed)
+    m = np.vstack([rng.standard_normal(6) + 0.7 * rng.standard_normal((k, 6)) for k in (20, 9, 5, 3, 1, 1)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    want = global_linkage(m, threshold)
+    assert clusters(df, threshold, block=9) == want == clusters(df, threshold)
+
+
+def test_linkage_of_copies_ties_and_rows_without_a_vector(spark):
+    rows = [(f"c{i:02d}", [3.0, 4.0, 0.0]) for i in range(40)]  # one node
+    rows += [("n", None), ("z", [0.0, 0.0, 0.0])]
+    schema = "id string, embedding array<double>"
+    same = {frozenset(f"c{i:02d}" for i in range(40)), frozenset(["n"]), frozenset(["z"])}
+    assert clusters(spark.createDataFrame(rows, schema), 0.5, block=1) == clusters(spark.createDataFrame(rows, schema), 0.5) == same
+    # every two of these are equally far apart: about half find each other in a round
+    far = [(f"t{i}", [1.0] + [2.0 * (i == j) for j in range(9)]) for i in range(9)]
+    assert clusters(spark.createDataFrame(far, schema), 0.85, block=2) == {frozenset(x[0] for x in far)}
+    assert clusters(spark.createDataFrame(far, schema), 0.75, block=2) == {frozenset([x[0]]) for x in far}
+    assert clusters(spark.createDataFrame([], schema)) == set()
+
+
 # --- tagging
 
 
