@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import edits, shapes
+from ..streaming import hypotheses
 from . import fixtures as fix
 from .queries import query
 
@@ -92,3 +93,23 @@ def edits_as_of(spark, sf):
 def broken_edits(spark, sf):
     log = _edits(spark, sf)
     return edits.broken_links(_current(log), log, ["signup"]).select("id", "field", "seq", "problem")
+
+
+# an event a step, from each user's first on
+@query("", """WITH RECURSIVE e AS (SELECT user_id AS id, ts AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'purchase' THEN 'promote' WHEN 'error' THEN 'demote' ELSE 'propose' END AS act,
+  ts + to_days(CAST(CASE WHEN event_id % 50 = 0 THEN 90 ELSE 1 + event_id % 4 END AS INTEGER)) AS until FROM events WHERE event_type NOT IN ('purchase', 'error') OR (event_id % 4 <> 0 AND event_id % 5 <> 0)),
+r AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS n, CAST('expired' AS VARCHAR) AS status, CAST(NULL AS TIMESTAMP) AS deadline, CAST(NULL AS TIMESTAMP) AS tm, CAST(NULL AS TIMESTAMP) AS gone, false AS fired FROM e
+UNION ALL SELECT id, n, CASE WHEN NOT fired THEN was WHEN act = 'promote' THEN 'attested' ELSE 'hypothesis' END, CASE WHEN NOT fired THEN deadline WHEN act <> 'promote' THEN until END, tm, gone, fired
+  FROM (SELECT *, (act = 'propose' AND was = 'expired') OR (act = 'promote' AND was = 'hypothesis') OR (act = 'demote' AND was = 'attested') AS fired
+    FROM (SELECT e.*, CASE WHEN r.deadline <= e.tm THEN 'expired' ELSE r.status END AS was, CASE WHEN r.deadline <= e.tm THEN r.deadline END AS gone, CASE WHEN r.deadline > e.tm THEN r.deadline END AS deadline FROM r JOIN e ON e.id = r.id AND e.n = r.n + 1) x) y),
+c AS (SELECT id, tm AS t, status, deadline FROM r WHERE fired UNION ALL SELECT id, gone, 'expired', NULL FROM r WHERE gone IS NOT NULL
+UNION ALL SELECT id, deadline, 'expired', NULL FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM r) z WHERE k = 1 AND deadline IS NOT NULL)
+SELECT id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS since, status, strftime(deadline, '%Y-%m-%d %H:%M:%S.%f') AS deadline FROM c""")
+def hypothesis_changes(spark, sf):
+    """Events as a log of hypotheses, one a user: purchases promote, errors demote, all others propose."""
+    e, k = fix.table(spark, sf, "events"), F.col("event_id")
+    action = F.when(F.col("event_type") == "purchase", "promote").when(F.col("event_type") == "error", "demote").otherwise("propose")
+    role = F.when(k % 4 == 0, "extractor").otherwise("reviewer")
+    log = e.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), k.alias("seq"), action.alias("action"), role.alias("role"), F.when(k % 5 != 0, k.cast("string")).alias("citation"), F.when(k % 50 != 0, 1 + k % 4).alias("ttl_days"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return hypotheses.changes(log).select("id", shown("at").alias("since"), "status", shown("deadline").alias("deadline"))
