@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import discovery, elements, graph, review, similarity, tagging
+from ..operators.lineage import numbered
 from ..sources import files as src
 from ..streaming import jobs
 from . import fixtures as fix
@@ -316,7 +317,7 @@ def concept_mode(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY lower(label) ORDER BY ord) AS r FROM c) SELECT label, ord FROM r WHERE r = 1""")
 def tasks_from_candidates(spark, sf):
     c = fix.units(spark, sf).select("source_file", "section_2").distinct()
-    c = c.select(F.row_number().over(Window.orderBy("source_file", "section_2")).cast("long").alias("ord"), F.col("section_2").alias("label"))
+    c = numbered(c, "source_file", "section_2").select("ord", F.col("section_2").alias("label"))
     return discovery.to_tasks(c).select("label", "ord")
 
 
@@ -500,7 +501,19 @@ def fallback_labels(spark, sf):
 # --- Tagging
 
 
-@query()
+# a concept a step: the model's tags look for the first entry of their IRI, later paths for the last one, then for the label
+@query("tags", """, i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path, p) AS n FROM (SELECT CAST(floor(ord / 4.0) AS BIGINT) AS id, (ord + pos) % 4 AS path, ord * 10 + pos AS p, iri, label, confidence, branch FROM tags) x),
+r AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(iri VARCHAR, label VARCHAR, confidence DOUBLE, paths VARCHAR[], branch VARCHAR)[]) AS o FROM i
+UNION ALL SELECT id, n, CASE WHEN place = 0 THEN list_append(o, {'iri': iri, 'label': label, 'confidence': confidence, 'paths': [name], 'branch': branch})
+    ELSE list_transform(o, lambda e, k: CASE WHEN k = place THEN {'iri': e.iri, 'label': e.label, 'confidence': least(1.0, e.confidence + more), 'paths': CASE WHEN list_contains(e.paths, name) THEN e.paths ELSE list_append(e.paths, name) END, 'branch': e.branch} ELSE e END) END
+  FROM (SELECT *, ['entity_ruler', 'llm', 'semantic', 'heading_context'][path + 1] AS name, [0.0, 0.05, 0.1, 0.05][path + 1] AS more,
+      CASE WHEN path = 0 THEN 0 WHEN path = 1 THEN coalesce(list_min(same), 0) ELSE coalesce(list_max(same), list_max(named), 0) END AS place
+    FROM (SELECT i.*, r.o, list_filter(list_transform(r.o, lambda e, k: CASE WHEN e.iri = i.iri AND i.iri <> '' THEN k END), lambda k: k IS NOT NULL) AS same,
+        list_filter(list_transform(r.o, lambda e, k: CASE WHEN lower(e.label) = lower(i.label) AND i.label <> '' THEN k END), lambda k: k IS NOT NULL) AS named
+      FROM r JOIN i ON i.id = r.id AND i.n = r.n + 1) a) b),
+f AS (SELECT id, arg_max(o, n) AS o FROM r GROUP BY id),
+g AS (SELECT id, generate_subscripts(o, 1) AS k, unnest(o) AS c FROM f)
+SELECT id, CAST(k - 1 AS INTEGER) AS pos, c.iri AS iri, c.label AS label, round(c.confidence, 6) AS confidence, array_to_string(c.paths, '+') AS paths, c.branch AS branch FROM g""")
 def four_path_reconcile(spark, sf):
     """Tags dealt onto the four paths by unit and place."""
     t = fix.tags(spark, sf).withColumn("id", F.floor(F.col("ord") / 4)).withColumn("path", (F.col("ord") + F.col("pos")) % 4).withColumn("pos", (F.col("ord") * 10 + F.col("pos")).cast("int"))
@@ -615,10 +628,19 @@ def jsonld_root_chunks(spark, sf):
     return c.withColumn("v", v).select("task_id", F.size(F.coalesce(F.col("v.`fi:subtasks`"), F.array())).alias("subtasks"), F.size("v.`fi:units`").alias("units"), F.md5(F.array_join(labels, "|")).alias("digest"))
 
 
-@query()
+# the types of the view in display order
+_SHOWN = "(VALUES ('principle', '002', 'Principles'), ('pitfall', '003', 'Pitfalls'), ('procedural_rule', '004', 'Procedural Rules'), ('citation', '005', 'Citations'), ('advice', '006', 'Advice')) AS k(unit_type, rank, shown)"
+
+
+@query("units tasks links", f""", t AS (SELECT *, lpad(CAST(row_number() OVER (ORDER BY task_id) AS VARCHAR), 12, '0') AS o FROM tasks WHERE label IS NOT NULL),
+d AS (SELECT task_id, label, 0 AS depth, o AS key FROM t WHERE parent_task_id IS NULL UNION ALL SELECT t.task_id, t.label, d.depth + 1, concat(d.key, '/', t.o) FROM t JOIN d ON t.parent_task_id = d.task_id),
+x AS (SELECT d.key, repeat('  ', d.depth) AS indent, k.rank, k.shown, u.ord, u.text, u.confidence FROM links l JOIN d ON d.task_id = l.task_id JOIN units u ON u.ord = l.unit_ord JOIN {_SHOWN} ON k.unit_type = u.unit_type)
+SELECT concat(key, '!0') AS sort, concat(repeat('  ', depth), '- **', label, '**', CASE WHEN task_id LIKE 'R%' THEN ' (procedural -- ordered steps)' ELSE '' END) AS value FROM d
+UNION ALL SELECT DISTINCT concat(key, '!1', rank, 'a'), concat(indent, '  - *', shown, '*:') FROM x
+UNION ALL SELECT concat(key, '!1', rank, 'b', lpad(CAST(ord AS VARCHAR), 12, '0')), concat(indent, '    - ', regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' (confidence: ', printf('%.2f', confidence), ')') FROM x""")
 def markdown_outline(spark, sf):
     t, l, u = _graph(spark, sf)
-    return graph.outline_lines(t.withColumn("ord", F.dense_rank().over(Window.orderBy("task_id"))), l, u)
+    return graph.outline_lines(numbered(t, "task_id"), l, u)
 
 
 @query("tasks", """, d AS (SELECT task_id, parent_task_id FROM tasks WHERE contains(lower(label), 'n_1') UNION SELECT t.task_id, t.parent_task_id FROM tasks t JOIN d ON d.parent_task_id = t.task_id) SELECT DISTINCT task_id FROM d""")
