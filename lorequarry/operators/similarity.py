@@ -300,21 +300,40 @@ def cluster(vectors: DataFrame, threshold: float = 0.5, key: str = "id", vector:
     return every.select("id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
-def nearest(rows: DataFrame, centres: DataFrame, k: int = 1) -> DataFrame:
-    """``rows(id, v)``, ``centres(centre, ord, cv)`` -> ``id, centre, similarity, rank`` of the ``k`` most similar, ties to
-    the lower ``ord``.
+def nearest(rows: DataFrame, centres: DataFrame, k: int = 1, block: int = CENTRES) -> DataFrame:
+    """``rows(id, v)``, ``centres(centre, ord, cv)`` -> ``id, centre, similarity, rank`` of the ``k`` with the largest inner
+    product, rounded to twelve digits, ties to the lower ``ord``. Rows and centres without a vector take no part.
 
-    Centres are tasks or concepts, far fewer than rows. They are dealt into blocks of at most ``CENTRES``; a row meets each
-    block once, by the block's number, and keeps its best ``k`` of it, which are merged.
+    Blocks of rows meet blocks of centres, a pair of blocks a task, as a product of matrices that keeps the best ``k`` of a
+    row; these are merged. Any number of centres will do, and no key has more than two blocks of rows.
     """
-    blocks = max(1, -(-centres.count() // CENTRES))
-    c = centres.withColumn("block", F.pmod(F.xxhash64("centre"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("ord", "centre", "cv")).alias("cs"))
-    met = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(c, "block")
-    scored = F.transform("cs", lambda x: F.struct((-fx.dot(F.col("v"), x["cv"])).alias("s"), x["ord"].alias("ord"), x["centre"].alias("centre")))
-    best = met.select("id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("x"))
-    w = Window.partitionBy("id").orderBy("x.s", "x.ord")
-    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("id", F.col("x.centre").alias("centre"), (-F.col("x.s")).alias("similarity"), "rank")
+    r = rows.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
+    c = centres.where("cv is not null").select("centre", "ord", F.col("cv").cast("array<double>").alias("v"))
+    here, there = max(1, -(-r.count() // BLOCK)), max(1, -(-c.count() // block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    kinds = {x: df.schema[x].dataType.simpleString() for df, x in ((r, "id"), (c, "centre"), (c, "ord"))}
+    # not null where a side has no such column, as pandas has no integers that may be
+    none = {x: F.lit("0").cast(t).alias(x) for x, t in kinds.items()}
+    asked = r.select(part("id", here).alias("i"), each(there).alias("j"), F.lit(False).alias("held"), "id", none["centre"], none["ord"], "v")
+    cells = asked.unionByName(c.select(each(here).alias("i"), part("centre", there).alias("j"), F.lit(True).alias("held"), none["id"], "centre", "ord", "v"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[~pdf["held"]], pdf[pdf["held"]].sort_values("ord", kind="stable")
+        out = []
+        if len(left) and len(right):
+            lm, rm = (np.array(x["v"].tolist(), dtype=np.float64).reshape(len(x), -1) for x in (left, right))
+            ids, names, order = left["id"].to_numpy(), right["centre"].to_numpy(), right["ord"].to_numpy()
+            for at in range(0, len(lm), 512):
+                s = np.round(lm[at : at + 512] @ rm.T, 12)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                which = best.ravel()
+                out.append((np.repeat(ids[at : at + 512], best.shape[1]), names[which], order[which], np.take_along_axis(s, best, 1).ravel()))
+        return _frame(["id", "centre", "ord", "similarity"], out)
+
+    found = cells.groupBy("i", "j").applyInPandas(meet, f"id {kinds['id']}, centre {kinds['centre']}, ord {kinds['ord']}, similarity double")
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "ord")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "centre", "similarity", "rank")
 
 
 def top_k(rows: DataFrame, group: str, score: Column, k: int, ties: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..operators import discovery, elements, graph, providers, review, similarity, tagging
 from . import fixtures as fix
-from .queries import _CONTRA, _contradictions, _links, query
+from .queries import _CENTRES, _CONTRA, _centres, _contradictions, _links, _vectors, query
 
 # --- Projections
 
@@ -90,19 +90,19 @@ def whole_text_elements(spark, sf):
     return elements.with_whole_text(d, known).select("file_path", F.md5("text").alias("digest"))
 
 
-_BOUNDS = """WITH b AS (SELECT doc_id AS file_path, 0 AS seq, doc_id * 10 AS a, doc_id * 10 + CASE WHEN doc_id % 4 = 3 THEN 100 ELSE 600 END AS z, doc_id % 4 AS k FROM documents)"""
+_BOUNDS = """WITH b AS (SELECT doc_id AS file_path, 0 AS seq, doc_id * 10 AS a, doc_id * 10 + CASE WHEN doc_id % 4 = 3 THEN 100 ELSE 600 END AS z, doc_id % 4 AS k, md5(text) AS digest FROM documents)"""
 
 
-@query("", _BOUNDS + """ SELECT file_path, CAST(a AS BIGINT) AS a, CAST(z AS BIGINT) AS z, 'structural_paragraph' AS method FROM b WHERE k IN (2, 3)
-UNION ALL SELECT file_path, CAST(a + 300 * p AS BIGINT), CAST(a + 300 * p + 300 AS BIGINT), CASE k WHEN 0 THEN 'semantic' ELSE 'llm' END FROM b, (VALUES (0), (1)) AS p(p) WHERE k IN (0, 1)""")
+@query("", _BOUNDS + """ SELECT file_path, CAST(a AS BIGINT) AS a, CAST(z AS BIGINT) AS z, 'structural_paragraph' AS method, digest FROM b WHERE k IN (2, 3)
+UNION ALL SELECT file_path, CAST(a + 300 * p AS BIGINT), CAST(a + 300 * p + 300 AS BIGINT), CASE k WHEN 0 THEN 'semantic' ELSE 'llm' END, digest FROM b, (VALUES (0), (1)) AS p(p) WHERE k IN (0, 1)""")
 def refined_boundaries(spark, sf):
     """Long paragraphs, of which some have semantic segments, some those of a model, some both, some none."""
     k = F.col("doc_id") % 4
-    b = fix.table(spark, sf, "documents").select(F.col("doc_id").alias("file_path"), F.lit(0).alias("seq"), F.lit(0).alias("part"), (F.col("doc_id") * 10).alias("start"), (F.col("doc_id") * 10 + F.when(k == 3, 100).otherwise(600)).alias("end"), F.lit("t").alias("text"), F.array(F.lit("h")).alias("section_path"), F.lit(0.7).alias("confidence"), F.lit("structural_paragraph").alias("method"))
+    b = fix.table(spark, sf, "documents").select(F.col("doc_id").alias("file_path"), F.lit(0).alias("seq"), F.lit(0).alias("part"), (F.col("doc_id") * 10).alias("start"), (F.col("doc_id") * 10 + F.when(k == 3, 100).otherwise(600)).alias("end"), "text", F.array(F.lit("h")).alias("section_path"), F.lit(0.7).alias("confidence"), F.lit("structural_paragraph").alias("method"))
     halves = lambda d, m: d.select("file_path", "seq", "part", F.explode(F.array(F.lit(0), F.lit(300))).alias("_o"), "start", "text", "confidence").select("file_path", "seq", "part", (F.col("start") + F.col("_o")).alias("start"), (F.col("start") + F.col("_o") + 300).alias("end"), "text", "confidence", F.lit(m).alias("method"))
     which = F.col("file_path") % 4
     out = elements.refine(b, halves(b.where(which.isin(0, 3)), "semantic"), halves(b.where(which.isin(0, 1)), "llm"))
-    return out.select("file_path", F.col("start").alias("a"), F.col("end").alias("z"), "method")
+    return out.select("file_path", F.col("start").alias("a"), F.col("end").alias("z"), "method", F.md5("text").alias("digest"))
 
 
 @query("", """WITH r AS (SELECT doc_id, length(text) AS n, text FROM documents WHERE doc_id % 3 <> 2), s AS (SELECT doc_id, n, text, greatest(0, least(x, n)) AS a, greatest(0, least(y, n)) AS b, near FROM (
@@ -163,24 +163,20 @@ def type_histogram(spark, sf):
 # --- Discovery
 
 
-_CLUSTERS = ", c AS (SELECT *, ord % 40 AS cluster FROM units WHERE ord < 130 OR ord % 40 < 20)"
-
-
-@query("units", _CLUSTERS + """ SELECT cluster, CAST(count(*) AS BIGINT) AS n, min(ord) AS first, string_agg(id, '|' ORDER BY ord) AS unit_ids FROM c GROUP BY cluster
-HAVING count(*) >= 3 AND CAST(count(*) FILTER (ord % 5 < cluster % 5) AS DOUBLE) / count(*) <= 0.7""")
+@query("units", """, c AS (SELECT *, ord // 10 AS ten, ord % 10 < 2 AS pair FROM units) SELECT ten, pair, CAST(count(*) AS BIGINT) AS n, min(ord) AS first, string_agg(id, '|' ORDER BY ord) AS unit_ids FROM c GROUP BY ten, pair
+HAVING count(*) >= 3 AND CAST(count(*) FILTER (ord % 5 < ten % 5) AS DOUBLE) / count(*) <= 0.7""")
 def cluster_candidates(spark, sf):
-    """Clusters of units of which headings cover none, some or all."""
-    u = fix.units(spark, sf)
-    c = u.where("ord < 130 or ord % 40 < 20").select("id", (F.col("ord") % 40).alias("cluster"))
-    covered = u.where(F.col("ord") % 5 < F.col("ord") % 40 % 5).select("id")
-    g = discovery.cluster_candidates(u, c, covered)
-    return g.select((F.col("first") % 40).alias("cluster"), F.size("unit_ids").cast("long").alias("n"), "first", F.array_join("unit_ids", "|").alias("unit_ids"))
+    """Pairs of units, which are too few, and clusters of eight, of which headings cover none to three quarters."""
+    u, ten = fix.units(spark, sf), F.floor(F.col("ord") / 10)
+    pair = F.col("ord") % 10 < 2
+    g = discovery.cluster_candidates(u, u.select("id", F.concat_ws("-", ten.cast("string"), pair.cast("string")).alias("cluster")), u.where(F.col("ord") % 5 < ten % 5).select("id"))
+    return g.select(F.floor(F.col("first") / 10).alias("ten"), (F.col("first") % 10 < 2).alias("pair"), F.size("unit_ids").cast("long").alias("n"), "first", F.array_join("unit_ids", "|").alias("unit_ids"))
 
 
-@query("units", _CLUSTERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ord) AS r FROM c) SELECT cluster, md5(string_agg(text, '|' ORDER BY ord)) AS digest, CAST(count(*) AS BIGINT) AS n FROM r WHERE r <= 20 GROUP BY cluster")
+@query("units", ", c AS (SELECT *, ord % 40 AS cluster FROM units), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ord) AS r FROM c) SELECT cluster, md5(string_agg(text, '|' ORDER BY ord)) AS digest, CAST(count(*) AS BIGINT) AS n FROM r WHERE r <= 20 GROUP BY cluster")
 def prompt_texts(spark, sf):
     u = fix.units(spark, sf)
-    c = u.where("ord < 130 or ord % 40 < 20").select("id", (F.col("ord") % 40).alias("cluster"))
+    c = u.select("id", (F.col("ord") % 40).alias("cluster"))
     return discovery.prompt_texts(u, c).select("cluster", F.md5(F.array_join("texts", "|")).alias("digest"), F.size("texts").cast("long").alias("n"))
 
 
@@ -189,13 +185,11 @@ def centroid_texts(spark, sf):
     return discovery.centroid_texts(_links(spark, sf), fix.units(spark, sf)).select("task_id", F.md5("text").alias("digest"))
 
 
-@query("", """WITH t AS (SELECT vec_id AS centre, embedding AS cv FROM embeddings WHERE vec_id % 10 = 0), o AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 10 = 3),
-r AS (SELECT id, centre, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(CAST(v AS DOUBLE[]), CAST(cv AS DOUBLE[])) DESC, centre) AS r FROM o, t) SELECT concat('u', CAST(id AS VARCHAR)) AS unit_id, concat('t', CAST(centre AS VARCHAR)) AS task_id FROM r WHERE r = 1""")
+@query("", _CENTRES + " SELECT concat('u', CAST(id AS VARCHAR)) AS unit_id, concat('t', CAST(centre AS VARCHAR)) AS task_id FROM s WHERE rank = 1")
 def assigned_orphans(spark, sf):
-    e = fix.table(spark, sf, "embeddings")
-    name = lambda p: F.concat(F.lit(p), F.col("vec_id").cast("string"))
-    o = e.where("vec_id % 10 = 3").select(name("u").alias("id"), F.col("embedding").alias("v"))
-    return discovery.assign_orphans(o, e.where("vec_id % 10 = 0").select(name("t").alias("centre"), F.col("vec_id").alias("ord"), F.col("embedding").alias("cv")))
+    """All vectors as units without a task, the means of labels as tasks."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias(c)
+    return discovery.assign_orphans(_vectors(spark, sf).select(name("u", "id"), "v"), _centres(spark, sf).select(name("t", "centre"), "ord", "cv"))
 
 
 @query("", """WITH t AS (SELECT n_nationkey AS k, n_regionkey AS r, concat('iri/', CAST(n_nationkey AS VARCHAR)) AS iri FROM nation),
@@ -442,11 +436,11 @@ def reset_reviews(spark, sf):
 
 
 @query("units", r"""SELECT id, CASE WHEN regexp_matches(text, '(?i)\b(?:avoid|never|do not|don''t|mistake|beware|danger|careful)\b') THEN 'pitfall' WHEN regexp_matches(text, '(?i)\b(?:must|shall|required|deadline|within \d+ days|rule \d+)\b') THEN 'procedural_rule'
-WHEN regexp_matches(text, '(?i)\b(?:principle|always|generally|doctrine|purpose)\b') THEN 'principle' ELSE 'advice' END AS unit_type FROM (SELECT id, concat(text[1:200], CASE ord % 4 WHEN 0 THEN ' never' WHEN 1 THEN ' Rule 12' WHEN 2 THEN ' ALWAYS' ELSE '' END) AS text FROM units)""")
+WHEN regexp_matches(text, '(?i)\b(?:principle|always|generally|doctrine|purpose)\b') THEN 'principle' ELSE 'advice' END AS unit_type FROM (SELECT id, concat(text, CASE ord % 4 WHEN 0 THEN ' never' WHEN 1 THEN ' Rule 12' WHEN 2 THEN ' ALWAYS' ELSE '' END) AS text FROM units)""")
 def classified_by_rules(spark, sf):
     k = F.col("ord") % 4
     more = F.when(k == 0, " never").when(k == 1, " Rule 12").when(k == 2, " ALWAYS").otherwise("")
-    u = fix.units(spark, sf).withColumn("text", F.concat(F.substring("text", 1, 200), more))
+    u = fix.units(spark, sf).withColumn("text", F.concat("text", more))
     return providers.classify_by_rules(u).select("id", "unit_type")
 
 

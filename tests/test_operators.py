@@ -177,6 +177,22 @@ def test_pairs_of_many_string_keys(spark):
     assert similarity.similar_pairs(df.where("id = 'k00000'"), 0.9999).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_nearest(spark, block):
+    rng = np.random.default_rng(6)
+    v, c = np.round(rng.standard_normal((700, 3)), 1), np.round(rng.standard_normal((20, 3)), 1)
+    c[7] = c[3] = c[15]  # ties go to the lower ord
+    rows = spark.createDataFrame([(f"r{i}", x.tolist()) for i, x in enumerate(v)] + [("none", None)], "id string, v array<double>")
+    centres = spark.createDataFrame([(f"c{i}", 100 - i, x.tolist()) for i, x in enumerate(c)] + [("none", 0, None)], "centre string, ord long, cv array<double>")
+    got = {(r["id"], r["rank"]): r["centre"] for r in similarity.nearest(rows, centres, 4, block).collect()}
+    s = np.round(v @ c.T, 12)
+    want = {(f"r{i}", n + 1): f"c{j}" for i in range(700) for n, j in enumerate(sorted(range(20), key=lambda j: (-s[i, j], 100 - j))[:4])}
+    assert got == want
+    far = spark.createDataFrame([(2**60 + 1, [1.0])], "id long, v array<double>")
+    assert similarity.nearest(far, far.selectExpr("id + 1 AS centre", "id AS ord", "v AS cv")).first()[:2] == (2**60 + 1, 2**60 + 2)
+    assert similarity.nearest(rows, centres.where("false")).count() == 0 == similarity.nearest(rows.where("false"), centres).count()
+
+
 def global_linkage(m, t):
     d = 1 - m @ m.T
     groups = [[i] for i in range(len(m))]
