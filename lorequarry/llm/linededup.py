@@ -173,16 +173,44 @@ def _fetch(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("text", "lines").mapInArrow(lean(run), "id long, sketch binary, payload binary")
 
 
+#: Heap of a broadcast row besides the numbers of its array, and bits of the filter a listed document, and in all at most.
+ROW_BYTES, FILTER_BITS, MOST_BITS = 128, 16, 1 << 27
+
+
+def _maybe(docs: DataFrame, doc_ids: DataFrame, n: int, name: str) -> DataFrame:
+    """``docs`` with a boolean ``name``: true for those in ``doc_ids(doc)``, of which there are ``n``, and for few others.
+
+    The filter has a bit a hash value, in maps of 4 KB that are broadcast: two bytes a listed document, and never more than
+    16 MB in all.
+    """
+    space = min(FILTER_BITS * n, MOST_BITS)
+    bit = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(space))
+    bucket, bits = unused("_bucket", docs), unused("_bits", docs)
+    maps = doc_ids.select(bit(F.col("doc")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(bits))
+    at = F.bitmap_bit_position(bit(F.col("doc_id")))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col("doc_id").cast("long").isNotNull() & (F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
+    joined = docs.join(F.broadcast(maps), F.bitmap_bucket_number(bit(F.col("doc_id"))) == F.col(bucket), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(hit, F.lit(False)).alias(name))
+
+
 def _with_lines(ws: Workspace, docs: DataFrame, lines: DataFrame, how: str, name: str) -> DataFrame:
     """``docs`` joined with ``lines(doc_id, line_no, id)`` as an array ``name`` by document, of numbers that hold the line's
-    place and half of its id. The arrays are broadcast if their counted size is small; else both sides are shuffled."""
+    place and half of its id. The arrays are broadcast if their counted size is small; else both sides are shuffled, but
+    of the documents only those that a filter lets pass, so that texts without such lines stay where they are."""
     packed = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)))
     doc = unused("_doc", docs)
     by_doc = ws.save(lines.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(packed).alias(name)), "by_doc")
-    size = by_doc.agg(F.coalesce(F.sum(F.size(name) * 8 + 64), F.lit(0))).first()[0]
+    n, size = by_doc.agg(F.count("*"), F.coalesce(F.sum(F.size(name) * 8 + ROW_BYTES), F.lit(0))).first()
+    same = F.col("doc_id").cast("long") == F.col(doc)
     if size <= workspace.BROADCAST_BYTES:
-        by_doc = F.broadcast(by_doc)
-    return docs.join(by_doc, F.col("doc_id").cast("long") == F.col(doc), how).drop(doc)
+        return docs.join(F.broadcast(by_doc), same, how).drop(doc)
+    maybe = unused("_maybe", docs)
+    marked = _maybe(docs, by_doc.select(F.col(doc).alias("doc")), n, maybe)
+    out = marked.where(F.col(maybe)).drop(maybe).join(by_doc.hint("merge"), same, how).drop(doc)
+    if how == "inner":
+        return out
+    return out.unionByName(marked.where(~F.col(maybe)).drop(maybe).withColumn(name, F.lit(None).cast(by_doc.schema[name].dataType)))
 
 
 def _listed(lines: list[int] | None, split: list[str]) -> Iterator[tuple[int, int, str]]:
@@ -212,6 +240,8 @@ def decide(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFr
     ws = Workspace(spark, "lines")
     signed = ws.save(sign(docs, s), "signed")
     star = stars(ws, signed.where("bands is not null"), s.bands)
+    signed, banded = ws.save(signed.drop("bands"), "lines"), signed
+    ws.forget(banded)
     first = signed.groupBy("id").agg(F.min(F.struct("other", "doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     near = ws.save(star.select(F.col("hub").alias("id")).unionByName(star.select("id")).distinct(), "near")
     items = ws.save(first.join(near.withColumn("near", F.lit(True)), "id", "left").where("near or n > 1"), "items")

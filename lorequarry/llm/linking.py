@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +64,8 @@ _PACKED = "part int, firsts binary, bucket long, hub long, id long"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """From ``id, bands``: ties within a buffer as rows with ``bucket, hub, id``, and of each bucket the first entry, packed
-    by part."""
+    """From ``id, bands``: ties within a buffer as rows with ``bucket, hub, id``, dealt over all parts, and of each bucket the
+    first entry, packed by part."""
     names = ["part", "firsts", "bucket", "hub", "id"]
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -72,7 +73,8 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         buckets, least, ties = _tied(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held.clear()
         for b, h, i in ties:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary()), *(pa.array(x, pa.int64()) for x in (b, h, i))], names=names)
+            part = (np.arange(len(b)) % parts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(b), pa.binary()), *(pa.array(x, pa.int64()) for x in (b, h, i))], names=names)
         entry = np.stack([buckets, least], axis=1)
         part = (buckets.view(np.uint64) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -96,11 +98,24 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties of the packed firsts of each part; one part at a time is in memory."""
-    for part in grouped(batches, ["part"]):
+    """Ties as they come, and those of the packed firsts of each part; the firsts of one part at a time are in memory."""
+
+    def firsts() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tie = batch.column("firsts").is_null()
+            if tie.true_count < batch.num_rows:
+                yield batch.filter(pc.invert(tie)).select(["part", "firsts"])
+            if tie.true_count:
+                ready.append(batch.filter(tie).select(["bucket", "hub", "id"]))
+
+    ready: list[pa.RecordBatch] = []
+    for part in grouped(firsts(), ["part"]):
+        yield from ready
+        ready.clear()
         entry = np.frombuffer(b"".join(part["firsts"].to_pylist()), np.int64).reshape(-1, 2)
         for cols in _tied(entry[:, 0], entry[:, 1])[2]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "hub", "id"])
+    yield from ready
 
 
 def stars(ws: Workspace, items: DataFrame, bands: int) -> DataFrame:
@@ -108,11 +123,8 @@ def stars(ws: Workspace, items: DataFrame, bands: int) -> DataFrame:
     hub, id``. An id may come more than once."""
     shuffles = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(shuffles, -(-items.count() * bands // PART))
-    packed = ws.save(items.select("id", "bands").mapInArrow(lean(lambda it: _pack(it, parts)), _PACKED), "packed")
-    far = packed.where("part is not null").select("part", "firsts").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(_unpack), STAR_SCHEMA)
-    out = ws.save(packed.where("part is null").select("bucket", "hub", "id").unionByName(far), "stars")
-    ws.forget(packed)
-    return out
+    packed = items.select("id", "bands").mapInArrow(lean(lambda it: _pack(it, parts)), _PACKED)
+    return ws.save(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(_unpack), STAR_SCHEMA), "stars")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -121,3 +121,12 @@ def test_hostile_text(spark):
     start = time.time()
     got = {r["doc_id"]: len(r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == 5_000_000 and got[3] < 1_000_100 and time.time() - start < 120
+
+
+def test_documents_without_listed_lines_are_not_shuffled(spark):
+    docs = spark.range(-500, 3500).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS doc_id, 'none' AS text"))
+    listed = spark.range(-500, 3500, 100).selectExpr("id AS doc")
+    marked = linededup._maybe(docs, listed, 40, "maybe")
+    passed = [r.doc_id for r in marked.where("maybe").collect()]
+    assert marked.columns == ["doc_id", "text", "maybe"] and marked.count() == 4001
+    assert set(range(-500, 3500, 100)) <= set(passed) and len(passed) < 800 and None not in passed
