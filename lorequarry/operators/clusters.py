@@ -13,18 +13,23 @@ AXES = ("source", "subtree", "doctrine", "jurisdiction")
 def closure(edges: DataFrame) -> DataFrame:
     """``edges(id, parent)`` -> ``id, ancestor``, each concept's ancestors at any distance, once.
 
-    Paths double each round, so a hierarchy of depth d takes about log2(d) joins, each written. An ancestor with very many
-    descendants has few ancestors itself, so its rows multiply by little. Edges with a null or to themselves don't count.
+    ``near`` holds the ancestors less than ``2 ** k`` steps away and ``far`` those exactly so many. A near path goes on behind a
+    far one only, so in a tree no ancestor is found twice, and a hierarchy of depth d takes about log2(d) rounds, each
+    written. Edges with a null or to themselves don't count.
     """
-    paths = cut(edges.where("id <> parent").select("id", F.col("parent").alias("ancestor")).distinct())
-    n = paths.count()
-    while True:
-        further = paths.select("id", F.col("ancestor").alias("over")).join(paths.select(F.col("id").alias("over"), "ancestor"), "over").select("id", "ancestor")
-        more = cut(paths.unionByName(further).distinct())
-        grown = more.count()
-        if grown == n:
-            return more
-        paths, n = more, grown
+    far = cut(edges.where("id <> parent").select("id", F.col("parent").alias("ancestor")).distinct())
+    near, n = far, far.count()
+    # far paths are shuffled by their ends, which may be few; there are fewer of them than of near ones
+    onward = lambda then: far.select("id", F.col("ancestor").alias("over")).join(then.select(F.col("id").alias("over"), "ancestor").hint("merge"), "over").select("id", "ancestor")
+    while n:
+        far = cut(onward(far).distinct())
+        if not far.limit(1).count():
+            break
+        near = cut(near.unionByName(far).unionByName(onward(near)).distinct())
+        n, before = near.count(), n
+        if n == before:
+            break
+    return near
 
 
 def lowest_shared(pairs: DataFrame, paths: DataFrame) -> DataFrame:

@@ -170,3 +170,12 @@ def test_model_segments_of_odd_replies(spark):
     df = spark.createDataFrame([(k, 0, 0, 100, text, [0], v) for k, v in replies.items()], "file_path string, seq int, part int, start long, text string, candidates array<long>, reply string")
     got = {(x["file_path"], x["start"], x["end"], x["confidence"]) for x in elements.model_segments(df).collect()}
     assert got == {("near", 119, 125, 0.85), ("near", 120, 130, 0.75), ("open", 100, 130, 0.85), ("open", 140, 170, 0.75)}
+
+
+def test_closure_of_a_cycle_and_no_path_found_over_and_over(spark, monkeypatch):
+    ring = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(9, 0)], "id int, parent int")
+    assert sorted(map(tuple, clusters.closure(ring).collect())) == sorted([(i, j) for i in range(5) for j in range(5)] + [(9, j) for j in range(5)])
+    chain, found, distinct = spark.range(1, 65).selectExpr("id", "id - 1 AS parent"), [], type(ring).distinct
+    monkeypatch.setattr(type(ring), "distinct", lambda self: found.append(self.count()) or distinct(self))
+    n = clusters.closure(chain).count()
+    assert n == 64 * 65 // 2 and sum(found) < 4 * n  # rows before repeated ones go
