@@ -32,16 +32,27 @@ def closure(edges: DataFrame) -> DataFrame:
     return near
 
 
-def lowest_shared(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+def lowest_shared(pairs: DataFrame, paths: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``pairs(a, b)`` of concepts, ``paths`` of ``closure`` -> ``a, b, ancestor``: the ancestors that both have (a concept counts
-    as its own) and below which they share none. There may be several, or none."""
+    as its own) and below which they share none. There may be several, or none.
+
+    Ancestors aren't shuffled a row a pair each: a pair takes the array of b's and meets that of a's. What two concepts share
+    holds all that is above it, so the lowest are those that no shared one has as a parent by ``edges(id, parent)``, those of
+    the closure; without them paths serve, in longer arrays.
+    """
     p = pairs.select("a", "b").where("a is not null and b is not null").distinct()
-    own = p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    up = paths.unionByName(own.select("id", F.col("id").alias("ancestor")))
-    of_a = p.join(up.select(F.col("id").alias("a"), "ancestor"), "a")
-    both = of_a.join(up.select(F.col("id").alias("b"), "ancestor"), ["b", "ancestor"]).select("a", "b", "ancestor")
-    above = both.join(paths.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("over")), "ancestor").select("a", "b", F.col("over").alias("ancestor"))
-    return both.join(above, ["a", "b", "ancestor"], "left_anti")
+    edges = paths.toDF("id", "parent") if edges is None else edges.where("id <> parent").select("id", "parent").distinct()
+
+    def up(c: str) -> DataFrame:
+        own = p.select(F.col(c).alias("id")).distinct()
+        return paths.join(own, "id", "left_semi").unionByName(own.withColumn("ancestor", F.col("id")))
+
+    of_b = up("b").groupBy(F.col("id").alias("b")).agg(F.collect_list("ancestor").alias("ys"))
+    steps = up("a").join(edges.select(F.col("id").alias("ancestor"), "parent"), "ancestor", "left")
+    of_a = steps.groupBy(F.col("id").alias("a")).agg(F.collect_list(F.struct("ancestor", "parent")).alias("xs"))
+    both = p.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", F.filter("xs", lambda x: F.array_contains("ys", x["ancestor"])).alias("s"))
+    lowest = F.array_except(F.transform("s", lambda x: x["ancestor"]), F.transform("s", lambda x: x["parent"]))
+    return both.select("a", "b", F.explode(lowest).alias("ancestor"))
 
 
 def coverage(shards: DataFrame, tasks: DataFrame, concepts: DataFrame) -> DataFrame:

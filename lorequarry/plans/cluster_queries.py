@@ -51,7 +51,8 @@ SELECT a, b, ancestor FROM shared s WHERE NOT EXISTS (SELECT 1 FROM shared o JOI
 def lowest_shared_concepts(spark, sf):
     """Where the concept of a line and that of its supplier meet."""
     pairs = fix.table(spark, sf, "lineitem").selectExpr("l_partkey AS a", "l_suppkey AS b")
-    return clusters.lowest_shared(pairs, clusters.closure(_concepts(spark, sf)))
+    concepts = _concepts(spark, sf)
+    return clusters.lowest_shared(pairs, clusters.closure(concepts), concepts)
 
 
 # --- Polysemy: what nations say of parts; nations of a region are compatible

@@ -179,3 +179,12 @@ def test_closure_of_a_cycle_and_no_path_found_over_and_over(spark, monkeypatch):
     monkeypatch.setattr(type(ring), "distinct", lambda self: found.append(self.count()) or distinct(self))
     n = clusters.closure(chain).count()
     assert n == 64 * 65 // 2 and sum(found) < 4 * n  # rows before repeated ones go
+
+
+def test_lowest_shared_by_edges(spark):
+    edges = spark.createDataFrame([(3, 1), (3, 2), (4, 3), (5, 3), (5, 1), (6, 2)], "id int, parent int")
+    paths = clusters.closure(edges)
+    pairs = spark.createDataFrame([(4, 5), (4, 6), (6, 1), (5, 5), (3, 5)], "a int, b int")
+    want = [(3, 5, 3), (4, 5, 3), (4, 6, 2), (5, 5, 5)]
+    assert sorted(map(tuple, clusters.lowest_shared(pairs, paths, edges).collect())) == want
+    assert sorted(map(tuple, clusters.lowest_shared(pairs, paths).collect())) == want
