@@ -65,8 +65,8 @@ def coverage(shards: DataFrame, tasks: DataFrame, concepts: DataFrame) -> DataFr
 
     Shards are counted by their own value first, and only these counts go up the hierarchy.
     """
-    counted = {c: shards.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("cluster")).agg(F.count("*").alias("n"), F.count_if("authority").alias("n_authorities")) for c in ("source", "task", "concept", "jurisdiction")}
-    flat = [counted[c].select(F.lit(c).alias("axis"), "cluster", F.lit(True).alias("leaf"), "n", "n_authorities") for c in ("source", "jurisdiction")]
+    counted = {c: shards.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("cluster")).agg(F.count("*").alias("n"), F.count_if("authority").alias("n_authorities")) for c in ("source", "task", "concept", "jurisdiction")}
+    flat = [counted[c].select(F.lit(c).alias("axis"), F.col("cluster").cast("string").alias("cluster"), F.lit(True).alias("leaf"), "n", "n_authorities") for c in ("source", "jurisdiction")]
     deep = [_upward(F.lit(axis), counted[c], edges) for axis, c, edges in (("subtree", "task", tasks), ("doctrine", "concept", concepts))]
     out = flat[0]
     for df in (*deep, flat[1]):
@@ -75,11 +75,11 @@ def coverage(shards: DataFrame, tasks: DataFrame, concepts: DataFrame) -> DataFr
 
 
 def _upward(axis, counts: DataFrame, edges: DataFrame) -> DataFrame:
-    e = edges.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"))
+    e = edges.select("id", "parent")
     above = counts.join(closure(e), F.col("cluster") == F.col("id")).select(F.col("ancestor").alias("cluster"), "n", "n_authorities")
     zero = F.lit(0).cast("long")
     nodes = e.select(F.col("id").alias("cluster"), F.lit(True).alias("leaf")).unionByName(e.where("id <> parent").select(F.col("parent").alias("cluster"), F.lit(False).alias("leaf")))
     nodes = nodes.where("cluster is not null").select("cluster", zero.alias("n"), zero.alias("n_authorities"), "leaf")
     rows = counts.withColumn("leaf", F.lit(True)).unionByName(above.withColumn("leaf", F.lit(False))).unionByName(nodes)
     sums = rows.groupBy("cluster").agg(F.min("leaf").alias("leaf"), F.sum("n").alias("n"), F.sum("n_authorities").alias("n_authorities"))
-    return sums.select(axis.alias("axis"), "cluster", "leaf", "n", "n_authorities")
+    return sums.select(axis.alias("axis"), F.col("cluster").cast("string").alias("cluster"), "leaf", "n", "n_authorities")
