@@ -59,9 +59,9 @@ def site_pages(spark, sf):
     for flag in ("is_procedural", "has_contradictions", "jurisdiction_sensitive"):
         t = t.withColumn(flag, F.lit(False))
     u = fix.units(spark, sf)
-    made_ = cut(site.pages(t, fix.links(spark, sf).join(u.select(F.col("ord").alias("unit_ord"), F.col("id").alias("unit_id")), "unit_ord").select("task_id", "unit_id"), u))
+    made_ = cut(site.scanned(site.pages(t, fix.links(spark, sf).join(u.select(F.col("ord").alias("unit_ord"), F.col("id").alias("unit_id")), "unit_ord").select("task_id", "unit_id"), u)))
     lost = site.page_links(made_).where("not found").groupBy("path").agg(F.count("*").alias("dangling"))
-    p = made_.where("path like '%.html'").select("path", F.regexp_count("content", F.lit("<li>")).alias("items"), F.regexp_replace("path", r"-\d+\.html$", ".html").alias("first")).join(lost, "path", "left")
+    p = made_.where("path like '%.html'").select("path", "items", F.regexp_replace("path", r"-\d+\.html$", ".html").alias("first")).join(lost, "path", "left")
     p = p.groupBy("first").agg(F.sum("items").cast("long").alias("items"), F.count("*").alias("pages"), F.coalesce(F.sum("dangling"), F.lit(0)).alias("dangling"))
     name = fix.tasks(spark, sf).select("task_id").unionByName(spark.range(1).select(F.lit("").alias("task_id")))
     return name.select("task_id", site.page_path(F.col("task_id")).alias("first")).join(p, "first").drop("first")

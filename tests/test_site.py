@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry.operators import site
+from lorequarry.operators import lineage, site
 from lorequarry.sources import named_files
 
 TASK = "task_id string, label string, parent_task_id string, ord long, is_procedural boolean, has_contradictions boolean, jurisdiction_sensitive boolean"
@@ -46,6 +46,18 @@ def test_pages_and_links(spark, tmp_path):
     assert site.page_links(made).where("not found").count() == 0
 
 
+def test_texts_are_neither_numbered_nor_written(spark, monkeypatch):
+    """A text is listed by every task it is linked to; only keys are put in order and kept."""
+    written = []
+    monkeypatch.setattr(site, "cut", lambda df: written.append(set(df.columns)) or lineage.cut(df))
+    monkeypatch.setattr(lineage, "cut", lambda df, real=lineage.cut: written.append(set(df.columns)) or real(df))
+    made = site.pages(*small(spark))
+    seen = site.scanned(made)
+    assert len(written) >= 2 and not any(c & {"text", "note", "content", "li"} for c in written)
+    assert {r["items"] for r in seen.where("path not like 'search/%'").collect()} >= {0, 10, 50, 200}
+    assert sorted(map(tuple, site.page_links(seen).collect())) == sorted(map(tuple, site.page_links(made).collect()))
+
+
 def test_an_empty_tree(spark):
     t, l, u = small(spark)
     assert {r["path"]: r["content"] for r in site.pages(t.limit(0), l, u).collect()}.keys() == {"index.html", "search/count.json"}
