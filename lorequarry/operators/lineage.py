@@ -6,7 +6,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of long values, texts or files, that a Python worker has open at a time.
+OPEN_ROWS = 64
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` by ``OPEN_ROWS``: what Python makes of them doesn't grow with the batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, OPEN_ROWS):
+            yield batch.slice(i, OPEN_ROWS)
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Frames of a row each, of different columns, as one row: a union and an aggregate instead of a product."""
     out = frames[0]

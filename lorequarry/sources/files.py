@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import elements as el
-from ..operators.lineage import cut
+from ..operators.lineage import cut, slices
 from . import layout
 from .compound import parse_doc, parse_msg
 
@@ -227,20 +227,23 @@ def parse_binary(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]]
     can't be read. The others go on."""
     known = {**PARSERS, **(parsers or {})}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["file_path", "seq", "text", "element_type", "level", "section_path", "page", "ok", "error"]
-        for pdf in batches:
+    names = [x.split()[0] for x in _ELEMENT.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
             rows = []
-            for path, suffix, content in zip(pdf["file_path"], pdf["suffix"], pdf["content"], strict=True):
+            for path, suffix, content in zip(*(part.column(c).to_pylist() for c in ("file_path", "suffix", "content")), strict=True):
                 try:
                     if suffix not in known:
                         raise ValueError(f"no parser for {suffix}")
-                    rows += [(path, i, t, k, lv, sp, None, True, None) for i, (t, k, lv, sp) in enumerate(known[suffix](bytes(content)))]
+                    rows += [(path, i, t, k, lv, sp, None, True, None) for i, (t, k, lv, sp) in enumerate(known[suffix](content))]
                 except Exception as e:  # a file's error is a row, so that the rest of the corpus is read
                     rows.append((path, None, None, None, None, None, None, False, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=cols).astype({"seq": "Int32", "level": "Int32", "page": "Int32"})
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.select("file_path", "suffix", "content").mapInPandas(run, _ELEMENT)
+    return files.select("file_path", "suffix", "content").mapInArrow(run, _ELEMENT)
 
 
 def ingest(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -256,10 +259,11 @@ def ingest(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | Non
     plain = el.plain_elements(text.where("suffix = '.txt'").select("file_path", "text"))
     native = el.with_whole_text(text.select("file_path", "text"), md.unionByName(plain)).withColumn("section_path", none)
     placed = [] if ".pdf" in (parsers or {}) else [".pdf"]
-    other = parse_binary(files.where(~F.col("suffix").isin(".md", ".txt", *placed)), parsers)
-    pieces = cut(layout.pieces(files.where(F.col("suffix").isin(placed))))  # read twice, parsed once
+    # both are read twice, and parsed once
+    other = cut(parse_binary(files.where(~F.col("suffix").isin(".md", ".txt", *placed)), parsers))
+    pieces = cut(layout.pieces(files.where(F.col("suffix").isin(placed))))
     errors = other.where("not ok").select("file_path", "error").unionByName(pieces.where("error is not null").select("file_path", "error"))
-    good = other.where("ok").select(*native.columns).unionByName(layout.elements(layout.lines(pieces)).select(*native.columns))
+    good = other.where("ok").select(*native.columns).unionByName(layout.elements(cut(layout.lines(pieces))).select(*native.columns))
     return native.unionByName(good), errors
 
 

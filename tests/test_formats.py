@@ -145,3 +145,52 @@ def test_messages_with_html_and_rich_text():
     assert parse({"__substg1.0_10090102": packed}) == [("hello world", "paragraph", 0, [])]
     with pytest.raises(ValueError):
         compound.parse_msg(made.compound({"x": b"y"}), files.parse_html, files.parse_rtf)
+
+
+def test_a_file_is_parsed_once(spark, tmp_path):
+    """Elements and errors are read from what was parsed."""
+    log = f"{tmp_path}/parsed"
+
+    def parser(content):
+        with open(log, "a") as f:
+            f.write("x")
+        if content == b"bad":
+            raise ValueError("odd")
+        return [("text", "paragraph", 0, [])]
+
+    rows = [(f"{i}.odd", ".odd", "odd", b"bad" if i % 5 == 0 else b"good") for i in range(20)]
+    found, errors = files.ingest(spark.createDataFrame(rows, "file_path string, suffix string, format string, content binary"), {".odd": parser})
+    assert (found.count(), errors.count()) == (16, 4)
+    assert len(open(log).read()) == 20
+
+
+def test_rows_leave_python_before_the_batch_is_read():
+    """What a worker holds doesn't grow with the rows of a batch."""
+    import pyarrow as pa
+
+    class Files:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    seen = []
+    run = files.parse_binary(Files(), {".odd": lambda c: seen.append(c) or [("text", "paragraph", 0, [])]})
+    batch = pa.RecordBatch.from_pydict({"file_path": [str(i) for i in range(1000)], "suffix": [".odd"] * 1000, "content": [b"x"] * 1000})
+    out = run(iter([batch]))
+    assert next(out).num_rows == len(seen) < 100
+    assert sum(b.num_rows for b in out) + 64 == len(seen) == 1000
+
+
+def test_a_file_s_lines_are_shuffled_once(spark):
+    """Windows, aggregations and joins of a layout share one shuffle by file."""
+    import re
+
+    from lorequarry.sources import layout
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pieces = spark.createDataFrame([("a", 0, 1, 1.0, 9.0, 2.0, 10.0, "x", None)], "file_path string, no int, page int, x double, y double, right double, size double, text string, error string")
+    lines = layout.lines(pieces)
+    kept = spark.createDataFrame(lines.collect(), lines.schema)
+    for df in (lines, layout.elements(kept)):
+        assert {re.sub(r"#\d+", "", x).split(", ")[0] for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan(df))} == {"file_path"}
+        assert not re.search(r"hashpartitioning\(file_path#\d+L?, [a-z]", plan(df))
+    assert [tuple(r)[:3] for r in layout.elements(kept).collect()] == [("a", 0, "x")]
