@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import slices
 from . import pdf
 
 _PIECE = "file_path string, no int, page int, x double, y double, right double, size double, text string, error string"
@@ -29,24 +30,26 @@ def pieces(files: DataFrame) -> DataFrame:
     """``files(file_path, content)`` of PDF files -> ``file_path, no, page, x, y, right, size, text, error``, a row per piece in
     the order of the file, and one with only the error for each file that can't be read or shows no text."""
 
-    names = ["file_path", "no", "page", "x", "y", "right", "size", "text", "error"]
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"no": "Int32", "page": "Int32"})
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for path, content in zip(batch["file_path"], batch["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for part in slices(batches):
+            rows: list[tuple] = []
+            for path, content in zip(*(part.column(c).to_pylist() for c in ("file_path", "content")), strict=True):
                 try:
-                    found = [(path, i, *p, None) for i, p in enumerate(pdf.pieces(bytes(content)))]
+                    found = [(path, i, *p, None) for i, p in enumerate(pdf.pieces(content))]
                     rows += found or [(path, *[None] * 7, "no text layer")]
                 except Exception as e:  # a file's error is a row, so that the rest of the corpus is read
                     rows.append((path, *[None] * 7, f"{type(e).__name__}: {e}"))
                 if len(rows) >= TOGETHER:
                     yield frame(rows)
                     rows = []
-        yield frame(rows)
+            if rows:
+                yield frame(rows)
 
-    return files.select("file_path", "content").mapInPandas(run, _PIECE)
+    return files.select("file_path", "content").mapInArrow(run, _PIECE)
 
 
 def lines(found: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def lines(found: DataFrame) -> DataFrame:
     right, with a blank where they are apart."""
     page = Window.partitionBy("file_path", "page")
     down = page.orderBy(F.desc("y"), "x", "no")
-    p = found.where("error is null")
+    p = found.where("error is null").repartition("file_path")  # for all that follows
     drop = F.lag("y").over(down) - F.col("y")
     p = p.withColumn("new", F.coalesce(drop > SAME_LINE * F.greatest("size", F.lag("size").over(down)), F.lit(False)))
     p = p.withColumn("line", F.sum(F.col("new").cast("int")).over(down))
@@ -75,11 +78,12 @@ def elements(found: DataFrame) -> DataFrame:
     if a sentence ends there. Lines larger than what most characters of the file are in are headings, those of the largest
     size of level 1.
     """
-    found = found.withColumn("size", F.round("size", 1))
+    found = found.repartition("file_path").withColumn("size", F.round("size", 1))  # one shuffle for windows, aggregations and joins
     used = found.groupBy("file_path", "size").agg(F.sum(F.length("text")).alias("n"))
     body = used.groupBy("file_path").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body"))
     by_size = Window.partitionBy("file_path").orderBy(F.desc("size"))
     ranks = used.join(body, "file_path").where(F.col("size") >= HEADING * F.col("body")).select("file_path", "size", F.dense_rank().over(by_size).alias("level"))
+    levels = ranks.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("size", "level"))).alias("levels"))
     order = Window.partitionBy("file_path").orderBy("page", "line")
     before = lambda c: F.lag(c).over(order)
     drop = before("y") - F.col("y")
@@ -90,7 +94,7 @@ def elements(found: DataFrame) -> DataFrame:
     l = l.withColumn("seq", F.sum("new").over(order) - 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda t: t["text"]), " ")
     e = l.groupBy("file_path", "seq").agg(F.min("page").alias("page"), F.first("size").alias("size"), text.alias("text"))
-    e = e.join(ranks, ["file_path", "size"], "left")
+    e = e.join(levels, "file_path", "left").withColumn("level", F.try_element_at("levels", F.col("size")))
     heading = F.col("level").isNotNull() & (F.length("text") <= HEADING_CHARS)
     kind = F.when(heading, "heading").when(F.rlike("text", F.lit(_LISTED)), "list_item").otherwise("paragraph")
     return e.select(
