@@ -56,27 +56,34 @@ def triples(tasks: DataFrame, links: DataFrame, units: DataFrame, contradictions
         F.when(F.col("is_procedural"), _triple(s, f"{fi}isProcedural", F.lit("true"), "literal", f"{XSD}boolean")),
         F.when(F.col("up").isNotNull(), _triple(s, f"{RDFS}subClassOf", F.col("up"), "iri")),
     ))
-    u = links.join(tasks.select("task_id", F.col("iri").alias("task_iri")), "task_id").join(units.withColumnRenamed("id", "unit_id"), "unit_id")
-    named = F.create_map(*[F.lit(x) for k, v in ANNOTATING.items() for x in (k, fi + v)])
+    # what a unit says of itself is said once, not once a link; of a text that annotates a task only the digest meets the links
     own = F.coalesce(s, F.lit("")) != ""
+    named = F.create_map(*[F.lit(x) for k, v in ANNOTATING.items() for x in (k, fi + v)])
+    u = units.withColumnRenamed("id", "unit_id")
+    held = links.select("task_id", "unit_id").distinct().join(tasks.select("task_id", F.col("iri").alias("task_iri")), "task_id").select("task_iri", "unit_id")
+    out = out.unionByName(_said(held.join(u.select("unit_id", "iri").where(own), "unit_id"), _triple(s, f"{RDF}type", F.col("task_iri"), "iri")))
     out = out.unionByName(_said(
-        u,
-        F.when(F.col("unit_type").isin(*ANNOTATING), _triple(F.col("task_iri"), F.try_element_at(named, F.col("unit_type")), F.col("text"))),
-        F.when(own, _triple(s, f"{RDF}type", iri(OWL, "NamedIndividual"), "iri")),
-        F.when(own, _triple(s, f"{RDF}type", F.col("task_iri"), "iri")),
-        F.when(own, _triple(s, f"{RDFS}label", F.substring("text", 1, 100))),
-        F.when(own, _triple(s, f"{SKOS}note", F.col("text"))),
-        F.when(own, _triple(s, f"{fi}unitType", F.coalesce("unit_type", F.lit("unknown")))),
-        F.when(own, _triple(s, f"{fi}confidence", F.coalesce("confidence", F.lit(0.0)), "literal", f"{XSD}float")),
-        F.when(own & F.col("novelty").isNotNull(), _triple(s, f"{fi}noveltyScore", F.col("novelty"), "literal", f"{XSD}float")),
-        F.when(own, _triple(s, f"{PROV}wasDerivedFrom", F.coalesce("source_file", F.lit("")))),
-        F.when(own, _triple(s, f"{DC}source", F.coalesce("source_file", F.lit("")))),
+        u.where(own).join(held.select("unit_id").distinct(), "unit_id", "left_semi"),
+        _triple(s, f"{RDF}type", iri(OWL, "NamedIndividual"), "iri"),
+        _triple(s, f"{RDFS}label", F.substring("text", 1, 100)),
+        _triple(s, f"{SKOS}note", F.col("text")),
+        _triple(s, f"{fi}unitType", F.coalesce("unit_type", F.lit("unknown"))),
+        _triple(s, f"{fi}confidence", F.coalesce("confidence", F.lit(0.0)), "literal", f"{XSD}float"),
+        F.when(F.col("novelty").isNotNull(), _triple(s, f"{fi}noveltyScore", F.col("novelty"), "literal", f"{XSD}float")),
+        _triple(s, f"{PROV}wasDerivedFrom", F.coalesce("source_file", F.lit(""))),
+        _triple(s, f"{DC}source", F.coalesce("source_file", F.lit(""))),
     ))
+    notes, digest = u.where(F.col("unit_type").isin(*ANNOTATING)), F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest")
+    said = notes.select("unit_id", F.try_element_at(named, F.col("unit_type")).alias("p"), digest)
+    once = held.join(said, "unit_id").groupBy("task_iri", "p", "digest").agg(F.min("unit_id").alias("unit_id"))
+    notes = once.join(notes.select("unit_id", "text", digest).dropDuplicates(["unit_id", "digest"]), ["unit_id", "digest"])
+    annotations = notes.select(F.col("task_iri").alias("s"), "p", F.col("text").alias("o"), F.lit("literal").alias("kind"), F.lit("").alias("datatype"))
     if contradictions is not None:
         c = contradictions.join(tasks.select("task_id", "iri"), "task_id")
         note = F.concat(F.lit("Contradiction between "), "unit_id_a", F.lit(" and "), "unit_id_b", F.lit(" (type: "), F.coalesce("contradiction_type", F.lit("unknown")), F.lit(", resolution: "), F.coalesce("resolution", F.lit("unresolved")), F.lit(")"))
         out = out.unionByName(_said(c, _triple(s, f"{fi}contradictionNote", note)))
-    return out.dropDuplicates()
+    # no other statement has their predicates
+    return out.dropDuplicates().unionByName(annotations)
 
 
 def _literal() -> Column:
@@ -155,7 +162,8 @@ def auto_prefixes(text: Column) -> Column:
 
 
 def validate(t: DataFrame, namespace: str) -> DataFrame:
-    """``rule, s``: every violation."""
+    """``rule, s``: every violation. The rules look at subjects, predicates and IRIs, which are written once for all of them."""
+    t = cut(t.select("s", "p", F.when(F.col("kind") == "iri", F.col("o")).alias("o"), "kind").distinct())
     rows = [
         missing(t, "Class", f"{RDFS}label").withColumn("rule", F.lit("class_without_label")),
         missing(t, "NamedIndividual", f"{PROV}wasDerivedFrom").withColumn("rule", F.lit("individual_without_provenance")),
@@ -226,11 +234,15 @@ def outline_lines(tasks: DataFrame, links: DataFrame, units: DataFrame) -> DataF
     t = tasks.join(key, "task_id")
     indent = F.repeat(F.lit("  "), F.col("depth"))
     head = t.select(F.concat("key", F.lit("!0")).alias("sort"), F.concat(indent, F.lit("- **"), "label", F.lit("**"), F.when(F.col("is_procedural"), " (procedural -- ordered steps)").otherwise("")).alias("value"))
-    u = links.join(t.select("task_id", "depth", "key"), "task_id").join(units.withColumnRenamed("id", "unit_id").withColumnRenamed("ord", "unit_ord"), "unit_id").withColumn("unit_type", F.coalesce("unit_type", F.lit("unknown")))
+    # texts meet their lines last, so that no window or shuffle of links has them
+    kind = F.coalesce("unit_type", F.lit("unknown"))
+    u = links.join(t.select("task_id", "depth", "key"), "task_id").join(units.select(F.col("id").alias("unit_id"), F.col("ord").alias("unit_ord"), kind.alias("unit_type")), "unit_id")
     first = F.min("unit_ord").over(Window.partitionBy("task_id", "unit_type"))
     u = u.withColumn("rank", F.concat(F.lpad(fx.type_rank(F.col("unit_type")).cast("string"), 3, "0"), F.when(fx.type_rank(F.col("unit_type")) > len(fx.TYPE_LABELS), F.lpad(first.cast("string"), 12, "0")).otherwise("")))
     group = u.select("key", "depth", "unit_type", "rank").distinct().select(F.concat("key", F.lit("!1"), "rank", F.lit("a")).alias("sort"), F.concat(indent, F.lit("  - *"), fx.type_label(F.col("unit_type")), F.lit("*:")).alias("value"))
-    line = u.select(F.concat("key", F.lit("!1"), "rank", F.lit("b"), F.lpad(F.col("unit_ord").cast("string"), 12, "0")).alias("sort"), F.concat(indent, F.lit("    - "), fx.strip(F.col("text")), F.lit(" (confidence: "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))), F.lit(")")).alias("value"))
+    shown = units.select(F.col("id").alias("unit_id"), F.concat(fx.strip(F.col("text")), F.lit(" (confidence: "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))), F.lit(")")).alias("shown"))
+    line = u.select("unit_id", F.concat("key", F.lit("!1"), "rank", F.lit("b"), F.lpad(F.col("unit_ord").cast("string"), 12, "0")).alias("sort"), "depth").join(shown, "unit_id")
+    line = line.select("sort", F.concat(indent, F.lit("    - "), "shown").alias("value"))
     return head.unionByName(group).unionByName(line)
 
 
