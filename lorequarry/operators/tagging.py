@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .lineage import cut
 from .similarity import nearest
 
 TAG = "struct<iri:string,label:string,confidence:double,contributing_paths:array<string>,branch:string>"
 RULER_CONFIDENCE, LLM_CONFIDENCE = 0.72, 0.5
 SEMANTIC_MIN, SEMANTIC_K = 0.3, 10
 RESOLVE_MIN = 0.6
-#: Up to so many labels their first words are broadcast.
+#: Up to so many labels their first words, or what was found for them, are broadcast.
 BROADCAST_LABELS = 200_000
 
 
@@ -42,14 +43,18 @@ def label_search(headings: DataFrame, concepts: DataFrame, least: float = 0.3) -
     """``headings(id, depth, text)`` -> the best concept for each by the likeness of labels: 1 if equal in lower case, else
     one minus the edit distance over the longer length. Candidates share a word."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    h = headings.withColumn("clean", F.lower(fx.clean_heading(F.col("text")))).where(F.length("clean") >= 3)
-    left = h.select("id", "depth", "clean", F.explode(words("clean")).alias("w"))
-    right = concepts.select("iri", "label", "branch", F.explode(words("label")).alias("w"))
-    pairs = left.join(right, "w").select("id", "depth", "clean", "iri", "label", "branch").distinct()
+    h = headings.select("id", "depth", F.lower(fx.clean_heading(F.col("text"))).alias("clean")).where(F.length("clean") >= 3)
+    # equal headings are looked for once, and a pair meets at the first word it shares: nothing is made distinct
+    left = h.select("clean").distinct().withColumn("ws", words("clean")).withColumn("w", F.explode("ws"))
+    right = concepts.select("iri", "label", "branch", words("label").alias("rs")).withColumn("w", F.explode("rs"))
+    pairs = left.join(right, "w").where(F.get(F.array_intersect("ws", "rs"), F.lit(0)) == F.col("w"))
     low = F.lower("label")
     score = F.when(low == F.col("clean"), 1.0).otherwise(1 - F.levenshtein(low, F.col("clean")) / F.greatest(F.length(low), F.length("clean")))
-    w = Window.partitionBy("id", "depth").orderBy(F.desc("score"), "iri")
-    return pairs.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "clean")
+    place = F.struct((-F.col("score")).alias("back"), "iri", "label", "branch")
+    best = cut(pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("clean").agg(F.min(place).alias("best")))
+    best = F.broadcast(best) if best.count() <= BROADCAST_LABELS else best
+    found = h.join(best, "clean").groupBy("id", "depth").agg(F.min("best").alias("best"))
+    return found.select("id", "depth", "best.iri", "best.label", "best.branch", (-F.col("best.back")).alias("score"))
 
 
 def heading_concepts(headings: DataFrame, concepts: DataFrame) -> DataFrame:
