@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import RDF
+from .lineage import cut
 
 TYPE = f"{RDF}type"
 
@@ -52,7 +53,7 @@ def violations(triples: DataFrame, constraints: Sequence[Constraint]) -> DataFra
     rows = [(i, *(list(v) if isinstance(v, tuple) else v for v in astuple(c))) for i, c in enumerate(constraints)]
     assert [f.name for f in fields(Constraint)] == [x.split()[0] for x in _ROW.split(", ")]
     table = F.broadcast(spark.createDataFrame(rows, f"no int, {_ROW}"))
-    t = triples.select("s", "p", "o", "kind", "datatype").distinct()
+    t = cut(triples.select("s", "p", "o", "kind", "datatype").distinct())  # read for each part below, made once
     classes = t.where(F.col("p") == TYPE).select(F.col("s").alias("_of"), F.col("o").alias("_class"))
 
     forward = t.join(table.where("not inverse"), F.col("p") == F.col("path")).select("s", F.col("o").alias("value"), "kind", t["datatype"].alias("_datatype"), *_needed(table))
