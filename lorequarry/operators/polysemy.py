@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _counts(shards: DataFrame) -> DataFrame:
     said = shards.where("iri is not null and framework is not null and axiom is not null")
@@ -40,7 +42,7 @@ def conflicts(shards: DataFrame, compatible: DataFrame) -> DataFrame:
     counts by (iri, framework) and by (iri, axiom, framework). What a group holds is at most a count a framework.
     ``compatible`` goes both ways, and a framework fits itself. Rows with a null take no part.
     """
-    counts, fits = _counts(shards), _fitting(compatible)
+    counts, fits = cut(_counts(shards)), _fitting(compatible)  # counts are read twice
     of_iri = counts.groupBy("iri", "framework").agg(F.sum("n").alias("n"))
     agreeing = _clashes(counts, fits, "iri", "axiom").withColumn("n", -F.col("n"))
     return _clashes(of_iri, fits, "iri").unionByName(agreeing).groupBy("iri", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
@@ -53,7 +55,7 @@ def senses(shards: DataFrame, found: DataFrame) -> DataFrame:
     begins the next. A sense is named after its first framework, and the first sense is the prime one. A group holds the
     frameworks of a concept and their conflicts.
     """
-    clash = found.groupBy("iri").agg(F.collect_list(F.struct("a", "b")).alias("clash"))
+    clash = cut(found.groupBy("iri").agg(F.collect_list(F.struct("a", "b")).alias("clash")))  # read twice, found once
     by_size = _counts(shards).groupBy("iri", "framework").agg(F.sum("n").alias("n")).join(clash.select("iri"), "iri", "left_semi")
     rows = by_size.groupBy("iri").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "framework"))).alias("all")).join(clash, "iri")
 
