@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, large, swept
 
 
 def _is_star_forest(e: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most, and none that has one itself."""
     ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
     n = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return not n.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
+    with swept(e.sparkSession):
+        return not n.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
 
 
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -29,9 +30,9 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     while not _is_star_forest(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        up = both.join(large(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        star = up.join(large(low), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e, before = ws.save(star, "edges"), e
         ws.forget(before)
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -22,7 +22,7 @@ from . import workspace
 from .linking import components, stars
 from .ngrams import pieces
 from .sketching import bands, minhash, mix64, most_bits, odd_sketch
-from .workspace import Workspace, lean, plain_names, unused
+from .workspace import Workspace, large, lean, plain_names, unused
 
 
 @dataclass(frozen=True)
@@ -207,7 +207,7 @@ def _with_lines(ws: Workspace, docs: DataFrame, lines: DataFrame, how: str, name
         return docs.join(F.broadcast(by_doc), same, how).drop(doc)
     maybe = unused("_maybe", docs)
     marked = _maybe(docs, by_doc.select(F.col(doc).alias("doc")), n, maybe)
-    out = marked.where(F.col(maybe)).drop(maybe).join(by_doc.hint("merge"), same, how).drop(doc)
+    out = marked.where(F.col(maybe)).drop(maybe).join(large(by_doc), same, how).drop(doc)
     if how == "inner":
         return out
     return out.unionByName(marked.where(~F.col(maybe)).drop(maybe).withColumn(name, F.lit(None).cast(by_doc.schema[name].dataType)))
@@ -244,19 +244,20 @@ def decide(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFr
     ws.forget(banded)
     first = signed.groupBy("id").agg(F.min(F.struct("other", "doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     near = ws.save(star.select(F.col("hub").alias("id")).unionByName(star.select("id")).distinct(), "near")
-    items = ws.save(first.join(near.withColumn("near", F.lit(True)), "id", "left").where("near or n > 1"), "items")
+    items = ws.save(first.join(large(near.withColumn("near", F.lit(True))), "id", "left").where("near or n > 1"), "items")
     wanted = ws.save(items.where("near").select("first.doc_id", "first.line_no", "id"), "wanted")
     texts = ws.save(_fetch(_with_lines(ws, docs.select("doc_id", F.col("text").cast("string")), wanted, "inner", "lines"), s).dropDuplicates(["id"]), "texts")
     bits = most_bits(s.percent / 100, s.samples, s.sketch_bits)
 
     comp = components(ws, star, texts, partial(expand, width=s.width), s.percent, bits)
-    items = items.join(comp, F.col("id") == F.col("node"), "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
+    ws.forget(star, near, wanted, texts)
+    items = items.join(large(comp), F.col("id") == F.col("node"), "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
     place = F.struct("first.doc_id", "first.line_no")
     stays = items.groupBy("component").agg(F.min(place).alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    items = ws.save(items.join(stays, "component").select("id", F.col("first.other").alias("same"), "n", "stays"), "repeated")
+    items = ws.save(items.join(large(stays), "component").select("id", F.col("first.other").alias("same"), "n", "stays"), "repeated")
     lines = signed.select("doc_id", "line_no", "id", "other")
     hot = F.broadcast(items.where(F.col("n") > max(HOT_TIMES, int(lines.count() * HOT_SHARE))))
-    joined = lines.join(hot, "id").unionByName(lines.join(hot.select("id"), "id", "left_anti").join(items, "id"))
+    joined = lines.join(hot, "id").unionByName(lines.join(hot.select("id"), "id", "left_anti").join(large(items), "id"))
     removed = joined.where((F.col("other") == F.col("same")) & (F.struct("doc_id", "line_no") != F.col("stays"))).select("doc_id", "line_no", "id")
     return lines.drop("other"), ws.save(removed.distinct(), "removed")
 

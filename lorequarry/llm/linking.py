@@ -5,7 +5,7 @@
    an entry a buffer to shuffle.
 2. The pairs are verified, by sketch and then on the full sets, and components are formed from the links found.
 3. A bucket whose items still lie in several components may hide links between them. Items of such buckets are put into
-   groups, and blocks of a group are compared with each other: sketches first, then exact intersections as products of
+   groups, of all buckets that they chain together or, where less is sent so, of a bucket each, and blocks of a group are compared with each other: sketches first, then exact intersections as products of
    incidence matrices. A block pair returns a spanning forest of the links between components, never all its links.
 """
 
@@ -16,13 +16,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .ngrams import pieces
 from .sketching import xor_counts
-from .workspace import Workspace, lean, nonempty, small
+from .workspace import Workspace, large, lean, nonempty, small
 
 #: Items of a group that are compared with as many others in one step.
 BLOCK = 512
@@ -289,12 +289,36 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label")
 
 
+def _sent(n: str) -> Column:
+    """How many times the items of a group of ``n`` are sent: each once for every block."""
+    return F.col(n) * F.ceil(F.col(n) / BLOCK)
+
+
+def _by_bucket(ws: Workspace, items: DataFrame, ties: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``items(grp, n, id, label)``; those of a group of several blocks by bucket instead, where less is sent so.
+
+    Only items of one bucket need to be compared. Of small groups that is done at once for all their buckets, but the more
+    items there are, the longer chains of buckets become, and blocks of a chain would mostly compare what shares none.
+    """
+    chained = ws.save(sizes.where(F.col("n") > BLOCK), "chained")
+    if not nonempty(chained):
+        return items
+    label = items.select("id", "grp").join(small(chained, 16), "grp").select("id", "grp", "n")
+    of_bucket = ties.select("bucket", "id", F.col("lid").alias("label")).unionByName(ties.select("bucket", F.col("hub").alias("id"), F.col("lhub").alias("label"))).distinct()
+    of_bucket = ws.save(of_bucket.join(large(label), "id").select("bucket", "id", "label", "grp"), "of_bucket")
+    buckets = ws.save(of_bucket.groupBy("bucket", "grp").agg(F.count("*").alias("m")), "buckets")
+    cheaper = buckets.groupBy("grp").agg(F.sum(_sent("m")).alias("sent")).join(large(chained), "grp").where(F.col("sent") < _sent("n")).select("grp")
+    cheaper = ws.save(cheaper, "cheaper")
+    split = of_bucket.join(small(cheaper, 8), "grp", "left_semi").join(large(buckets.select("bucket", F.col("m").alias("n"))), "bucket")
+    return items.join(small(cheaper, 8), "grp", "left_anti").select("grp", "n", "id", "label").unionByName(split.select(F.col("bucket").alias("grp"), "n", "id", "label"))
+
+
 def components(ws: Workspace, star: DataFrame, sets: DataFrame, expand: Expand, percent: int, most_bits: int) -> DataFrame:
     """``star(bucket, hub, id)``, written ``sets(id, sketch, payload)`` of all its items -> written ``node, component``
     of the verified links. An item of several sets, by rows that share an id, is linked if one of them is."""
     pairs = ws.save(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "pairs")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("payload").alias(f"x{c}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb", "xa", "xb")
+    full = pairs.join(large(side("b")), "b").join(large(side("a")), "a").select("a", "b", "sa", "sb", "xa", "xb")
     comp = ws.save(connected_components(ws, confirm(full, expand, percent, most_bits)), "components")
     ws.forget(pairs)
     label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
@@ -303,15 +327,16 @@ def components(ws: Workspace, star: DataFrame, sets: DataFrame, expand: Expand,
     # a bucket of one pair has been tested, and one within a component needs no test
     b = ties.groupBy("bucket").agg(F.min(F.least("lhub", "lid")).alias("lo"), F.max(F.greatest("lhub", "lid")).alias("hi"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("hub", "id") for f in (F.min, F.max)])
     apart = b.where("lo < hi and (min_hub <> max_hub or min_id <> max_id)").select("bucket")
-    ties = ws.save(ties.join(apart, "bucket"), "apart")
+    ties = ws.save(ties.join(large(apart), "bucket"), "apart")
     if not nonempty(ties):
         return comp
     groups = connected_components(ws, ties.select(F.col("lhub").alias("a"), F.col("lid").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("component").alias("grp"))
     items = ties.select(F.col("hub").alias("id"), F.col("lhub").alias("label")).unionByName(ties.select("id", F.col("lid").alias("label"))).distinct()
-    items = ws.save(items.join(groups, "label"), "items")
-    items = items.join(items.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    items = ws.save(items.join(large(groups), "label"), "items")
+    sizes = ws.save(items.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
+    items = _by_bucket(ws, items.join(small(sizes, 16), "grp"), ties, sizes)
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(items).join(sets, "id").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    blocks = _blocks(items).join(large(sets), "id").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     fresh = ws.save(blocks.mapInArrow(lean(lambda it: _compare(it, expand, percent, most_bits)), "a long, b long"), "links")
     if not nonempty(fresh):
         return comp

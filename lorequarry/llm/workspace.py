@@ -16,8 +16,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows times the given row size stay below this.
+#: A side of a join is broadcast only when its counted rows, of the given size and ``HASHED_BYTES`` each, stay below this.
 BROADCAST_BYTES = 32 << 20
+#: What a row takes in the hash table of a broadcast besides its values.
+HASHED_BYTES = 64
+#: With this Spark removes the shuffle files of a query when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _left: list[tuple[SparkSession, str]] = []
 
@@ -93,6 +97,21 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return go
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Of queries that are run within, each removes its shuffle files when it ends. A stage runs dozens of queries, and a driver
+    with memory to spare would keep the files of all of them on disk."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Workspace:
     """A folder of one operator call. The folder goes when the driver ends, since results are read from it lazily."""
 
@@ -106,7 +125,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        with swept(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out
@@ -131,7 +151,16 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 
     ``df`` should be a written table, as it is counted here and read again in the join.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * (row_bytes + HASHED_BYTES) <= BROADCAST_BYTES else large(df)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """``df``, marked so that its join shuffles both sides.
+
+    Spark sizes a table by its compressed files, and a row as if its texts and arrays had one length, so it would send
+    tables through the driver that are many times as large as it takes them to be: after an explode above all.
+    """
+    return df.hint("merge")
 
 
 def unused(name: str, *frames: DataFrame) -> str:
