@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, small, unused
+from .workspace import Workspace, large, small, unused
 
 #: Template tokens of a window; a shorter item is one window of its own length.
 WINDOW = 8
@@ -142,6 +142,12 @@ def _in_views(docs: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", _typed("raw", False)).drop("raw")
 
 
+def _sized(items: DataFrame) -> DataFrame:
+    """Written ``items(wording, common, ...)``, marked for the join by the counted length of the texts."""
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("wording") + F.octet_length(F.concat_ws("", "common")) + 24 * F.size("common")), F.lit(0))).first()
+    return small(items, 64 + size // max(n, 1))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> a row for each document and item that it holds:
     ``doc_id, item_id, n_tokens, n_covered, n_slots, kind``.
@@ -178,13 +184,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_shift = hits.groupBy("doc_id", "item_id", "version", "width", "shift").agg(F.count("*").alias("n"), F.collect_set("item_pos").alias("at"))
     by_item = by_shift.groupBy("doc_id", "item_id", "version", "width").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     reach = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + F.col("width") - F.greatest(F.lit(0), s["end"] - p)).alias("n"), (p + F.col("width")).alias("end")))["n"]
-    held = by_item.withColumn("n_covered", reach).drop("at", "width").join(items.select("item_id", "version", "view", "skip", "common", "n_tokens", "wording"), ["item_id", "version"])
+    held = by_item.withColumn("n_covered", reach).drop("at", "width").join(_sized(items.select("item_id", "version", "view", "skip", "common", "n_tokens", "wording")), ["item_id", "version"])
     held = ws.save(held.where((F.col("n_covered") >= F.col("n_tokens") * MIN_COVER) | (F.col("n_covered") >= ENOUGH_TOKENS) | ((F.col("view") == PLAIN) & (F.col("n_covered") >= VERBATIM_RUN))), "held")
     wanted = ws.save(held.select("doc_id", "view").distinct(), "wanted")
     both = None
     for view in VIEWS:
         texts = with_values(docs.join(small(wanted.where(F.col("view") == view).select("doc_id"), 16), "doc_id"), "text", "theirs", view).select("doc_id", "theirs")
-        part = texts.join(with_values(held.where(F.col("view") == view), "wording", "ours", view), "doc_id")
+        part = texts.join(large(with_values(held.where(F.col("view") == view), "wording", "ours", view)), "doc_id")
         both = part if both is None else both.unionByName(part)
     both = both.withColumn("ours", F.expr("slice(ours, skip + 1, size(ours))"))
     aligned = F.filter(

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, large, small
 
 #: Documents that one key range holds on average.
 RANGE_ROWS = 2000
 #: Ranges of a source that are added up in one task.
 GROUP_RANGES = 10_000
+#: Values of a source or a range as a row, with the name of the source.
+SOURCE_BYTES = 256
 #: Most times that a source, and so a document, is taken.
 MAX_EPOCHS = 3
 #: Weights of the sources by their place in code point order, repeating; null comes last.
@@ -102,8 +104,8 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, weights
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).cast("long")).drop("n")
-    by_source = plan.withColumnRenamed("source", "s2")
-    r = rows.join(by_source, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    by_source = ws.save(plan.withColumnRenamed("source", "s2"), "plan")
+    r = rows.join(small(by_source, SOURCE_BYTES), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     at = even(F.col("key"), [(w, F.col(f"n{i}")) for i, w in enumerate(kinds)])  # spreads the keys evenly over the ranges
     r = r.withColumn("range", F.least(F.floor(at * F.col("ranges")), F.col("ranges") - 1).cast("long")).drop("quality_weight", *[f"n{i}" for i in range(len(kinds))])
     sums = r.groupBy("source", "range").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
@@ -113,8 +115,8 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, weights
     groups = groups.select(F.col("source").alias("s4"), F.col("group").alias("g4"), "below")
     sums = sums.withColumn("inside", F.coalesce(F.sum("s").over(before("source", "group", "range")), F.lit(0)))
     sums = sums.join(groups, F.col("source").eqNullSafe(F.col("s4")) & (F.col("group") == F.col("g4"))).withColumn("before", F.col("below") + F.col("inside"))
-    sums = sums.select(F.col("source").alias("s3"), F.col("range").alias("r3"), "before", (F.col("before") + F.col("s") <= F.col("rest")).alias("whole"), (F.col("before") < F.col("rest")).alias("reached"))
-    r = r.join(sums, F.col("source").eqNullSafe(F.col("s3")) & (F.col("range") == F.col("r3"))).drop("s3", "r3")
+    sums = ws.save(sums.select(F.col("source").alias("s3"), F.col("range").alias("r3"), "before", (F.col("before") + F.col("s") <= F.col("rest")).alias("whole"), (F.col("before") < F.col("rest")).alias("reached")), "reach")
+    r = r.join(small(sums, SOURCE_BYTES), F.col("source").eqNullSafe(F.col("s3")) & (F.col("range") == F.col("r3"))).drop("s3", "r3")
     # only the range in which the budget ends needs its order; every other row is a partition value of its own
     ends = F.col("reached") & ~F.col("whole")
     edge, plain = r.where(ends), r.where(~ends)
@@ -130,4 +132,4 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``quality_weight`` from ``labels(doc_id, quality)``; a document labelled twice takes the larger label."""
     q = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
     w = F.coalesce(*[F.when(F.col("_q") == k, F.lit(v)) for k, v in QUALITY_WEIGHT.items()], F.lit(UNLABELLED_WEIGHT))
-    return docs.join(q, F.col("doc_id") == F.col("_id"), "left").withColumn("quality_weight", w).drop("_id", "_q")
+    return docs.join(large(q), F.col("doc_id") == F.col("_id"), "left").withColumn("quality_weight", w).drop("_id", "_q")

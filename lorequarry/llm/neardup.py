@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .linking import components, stars
 from .ngrams import chunks, pieces
 from .sketching import bands, minhash, most_bits, odd_sketch, word_shingles
-from .workspace import Workspace, lean, nonempty, small, unused
+from .workspace import Workspace, large, lean, nonempty, small, unused
 
 
 @dataclass(frozen=True)
@@ -102,16 +102,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     star = stars(ws, classes, s.bands)
     bits = most_bits(s.percent / 100, s.samples, s.sketch_bits)
     candidates = ws.save(star.select(F.col("hub").alias("id")).unionByName(star.select("id")).distinct(), "candidates")
-    wanted = ws.save(classes.select("id", "sketch").join(candidates, "id"), "wanted")
+    wanted = ws.save(classes.select("id", "sketch").join(large(candidates), "id"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(small(wanted, 24 + s.sketch_bits // 8), "id")
     sets = ws.save(_sets(texts.select("id", "sketch", "text"), s), "sets")
 
     comp = components(ws, star, sets, unpack, s.percent, bits)
+    ws.forget(star, candidates, wanted, sets)
     # rows of a class share its digest; its smallest id is the node
     node = classes.select("digest", F.col("id").alias("own"))
     moved = comp.where("node <> component")
-    node = node.join(moved, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("component", "own").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(node, "digest", "left")
+    node = node.join(large(moved), F.col("own") == F.col("node"), "left").select("digest", F.coalesce("component", "own").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(large(node), "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
