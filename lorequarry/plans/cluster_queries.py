@@ -78,8 +78,7 @@ def polysemy_conflicts(spark, sf):
 
 @query()
 def sense_forks(spark, sf):
-    said = _said(spark, sf)
-    return polysemy.senses(said, polysemy.conflicts(said, _compatible(spark, sf))).withColumn("frameworks", F.array_join("frameworks", "|"))
+    return polysemy.forks(_said(spark, sf), _compatible(spark, sf)).withColumn("frameworks", F.array_join("frameworks", "|"))
 
 
 # --- Contests: events as votes on users
