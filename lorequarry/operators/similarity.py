@@ -235,6 +235,40 @@ def average_linkage(matrix: np.ndarray, threshold: float, sizes: np.ndarray | No
     return owner
 
 
+#: Pairs whose exact inner products are computed at once.
+EXACT_PAIRS = 1 << 15
+
+
+def closest_rows(lm: np.ndarray, rm: np.ndarray, li: np.ndarray, ri: np.ndarray, lr: np.ndarray, rr: np.ndarray, above: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """``li, ri, s, tie`` of each row of ``lm`` that has a row of ``rm``, of another id, with an inner product above ``above``: the
+    largest to twelve digits, of equal ones that of the largest hash of the pair's ``lr`` and ``rr``. Ids are sorted.
+
+    Products in single precision leave few pairs that can be the largest, by the bound of their error; those are computed in
+    double precision, in an order that is the same from both ends of a pair.
+    """
+    low, high = lm.astype(np.float32), np.ascontiguousarray(rm.astype(np.float32).T)
+    slack = 2 * ((lm.shape[1] + 4) * 2.0**-23 * np.sqrt((lm * lm).sum(1)) * np.sqrt((rm * rm).sum(1).max()) + 2e-12)
+    place = np.minimum(np.searchsorted(ri, li), len(ri) - 1)
+    own = ri[place] == li
+    for at in range(0, len(lm), 128):
+        s = low[at : at + 128] @ high
+        rows = np.flatnonzero(own[at : at + 128])
+        s[rows, place[at + rows]] = -np.inf
+        top = s.max(axis=1).astype(np.float64)
+        # rounded down, as comparing in double precision would copy the products
+        least = np.nextafter((top - slack[at : at + 128]).astype(np.float32), np.float32(-np.inf))
+        least[~(top + slack[at : at + 128] > above)] = np.inf
+        x, y = np.divmod(np.flatnonzero(s >= least[:, None]), len(rm))
+        if not len(x):
+            continue
+        exact = np.concatenate([np.round(np.einsum("ij,ij->i", lm[at + x[k : k + EXACT_PAIRS]], rm[y[k : k + EXACT_PAIRS]]), 12) for k in range(0, len(x), EXACT_PAIRS)])
+        tie = (((lr[at + x] ^ rr[y]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(2)).astype(np.int64)
+        order = np.lexsort((tie, exact, x))
+        best = order[np.append(x[order][1:] != x[order][:-1], True)]
+        best = best[exact[best] > above]
+        yield li[at + x[best]], ri[y[best]], exact[best], tie[best]
+
+
 def _closest(asking: DataFrame, nodes: DataFrame, above: float, n: int, dims: int, block: int | None = None) -> DataFrame:
     """``id, nn, s``: of each node that asks the other node with the largest inner product above ``above``, if any.
 
@@ -254,15 +288,7 @@ def _closest(asking: DataFrame, nodes: DataFrame, above: float, n: int, dims: in
         if len(left) and len(right):
             lm, rm = (matrix(x["v"]) for x in (left, right))
             li, ri, lr, rr = left["id"].to_numpy(), right["id"].to_numpy(), left["r"].to_numpy(np.uint64), right["r"].to_numpy(np.uint64)
-            for at in range(0, len(lm), 128):
-                # both ends of a pair see the same number
-                s = np.round(lm[at : at + 128] @ rm.T, 12)
-                s[li[at : at + 128, None] == ri[None, :]] = -np.inf
-                top = s.max(axis=1)
-                tie = ((lr[at : at + 128, None] ^ rr[None, :]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(2)
-                pick = np.where(s == top[:, None], tie.astype(np.int64), -1).argmax(axis=1)
-                ok = np.nonzero(top > above)[0]
-                out.append((li[at + ok], ri[pick[ok]], top[ok], tie[ok, pick[ok]].astype(np.int64)))
+            out.extend(closest_rows(lm, rm, li, ri, lr, rr, above))
         return _frame(["id", "nn", "s", "tie"], out)
 
     met = cells.groupBy("i", "j").applyInPandas(meet, f"id {kind}, nn {kind}, s double, tie long")
